@@ -73,14 +73,14 @@ def subset_masks(y, max_size: int = 16) -> Column:
     """
     pos = positives(y)
     s = F.size(pos)
-    n = F.when(s <= max_size, F.shiftleft(F.lit(1), s) - 2).otherwise(F.lit(0))
+    n = F.when(s <= max_size, F.pow(F.lit(2), s).cast("int") - 2).otherwise(F.lit(0))
     masks = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
     return F.transform(
         masks,
         lambda m: F.transform(
             _c(y),
             lambda x, i: F.when(
-                (x == 1) & (F.shiftright(m, (F.array_position(pos, i) - 1).cast("int")).bitwiseAND(1) == 1), 1
+                (x == 1) & (m.bitwiseAND(F.pow(F.lit(2), F.array_position(pos, i) - 1).cast("int")) != 0), 1
             ).otherwise(0),
         ),
     )

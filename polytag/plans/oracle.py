@@ -113,3 +113,270 @@ sql("label_cosine_distance", with_views("v_order") + pair_ctes("v_order") + """,
 c AS (SELECT i, j, 1.0 - 2.0 * (n1i + n1j - 2 * n11) / N AS cos FROM pt),
 c0 AS (SELECT i, j, CASE WHEN cos = 0 THEN 4.9e-324 ELSE cos END AS cos FROM c)
 SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(-ln(abs(cos)), 6) AS d, round(cos, 6) AS cos FROM c0""")
+
+
+# ---------------------------------------------------------------- helpers shared by later sections
+
+M = 2147483647
+
+
+def h_sql(key: str, seed: int = 0) -> str:
+    """SQL twin of labelsets.stable_hash."""
+    k = f"((CAST({key} AS BIGINT) + {seed * 7919 + 1}) % {M})"
+    h1 = f"(({k} * 48271) % {M})"
+    return f"(({h1} * 48271) % {M})"
+
+
+def h2_sql(key: str, j: str, seed: int = 0) -> str:
+    """SQL twin of labelsets.stable_hash2."""
+    return h_sql(f"(({h_sql(key, seed)} + CAST({j} AS BIGINT) * 104729) % {M})", seed)
+
+
+def u_sql(key: str, seed: int = 0) -> str:
+    return f"(CAST({h_sql(key, seed)} AS DOUBLE) / CAST({M} AS DOUBLE))"
+
+
+def u2_sql(key: str, j: str, seed: int = 0) -> str:
+    return f"(CAST({h2_sql(key, j, seed)} AS DOUBLE) / CAST({M} AS DOUBLE))"
+
+
+def bits_sql(arr: str) -> str:
+    return f"array_to_string(list_transform({arr}, lambda x: coalesce(CAST(x AS VARCHAR), '?')), '')"
+
+
+def size_sql(arr: str) -> str:
+    return f"CAST(list_sum(list_transform({arr}, lambda x: coalesce(x, 0))) AS INTEGER)"
+
+
+SCORE_LONG = """
+sc AS (
+  SELECT id, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS t, ((id * 31 + g.j * 17) % 10) / 10.0 AS s
+  FROM v_userday CROSS JOIN range(5) g(j)
+)"""
+
+# ---------------------------------------------------------------- 2.2
+
+sql("label_columns", with_views("v_order") + """
+SELECT name, CAST(pos AS INTEGER) AS pos, role, n_nonnull FROM (
+  SELECT 'id' AS name, 0 AS pos, 'id' AS role, count(id) AS n_nonnull FROM v_order
+  UNION ALL SELECT 'f_prio', 1, 'feature', count(f_prio) FROM v_order
+  UNION ALL SELECT 'f_status', 2, 'feature', count(f_status) FROM v_order
+  UNION ALL SELECT 'f_lines', 3, 'feature', count(f_lines) FROM v_order
+  UNION ALL SELECT 'f_qty', 4, 'feature', count(f_qty) FROM v_order
+  UNION ALL SELECT 'f_price', 5, 'feature', count(f_price) FROM v_order
+  UNION ALL SELECT 'AF', 6, 'label', count(y[1]) FROM v_order
+  UNION ALL SELECT 'AO', 7, 'label', count(y[2]) FROM v_order
+  UNION ALL SELECT 'NF', 8, 'label', count(y[3]) FROM v_order
+  UNION ALL SELECT 'NO', 9, 'label', count(y[4]) FROM v_order
+  UNION ALL SELECT 'RF', 10, 'label', count(y[5]) FROM v_order
+  UNION ALL SELECT 'RO', 11, 'label', count(y[6]) FROM v_order
+)""")
+
+sql("labels_by_position", with_views("v_order") + f"""
+SELECT id, {bits_sql('y')} AS bits FROM v_order""")
+
+sql("drop_labels", with_views("v_order") + """
+SELECT id, f_prio, f_status, f_lines, f_qty, f_price FROM v_order""")
+
+sql("keep_labels", with_views("v_order") + f"""
+SELECT id, {bits_sql('[y[1], y[4], y[5]]')} AS bits FROM v_order""")
+
+sql("rows_missing_labels", with_views("v_doc") + """
+SELECT id, CAST(len(list_filter(y, lambda x: x IS NULL)) AS INTEGER) AS n_missing
+FROM v_doc WHERE len(list_filter(y, lambda x: x IS NULL)) > 0""")
+
+sql("label_depth", with_views("v_tree") + """
+SELECT label, CAST(depth AS INTEGER) AS depth FROM label_tree""")
+
+sql("label_descendants", with_views("v_tree") + """
+SELECT parent AS label, label AS descendant FROM label_tree WHERE parent IS NOT NULL""")
+
+sql("ml_validate", with_views("v_tree") + """
+SELECT * FROM (VALUES ('too_few_labels', CAST(0 AS BIGINT)), ('label_not_in_data', CAST(0 AS BIGINT))) v(rule, n)
+UNION ALL
+SELECT 'bad_value', CAST(count(CASE WHEN len(list_filter(y, lambda x: x IS NOT NULL AND x NOT IN (0, 1))) > 0 THEN 1 END) AS BIGINT) FROM v_tree
+UNION ALL
+SELECT 'child_without_parent', CAST(0 AS BIGINT)""")
+
+sql("labelset_bits", with_views("v_order") + f"""
+SELECT id, {bits_sql('y')} AS bits, true AS roundtrip FROM v_order""")
+
+sql("labelset_size", with_views("v_tree") + f"""
+SELECT id, {size_sql('y')} AS size FROM v_tree""")
+
+sql("labelset_hamming", with_views("v_userday") + "," + SCORE_LONG + """
+SELECT id, CAST(sum(CASE WHEN CAST(s >= 0.5 AS INTEGER) <> t THEN 1 ELSE 0 END) AS INTEGER) AS hamming FROM sc GROUP BY id""")
+
+sql("labelset_intersection", with_views("v_userday") + "," + SCORE_LONG + """
+SELECT id, string_agg(CAST(t * CAST(s >= 0.5 AS INTEGER) AS VARCHAR), '' ORDER BY j) AS bits FROM sc GROUP BY id""")
+
+sql("labelset_subsets", with_views("v_order") + f""",
+sets AS (SELECT DISTINCT y FROM v_order),
+pos AS (SELECT y, list_filter(range(6), lambda j: y[j + 1] = 1) AS p FROM sets),
+m AS (SELECT y, p, g.m FROM pos CROSS JOIN LATERAL (SELECT unnest(range(1, CAST((1 << len(p)) - 1 AS BIGINT))) AS m) g)
+SELECT {bits_sql('y')} AS bits,
+       array_to_string(list_transform(range(6), lambda j:
+         CASE WHEN y[j + 1] = 1 AND ((m >> (list_position(p, j) - 1)) & 1) = 1 THEN '1' ELSE '0' END), '') AS sub_bits
+FROM m""")
+
+sql("rank_from_scores", with_views("v_userday") + "," + SCORE_LONG + """
+SELECT id, j, CAST(row_number() OVER (PARTITION BY id ORDER BY s DESC, j DESC) AS INTEGER) AS rank FROM sc""")
+
+sql("bipartition_at", with_views("v_userday") + "," + SCORE_LONG + """
+SELECT id, string_agg(CAST(CAST(s >= 0.5 AS INTEGER) AS VARCHAR), '' ORDER BY j) AS bits FROM sc GROUP BY id""")
+
+sql("argmax_random_tie", with_views("v_userday") + "," + SCORE_LONG + f""",
+mx AS (SELECT id, max(s) AS mx FROM sc GROUP BY id)
+SELECT id, CAST(arg_min(j, {h2_sql('id', 'j', 3)}) AS INTEGER) AS j
+FROM sc JOIN mx USING (id) WHERE s = mx GROUP BY id""")
+
+sql("minmax_scale", with_views("v_order") + """,
+mm AS (SELECT min(o_totalprice) a0, max(o_totalprice) b0, CAST(min(n_lines) AS DOUBLE) a1, CAST(max(n_lines) AS DOUBLE) b1,
+              CAST(min(sum_qty) AS DOUBLE) a2, CAST(max(sum_qty) AS DOUBLE) b2 FROM v_order)
+SELECT id,
+  round(CASE WHEN b0 = a0 THEN -1.0 ELSE -1.0 + (o_totalprice - a0) / (b0 - a0) * 2.0 END, 6) AS o_totalprice,
+  round(CASE WHEN b1 = a1 THEN -1.0 ELSE -1.0 + (CAST(n_lines AS DOUBLE) - a1) / (b1 - a1) * 2.0 END, 6) AS n_lines,
+  round(CASE WHEN b2 = a2 THEN -1.0 ELSE -1.0 + (CAST(sum_qty AS DOUBLE) - a2) / (b2 - a2) * 2.0 END, 6) AS sum_qty
+FROM v_order CROSS JOIN mm""")
+
+# ---------------------------------------------------------------- 2.4
+
+ORDER_FEATS = "f_prio, f_status, f_lines, f_qty, f_price"
+
+sql("tr_binary_relevance", with_views("v_order") + f"""
+SELECT id, {ORDER_FEATS}, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS class FROM v_order CROSS JOIN range(6) g(j)""")
+
+sql("tr_label_powerset", with_views("v_order") + f"""
+SELECT id, {ORDER_FEATS}, {bits_sql('y')} AS class FROM v_order""")
+
+sql("tr_pairwise", with_views("v_userday") + "," + long_cte("v_userday", "lng") + """
+SELECT a.id, a.j AS a, b.j AS b, a.t AS class FROM lng a JOIN lng b ON a.id = b.id AND a.j < b.j AND a.t <> b.t""")
+
+sql("tr_include_labels", with_views("v_userday") + "," + long_cte("v_userday", "lng") + """
+SELECT id, (['click', 'error', 'purchase', 'signup', 'view'])[j + 1] AS label, t AS class FROM lng""")
+
+sql("tr_copy", with_views("v_userday") + "," + long_cte("v_userday", "lng") + """
+SELECT id, j, 'Class' || CAST(j + 1 AS VARCHAR) AS class FROM lng WHERE t = 1""")
+
+sql("tr_copy_weight", with_views("v_userday") + "," + long_cte("v_userday", "lng") + """
+SELECT id, j, 'Class' || CAST(j + 1 AS VARCHAR) AS class, round(1.0 / sum(t) OVER (PARTITION BY id), 6) AS weight
+FROM lng WHERE t = 1""")
+
+sql("tr_ignore", with_views("v_userday") + "," + long_cte("v_userday", "lng") + """
+SELECT id, j, 'Class' || CAST(j + 1 AS VARCHAR) AS class FROM (
+  SELECT *, sum(t) OVER (PARTITION BY id) AS n FROM lng) WHERE t = 1 AND n = 1""")
+
+_SEL = with_views("v_tree") + "," + long_cte("v_tree", "lng") + """,
+cnt AS (SELECT j, sum(t) AS c FROM lng GROUP BY j)"""
+
+sql("tr_select_max", _SEL + """
+SELECT id, CAST(arg_min(lng.j, -c * 1000 + lng.j) AS INTEGER) AS j,
+       'Class' || CAST(arg_min(lng.j, -c * 1000 + lng.j) + 1 AS VARCHAR) AS class
+FROM lng JOIN cnt USING (j) WHERE t = 1 GROUP BY id""")
+
+sql("tr_select_min", _SEL + """
+SELECT id, CAST(arg_min(lng.j, c * 1000 + lng.j) AS INTEGER) AS j,
+       'Class' || CAST(arg_min(lng.j, c * 1000 + lng.j) + 1 AS VARCHAR) AS class
+FROM lng JOIN cnt USING (j) WHERE t = 1 GROUP BY id""")
+
+sql("tr_select_random", with_views("v_tree") + "," + long_cte("v_tree", "lng") + f"""
+SELECT id, CAST(arg_min(j, {h2_sql('id', 'j', 5)} * 100 + j) AS INTEGER) AS j,
+       'Class' || CAST(arg_min(j, {h2_sql('id', 'j', 5)} * 100 + j) + 1 AS VARCHAR) AS class
+FROM lng WHERE t = 1 GROUP BY id""")
+
+sql("tr_multiclass_schema", with_views("v_userday") + "," + long_cte("v_userday", "lng") + """
+SELECT CAST(g.j AS INTEGER) AS j, 'Class' || CAST(g.j + 1 AS VARCHAR) AS class, coalesce(n, 0) AS n_rows
+FROM range(5) g(j) LEFT JOIN (SELECT j, count(*) AS n FROM lng WHERE t = 1 GROUP BY j) c ON c.j = g.j""")
+
+sql("tr_single_target", with_views("v_target") + """
+SELECT id, round(o_totalprice, 6) AS o_totalprice, round(n_lines, 6) AS n_lines, round(prio, 6) AS prio,
+       round(target[2], 6) AS class FROM v_target""")
+
+sql("tr_chain", with_views("v_target") + """
+SELECT id, round(o_totalprice, 6) AS o_totalprice, round(n_lines, 6) AS n_lines, round(prio, 6) AS prio,
+       round(target[3], 6) AS t2, round(target[1], 6) AS t0, round(target[2], 6) AS class FROM v_target""")
+
+sql("tr_hierarchical", with_views("v_tree") + f""",
+reg AS (SELECT id, list(CASE WHEN EXISTS (SELECT 1 FROM nation n WHERE n.n_regionkey = r.r_regionkey AND y[n.n_nationkey + 1] = 1)
+                        THEN 1 ELSE 0 END ORDER BY r.r_regionkey) AS meta
+        FROM v_tree CROSS JOIN region r GROUP BY id)
+SELECT id, {bits_sql('list_concat(y, meta)')} AS bits FROM v_tree JOIN reg USING (id)""")
+
+_PRUNE = with_views("v_tree") + f""",
+cnt AS (SELECT y, {bits_sql('y')} AS bits, count(*) AS count FROM v_tree GROUP BY y),
+rare AS (SELECT * FROM cnt WHERE count <= 3),
+freq AS (SELECT * FROM cnt WHERE count > 3),
+subs AS (
+  SELECT r.bits, r.count, f.bits AS sub_bits, f.count AS sub_count,
+         len(list_filter(f.y, lambda x: x = 1)) AS sub_size
+  FROM rare r JOIN freq f
+    ON len(list_filter(f.y, lambda x: x = 1)) < len(list_filter(r.y, lambda x: x = 1))
+   AND len(list_filter(f.y, lambda x: x = 1)) > 0
+   AND list_bool_and(list_transform(range(25), lambda j: f.y[j + 1] <= r.y[j + 1]))
+)"""
+
+sql("tr_prune_ps_a", _PRUNE + """
+SELECT bits, bits AS new_bits, count FROM freq
+UNION ALL
+SELECT bits, sub_bits, count FROM (
+  SELECT *, row_number() OVER (PARTITION BY bits ORDER BY sub_size DESC, sub_count DESC, sub_bits DESC) AS rk FROM subs
+) WHERE rk <= 2""")
+
+sql("tr_prune_ps_b", _PRUNE + """
+SELECT bits, bits AS new_bits, count FROM freq
+UNION ALL
+SELECT bits, sub_bits, count FROM subs WHERE sub_size > 1""")
+
+sql("tr_prune_ppt", _PRUNE.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+cand AS (SELECT *, row_number() OVER (PARTITION BY bits ORDER BY sub_size DESC, sub_count DESC, sub_bits DESC) AS pos FROM subs),
+greedy AS (
+  SELECT bits, 0 AS pos, CAST(repeat('0', 25) AS BIT) AS used, CAST([] AS VARCHAR[]) AS picked FROM rare
+  UNION ALL
+  SELECT g.bits, c.pos,
+         CASE WHEN bit_count(g.used & CAST(c.sub_bits AS BIT)) = 0 THEN g.used | CAST(c.sub_bits AS BIT) ELSE g.used END,
+         CASE WHEN bit_count(g.used & CAST(c.sub_bits AS BIT)) = 0 THEN list_append(g.picked, c.sub_bits) ELSE g.picked END
+  FROM greedy g JOIN cand c ON c.bits = g.bits AND c.pos = g.pos + 1
+),
+final AS (SELECT bits, arg_max(picked, pos) AS picked FROM greedy GROUP BY bits)
+SELECT bits, bits AS new_bits, count FROM freq
+UNION ALL
+SELECT f.bits, unnest(f.picked) AS new_bits, r.count FROM final f JOIN rare r USING (bits)""")
+
+# ---------------------------------------------------------------- 2.5
+
+def salted_rank_sql(src: str, group: str, h: str) -> str:
+    """row_number in (salt, h, id) order inside ``group`` (constant group when empty), salt = h mod buckets."""
+    part = f"PARTITION BY {group}" if group else ""
+    return f"""(
+  SELECT *, row_number() OVER ({part} ORDER BY _h % _nb, _h, id) AS _rk FROM (
+    SELECT *, CAST(greatest(1, ceil(count(*) OVER ({part}) / 1000000.0)) AS BIGINT) AS _nb FROM (
+      SELECT *, {h} AS _h FROM {src}) a) b)"""
+
+
+sql("cv_folds", with_views("v_userday") + f"""
+SELECT id, CAST((_rk - 1) % 10 AS INTEGER) AS fold FROM {salted_rank_sql('v_userday', '', h_sql('id', 1))} r""")
+
+sql("strat_label_powerset", with_views("v_order") + f""",
+x AS (SELECT id, {bits_sql('y')} AS bits FROM v_order),
+so AS (SELECT bits, coalesce(sum(n) OVER (ORDER BY bits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _so
+       FROM (SELECT bits, count(*) AS n FROM x GROUP BY bits))
+SELECT id, CAST((_so + _rk - 1) % 5 AS INTEGER) AS fold
+FROM {salted_rank_sql('x', 'bits', h_sql('id', 2))} r JOIN so USING (bits)""")
+
+sql("holdout_split", with_views("v_order") + f"""
+SELECT id, CASE WHEN {u_sql('id', 3)} * 100 < 67.0 THEN 'train' ELSE 'test' END AS part FROM v_order""")
+
+
+def _poisson_sql(u: str) -> str:
+    from polytag.operators.split import poisson1_thresholds
+
+    return " + ".join(f"(CASE WHEN {u} >= {t!r} THEN 1 ELSE 0 END)" for t in poisson1_thresholds())
+
+
+sql("sample_bootstrap", with_views("v_userday") + f"""
+SELECT id, CAST(g.m AS INTEGER) AS model, CAST({_poisson_sql(u2_sql('id', 'g.m', 4))} AS INTEGER) AS weight
+FROM v_userday CROSS JOIN range(5) g(m)""")
+
+sql("sample_subset", with_views("v_userday") + f"""
+SELECT id, CAST(g.m AS INTEGER) AS model FROM v_userday CROSS JOIN range(5) g(m)
+WHERE {u2_sql('id', 'g.m', 5)} * 100 < 67.0""")

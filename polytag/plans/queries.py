@@ -109,3 +109,255 @@ def q_label_mutual_information(spark, d):
 @query("label_cosine_distance")
 def q_label_cosine_distance(spark, d):
     return r6(ST.label_cosine_distance(V.v_order(spark, d)))
+
+
+# ---------------------------------------------------------------- 2.2 projection, validation, label-set functions
+
+from polytag.frame import MLFrame  # noqa: E402
+from polytag.functions import labelsets as LS  # noqa: E402
+from polytag.operators import hierarchy as HI  # noqa: E402
+from polytag.operators import scaling as SC  # noqa: E402
+
+
+@query("label_columns")
+def q_label_columns(spark, d):
+    m = V.v_order(spark, d)
+    w = m.wide()
+    roles = [("id", "id")] + [(f, "feature") for f in m.features] + [(lab, "label") for lab in m.labels]
+    counts = w.agg(*[F.count(F.col(c)).alias(c) for c, _ in roles])
+    return counts.select(
+        F.inline(F.array(*[
+            F.struct(F.lit(c).alias("name"), F.lit(i).alias("pos"), F.lit(r).alias("role"), F.col(c).alias("n_nonnull"))
+            for i, (c, r) in enumerate(roles)
+        ]))
+    )
+
+
+@query("labels_by_position")
+def q_labels_by_position(spark, d):
+    w = V.v_order(spark, d).wide()
+    m = MLFrame.labels_by_position(w, 6)
+    return m.df.select("id", LS.bits("y").alias("bits"))
+
+
+@query("drop_labels")
+def q_drop_labels(spark, d):
+    m = V.v_order(spark, d)
+    return m.wide().drop(*m.labels)
+
+
+@query("keep_labels")
+def q_keep_labels(spark, d):
+    m = V.v_order(spark, d)
+    keep = ["AF", "NO", "RF"]
+    idx = [m.label_index(k) for k in keep]
+    return m.df.select("id", LS.bits(F.array(*[F.col("y")[i] for i in idx])).alias("bits"))
+
+
+@query("rows_missing_labels")
+def q_rows_missing_labels(spark, d):
+    return HI.rows_missing_labels(V.v_doc(spark, d))
+
+
+@query("label_depth")
+def q_label_depth(spark, d):
+    return HI.label_depth(V.label_tree(spark, d))
+
+
+@query("label_descendants")
+def q_label_descendants(spark, d):
+    return HI.label_descendants(V.label_tree(spark, d))
+
+
+@query("ml_validate")
+def q_ml_validate(spark, d):
+    from polytag.operators import transform as TR
+
+    m = TR.hierarchical(V.v_tree(spark, d))
+    return HI.validate(m, required_labels=list(m.labels))
+
+
+@query("labelset_bits")
+def q_labelset_bits(spark, d):
+    m = V.v_order(spark, d)
+    b = LS.bits("y")
+    return m.df.select("id", b.alias("bits"), (LS.from_bits(b) == F.col("y")).alias("roundtrip"))
+
+
+@query("labelset_size")
+def q_labelset_size(spark, d):
+    return V.v_tree(spark, d).df.select("id", LS.size("y").alias("size"))
+
+
+def _scored_userday(spark, d):
+    m = V.v_userday(spark, d)
+    return m.df.select("id", "y", LS.synthetic_scores("id", m.L).alias("score"))
+
+
+@query("labelset_hamming")
+def q_labelset_hamming(spark, d):
+    s = _scored_userday(spark, d)
+    return s.select("id", LS.hamming("y", LS.bipartition("score", 0.5)).alias("hamming"))
+
+
+@query("labelset_intersection")
+def q_labelset_intersection(spark, d):
+    s = _scored_userday(spark, d)
+    return s.select("id", LS.bits(LS.intersection("y", LS.bipartition("score", 0.5))).alias("bits"))
+
+
+@query("labelset_subsets")
+def q_labelset_subsets(spark, d):
+    c = ST.labelset_counts(V.v_order(spark, d))
+    x = c.select("bits", F.explode(LS.subset_masks("y")).alias("sub"))
+    return x.select("bits", LS.bits("sub").alias("sub_bits"))
+
+
+@query("rank_from_scores")
+def q_rank_from_scores(spark, d):
+    s = _scored_userday(spark, d)
+    return s.select("id", F.posexplode(LS.ranks("score")).alias("j", "rank"))
+
+
+@query("bipartition_at")
+def q_bipartition_at(spark, d):
+    s = _scored_userday(spark, d)
+    return s.select("id", LS.bits(LS.bipartition("score", 0.5)).alias("bits"))
+
+
+@query("argmax_random_tie")
+def q_argmax_random_tie(spark, d):
+    s = _scored_userday(spark, d)
+    return s.select("id", LS.argmax_hash_tie("score", "id", seed=3).alias("j"))
+
+
+@query("minmax_scale")
+def q_minmax_scale(spark, d):
+    m = V.v_order(spark, d)
+    out = SC.minmax_scale(m.df, ["o_totalprice", "n_lines", "sum_qty"], -1.0, 1.0)
+    return r6(out.select("id", "o_totalprice", F.col("n_lines").cast("double").alias("n_lines"), F.col("sum_qty").cast("double").alias("sum_qty")))
+
+
+# ---------------------------------------------------------------- 2.4 transformations
+
+from polytag.operators import transform as TR  # noqa: E402
+
+
+@query("tr_binary_relevance")
+def q_tr_binary_relevance(spark, d):
+    return TR.binary_relevance(V.v_order(spark, d)).withColumn("j", F.col("j").cast("int"))
+
+
+@query("tr_label_powerset")
+def q_tr_label_powerset(spark, d):
+    return TR.label_powerset(V.v_order(spark, d))
+
+
+@query("tr_pairwise")
+def q_tr_pairwise(spark, d):
+    return TR.pairwise(V.v_userday(spark, d)).select("id", "a", "b", "class")
+
+
+@query("tr_include_labels")
+def q_tr_include_labels(spark, d):
+    return TR.include_labels(V.v_userday(spark, d)).select("id", "label", "class")
+
+
+@query("tr_copy")
+def q_tr_copy(spark, d):
+    return TR.copy(V.v_userday(spark, d)).select("id", "j", "class")
+
+
+@query("tr_copy_weight")
+def q_tr_copy_weight(spark, d):
+    return r6(TR.copy(V.v_userday(spark, d), weighted=True).select("id", "j", "class", "weight"))
+
+
+@query("tr_ignore")
+def q_tr_ignore(spark, d):
+    return TR.ignore(V.v_userday(spark, d)).select("id", "j", "class")
+
+
+@query("tr_select_max")
+def q_tr_select_max(spark, d):
+    return TR.select_by_frequency(V.v_tree(spark, d), most=True).select("id", "j", "class")
+
+
+@query("tr_select_min")
+def q_tr_select_min(spark, d):
+    return TR.select_by_frequency(V.v_tree(spark, d), most=False).select("id", "j", "class")
+
+
+@query("tr_select_random")
+def q_tr_select_random(spark, d):
+    return TR.select_random(V.v_tree(spark, d), seed=5).select("id", "j", "class")
+
+
+@query("tr_multiclass_schema")
+def q_tr_multiclass_schema(spark, d):
+    m = V.v_userday(spark, d)
+    n = TR.copy(m).groupBy("j").agg(F.count(F.lit(1)).alias("n_rows"))
+    return TR.multiclass_schema(m).join(n, "j", "left").select("j", "class", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
+@query("tr_single_target")
+def q_tr_single_target(spark, d):
+    t = V.v_target(spark, d)
+    return r6(TR.single_target(t, ["o_totalprice", "n_lines", "prio"], 1))
+
+
+@query("tr_chain")
+def q_tr_chain(spark, d):
+    t = V.v_target(spark, d)
+    return r6(TR.chain_step(t, ["o_totalprice", "n_lines", "prio"], [2, 0, 1], 3))
+
+
+@query("tr_hierarchical")
+def q_tr_hierarchical(spark, d):
+    m = TR.hierarchical(V.v_tree(spark, d))
+    return m.df.select("id", LS.bits("y").alias("bits"))
+
+
+@query("tr_prune_ppt")
+def q_tr_prune_ppt(spark, d):
+    return TR.prune_ppt(V.v_tree(spark, d), p=3, strategy="replace")
+
+
+@query("tr_prune_ps_a")
+def q_tr_prune_ps_a(spark, d):
+    return TR.prune_ps(V.v_tree(spark, d), p=3, strategy="A", b=2)
+
+
+@query("tr_prune_ps_b")
+def q_tr_prune_ps_b(spark, d):
+    return TR.prune_ps(V.v_tree(spark, d), p=3, strategy="B", b=1)
+
+
+# ---------------------------------------------------------------- 2.5 splits and sampling
+
+from polytag.operators import split as SP  # noqa: E402
+
+
+@query("cv_folds")
+def q_cv_folds(spark, d):
+    return SP.cv_folds(V.v_userday(spark, d), k=10, seed=1)
+
+
+@query("strat_label_powerset")
+def q_strat_label_powerset(spark, d):
+    return SP.strat_label_powerset(V.v_order(spark, d), k=5, seed=2)
+
+
+@query("holdout_split")
+def q_holdout_split(spark, d):
+    return SP.holdout_split(V.v_order(spark, d), pct=67.0, seed=3)
+
+
+@query("sample_bootstrap")
+def q_sample_bootstrap(spark, d):
+    return SP.bootstrap_weights(V.v_userday(spark, d), models=5, seed=4)
+
+
+@query("sample_subset")
+def q_sample_subset(spark, d):
+    return SP.subset_sample(V.v_userday(spark, d), models=5, pct=67.0, seed=5)
