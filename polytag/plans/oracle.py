@@ -380,3 +380,201 @@ FROM v_userday CROSS JOIN range(5) g(m)""")
 sql("sample_subset", with_views("v_userday") + f"""
 SELECT id, CAST(g.m AS INTEGER) AS model FROM v_userday CROSS JOIN range(5) g(m)
 WHERE {u2_sql('id', 'g.m', 5)} * 100 < 67.0""")
+
+
+# ---------------------------------------------------------------- 2.10 evaluation
+
+def scored_ctes(view: str) -> str:
+    """sc(id, j, t, s, b, rk) for complete rows of a view with the synthetic tied scores."""
+    L = VIEW_L[view]
+    return f""",
+base AS (
+  SELECT id, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS t, ((id * 31 + g.j * 17) % 10) / 10.0 AS s
+  FROM {view} CROSS JOIN range({L}) g(j)
+  WHERE len(list_filter(y, lambda x: x IS NULL)) = 0
+),
+sc AS (SELECT *, CAST(s >= 0.5 AS INTEGER) AS b, row_number() OVER (PARTITION BY id ORDER BY s DESC, j DESC) AS rk FROM base),
+pr AS (
+  SELECT id, count(*) AS L,
+    CAST(sum(CASE WHEN t = 1 AND b = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+    CAST(sum(CASE WHEN t = 0 AND b = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+    CAST(sum(CASE WHEN t = 1 AND b = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
+    CAST(sum(CASE WHEN t = 0 AND b = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS tn,
+    sum(t) AS n_rel, sum(1 - t) AS n_irr,
+    max(CASE WHEN t = 1 THEN rk END) AS max_rel, min(CASE WHEN t = 0 THEN rk END) AS min_irr,
+    max(CASE WHEN rk = 1 THEN t END) AS top_t,
+    -sum(t * ln(least(greatest(s, 1e-8), 1 - 1e-8)) + (1 - t) * ln(1 - least(greatest(s, 1e-8), 1 - 1e-8))) AS ll,
+    sum((s - t) * (s - t)) AS se
+  FROM sc GROUP BY id
+),
+apr AS (
+  SELECT a.id, avg((SELECT count(*) FROM sc b WHERE b.id = a.id AND b.t = 1 AND b.rk <= a.rk) / CAST(a.rk AS DOUBLE)) AS ap
+  FROM sc a WHERE a.t = 1 GROUP BY a.id
+),
+essr AS (
+  SELECT p.id, count(q.id) AS ess FROM pr p LEFT JOIN (
+    SELECT a.id FROM sc a JOIN sc b ON a.id = b.id AND a.t = 1 AND b.t = 0 AND a.rk > b.rk) q ON q.id = p.id
+  GROUP BY p.id
+),
+rowm AS (
+  SELECT pr.id,
+    (fp + fn) / L AS hamming_loss,
+    CASE WHEN fp + fn = 0 THEN 1.0 ELSE 0.0 END AS subset_accuracy,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS ex_precision,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS ex_recall,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE (2 * tp) / (2 * tp + fn + fp) END AS ex_fmeasure,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE tp / (tp + fp + fn) END AS ex_accuracy,
+    CASE WHEN tn + fp + fn = 0 THEN 1.0 WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS ex_specificity,
+    CASE WHEN n_rel > 0 THEN apr.ap END AS average_precision,
+    1 - coalesce(apr.ap, 0.0) AS one_minus_ap,
+    CAST(CASE WHEN n_rel > 0 THEN max_rel - 1 ELSE 0 END AS DOUBLE) AS coverage,
+    CASE WHEN top_t = 1 THEN 0.0 ELSE 1.0 END AS one_error,
+    CASE WHEN n_rel > 0 AND n_irr > 0 AND max_rel > min_irr THEN 1.0 ELSE 0.0 END AS is_error,
+    CAST(ess AS DOUBLE) AS error_set_size,
+    CASE WHEN n_rel > 0 AND n_irr > 0 THEN ess / CAST(n_rel * n_irr AS DOUBLE) ELSE 0.0 END AS ranking_loss,
+    ll AS log_loss, se AS squared_error
+  FROM pr LEFT JOIN apr USING (id) JOIN essr USING (id)
+),
+exm AS (
+  SELECT avg(hamming_loss) AS hamming_loss, avg(subset_accuracy) AS subset_accuracy, avg(ex_precision) AS ex_precision,
+    avg(ex_recall) AS ex_recall, avg(ex_fmeasure) AS ex_fmeasure, avg(ex_accuracy) AS ex_accuracy,
+    avg(ex_specificity) AS ex_specificity, avg(average_precision) AS average_precision, avg(one_minus_ap) AS one_minus_ap,
+    avg(coverage) AS coverage, avg(one_error) AS one_error, avg(is_error) AS is_error, avg(error_set_size) AS error_set_size,
+    avg(ranking_loss) AS ranking_loss, avg(log_loss) AS log_loss, avg(squared_error) AS mse, sqrt(avg(squared_error)) AS rmse
+  FROM rowm
+),
+cf AS (
+  SELECT j, CAST(sum(CASE WHEN t = 1 AND b = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+    CAST(sum(CASE WHEN t = 0 AND b = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+    CAST(sum(CASE WHEN t = 1 AND b = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
+    CAST(sum(CASE WHEN t = 0 AND b = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS tn
+  FROM sc GROUP BY j
+),
+plm AS (
+  SELECT j,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE (2 * tp) / (2 * tp + fn + fp) END AS fmeasure,
+    CASE WHEN tn + fp + fn = 0 THEN 1.0 WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS specificity
+  FROM cf
+),
+pooled AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM cf),
+micro AS (
+  SELECT CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS micro_precision,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS micro_recall,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE (2 * tp) / (2 * tp + fn + fp) END AS micro_fmeasure,
+    CASE WHEN tn + fp + fn = 0 THEN 1.0 WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS micro_specificity
+  FROM pooled
+),
+curve AS (
+  SELECT j, id, t,
+    row_number() OVER (PARTITION BY j ORDER BY s DESC, id ASC) AS pos,
+    sum(t) OVER (PARTITION BY j ORDER BY s DESC, id ASC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hits,
+    sum(t) OVER (PARTITION BY j) AS R
+  FROM sc
+),
+curve2 AS (
+  SELECT *, hits / CAST(pos AS DOUBLE) AS prec FROM curve
+),
+curve3 AS (
+  SELECT *, max(prec) OVER (PARTITION BY j ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pmax FROM curve2
+),
+lap AS (
+  SELECT j, max(R) AS R, CASE WHEN max(R) > 0 THEN sum(CASE WHEN t = 1 THEN prec ELSE 0.0 END) / max(R) END AS ap FROM curve2 GROUP BY j
+),
+lvl AS (
+  SELECT j, g.i, min(pos) AS pos FROM curve3 CROSS JOIN range(10) g(i) WHERE R > 0 AND hits * 9 >= g.i * R GROUP BY j, g.i
+),
+liap AS (
+  SELECT l.j, avg(c.pmax) AS iap FROM lvl l JOIN curve3 c ON c.j = l.j AND c.pos = l.pos GROUP BY l.j
+),
+lcurve AS (SELECT lap.j, ap, iap FROM lap LEFT JOIN liap USING (j)),
+dsc AS (SELECT j, s, CAST(sum(t) AS DOUBLE) AS pos, CAST(sum(1 - t) AS DOUBLE) AS neg FROM sc GROUP BY j, s),
+dsc2 AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY j ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM dsc),
+lauc AS (
+  SELECT j, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)) END AS auc FROM dsc2 GROUP BY j
+),
+msc AS (SELECT s, CAST(sum(t) AS DOUBLE) AS pos, CAST(sum(1 - t) AS DOUBLE) AS neg FROM sc GROUP BY s),
+msc2 AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM msc),
+mauc AS (SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)) END AS micro_auc FROM msc2),
+curvem AS (
+  SELECT avg(ap) AS map,
+    CASE WHEN count(*) > count(ap) THEN 'NaN'::DOUBLE WHEN min(ap) = 0 THEN 0.0 ELSE exp(avg(ln(ap))) END AS gmap,
+    avg(iap) AS miap,
+    CASE WHEN count(*) > count(iap) THEN 'NaN'::DOUBLE WHEN min(iap) = 0 THEN 0.0 ELSE exp(avg(ln(iap))) END AS gmiap
+  FROM lcurve
+)"""
+
+
+_EV_UD = with_views("v_userday") + scored_ctes("v_userday")
+
+for _m in ("hamming_loss", "subset_accuracy", "ex_precision", "ex_recall", "ex_specificity", "ex_fmeasure",
+           "ex_accuracy", "average_precision", "one_minus_ap", "coverage", "one_error", "is_error",
+           "error_set_size", "ranking_loss", "log_loss", "mse", "rmse"):
+    sql(f"ev_{_m}", _EV_UD + f"\nSELECT '{_m}' AS measure, round({_m}, 6) AS value FROM exm")
+
+for _s in ("precision", "recall", "fmeasure", "specificity"):
+    sql(f"ev_micro_{_s}", _EV_UD + f"\nSELECT 'micro_{_s}' AS measure, round(micro_{_s}, 6) AS value FROM micro")
+    sql(f"ev_macro_{_s}", _EV_UD + f"""
+SELECT CAST(j AS INTEGER) AS j, round({_s}, 6) AS value FROM plm
+UNION ALL SELECT CAST(NULL AS INTEGER), round(avg({_s}), 6) FROM plm""")
+
+sql("ev_map", _EV_UD + """
+SELECT CAST(j AS INTEGER) AS j, round(ap, 6) AS value FROM lcurve
+UNION ALL SELECT CAST(NULL AS INTEGER), round(avg(ap), 6) FROM lcurve""")
+
+for _m in ("gmap", "miap", "gmiap"):
+    sql(f"ev_{_m}", _EV_UD + f"\nSELECT '{_m}' AS measure, round({_m}, 6) AS value FROM curvem")
+
+sql("ev_micro_auc", _EV_UD + "\nSELECT 'micro_auc' AS measure, round(micro_auc, 6) AS value FROM mauc")
+
+sql("ev_macro_auc", _EV_UD + """
+SELECT CAST(j AS INTEGER) AS j, round(auc, 6) AS value FROM lauc
+UNION ALL SELECT CAST(NULL AS INTEGER), round(avg(auc), 6) FROM lauc""")
+
+sql("ev_ir_guarded", _EV_UD + """
+SELECT CAST(tp AS INTEGER) AS tp, CAST(fp AS INTEGER) AS fp, CAST(fn AS INTEGER) AS fn, CAST(tn AS INTEGER) AS tn, count(*) AS n,
+  round(CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END, 6) AS precision,
+  round(CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE (2 * tp) / (2 * tp + fn + fp) END, 6) AS fmeasure,
+  round(CASE WHEN tn + fp + fn = 0 THEN 1.0 WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END, 6) AS specificity
+FROM pr GROUP BY tp, fp, fn, tn""")
+
+
+def _ev_all(view: str) -> str:
+    return with_views(view) + scored_ctes(view) + """,
+allm AS (
+  UNPIVOT (SELECT * FROM exm) ON COLUMNS(*) INTO NAME measure VALUE value
+  UNION ALL UNPIVOT (SELECT * FROM micro) ON COLUMNS(*) INTO NAME measure VALUE value
+  UNION ALL SELECT 'macro_precision', avg(precision) FROM plm
+  UNION ALL SELECT 'macro_recall', avg(recall) FROM plm
+  UNION ALL SELECT 'macro_fmeasure', avg(fmeasure) FROM plm
+  UNION ALL SELECT 'macro_specificity', avg(specificity) FROM plm
+  UNION ALL UNPIVOT (SELECT * FROM curvem) ON COLUMNS(*) INTO NAME measure VALUE value
+  UNION ALL SELECT 'macro_auc', avg(auc) FROM lauc
+  UNION ALL SELECT 'micro_auc', micro_auc FROM mauc
+)
+SELECT measure, round(CAST(value AS DOUBLE), 6) AS value FROM allm"""
+
+
+sql("ev_all", _ev_all("v_userday"))
+sql("ev_all_missing", _ev_all("v_doc"))
+
+sql("ev_hierarchical_loss", with_views("v_tree") + "," + long_cte("v_tree", "lng") + """,
+reg AS (
+  SELECT id, list(rv ORDER BY r) AS meta FROM (
+    SELECT lng.id, n.n_regionkey AS r, max(lng.t) AS rv FROM lng JOIN nation n ON n.n_nationkey = lng.j GROUP BY lng.id, n.n_regionkey)
+  GROUP BY id
+),
+hy AS (SELECT id, list_concat(y, meta) AS y FROM v_tree JOIN reg USING (id)),
+hl AS (
+  SELECT id, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS t, CAST(((id * 31 + g.j * 17) % 10) / 10.0 >= 0.5 AS INTEGER) AS b
+  FROM hy CROSS JOIN range(30) g(j)
+),
+par AS (SELECT CAST(n_nationkey AS INTEGER) AS j, CAST(n_regionkey + 25 AS INTEGER) AS p FROM nation),
+per AS (
+  SELECT c.id, sum(CASE WHEN c.t <> c.b AND (par.p IS NULL OR pp.t = pp.b) THEN 1 ELSE 0 END) AS h
+  FROM hl c LEFT JOIN par ON par.j = c.j LEFT JOIN hl pp ON pp.id = c.id AND pp.j = par.p
+  GROUP BY c.id
+)
+SELECT round(avg(h), 6) AS hierarchical_loss FROM per""")

@@ -361,3 +361,120 @@ def q_sample_bootstrap(spark, d):
 @query("sample_subset")
 def q_sample_subset(spark, d):
     return SP.subset_sample(V.v_userday(spark, d), models=5, pct=67.0, seed=5)
+
+
+# ---------------------------------------------------------------- 2.10 evaluation
+
+from polytag.operators import evaluate as EV  # noqa: E402
+
+
+def scored(spark, d, view="v_userday"):
+    """A view with deterministic tied scores as predictions: conf, bip (>= 0.5) and rank."""
+    m = V.VIEWS[view](spark, d)
+    df = m.df.select("id", "y", LS.synthetic_scores("id", m.L).alias("conf"))
+    return EV.with_predictions(df)
+
+
+def _one(measure_df: DataFrame, name: str) -> DataFrame:
+    return r6(measure_df.select(F.lit(name).alias("measure"), F.col(name).cast("double").alias("value")))
+
+
+def _reg_row(name):
+    def fn(spark, d):
+        return _one(EV.example_measures(scored(spark, d)), name)
+
+    return fn
+
+
+for _m in ("hamming_loss", "subset_accuracy", "ex_precision", "ex_recall", "ex_specificity", "ex_fmeasure",
+           "ex_accuracy", "average_precision", "one_minus_ap", "coverage", "one_error", "is_error",
+           "error_set_size", "ranking_loss", "log_loss", "mse", "rmse"):
+    QUERIES[f"ev_{_m}"] = _reg_row(_m)
+
+
+def _reg_label(kind, stat):
+    def fn(spark, d):
+        conf = EV.label_confusion(scored(spark, d))
+        if kind == "micro":
+            mm = EV.micro_macro(conf).filter(F.col("measure") == f"micro_{stat}")
+            return r6(mm)
+        pl = EV.per_label_measures(conf).select("j", F.col(stat).alias("value"))
+        mean = pl.agg(F.avg("value").alias("value")).select(F.lit(None).cast("int").alias("j"), "value")
+        return r6(pl.unionByName(mean))
+
+    return fn
+
+
+for _k in ("micro", "macro"):
+    for _s in ("precision", "recall", "fmeasure", "specificity"):
+        QUERIES[f"ev_{_k}_{_s}"] = _reg_label(_k, _s)
+
+
+@query("ev_map")
+def q_ev_map(spark, d):
+    c = EV.label_ap_curves(scored(spark, d))
+    per = c.select("j", F.col("ap").alias("value"))
+    return r6(per.unionByName(per.agg(F.avg("value").alias("value")).select(F.lit(None).cast("int").alias("j"), "value")))
+
+
+def _curve(name):
+    def fn(spark, d):
+        return r6(EV.curve_measures(scored(spark, d)).filter(F.col("measure") == name))
+
+    return fn
+
+
+for _m in ("gmap", "miap", "gmiap", "micro_auc"):
+    QUERIES[f"ev_{_m}"] = _curve(_m)
+
+
+@query("ev_macro_auc")
+def q_ev_macro_auc(spark, d):
+    per = EV.label_auc(scored(spark, d)).select("j", F.col("auc").alias("value"))
+    return r6(per.unionByName(per.agg(F.avg("value").alias("value")).select(F.lit(None).cast("int").alias("j"), "value")))
+
+
+@query("ev_hierarchical_loss")
+def q_ev_hierarchical_loss(spark, d):
+    m = TR.hierarchical(V.v_tree(spark, d))
+    edges = {r["idx"]: r["parent_idx"] for r in m.tree.select("idx", "parent_idx").collect()}
+    anc = []
+    for j in range(m.L):
+        a, p = [], edges.get(j)
+        while p is not None:
+            a.append(p)
+            p = edges.get(p)
+        anc.append(a)
+    df = EV.with_predictions(m.df.select("id", "y", LS.synthetic_scores("id", m.L).alias("conf")))
+    return r6(EV.hierarchical_loss(df, anc))
+
+
+@query("ev_ir_guarded")
+def q_ev_ir_guarded(spark, d):
+    """Guarded ratios per row of the scored view, summarised by their distinct values."""
+    s = scored(spark, d)
+    x = s.select(
+        EV._count2("y", "bip", lambda u, v: (u == 1) & (v == 1)).alias("tp"),
+        EV._count2("y", "bip", lambda u, v: (u == 0) & (v == 1)).alias("fp"),
+        EV._count2("y", "bip", lambda u, v: (u == 1) & (v == 0)).alias("fn"),
+        EV._count2("y", "bip", lambda u, v: (u == 0) & (v == 0)).alias("tn"),
+    )
+    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+    g = x.groupBy("tp", "fp", "fn", "tn").agg(F.count(F.lit(1)).alias("n"))
+    return r6(g.select(
+        F.col("tp").cast("int").alias("tp"), F.col("fp").cast("int").alias("fp"), F.col("fn").cast("int").alias("fn"),
+        F.col("tn").cast("int").alias("tn"), "n",
+        EV.ir_precision(tp, fp, fn).alias("precision"), EV.ir_recall(tp, fp, fn).alias("recall"),
+        EV.ir_fmeasure(tp, fp, fn).alias("fmeasure"), EV.ir_specificity(tn, fp, fn).alias("specificity"),
+    ))
+
+
+@query("ev_all")
+def q_ev_all(spark, d):
+    return r6(EV.evaluate(scored(spark, d)))
+
+
+@query("ev_all_missing")
+def q_ev_all_missing(spark, d):
+    """All measures on v_doc, where unlabelled documents have missing labels (left out)."""
+    return r6(EV.evaluate(scored(spark, d, "v_doc")))
