@@ -578,3 +578,121 @@ per AS (
   GROUP BY c.id
 )
 SELECT round(avg(h), 6) AS hierarchical_loss FROM per""")
+
+
+# ---------------------------------------------------------------- 2.7 learners: naive Bayes in SQL
+
+def nb_sql(keys: list[str], rows: str, rfl: str, classes: str, sfl: str, srows: str, p: str) -> str:
+    """CTEs fitting count-based naive Bayes for every key and scoring every row.
+
+    rows(keys, id, t): model rows; rfl(keys, id, t, f, v): their feature pairs; classes(keys, t);
+    sfl(id, f, v): feature pairs of the rows to score; srows(id): rows to score.  Produces
+    {p}_score(id, keys, t, s).  CTE names are prefixed with ``p``."""
+    K = ", ".join(keys)
+    kj = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    return f""",
+{p}_cnt AS (SELECT {K}, f, v, t, count(*) AS c FROM {rfl} GROUP BY {K}, f, v, t),
+{p}_nt0 AS (SELECT {K}, t, count(*) AS n FROM {rows} GROUP BY {K}, t),
+{p}_nt AS (SELECT a.*, CAST(coalesce(b.n, 0) AS DOUBLE) AS n FROM {classes} a LEFT JOIN {p}_nt0 b ON {kj} AND a.t = b.t),
+{p}_vf AS (SELECT f, count(DISTINCT v) AS nv FROM {rfl} GROUP BY f),
+{p}_fk AS (SELECT DISTINCT {K}, f FROM {rfl}),
+{p}_lg AS (
+  SELECT {", ".join("a." + k for k in keys)}, a.t, sum(ln(a.n + vf.nv)) AS lg
+  FROM {p}_nt a JOIN {p}_fk b ON {kj} JOIN {p}_vf vf ON vf.f = b.f GROUP BY {", ".join("a." + k for k in keys)}, a.t),
+{p}_tot AS (SELECT {K}, sum(n) AS N, count(*) AS KK FROM {p}_nt GROUP BY {K}),
+{p}_kc AS (
+  SELECT {", ".join("a." + k for k in keys)}, a.t, ln((a.n + 1.0) / (b.N + b.KK)) - coalesce(c.lg, 0.0) AS kc
+  FROM {p}_nt a JOIN {p}_tot b ON {kj} LEFT JOIN {p}_lg c ON {" AND ".join(f"a.{k} = c.{k}" for k in keys)} AND a.t = c.t),
+{p}_wt AS (SELECT {K}, f, v, t, ln(c + 1.0) AS w FROM {p}_cnt),
+{p}_scw AS (SELECT s.id, {", ".join("w." + k for k in keys)}, w.t, sum(w.w) AS w FROM {sfl} s JOIN {p}_wt w ON w.f = s.f AND w.v = s.v
+            GROUP BY s.id, {", ".join("w." + k for k in keys)}, w.t),
+{p}_score AS (
+  SELECT r.id, {", ".join("a." + k for k in keys)}, a.t, a.kc + coalesce(b.w, 0.0) AS s
+  FROM {srows} r CROSS JOIN {p}_kc a LEFT JOIN {p}_scw b ON b.id = r.id AND {kj} AND a.t = b.t)"""
+
+
+_ORDER_TRAIN = with_views("v_order") + f""",
+tr AS (SELECT * FROM v_order WHERE {u_sql('id', 3)} * 100 < 67.0),
+fl_all AS (
+  UNPIVOT (SELECT id, f_prio, f_status, CAST(f_lines AS VARCHAR) AS f_lines, CAST(f_qty AS VARCHAR) AS f_qty,
+                  CAST(f_price AS VARCHAR) AS f_price FROM v_order)
+  ON f_prio, f_status, f_lines, f_qty, f_price INTO NAME f VALUE v),
+fl AS (SELECT fl_all.* FROM fl_all WHERE id IN (SELECT id FROM tr)),
+allrows AS (SELECT id FROM v_order),
+br_rows AS (SELECT CAST(g.j AS INTEGER) AS j, id, y[g.j + 1] AS t FROM tr CROSS JOIN range(6) g(j) WHERE y[g.j + 1] IS NOT NULL),
+br_rfl AS (SELECT r.j, r.id, r.t, fl.f, fl.v FROM br_rows r JOIN fl USING (id)),
+br_cls AS (SELECT CAST(g.j AS INTEGER) AS j, c.t FROM range(6) g(j) CROSS JOIN (VALUES (0), (1)) c(t))""" + nb_sql(
+    ["j"], "br_rows", "br_rfl", "br_cls", "fl_all", "allrows", "br") + """,
+br_pred AS (
+  SELECT id, j, 1.0 / (1.0 + exp(max(CASE WHEN t = 0 THEN s END) - max(CASE WHEN t = 1 THEN s END))) AS conf,
+         CAST(max(CASE WHEN t = 1 THEN s END) >= max(CASE WHEN t = 0 THEN s END) AS INTEGER) AS bip
+  FROM br_score GROUP BY id, j)"""
+
+sql("ln_binary_relevance", _ORDER_TRAIN + """
+SELECT id, CAST(j AS INTEGER) AS j, round(conf, 6) AS conf, bip FROM br_pred""")
+
+_ORDER_PW = _ORDER_TRAIN + """,
+pw_rows AS (SELECT a.j AS a, b.j AS b, a.id, a.t FROM br_rows a JOIN br_rows b ON a.id = b.id AND a.j < b.j AND a.t <> b.t),
+pw_rfl AS (SELECT r.a, r.b, r.id, r.t, fl.f, fl.v FROM pw_rows r JOIN fl USING (id)),
+pw_cls AS (SELECT DISTINCT a, b, c.t FROM pw_rows CROSS JOIN (VALUES (0), (1)) c(t))""" + nb_sql(
+    ["a", "b"], "pw_rows", "pw_rfl", "pw_cls", "fl_all", "allrows", "pw") + """,
+pw_dec AS (
+  SELECT id, a, b, max(CASE WHEN t = 1 THEN s END) >= max(CASE WHEN t = 0 THEN s END) AS a_wins FROM pw_score GROUP BY id, a, b),
+pw_votes AS (
+  SELECT r.id, CAST(g.j AS INTEGER) AS j,
+    CAST(coalesce((SELECT count(*) FROM pw_dec d WHERE d.id = r.id AND ((d.a = g.j AND d.a_wins) OR (d.b = g.j AND NOT d.a_wins))), 0) AS DOUBLE) AS votes
+  FROM allrows r CROSS JOIN range(6) g(j))"""
+
+sql("ln_pairwise", _ORDER_PW + """
+SELECT id, j, round(votes / 5.0, 6) AS conf FROM pw_votes""")
+
+sql("ln_calibrated_ranking", _ORDER_PW + """,
+clr AS (SELECT v.id, v.j, v.votes + b.bip AS sc FROM pw_votes v JOIN br_pred b USING (id, j)),
+virt AS (SELECT id, sum(1 - bip) AS vt FROM br_pred GROUP BY id)
+SELECT id, CAST(j AS INTEGER) AS j, round(sc / 6.0, 6) AS conf, CAST(sc >= vt AS INTEGER) AS bip FROM clr JOIN virt USING (id)""")
+
+sql("ln_label_powerset", _ORDER_TRAIN + f""",
+lp_rows AS (SELECT 0 AS _m, id, {bits_sql('y')} AS t FROM tr WHERE len(list_filter(y, lambda x: x IS NULL)) = 0),
+lp_rfl AS (SELECT r._m, r.id, r.t, fl.f, fl.v FROM lp_rows r JOIN fl USING (id)),
+lp_cls AS (SELECT DISTINCT _m, t FROM lp_rows)""" + nb_sql(
+    ["_m"], "lp_rows", "lp_rfl", "lp_cls", "fl_all", "allrows", "lp") + f""",
+cidx AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS ci FROM lp_cls),
+post AS (
+  SELECT id, t, s, max(s) OVER (PARTITION BY id) AS mx,
+         exp(s - max(s) OVER (PARTITION BY id)) / sum(exp(s - max(s) OVER (PARTITION BY id))) OVER (PARTITION BY id) AS p
+  FROM lp_score),
+post2 AS (
+  SELECT id, t, s, mx, exp(s - mx) / sum(exp(s - mx)) OVER (PARTITION BY id) AS p FROM (
+    SELECT id, t, s, max(s) OVER (PARTITION BY id) AS mx FROM lp_score)),
+best AS (
+  SELECT id, arg_min(t, {h2_sql('id', 'ci', 7)}) AS bt, arg_min(p, {h2_sql('id', 'ci', 7)}) AS pb
+  FROM post2 JOIN cidx USING (t) WHERE s = mx GROUP BY id)
+SELECT id, CAST(g.j AS INTEGER) AS j,
+       round(CASE WHEN substr(bt, g.j + 1, 1) = '1' THEN pb ELSE 1 - pb END, 6) AS conf,
+       CAST(substr(bt, g.j + 1, 1) AS INTEGER) AS bip
+FROM best CROSS JOIN range(6) g(j)""")
+
+sql("ln_classifier_chain", "WITH RECURSIVE " + _ORDER_TRAIN[len("WITH "):] + """,
+cc_rows AS (SELECT j AS link, id, t FROM br_rows),
+cc_rfl AS (
+  SELECT r.link, r.id, r.t, fl.f, fl.v FROM cc_rows r JOIN fl USING (id)
+  UNION ALL
+  SELECT r.link, r.id, r.t, '__lab' || CAST(p.j AS VARCHAR), CAST(p.t AS VARCHAR)
+  FROM cc_rows r JOIN br_rows p ON p.id = r.id AND p.j < r.link),
+cc_cls AS (SELECT j AS link, t FROM br_cls)""" + nb_sql(
+    ["link"], "cc_rows", "cc_rfl", "cc_cls", "fl_all", "allrows", "cc") + """,
+labw AS (SELECT link, CAST(substr(f, 6) AS INTEGER) AS c, CAST(v AS INTEGER) AS v, t, w FROM cc_wt WHERE f LIKE '\\_\\_lab%' ESCAPE '\\'),
+bs AS (SELECT id, link, max(CASE WHEN t = 0 THEN s END) AS s0, max(CASE WHEN t = 1 THEN s END) AS s1 FROM cc_score GROUP BY id, link),
+rec AS (
+  SELECT id, 0 AS k, CAST([] AS INTEGER[]) AS preds, CAST([] AS DOUBLE[]) AS confs FROM allrows
+  UNION ALL
+  SELECT id, k + 1, list_append(preds, CAST(z1 >= z0 AS INTEGER)), list_append(confs, 1.0 / (1.0 + exp(z0 - z1)))
+  FROM (
+    SELECT r.id, r.k, r.preds, r.confs,
+      bs.s0 + coalesce((SELECT sum(w) FROM labw lw WHERE lw.link = r.k AND lw.t = 0 AND lw.c < r.k AND lw.v = r.preds[lw.c + 1]), 0.0) AS z0,
+      bs.s1 + coalesce((SELECT sum(w) FROM labw lw WHERE lw.link = r.k AND lw.t = 1 AND lw.c < r.k AND lw.v = r.preds[lw.c + 1]), 0.0) AS z1
+    FROM rec r JOIN bs ON bs.id = r.id AND bs.link = r.k
+    WHERE r.k < 6) q
+)
+SELECT id, CAST(g.j AS INTEGER) AS j, round(confs[g.j + 1], 6) AS conf, preds[g.j + 1] AS bip
+FROM rec CROSS JOIN range(6) g(j) WHERE k = 6""")

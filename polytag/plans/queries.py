@@ -478,3 +478,59 @@ def q_ev_all(spark, d):
 def q_ev_all_missing(spark, d):
     """All measures on v_doc, where unlabelled documents have missing labels (left out)."""
     return r6(EV.evaluate(scored(spark, d, "v_doc")))
+
+
+# ---------------------------------------------------------------- 2.7 learners (count-based naive Bayes base)
+
+from polytag.operators import learners as LN  # noqa: E402
+
+
+def order_split(spark, d):
+    """v_order with its 67 % training part (seeded holdout)."""
+    m = V.v_order(spark, d)
+    part = SP.holdout_split(m, pct=67.0, seed=3)
+    train = m.df.join(part.filter(F.col("part") == "train").select("id"), "id")
+    return m, train
+
+
+def _long_out(arr_df: DataFrame, with_bip: bool = True) -> DataFrame:
+    cols = [F.posexplode(F.arrays_zip("conf", "bip") if with_bip else F.arrays_zip("conf")).alias("j", "z")]
+    x = arr_df.select("id", *cols)
+    out = [F.col("id"), F.col("j").cast("int").alias("j"), F.col("z.conf").alias("conf")]
+    if with_bip:
+        out.append(F.col("z.bip").cast("int").alias("bip"))
+    return r6(x.select(*out))
+
+
+@query("ln_binary_relevance")
+def q_ln_binary_relevance(spark, d):
+    m, train = order_split(spark, d)
+    model = LN.fit_br(m, train)
+    return r6(LN.predict_br(model, m.df))
+
+
+@query("ln_label_powerset")
+def q_ln_label_powerset(spark, d):
+    m, train = order_split(spark, d)
+    model = LN.fit_lp(m, train)
+    return _long_out(LN.predict_lp(model, m.df, m.L, conf_mode=1))
+
+
+@query("ln_classifier_chain")
+def q_ln_classifier_chain(spark, d):
+    m, train = order_split(spark, d)
+    model = LN.fit_cc(m, [0, 1, 2, 3, 4, 5], train)
+    return _long_out(LN.predict_cc(model, m.df, m.L))
+
+
+@query("ln_pairwise")
+def q_ln_pairwise(spark, d):
+    m, train = order_split(spark, d)
+    model = LN.fit_pairwise(m, train)
+    return _long_out(LN.predict_pairwise(model, m.df, m.L), with_bip=False)
+
+
+@query("ln_calibrated_ranking")
+def q_ln_calibrated_ranking(spark, d):
+    m, train = order_split(spark, d)
+    return _long_out(LN.predict_clr(LN.fit_br(m, train), LN.fit_pairwise(m, train), m.df, m.L))
