@@ -214,3 +214,216 @@ def predict_clr(br: NB.NBModel, pw: NB.NBModel, df: DataFrame, L: int, soft: boo
     x = x.select(id_col, scores.alias("sc"), virt.alias("virt"))
     return x.select(id_col, F.transform("sc", lambda s: s / F.lit(float(L))).alias("conf"),
                     F.transform("sc", lambda s: (s >= F.col("virt")).cast("int")).alias("bip"))
+
+
+# ------------------------------------------------------------------ two-stage architectures
+
+
+def predict_tsva(br: NB.NBModel, pw: NB.NBModel, df: DataFrame, L: int, t: float = 0.2, id_col: str = "id") -> DataFrame:
+    """Two-stage voting: a pair model votes only when both labels pass the BR stage (conf > t); if one
+    passes it gets the vote, if none both lose a possible vote.  j is positive iff its votes (pairs +
+    BR) >= the virtual label's; conf = votes / (L - lost) when positive, else BR conf / L."""
+    return _two_stage_vote(NB.nb_binary_scores(pw, df, id_col), br, df, L, t, id_col)
+
+
+def conf_bins(conf_col: str, L: int, labels=None, prefix: str = "c") -> F.Column:
+    """Binned first-stage confidences as categorical feature pairs (10 equal bins)."""
+    labels = range(L) if labels is None else labels
+    return F.array(*[F.struct(F.lit(f"{prefix}{j}").alias("f"),
+                              F.least(F.floor(F.get(conf_col, F.lit(j)) * 10), F.lit(9)).cast("int").cast("string").alias("v"))
+                     for j in labels])
+
+
+def fit_pairwise_stacked(mlf: MLFrame, br: NB.NBModel, train: DataFrame, pruned: bool) -> NB.NBModel:
+    """Pair models that also see first-stage (BR) confidences of the training rows, binned: all of
+    them (chain architecture) or only the pair's two (pruned chain)."""
+    from polytag.operators import transform as TR
+
+    c = to_arrays(predict_br(br, train), ("conf",))
+    pw = TR.pairwise(mlf.with_df(train)).select("id", "a", "b", F.col("class").alias("t"), *mlf.features).join(c, "id")
+    base = NB.feature_pairs(mlf.features)
+    if pruned:
+        extra = F.array(
+            F.struct(F.lit("ca").alias("f"), F.least(F.floor(F.get("conf", F.col("a")) * 10), F.lit(9)).cast("int").cast("string").alias("v")),
+            F.struct(F.lit("cb").alias("f"), F.least(F.floor(F.get("conf", F.col("b")) * 10), F.lit(9)).cast("int").cast("string").alias("v")))
+    else:
+        extra = conf_bins("conf", mlf.L)
+    rows = pw.select("a", "b", "t", F.concat(base, extra).alias("_fv"))
+    classes = rows.select("a", "b").distinct().select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"))
+    m = NB.fit_nb(rows, ["a", "b"], list(mlf.features), classes, pairs="_fv")
+    m.pruned = pruned  # type: ignore[attr-defined]
+    return m
+
+
+def predict_two_stage_chain(br: NB.NBModel, pw: NB.NBModel, df: DataFrame, L: int, t: float = 0.2, id_col: str = "id") -> DataFrame:
+    """As two-stage voting, with pair models scored on features + binned BR confidences."""
+    c = to_arrays(predict_br(br, df, id_col), ("conf",), id_col)
+    x = df.join(c, id_col)
+    feats = pw.features
+    if pw.pruned:  # type: ignore[attr-defined]
+        # pair-specific features: score per pair row (id, a, b)
+        pairs = pw.weights.select("a", "b").distinct().collect()
+        parr = F.array(*[F.struct(F.lit(r["a"]).alias("a"), F.lit(r["b"]).alias("b")) for r in pairs])
+        rows = x.select(id_col, "conf", *feats, F.explode(parr).alias("pr"))
+        fv = F.concat(NB.feature_pairs(feats), F.array(
+            F.struct(F.lit("ca").alias("f"), F.least(F.floor(F.get("conf", F.col("pr.a")) * 10), F.lit(9)).cast("int").cast("string").alias("v")),
+            F.struct(F.lit("cb").alias("f"), F.least(F.floor(F.get("conf", F.col("pr.b")) * 10), F.lit(9)).cast("int").cast("string").alias("v"))))
+        fl = rows.select(id_col, F.col("pr.a").alias("a"), F.col("pr.b").alias("b"), F.explode(fv).alias("p")).select(id_col, "a", "b", "p.f", "p.v")
+        m = fl.join(NB.maybe_broadcast(pw.weights, pw.n_weights), ["a", "b", "f", "v"]).select(id_col, "a", "b", "t", F.col("w").alias("x"))
+    else:
+        fv = F.concat(NB.feature_pairs(feats), conf_bins("conf", L))
+        fl = x.select(id_col, F.explode(fv).alias("p")).select(id_col, "p.f", "p.v")
+        m = fl.join(NB.maybe_broadcast(pw.weights, pw.n_weights), ["f", "v"]).select(id_col, "a", "b", "t", F.col("w").alias("x"))
+    base = df.select(id_col, F.explode(pw.const_array()).alias("c")).select(id_col, "c.a", "c.b", "c.t", F.col("c.kc").alias("x"))
+    s = m.unionByName(base).groupBy(id_col, "a", "b").agg(
+        F.sum(F.when(F.col("t") == 1, F.col("x"))).alias("s1"), F.sum(F.when(F.col("t") == 0, F.col("x"))).alias("s0"))
+    return _two_stage_vote(s, br, df, L, t, id_col)
+
+
+def _two_stage_vote(s: DataFrame, br: NB.NBModel, df: DataFrame, L: int, t: float, id_col: str) -> DataFrame:
+    b = to_arrays(predict_br(br, df, id_col), ("conf", "bip"), id_col)
+    x = s.join(b, id_col)
+    ca, cb = F.get("conf", F.col("a")), F.get("conf", F.col("b"))
+    both = (ca > t) & (cb > t)
+    va = F.when(both, (F.col("s1") >= F.col("s0")).cast("int")).when(ca > t, 1).otherwise(0)
+    vb = F.when(both, (F.col("s1") < F.col("s0")).cast("int")).when(ca > t, 0).when(cb > t, 1).otherwise(0)
+    nv = F.when(~(ca > t) & ~(cb > t), 1).otherwise(0)
+    x = x.select(id_col, "a", "b", va.alias("va"), vb.alias("vb"), nv.alias("nv"))
+    x = x.unionByName(df.select(id_col, F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("va"), F.lit(0).alias("vb"), F.lit(0).alias("nv")))
+    g = x.groupBy(id_col).agg(
+        F.array(*[F.sum(F.when(F.col("a") == j, F.col("va")).when(F.col("b") == j, F.col("vb")).otherwise(0)) for j in range(L)]).alias("votes"),
+        F.array(*[F.sum(F.when((F.col("a") == j) | (F.col("b") == j), F.col("nv")).otherwise(0)) for j in range(L)]).alias("novote"),
+    ).join(b, id_col)
+    votes = F.zip_with("votes", "bip", lambda v, bb: v + bb)
+    virt = F.aggregate(F.col("bip"), F.lit(0), lambda acc, bb: acc + (1 - bb))
+    g = g.select(id_col, votes.alias("v"), virt.alias("virt"), "novote", "conf")
+    conf = F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda j: F.when(
+        F.get("v", j) >= F.col("virt"), F.get("v", j).cast("double") / (F.lit(L) - F.get("novote", j))).otherwise(F.get("conf", j) / F.lit(float(L))))
+    return g.select(id_col, conf.alias("conf"), F.transform("v", lambda v: (v >= F.col("virt")).cast("int")).alias("bip"))
+
+
+# ------------------------------------------------------------------ include labels, multi-class
+
+
+def fit_include_labels(mlf: MLFrame, train: DataFrame) -> NB.NBModel:
+    """One binary model over (features + label name) rows."""
+    from polytag.operators import transform as TR
+
+    rows = TR.include_labels(mlf.with_df(train)).filter(F.col("class").isNotNull())
+    rows = rows.select(*mlf.features, "label", F.col("class").alias("t"))
+    return NB.fit_nb(rows, [], [*mlf.features, "label"], classes=train.sparkSession.range(2).select(F.col("id").cast("int").alias("t")))
+
+
+def predict_include_labels(model: NB.NBModel, mlf: MLFrame, df: DataFrame) -> DataFrame:
+    """(id, j, conf, bip): the single model scored once per (row, label); positive iff P(1) >= P(0)."""
+    names = F.array(*[F.lit(n) for n in mlf.labels])
+    x = df.select(mlf.id_col, *mlf.features, F.posexplode(names).alias("j", "label"))
+    x = x.withColumn("_rid", F.col(mlf.id_col) * F.lit(mlf.L) + F.col("j"))
+    p = NB.nb_binary_scores(model, x, "_rid")
+    return p.select((F.col("_rid") / mlf.L).cast("bigint").alias(mlf.id_col), F.pmod("_rid", F.lit(mlf.L)).cast("int").alias("j"),
+                    F.col("p1").alias("conf"), (F.col("s1") >= F.col("s0")).cast("int").alias("bip"))
+
+
+def fit_multiclass(mlf: MLFrame, train: DataFrame, kind: str = "copy_weight") -> NB.NBModel:
+    """Single-label model on a multi-class transformation (copy, copy_weight, ignore, select_max,
+    select_min, select_random); class = label index."""
+    from polytag.operators import transform as TR
+
+    m2 = mlf.with_df(train)
+    if kind == "copy":
+        rows, w = TR.copy(m2), None
+    elif kind == "copy_weight":
+        rows, w = TR.copy(m2, weighted=True), "weight"
+    elif kind == "ignore":
+        rows, w = TR.ignore(m2), None
+    elif kind in ("select_max", "select_min"):
+        rows, w = TR.select_by_frequency(m2, most=kind == "select_max"), None
+    else:
+        rows, w = TR.select_random(m2), None
+    rows = rows.withColumn("t", F.col("j"))
+    return NB.fit_nb(rows, [], list(mlf.features), weight=w)
+
+
+def predict_multiclass(model: NB.NBModel, df: DataFrame, L: int, id_col: str = "id") -> DataFrame:
+    """(id, conf ARRAY): posterior of each label's class (0 for a class never trained); ranking only."""
+    s = NB.nb_scores(model, df, id_col)
+    g = s.groupBy(id_col).agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
+    norm = F.aggregate("cs", F.lit(0.0), lambda a, e: a + F.exp(e["s"] - F.col("mx")))
+    conf = F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda j: F.aggregate(
+        "cs", F.lit(0.0), lambda a, e: a + F.when(e["t"] == j, F.exp(e["s"] - F.col("mx")) / norm).otherwise(0.0)))
+    return g.select(id_col, conf.alias("conf"))
+
+
+# ------------------------------------------------------------------ label-subset learners (RAkEL family)
+
+
+def fit_subsets(mlf: MLFrame, groups: list[list[int]], train: DataFrame) -> NB.NBModel:
+    """One label-powerset model per label group (a single-label group is a binary model); all
+    groups from one count keyed by ``g``."""
+    gl = F.array(*[F.struct(F.lit(i).alias("g"), F.array(*[F.lit(j) for j in grp]).alias("labs")) for i, grp in enumerate(groups)])
+    x = train.filter(~F.exists(mlf.y_col, lambda v: v.isNull())).select(*mlf.features, mlf.y_col, F.explode(gl).alias("gr"))
+    rows = x.select(F.col("gr.g").alias("g"), LS.bits(F.transform("gr.labs", lambda j: F.get(mlf.y_col, j))).alias("t"), *mlf.features)
+    m = NB.fit_nb(rows, ["g"], list(mlf.features))
+    m.groups = groups  # type: ignore[attr-defined]
+    return m
+
+
+def predict_subsets(model: NB.NBModel, df: DataFrame, L: int, threshold: float = 0.5, seed: int = 7, id_col: str = "id") -> DataFrame:
+    """(id, conf ARRAY, bip ARRAY): each group's best label set (ties: seeded hash) votes for its labels;
+    conf = vote share over the groups containing the label, bip = share >= threshold (a partition
+    gives the group's own decision); a label in no group gets 0."""
+    groups = model.groups  # type: ignore[attr-defined]
+    cls = sorted({(r["g"], r["t"]) for r in model.const})
+    cidx = F.create_map(*[x for i, (g, t) in enumerate(cls) for x in (F.lit(f"{g}:{t}"), F.lit(i))])
+    s = NB.nb_scores(model, df, id_col)
+    mx = s.groupBy(id_col, "g").agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
+    idc = F.col(id_col)
+    top = F.filter("cs", lambda e: e["s"] == F.col("mx"))
+    best = F.array_min(F.transform(top, lambda e: F.struct(
+        LS.stable_hash2(idc, F.element_at(cidx, F.concat(F.col("g").cast("string"), F.lit(":"), e["t"])), seed).alias("h"), e["t"].alias("t"))))
+    labs = F.array(*[F.array(*[F.lit(j) for j in grp]) for grp in groups])
+    x = mx.select(id_col, "g", best["t"].alias("bt"))
+    x = x.select(id_col, F.posexplode(F.arrays_zip(F.get(labs, F.col("g")).alias("lab"), LS.from_bits("bt").alias("b"))).alias("k", "z"))
+    x = x.select(id_col, F.col("z.lab").alias("j"), F.col("z.b").cast("double").alias("b"))
+    x = x.unionByName(df.select(id_col, F.lit(-1).alias("j"), F.lit(0.0).alias("b")))
+    g = x.groupBy(id_col).agg(
+        F.array(*[F.sum(F.when(F.col("j") == j, F.col("b")).otherwise(0.0)) for j in range(L)]).alias("votes"))
+    cover = [sum(1 for grp in groups if j in grp) for j in range(L)]
+    conf = F.transform("votes", lambda v, j: F.when(F.get(F.array(*[F.lit(c) for c in cover]), j) > 0,
+                                                    v / F.get(F.array(*[F.lit(float(c)) for c in cover]), j)).otherwise(0.0))
+    out = g.select(id_col, conf.alias("conf"))
+    return out.withColumn("bip", F.transform("conf", lambda c: (c >= F.lit(threshold)).cast("int")))
+
+
+def rakel_subsets(L: int, k: int = 3, m: int | None = None, seed: int = 1) -> list[list[int]]:
+    """m distinct random k-label subsets (default m = min(2L, C(L, k))); label-sized, seeded."""
+    import itertools
+    import math
+    import random
+
+    total = math.comb(L, k)
+    m = min(2 * L, total) if m is None else min(m, total)
+    rnd = random.Random(seed)
+    seen, out = set(), []
+    if total <= 10 * m:
+        allc = list(itertools.combinations(range(L), k))
+        rnd.shuffle(allc)
+        return [list(c) for c in allc[:m]]
+    while len(out) < m:
+        c = tuple(sorted(rnd.sample(range(L), k)))
+        if c not in seen:
+            seen.add(c)
+            out.append(list(c))
+    return out
+
+
+def rakeld_partition(L: int, k: int = 3, seed: int = 1) -> list[list[int]]:
+    """Random disjoint partition into groups of k; a remainder of one label joins the last group."""
+    import random
+
+    idx = list(range(L))
+    random.Random(seed).shuffle(idx)
+    groups = [sorted(idx[i:i + k]) for i in range(0, L, k)]
+    if len(groups) > 1 and len(groups[-1]) == 1:
+        groups[-2] = sorted(groups[-2] + groups.pop())
+    return groups

@@ -60,34 +60,40 @@ class NBModel:
         ])
 
 
+NCOUNT = "__n"
+
+
 def fit_nb(rows: DataFrame, keys: list[str], features: list[str], classes: DataFrame | None = None,
            weight: str | None = None, pairs: str | None = None) -> NBModel:
     """Fit every model of ``rows`` at once.  ``rows`` has the key columns, a class column ``t``,
     the feature columns (or a ready ``pairs`` column of STRUCT<f, v>) and optionally a weight.
-    ``classes`` (keys..., t) lists the classes of each key (default: the classes seen)."""
+    ``classes`` (keys..., t) lists the classes of each key (default: the classes seen).
+
+    The rows are read once: one aggregation (partial + final) counts every (key, f, v, t) cell,
+    plus a pseudo-feature that counts the class sizes; the count table is checkpointed and every
+    other statistic (class sizes, distinct values per feature, features per key) comes from it."""
     if not keys:  # a single model: key it by a constant so every step stays an equi-join
         keys = ["_m"]
         rows = rows.withColumn("_m", F.lit(0))
         classes = classes.withColumn("_m", F.lit(0)) if classes is not None else None
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     fv = F.col(pairs) if pairs else feature_pairs(features)
-    base = rows.select(*keys, "t", w.alias("_w"), fv.alias("_fv"))
-    fl = base.select(*keys, "t", "_w", F.explode("_fv").alias("p")).select(*keys, "t", "_w", "p.f", "p.v")
-    cnt = fl.groupBy(*keys, "f", "v", "t").agg(F.sum("_w").alias("c"))
-    nt = base.groupBy(*keys, "t").agg(F.sum("_w").alias("n"))
+    fv = F.concat(fv, F.array(F.struct(F.lit(NCOUNT).alias("f"), F.lit("").alias("v"))))
+    fl = rows.select(*keys, "t", w.alias("_w"), F.explode(fv).alias("p")).select(*keys, "t", "_w", "p.f", "p.v")
+    cnt, _ = materialize(fl.groupBy(*keys, "f", "v", "t").agg(F.sum("_w").alias("c")))
+    feat = cnt.filter(F.col("f") != NCOUNT)
+    nt = cnt.filter(F.col("f") == NCOUNT).select(*keys, "t", F.col("c").alias("n"))
     if classes is not None:
         nt = classes.join(nt, [*keys, "t"], "left").select(*keys, "t", F.coalesce("n", F.lit(0.0)).alias("n"))
-    vf = fl.groupBy("f").agg(F.countDistinct("v").alias("nv"))
-    # features each model key uses (label features of chain links differ per key)
-    fk = fl.select(*keys, "f").distinct().join(F.broadcast(vf), "f")
+    vf = feat.groupBy("f").agg(F.countDistinct("v").alias("nv"))
+    fk = feat.select(*keys, "f").distinct().join(F.broadcast(vf), "f")
     g = nt.join(fk, keys, "left")
     logs = g.groupBy(*keys, "t", "n").agg(F.sum(F.log(F.col("n") + F.col("nv"))).alias("lg"))
     tot = nt.groupBy(*keys).agg(F.sum("n").alias("n_tot"), F.count(F.lit(1)).alias("n_cls"))
     kk = logs.join(tot, keys)
     const_df = kk.select(*keys, "t", (F.log((F.col("n") + 1.0) / (F.col("n_tot") + F.col("n_cls"))) - F.coalesce("lg", F.lit(0.0))).alias("kc"))
     const = [r.asDict() for r in const_df.collect()]  # model-sized: keys x classes
-    weights = cnt.select(*keys, "f", "v", "t", F.log(F.col("c") + 1.0).alias("w"))
-    weights, n_w = materialize(weights)
+    weights, n_w = materialize(feat.select(*keys, "f", "v", "t", F.log(F.col("c") + 1.0).alias("w")))
     return NBModel(list(keys), list(features), weights, n_w, const)
 
 

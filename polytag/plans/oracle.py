@@ -582,7 +582,7 @@ SELECT round(avg(h), 6) AS hierarchical_loss FROM per""")
 
 # ---------------------------------------------------------------- 2.7 learners: naive Bayes in SQL
 
-def nb_sql(keys: list[str], rows: str, rfl: str, classes: str, sfl: str, srows: str, p: str) -> str:
+def nb_sql(keys: list[str], rows: str, rfl: str, classes: str, sfl: str, srows: str, p: str, wcol: str | None = None) -> str:
     """CTEs fitting count-based naive Bayes for every key and scoring every row.
 
     rows(keys, id, t): model rows; rfl(keys, id, t, f, v): their feature pairs; classes(keys, t);
@@ -590,9 +590,10 @@ def nb_sql(keys: list[str], rows: str, rfl: str, classes: str, sfl: str, srows:
     {p}_score(id, keys, t, s).  CTE names are prefixed with ``p``."""
     K = ", ".join(keys)
     kj = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    cnt = f"sum(CAST({wcol} AS DOUBLE))" if wcol else "count(*)"
     return f""",
-{p}_cnt AS (SELECT {K}, f, v, t, count(*) AS c FROM {rfl} GROUP BY {K}, f, v, t),
-{p}_nt0 AS (SELECT {K}, t, count(*) AS n FROM {rows} GROUP BY {K}, t),
+{p}_cnt AS (SELECT {K}, f, v, t, {cnt} AS c FROM {rfl} GROUP BY {K}, f, v, t),
+{p}_nt0 AS (SELECT {K}, t, {cnt} AS n FROM {rows} GROUP BY {K}, t),
 {p}_nt AS (SELECT a.*, CAST(coalesce(b.n, 0) AS DOUBLE) AS n FROM {classes} a LEFT JOIN {p}_nt0 b ON {kj} AND a.t = b.t),
 {p}_vf AS (SELECT f, count(DISTINCT v) AS nv FROM {rfl} GROUP BY f),
 {p}_fk AS (SELECT DISTINCT {K}, f FROM {rfl}),
@@ -696,3 +697,157 @@ rec AS (
 )
 SELECT id, CAST(g.j AS INTEGER) AS j, round(confs[g.j + 1], 6) AS conf, preds[g.j + 1] AS bip
 FROM rec CROSS JOIN range(6) g(j) WHERE k = 6""")
+
+sql("ln_two_stage_voting", _ORDER_PW + """,
+brc AS (SELECT id, j, conf, bip FROM br_pred),
+pv AS (
+  SELECT d.id, d.a, d.b,
+    CASE WHEN ca.conf > 0.2 AND cb.conf > 0.2 THEN CAST(d.a_wins AS INTEGER) WHEN ca.conf > 0.2 THEN 1 ELSE 0 END AS va,
+    CASE WHEN ca.conf > 0.2 AND cb.conf > 0.2 THEN CAST(NOT d.a_wins AS INTEGER) WHEN ca.conf > 0.2 THEN 0 WHEN cb.conf > 0.2 THEN 1 ELSE 0 END AS vb,
+    CASE WHEN ca.conf <= 0.2 AND cb.conf <= 0.2 THEN 1 ELSE 0 END AS nv
+  FROM pw_dec d JOIN brc ca ON ca.id = d.id AND ca.j = d.a JOIN brc cb ON cb.id = d.id AND cb.j = d.b),
+lv AS (
+  SELECT c.id, c.j, c.conf, c.bip,
+    c.bip + coalesce((SELECT sum(CASE WHEN pv.a = c.j THEN va ELSE vb END) FROM pv WHERE pv.id = c.id AND (pv.a = c.j OR pv.b = c.j)), 0) AS v,
+    coalesce((SELECT sum(nv) FROM pv WHERE pv.id = c.id AND (pv.a = c.j OR pv.b = c.j)), 0) AS novote
+  FROM brc c),
+virt AS (SELECT id, sum(1 - bip) AS vt FROM brc GROUP BY id)
+SELECT id, CAST(j AS INTEGER) AS j,
+  round(CASE WHEN v >= vt THEN CAST(v AS DOUBLE) / (6 - novote) ELSE conf / 6.0 END, 6) AS conf,
+  CAST(v >= vt AS INTEGER) AS bip
+FROM lv JOIN virt USING (id)""")
+
+sql("ln_include_labels", _ORDER_TRAIN + """,
+il_rows AS (SELECT 0 AS _m, id * 6 + j AS id, t, j AS lj FROM br_rows),
+il_rfl AS (
+  SELECT r._m, r.id, r.t, fl.f, fl.v FROM il_rows r JOIN fl ON fl.id = (r.id - r.lj) // 6
+  UNION ALL
+  SELECT r._m, r.id, r.t, 'label', (['AF', 'AO', 'NF', 'NO', 'RF', 'RO'])[r.lj + 1] FROM il_rows r),
+il_cls AS (SELECT 0 AS _m, c.t FROM (VALUES (0), (1)) c(t)),
+il_sfl AS (
+  SELECT a.id * 6 + g.j AS id, a.f, a.v FROM fl_all a CROSS JOIN range(6) g(j)
+  UNION ALL
+  SELECT r.id * 6 + g.j, 'label', (['AF', 'AO', 'NF', 'NO', 'RF', 'RO'])[g.j + 1] FROM allrows r CROSS JOIN range(6) g(j)),
+il_srows AS (SELECT r.id * 6 + g.j AS id FROM allrows r CROSS JOIN range(6) g(j))""" + nb_sql(
+    ["_m"], "il_rows", "il_rfl", "il_cls", "il_sfl", "il_srows", "il") + """
+SELECT id // 6 AS id, CAST(id % 6 AS INTEGER) AS j,
+  round(1.0 / (1.0 + exp(max(CASE WHEN t = 0 THEN s END) - max(CASE WHEN t = 1 THEN s END))), 6) AS conf,
+  CAST(max(CASE WHEN t = 1 THEN s END) >= max(CASE WHEN t = 0 THEN s END) AS INTEGER) AS bip
+FROM il_score GROUP BY id""")
+
+sql("ln_multiclass", _ORDER_TRAIN + """,
+mc_rows AS (SELECT 0 AS _m, id, j AS t, 1.0 / sum(t) OVER (PARTITION BY id) AS w FROM br_rows WHERE t = 1),
+mc_rfl AS (SELECT r._m, r.id, r.t, r.w, fl.f, fl.v FROM mc_rows r JOIN fl USING (id)),
+mc_cls AS (SELECT DISTINCT _m, t FROM mc_rows)""" + nb_sql(
+    ["_m"], "mc_rows", "mc_rfl", "mc_cls", "fl_all", "allrows", "mc", wcol="w") + """,
+mp AS (SELECT id, t, exp(s - mx) / sum(exp(s - mx)) OVER (PARTITION BY id) AS p FROM (
+  SELECT id, t, s, max(s) OVER (PARTITION BY id) AS mx FROM mc_score))
+SELECT r.id, CAST(g.j AS INTEGER) AS j, round(coalesce(mp.p, 0.0), 6) AS conf
+FROM allrows r CROSS JOIN range(6) g(j) LEFT JOIN mp ON mp.id = r.id AND mp.t = g.j""")
+
+
+def _lp_on_map(mapping_cte: str, recursive: bool, conf_threshold: float | None) -> str:
+    head = _ORDER_TRAIN
+    if recursive:
+        head = "WITH RECURSIVE " + head[len("WITH "):]
+    bip = "CAST(conf > %r AS INTEGER)" % conf_threshold if conf_threshold is not None else "CAST(substr(bt, g.j + 1, 1) AS INTEGER)"
+    return head + f""",
+pc AS (SELECT y, {bits_sql('y')} AS bits, count(*) AS count FROM tr WHERE len(list_filter(y, lambda x: x IS NULL)) = 0 GROUP BY y),
+rare AS (SELECT * FROM pc WHERE count <= 30),
+freq AS (SELECT * FROM pc WHERE count > 30),
+subs AS (
+  SELECT r.bits, r.count, f.bits AS sub_bits, f.count AS sub_count, len(list_filter(f.y, lambda x: x = 1)) AS sub_size
+  FROM rare r JOIN freq f
+    ON len(list_filter(f.y, lambda x: x = 1)) < len(list_filter(r.y, lambda x: x = 1))
+   AND len(list_filter(f.y, lambda x: x = 1)) > 0
+   AND list_bool_and(list_transform(range(6), lambda j: f.y[j + 1] <= r.y[j + 1]))),
+{mapping_cte},
+lp_rows AS (SELECT 0 AS _m, tr.id, mp.new_bits AS t FROM tr JOIN pmap mp ON {bits_sql('tr.y')} = mp.bits),
+lp_rfl AS (SELECT r._m, r.id, r.t, fl.f, fl.v FROM lp_rows r JOIN fl USING (id)),
+lp_cls AS (SELECT DISTINCT _m, t FROM lp_rows)""" + nb_sql(
+        ["_m"], "lp_rows", "lp_rfl", "lp_cls", "fl_all", "allrows", "lp") + f""",
+cidx AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS ci FROM lp_cls),
+post2 AS (
+  SELECT id, t, s, mx, exp(s - mx) / sum(exp(s - mx)) OVER (PARTITION BY id) AS p FROM (
+    SELECT id, t, s, max(s) OVER (PARTITION BY id) AS mx FROM lp_score)),
+best AS (SELECT id, arg_min(t, {h2_sql('id', 'ci', 7)}) AS bt FROM post2 JOIN cidx USING (t) WHERE s = mx GROUP BY id),
+c2 AS (
+  SELECT p.id, CAST(g.j AS INTEGER) AS j, sum(CASE WHEN substr(p.t, g.j + 1, 1) = '1' THEN p.p ELSE 0.0 END) AS conf
+  FROM post2 p CROSS JOIN range(6) g(j) GROUP BY p.id, g.j)
+SELECT c2.id, c2.j, round(conf, 6) AS conf, {bip.replace('g.j', 'c2.j')} AS bip FROM c2 JOIN best USING (id)"""
+
+
+sql("ln_pruned_sets", _lp_on_map("""pmap AS (
+  SELECT bits, bits AS new_bits FROM freq
+  UNION ALL
+  SELECT bits, sub_bits FROM (
+    SELECT *, row_number() OVER (PARTITION BY bits ORDER BY sub_size DESC, sub_count DESC, sub_bits DESC) AS rk FROM subs) WHERE rk <= 2)""",
+    False, None))
+
+sql("ln_ppt", _lp_on_map("""cand AS (SELECT *, row_number() OVER (PARTITION BY bits ORDER BY sub_size DESC, sub_count DESC, sub_bits DESC) AS pos FROM subs),
+greedy AS (
+  SELECT bits, 0 AS pos, CAST(repeat('0', 6) AS BIT) AS used, CAST([] AS VARCHAR[]) AS picked FROM rare
+  UNION ALL
+  SELECT g.bits, c.pos,
+         CASE WHEN bit_count(g.used & CAST(c.sub_bits AS BIT)) = 0 THEN g.used | CAST(c.sub_bits AS BIT) ELSE g.used END,
+         CASE WHEN bit_count(g.used & CAST(c.sub_bits AS BIT)) = 0 THEN list_append(g.picked, c.sub_bits) ELSE g.picked END
+  FROM greedy g JOIN cand c ON c.bits = g.bits AND c.pos = g.pos + 1),
+final AS (SELECT bits, arg_max(picked, pos) AS picked FROM greedy GROUP BY bits),
+pmap AS (
+  SELECT bits, bits AS new_bits FROM freq
+  UNION ALL
+  SELECT bits, unnest(picked) AS new_bits FROM final)""", True, 0.21))
+
+
+def _subset_sql(groups: list[list[int]]) -> str:
+    vals = ", ".join(f"({g}, {j})" for g, grp in enumerate(groups) for j in grp)
+    glist = ", ".join(f"({g}, [{', '.join(str(j) for j in grp)}])" for g, grp in enumerate(groups))
+    return _ORDER_TRAIN + f""",
+gm AS (SELECT * FROM (VALUES {vals}) v(g, lab)),
+gl AS (SELECT * FROM (VALUES {glist}) v(g, labs)),
+sb_rows AS (
+  SELECT gl.g, tr.id, array_to_string(list_transform(gl.labs, lambda j: CAST(tr.y[j + 1] AS VARCHAR)), '') AS t
+  FROM tr CROSS JOIN gl WHERE len(list_filter(tr.y, lambda x: x IS NULL)) = 0),
+sb_rfl AS (SELECT r.g, r.id, r.t, fl.f, fl.v FROM sb_rows r JOIN fl USING (id)),
+sb_cls AS (SELECT DISTINCT g, t FROM sb_rows)""" + nb_sql(["g"], "sb_rows", "sb_rfl", "sb_cls", "fl_all", "allrows", "sb") + f""",
+cidx AS (SELECT g, t, row_number() OVER (ORDER BY g, t) - 1 AS ci FROM sb_cls),
+mx AS (SELECT id, g, t, s, max(s) OVER (PARTITION BY id, g) AS m FROM sb_score),
+best AS (SELECT id, g, arg_min(t, {h2_sql('id', 'ci', 7)}) AS bt FROM mx JOIN cidx USING (g, t) WHERE s = m GROUP BY id, g),
+votes AS (
+  SELECT b.id, gl.labs[k.k + 1] AS j, CAST(substr(b.bt, k.k + 1, 1) AS DOUBLE) AS v
+  FROM best b JOIN gl USING (g) CROSS JOIN range(6) k(k) WHERE k.k < len(gl.labs)),
+cover AS (SELECT lab AS j, count(*) AS c FROM gm GROUP BY lab),
+agg AS (
+  SELECT r.id, CAST(g.j AS INTEGER) AS j,
+    CASE WHEN coalesce(cv.c, 0) > 0 THEN coalesce((SELECT sum(v) FROM votes vv WHERE vv.id = r.id AND vv.j = g.j), 0.0) / cv.c ELSE 0.0 END AS conf
+  FROM allrows r CROSS JOIN range(6) g(j) LEFT JOIN cover cv ON cv.j = g.j)
+SELECT id, j, round(conf, 6) AS conf, CAST(conf >= 0.5 AS INTEGER) AS bip FROM agg"""
+
+
+def _subset_groups():
+    from polytag.operators.learners import rakel_subsets, rakeld_partition
+    from polytag.plans.queries import SUBSET_PARTITION
+
+    return SUBSET_PARTITION, rakeld_partition(6, 3, seed=11), rakel_subsets(6, 3, seed=12)
+
+
+_SP, _RD, _RK = _subset_groups()
+sql("ln_subset_partition", _subset_sql(_SP))
+sql("ln_rakel_d", _subset_sql(_RD))
+sql("ln_rakel", _subset_sql(_RK))
+
+sql("predict_unlabelled", with_views("v_doc") + """,
+fl_all AS (
+  UNPIVOT (SELECT id, lang, source, CAST(f_len AS VARCHAR) AS f_len FROM v_doc) ON lang, source, f_len INTO NAME f VALUE v),
+tr AS (SELECT * FROM v_doc WHERE len(list_filter(y, lambda x: x IS NULL)) = 0),
+fl AS (SELECT * FROM fl_all WHERE id IN (SELECT id FROM tr)),
+unl AS (SELECT id FROM v_doc WHERE len(list_filter(y, lambda x: x IS NULL)) > 0),
+ufl AS (SELECT * FROM fl_all WHERE id IN (SELECT id FROM unl)),
+br_rows AS (SELECT CAST(g.j AS INTEGER) AS j, id, y[g.j + 1] AS t FROM tr CROSS JOIN range(2) g(j) WHERE y[g.j + 1] IS NOT NULL),
+br_rfl AS (SELECT r.j, r.id, r.t, fl.f, fl.v FROM br_rows r JOIN fl USING (id)),
+br_cls AS (SELECT CAST(g.j AS INTEGER) AS j, c.t FROM range(2) g(j) CROSS JOIN (VALUES (0), (1)) c(t))""" + nb_sql(
+    ["j"], "br_rows", "br_rfl", "br_cls", "ufl", "unl", "br") + """
+SELECT id, CAST(j AS INTEGER) AS j,
+  round(1.0 / (1.0 + exp(max(CASE WHEN t = 0 THEN s END) - max(CASE WHEN t = 1 THEN s END))), 6) AS conf,
+  CAST(max(CASE WHEN t = 1 THEN s END) >= max(CASE WHEN t = 0 THEN s END) AS INTEGER) AS bip
+FROM br_score GROUP BY id, j""")

@@ -534,3 +534,85 @@ def q_ln_pairwise(spark, d):
 def q_ln_calibrated_ranking(spark, d):
     m, train = order_split(spark, d)
     return _long_out(LN.predict_clr(LN.fit_br(m, train), LN.fit_pairwise(m, train), m.df, m.L))
+
+
+@query("ln_two_stage_voting")
+def q_ln_two_stage_voting(spark, d):
+    m, train = order_split(spark, d)
+    return _long_out(LN.predict_tsva(LN.fit_br(m, train), LN.fit_pairwise(m, train), m.df, m.L, 0.2))
+
+
+@query("ln_two_stage_chain")
+def q_ln_two_stage_chain(spark, d):
+    m, train = order_split(spark, d)
+    br = LN.fit_br(m, train)
+    pw = LN.fit_pairwise_stacked(m, br, train, pruned=False)
+    return _long_out(LN.predict_two_stage_chain(br, pw, m.df, m.L, 0.2))
+
+
+@query("ln_two_stage_pruned_chain")
+def q_ln_two_stage_pruned_chain(spark, d):
+    m, train = order_split(spark, d)
+    br = LN.fit_br(m, train)
+    pw = LN.fit_pairwise_stacked(m, br, train, pruned=True)
+    return _long_out(LN.predict_two_stage_chain(br, pw, m.df, m.L, 0.2))
+
+
+@query("ln_include_labels")
+def q_ln_include_labels(spark, d):
+    m, train = order_split(spark, d)
+    return r6(LN.predict_include_labels(LN.fit_include_labels(m, train), m, m.df))
+
+
+@query("ln_multiclass")
+def q_ln_multiclass(spark, d):
+    m, train = order_split(spark, d)
+    return _long_out(LN.predict_multiclass(LN.fit_multiclass(m, train, "copy_weight"), m.df, m.L), with_bip=False)
+
+
+@query("ln_pruned_sets")
+def q_ln_pruned_sets(spark, d):
+    m, train = order_split(spark, d)
+    pr = TR.prune_ps(m.with_df(train), p=30, strategy="A", b=2)
+    model = LN.fit_lp(m, train, pruned=pr)
+    return _long_out(LN.predict_lp(model, m.df, m.L, conf_mode=2))
+
+
+@query("ln_ppt")
+def q_ln_ppt(spark, d):
+    m, train = order_split(spark, d)
+    pr = TR.prune_ppt(m.with_df(train), p=30, strategy="replace")
+    model = LN.fit_lp(m, train, pruned=pr)
+    return _long_out(LN.predict_lp(model, m.df, m.L, conf_mode=2, threshold=0.21))
+
+
+SUBSET_PARTITION = [[0, 1], [2, 3], [4], [5]]
+
+
+@query("ln_subset_partition")
+def q_ln_subset_partition(spark, d):
+    m, train = order_split(spark, d)
+    model = LN.fit_subsets(m, SUBSET_PARTITION, train)
+    return _long_out(LN.predict_subsets(model, m.df, m.L))
+
+
+@query("ln_rakel_d")
+def q_ln_rakel_d(spark, d):
+    m, train = order_split(spark, d)
+    model = LN.fit_subsets(m, LN.rakeld_partition(m.L, 3, seed=11), train)
+    return _long_out(LN.predict_subsets(model, m.df, m.L))
+
+
+@query("ln_rakel")
+def q_ln_rakel(spark, d):
+    m, train = order_split(spark, d)
+    model = LN.fit_subsets(m, LN.rakel_subsets(m.L, 3, seed=12), train)
+    return _long_out(LN.predict_subsets(model, m.df, m.L))
+
+
+@query("predict_unlabelled")
+def q_predict_unlabelled(spark, d):
+    m = V.v_doc(spark, d)
+    labelled = m.df.filter(F.forall("y", lambda x: x.isNotNull()))
+    unl = m.df.filter(F.exists("y", lambda x: x.isNull()))
+    return r6(LN.predict_br(LN.fit_br(m, labelled), unl))
