@@ -75,14 +75,15 @@ def predict_lp(model: NB.NBModel, df: DataFrame, L: int, conf_mode: int = 1, see
     cidx = F.create_map(*[x for i, b in enumerate(classes) for x in (F.lit(b), F.lit(i))])
     s = NB.nb_scores(model, df, id_col)
     g = s.groupBy(id_col).agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
-    norm = F.aggregate("cs", F.lit(0.0), lambda a, e: a + F.exp(e["s"] - F.col("mx")))
-    g = g.select(id_col, F.transform("cs", lambda e: F.struct(e["t"].alias("t"), (F.exp(e["s"] - F.col("mx")) / norm).alias("p"),
+    # unnormalised posteriors e = exp(s - max); every confidence divides by the row's sum once
+    g = g.select(id_col, F.transform("cs", lambda e: F.struct(e["t"].alias("t"), F.exp(e["s"] - F.col("mx")).alias("e"),
                                                              (e["s"] == F.col("mx")).alias("top"))).alias("ps"))
+    g = g.select(id_col, "ps", F.aggregate("ps", F.lit(0.0), lambda a, e: a + e["e"]).alias("norm"))
     idc = F.col(id_col)
     best = F.array_min(F.transform(F.filter("ps", lambda e: e["top"]),
                                    lambda e: F.struct(LS.stable_hash2(idc, F.element_at(cidx, e["t"]), seed).alias("h"),
-                                                      e["t"].alias("t"), e["p"].alias("p"))))
-    g = g.select(id_col, "ps", best["t"].alias("best"), best["p"].alias("pbest"))
+                                                      e["t"].alias("t"), e["e"].alias("e"))))
+    g = g.select(id_col, "ps", "norm", best["t"].alias("best"), (best["e"] / F.col("norm")).alias("pbest"))
     bbits = LS.from_bits("best")
     if conf_mode == 0:
         conf = bbits.cast("array<double>")
@@ -90,11 +91,13 @@ def predict_lp(model: NB.NBModel, df: DataFrame, L: int, conf_mode: int = 1, see
         conf = F.transform(bbits, lambda b: F.when(b == 1, F.col("pbest")).otherwise(1 - F.col("pbest")))
     else:
         conf = F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda j: F.aggregate(
-            "ps", F.lit(0.0), lambda a, e: a + F.when(e["t"].substr(j + 1, F.lit(1)) == "1", e["p"]).otherwise(0.0)))
-    out = g.select(id_col, conf.alias("conf"), bbits.alias("bip"))
-    if threshold is not None:
-        out = out.withColumn("bip", F.transform("conf", lambda c: (c > F.lit(threshold)).cast("int")))
-    return out
+            "ps", F.lit(0.0), lambda a, e: a + F.when(e["t"].substr(j + 1, F.lit(1)) == "1", e["e"]).otherwise(0.0)) / F.col("norm"))
+    if threshold is None:
+        return g.select(id_col, conf.alias("conf"), bbits.alias("bip"))
+    # one array of (conf, bip) pairs, so the conf expression is evaluated once per row
+    cb = F.transform(conf, lambda c: F.struct(c.alias("c"), (c > F.lit(threshold)).cast("int").alias("b")))
+    out = g.select(id_col, cb.alias("_cb"))
+    return out.select(id_col, F.col("_cb.c").alias("conf"), F.col("_cb.b").alias("bip"))
 
 
 # ------------------------------------------------------------------ classifier chain
@@ -348,9 +351,10 @@ def predict_multiclass(model: NB.NBModel, df: DataFrame, L: int, id_col: str = "
     """(id, conf ARRAY): posterior of each label's class (0 for a class never trained); ranking only."""
     s = NB.nb_scores(model, df, id_col)
     g = s.groupBy(id_col).agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
-    norm = F.aggregate("cs", F.lit(0.0), lambda a, e: a + F.exp(e["s"] - F.col("mx")))
+    g = g.select(id_col, F.transform("cs", lambda e: F.struct(e["t"].alias("t"), F.exp(e["s"] - F.col("mx")).alias("e"))).alias("ps"))
+    g = g.select(id_col, "ps", F.aggregate("ps", F.lit(0.0), lambda a, e: a + e["e"]).alias("norm"))
     conf = F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda j: F.aggregate(
-        "cs", F.lit(0.0), lambda a, e: a + F.when(e["t"] == j, F.exp(e["s"] - F.col("mx")) / norm).otherwise(0.0)))
+        "ps", F.lit(0.0), lambda a, e: a + F.when(e["t"] == j, e["e"]).otherwise(0.0)) / F.col("norm"))
     return g.select(id_col, conf.alias("conf"))
 
 
