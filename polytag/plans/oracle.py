@@ -851,3 +851,87 @@ SELECT id, CAST(j AS INTEGER) AS j,
   round(1.0 / (1.0 + exp(max(CASE WHEN t = 0 THEN s END) - max(CASE WHEN t = 1 THEN s END))), 6) AS conf,
   CAST(max(CASE WHEN t = 1 THEN s END) >= max(CASE WHEN t = 0 THEN s END) AS INTEGER) AS bip
 FROM br_score GROUP BY id, j""")
+
+
+# ---------------------------------------------------------------- 2.7 neighbour learners
+
+def _vec_ctes(train_where: str) -> str:
+    return with_views("v_vec") + f""",
+tr AS (SELECT * FROM v_vec WHERE {train_where}),
+emb AS (SELECT id, CAST(g.i AS INTEGER) AS i, CAST(embedding[g.i + 1] AS DOUBLE) AS x FROM v_vec CROSS JOIN range(64) g(i)),
+mm AS (SELECT i, min(x) AS mn, max(x) - min(x) AS rg FROM emb WHERE id IN (SELECT id FROM tr) GROUP BY i),
+ne AS (SELECT e.id, e.i, CASE WHEN rg = 0 THEN 0.0 ELSE (e.x - mn) / rg END AS z FROM emb e JOIN mm USING (i))"""
+
+
+def _nn(name: str, qsrc: str, rsrc: str, k: int, excl: bool) -> str:
+    cond = " AND a.id <> b.id" if excl else ""
+    return f""",
+{name} AS (
+  SELECT qid, rid, dist, rank FROM (
+    SELECT qid, rid, sqrt(d2) AS dist, row_number() OVER (PARTITION BY qid ORDER BY d2, rid) AS rank FROM (
+      SELECT a.id AS qid, b.id AS rid, sum((a.z - b.z) * (a.z - b.z)) AS d2
+      FROM ne a JOIN ne b ON a.i = b.i{cond}
+      WHERE a.id IN (SELECT id FROM {qsrc}) AND b.id IN (SELECT id FROM {rsrc})
+      GROUP BY a.id, b.id))
+  WHERE rank <= {k})"""
+
+
+sql("knn_neighbors", _vec_ctes("true") + _nn("nn", "v_vec", "v_vec", 10, True) + """
+SELECT qid AS id, CAST(rank AS INTEGER) AS rank, rid AS nid, round(dist, 6) AS dist FROM nn""")
+
+_VEC_TR = f"{u_sql('id', 3)} * 100 < 67.0"
+
+sql("ln_mlknn", _vec_ctes(_VEC_TR) + _nn("nt", "tr", "tr", 10, True) + _nn("na", "v_vec", "tr", 10, False) + """,
+n AS (SELECT count(*) AS n FROM tr),
+lab AS (SELECT id, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS t FROM v_vec CROSS JOIN range(4) g(j)),
+pri AS (SELECT j, (1.0 + sum(t)) / (2.0 + max(n.n)) AS p FROM lab CROSS JOIN n WHERE id IN (SELECT id FROM tr) GROUP BY j),
+dtr AS (SELECT nt.qid, l.j, sum(l.t) AS d FROM nt JOIN lab l ON l.id = nt.rid GROUP BY nt.qid, l.j),
+h AS (SELECT dtr.j, dtr.d, sum(CASE WHEN l.t = 1 THEN 1 ELSE 0 END) AS c1, sum(CASE WHEN l.t = 0 THEN 1 ELSE 0 END) AS c0
+      FROM dtr JOIN lab l ON l.id = dtr.qid AND l.j = dtr.j GROUP BY dtr.j, dtr.d),
+grid AS (SELECT CAST(g.j AS INTEGER) AS j, CAST(dd.d AS BIGINT) AS d FROM range(4) g(j) CROSS JOIN range(11) dd(d)),
+hc AS (SELECT grid.j, grid.d, coalesce(h.c1, 0) AS c1, coalesce(h.c0, 0) AS c0 FROM grid LEFT JOIN h USING (j, d)),
+pc AS (SELECT j, d, (1.0 + c1) / (11.0 + sum(c1) OVER (PARTITION BY j)) AS p1, (1.0 + c0) / (11.0 + sum(c0) OVER (PARTITION BY j)) AS p0 FROM hc),
+dal AS (SELECT na.qid, l.j, sum(l.t) AS d FROM na JOIN lab l ON l.id = na.rid GROUP BY na.qid, l.j),
+sc AS (SELECT dal.qid AS id, dal.j, pri.p * pc.p1 AS pin, (1 - pri.p) * pc.p0 AS pout FROM dal JOIN pri USING (j) JOIN pc ON pc.j = dal.j AND pc.d = dal.d)
+SELECT id, CAST(j AS INTEGER) AS j, round(pin / (pin + pout), 6) AS conf, CAST(pin >= pout AS INTEGER) AS bip FROM sc""")
+
+
+def _brknn_sql(ext: str) -> str:
+    base = _vec_ctes(_VEC_TR) + _nn("na", "v_vec", "tr", 10, False) + """,
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr),
+lab AS (SELECT id, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS t FROM v_vec CROSS JOIN range(4) g(j)),
+kk AS (SELECT qid, count(*) AS kk FROM na GROUP BY qid),
+cnt AS (SELECT na.qid, l.j, sum(l.t) AS c FROM na JOIN lab l ON l.id = na.rid GROUP BY na.qid, l.j),
+cf AS (SELECT c.qid AS id, c.j, c.c, (1.0 / n.n + c.c) / (4.0 / n.n + kk.kk) AS conf, 4.0 / n.n + kk.kk AS total
+       FROM cnt c JOIN kk USING (qid) CROSS JOIN n)"""
+    if ext == "none":
+        return base + "\nSELECT id, CAST(j AS INTEGER) AS j, round(conf, 6) AS conf, CAST(conf >= 0.5 AS INTEGER) AS bip FROM cf"
+    if ext == "a":
+        return base + f""",
+mx AS (SELECT id, max(conf) AS m FROM cf GROUP BY id),
+top AS (SELECT id, arg_min(j, {h2_sql('id', 'j', 3)}) AS tj FROM cf JOIN mx USING (id) WHERE conf = m GROUP BY id)
+SELECT id, CAST(j AS INTEGER) AS j, round(conf, 6) AS conf,
+  CAST(conf >= 0.5 OR (m < 0.5 AND j = tj) AS INTEGER) AS bip
+FROM cf JOIN mx USING (id) JOIN top USING (id)"""
+    return base + f""",
+av AS (SELECT id, CAST(floor(sum(c) / max(total) + 0.5) AS INTEGER) AS av FROM cf GROUP BY id),
+rk AS (SELECT id, j, row_number() OVER (PARTITION BY id ORDER BY conf DESC, {h2_sql('id', 'j', 3)}) AS r FROM cf)
+SELECT id, CAST(j AS INTEGER) AS j, round(conf, 6) AS conf, CAST(r <= av AS INTEGER) AS bip
+FROM cf JOIN rk USING (id, j) JOIN av USING (id)"""
+
+
+sql("ln_brknn", _brknn_sql("none"))
+sql("ln_brknn_a", _brknn_sql("a"))
+sql("ln_brknn_b", _brknn_sql("b"))
+
+sql("knn_select_k", _vec_ctes(_VEC_TR) + _nn("nt", "tr", "tr", 10, True) + """,
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr),
+lab AS (SELECT id, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS t FROM v_vec CROSS JOIN range(4) g(j)),
+run AS (
+  SELECT nt.qid, nt.rank, l.j, sum(l.t) OVER (PARTITION BY nt.qid, l.j ORDER BY nt.rank) AS c
+  FROM nt JOIN lab l ON l.id = nt.rid),
+h AS (
+  SELECT r.rank AS k, sum(CASE WHEN CAST((1.0 / n.n + r.c) / (4.0 / n.n + r.rank) >= 0.5 AS INTEGER) <> t.t THEN 1 ELSE 0 END)
+         / (count(*) * 1.0) AS hamming_loss
+  FROM run r JOIN lab t ON t.id = r.qid AND t.j = r.j CROSS JOIN n GROUP BY r.rank)
+SELECT CAST(k AS INTEGER) AS k, round(hamming_loss, 6) AS hamming_loss, row_number() OVER (ORDER BY hamming_loss, k) = 1 AS best FROM h""")

@@ -616,3 +616,48 @@ def q_predict_unlabelled(spark, d):
     labelled = m.df.filter(F.forall("y", lambda x: x.isNotNull()))
     unl = m.df.filter(F.exists("y", lambda x: x.isNull()))
     return r6(LN.predict_br(LN.fit_br(m, labelled), unl))
+
+
+# ---------------------------------------------------------------- 2.7 neighbour learners
+
+from polytag.operators import knn as KN  # noqa: E402
+
+
+def vec_split(spark, d):
+    m = V.v_vec(spark, d)
+    part = SP.holdout_split(m, pct=67.0, seed=3)
+    train = m.df.join(part.filter(F.col("part") == "train").select("id"), "id")
+    return m, train
+
+
+@query("knn_neighbors")
+def q_knn_neighbors(spark, d):
+    m = V.v_vec(spark, d)
+    nb = KN.knn(m.df, m.df, 10, vec="embedding", exclude_self=True)
+    return r6(nb.select(F.col("qid").alias("id"), F.col("rank").cast("int").alias("rank"), F.col("rid").alias("nid"), "dist"))
+
+
+@query("ln_mlknn")
+def q_ln_mlknn(spark, d):
+    m, train = vec_split(spark, d)
+    model = KN.fit_mlknn(train, m.L, k=10, vec="embedding")
+    return r6(KN.predict_mlknn(model, train, m.df, vec="embedding"))
+
+
+def _brknn(ext):
+    def fn(spark, d):
+        m, train = vec_split(spark, d)
+        return _long_out(KN.predict_brknn(train, m.df, m.L, k=10, ext=ext, vec="embedding"))
+
+    return fn
+
+
+QUERIES["ln_brknn"] = _brknn("none")
+QUERIES["ln_brknn_a"] = _brknn("a")
+QUERIES["ln_brknn_b"] = _brknn("b")
+
+
+@query("knn_select_k")
+def q_knn_select_k(spark, d):
+    m, train = vec_split(spark, d)
+    return r6(KN.select_k(train, m.L, kmax=10, vec="embedding").select(F.col("k").cast("int").alias("k"), "hamming_loss", "best"))
