@@ -142,10 +142,16 @@ def hierarchical(mlf: MLFrame) -> MLFrame:
 # ------------------------------------------------------------------ label set pruning
 
 
-def _subsets_of_sets(counts: DataFrame) -> DataFrame:
-    """(bits, sub_bits, sub_size) for every proper non-empty subset of each distinct set."""
-    x = counts.select("bits", "y", F.explode(LS.subset_masks("y")).alias("sub"))
-    return x.select("bits", LS.bits("sub").alias("sub_bits"), LS.size("sub").alias("sub_size"))
+def _frequent_subsets(rare: DataFrame, freq: DataFrame) -> DataFrame:
+    """(bits, sub_bits, sub_size, sub_count): frequent sets that are proper non-empty subsets of
+    each rare set.  Equi-join on the frequent set's first label, then a containment test, so no
+    2^s subset enumeration and no size guard is needed."""
+    fr = freq.select(F.col("bits").alias("sub_bits"), F.col("y").alias("fy"), F.col("count").alias("sub_count"),
+                     LS.positives("y").alias("fp"))
+    fr = fr.filter(F.size("fp") > 0).select("sub_bits", "sub_count", "fp", F.size("fp").alias("sub_size"), F.col("fp")[0].alias("f0"))
+    rr = rare.select("bits", "y", LS.size("y").alias("size"), F.explode(LS.positives("y")).alias("f0"))
+    j = rr.join(fr, "f0").filter((F.col("sub_size") < F.col("size")) & F.forall("fp", lambda q: F.get("y", q) == 1))
+    return j.select("bits", "sub_bits", "sub_size", "sub_count")
 
 
 def prune_ps(mlf: MLFrame, p: int, strategy: str = "A", b: int = 2) -> DataFrame:
@@ -155,11 +161,10 @@ def prune_ps(mlf: MLFrame, p: int, strategy: str = "A", b: int = 2) -> DataFrame
 
     Works on the distinct-label-set table, which is far smaller than the rows."""
     counts = ST.labelset_counts(mlf)
-    freq = counts.filter(F.col("count") > p).select("bits", "count")
+    freq = counts.filter(F.col("count") > p).select("bits", "y", "count")
     rare = counts.filter(F.col("count") <= p).select("bits", "y", "count")
-    subs = _subsets_of_sets(rare).join(
-        freq.select(F.col("bits").alias("sub_bits"), F.col("count").alias("sub_count")), "sub_bits"
-    )
+    subs = _frequent_subsets(rare, freq)
+    freq = freq.select("bits", "count")
     if strategy.upper() == "A":
         from pyspark.sql.window import Window
 
@@ -177,35 +182,43 @@ def prune_ppt(mlf: MLFrame, p: int, strategy: str = "replace") -> DataFrame:
     largest first, each subset taken only if it shares no label with those already taken.
     Equal sizes are ordered by count desc, then bits desc (the reference keeps enumeration order)."""
     counts = ST.labelset_counts(mlf)
-    freq = counts.filter(F.col("count") > p).select("bits", "count")
+    freq = counts.filter(F.col("count") > p).select("bits", "y", "count")
     keep = freq.select("bits", F.col("bits").alias("new_bits"), "count")
     if strategy == "drop":
         return keep
     rare = counts.filter(F.col("count") <= p).select("bits", "y", "count")
-    subs = _subsets_of_sets(rare).join(
-        freq.select(F.col("bits").alias("sub_bits"), F.col("count").alias("sub_count")), "sub_bits"
-    )
-    # per rare set (label-set sized group): ordered candidate list, then a greedy disjoint fold
+    subs = _frequent_subsets(rare, freq)
+    # per rare set (label-set sized group): ordered candidate list, then a greedy disjoint fold;
+    # label sets are 64-bit masks when L <= 62 (one AND per candidate), else 0/1 arrays
+    L = mlf.L
+    use_mask = L <= 62
+    mask = F.conv(F.col("sub_bits"), 2, 10).cast("bigint") if use_mask else F.lit(0).cast("bigint")
     cand = subs.groupBy("bits").agg(
         F.array_sort(
             F.collect_list(F.struct((-F.col("sub_size")).alias("s"), (-F.col("sub_count")).alias("c"),
-                                    F.col("sub_bits").alias("b"))),
+                                    F.col("sub_bits").alias("b"), mask.alias("m"))),
             lambda l, r: F.when(l["s"] < r["s"], -1).when(l["s"] > r["s"], 1).when(l["c"] < r["c"], -1)
             .when(l["c"] > r["c"], 1).when(l["b"] > r["b"], -1).when(l["b"] < r["b"], 1).otherwise(0),
         ).alias("cands")
     )
-    L = mlf.L
-    zero = F.array_repeat(F.lit(0), L)
+    if use_mask:
+        def step(acc, c):
+            free = acc["used"].bitwiseAND(c["m"]) == 0
+            return F.struct(F.when(free, acc["used"].bitwiseOR(c["m"])).otherwise(acc["used"]).alias("used"),
+                            F.when(free, F.concat(acc["picked"], F.array(c["b"]))).otherwise(acc["picked"]).alias("picked"))
+
+        init = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("picked"))
+    else:
+        zero = F.array_repeat(F.lit(0), L)
 
-    def step(acc, cand_row):
-        sub = LS.from_bits(cand_row["b"])
-        clash = F.exists(F.zip_with(acc["used"], sub, lambda u, v: (u == 1) & (v == 1)), lambda z: z)
-        return F.when(clash, acc).otherwise(
-            F.struct(F.zip_with(acc["used"], sub, lambda u, v: F.greatest(u, v)).alias("used"),
-                     F.concat(acc["picked"], F.array(cand_row["b"])).alias("picked"))
-        )
+        def step(acc, c):
+            sub = LS.from_bits(c["b"])
+            clash = F.exists(F.zip_with(acc["used"], sub, lambda u, v: (u == 1) & (v == 1)), lambda z: z)
+            return F.when(clash, acc).otherwise(
+                F.struct(F.zip_with(acc["used"], sub, lambda u, v: F.greatest(u, v)).alias("used"),
+                         F.concat(acc["picked"], F.array(c["b"])).alias("picked")))
 
-    init = F.struct(zero.alias("used"), F.array().cast("array<string>").alias("picked"))
+        init = F.struct(zero.alias("used"), F.array().cast("array<string>").alias("picked"))
     chosen = cand.select("bits", F.aggregate("cands", init, step)["picked"].alias("picked"))
     out = chosen.select("bits", F.explode("picked").alias("new_bits")).join(rare.select("bits", "count"), "bits")
     return keep.unionByName(out)
