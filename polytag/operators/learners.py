@@ -431,3 +431,22 @@ def rakeld_partition(L: int, k: int = 3, seed: int = 1) -> list[list[int]]:
     if len(groups) > 1 and len(groups[-1]) == 1:
         groups[-2] = sorted(groups[-2] + groups.pop())
     return groups
+
+
+def nb_argmax(model: NB.NBModel, df: DataFrame, seed: int = 7, id_col: str = "id") -> DataFrame:
+    """(id, t): the most probable class of a single multi-class model (ties: seeded stable hash of
+    the class position)."""
+    classes = sorted({r["t"] for r in model.const})
+    cidx = F.create_map(*[x for i, b in enumerate(classes) for x in (F.lit(b), F.lit(i))])
+    s = NB.nb_scores(model, df, id_col)
+    g = s.groupBy(id_col).agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
+    idc = F.col(id_col)
+    best = F.array_min(F.transform(F.filter("cs", lambda e: e["s"] == F.col("mx")),
+                                   lambda e: F.struct(LS.stable_hash2(idc, F.element_at(cidx, e["t"]), seed).alias("h"), e["t"].alias("t"))))
+    return g.select(id_col, best["t"].alias("t"))
+
+
+def fit_meta_labeler(mlf: MLFrame, train: DataFrame) -> NB.NBModel:
+    """Meta-labeler (content mode, nominal class): predicts the number of labels from the features."""
+    rows = train.filter(~F.exists(mlf.y_col, lambda v: v.isNull())).select(*mlf.features, LS.size(mlf.y_col).alias("t"))
+    return NB.fit_nb(rows, [], list(mlf.features))

@@ -935,3 +935,68 @@ h AS (
          / (count(*) * 1.0) AS hamming_loss
   FROM run r JOIN lab t ON t.id = r.qid AND t.j = r.j CROSS JOIN n GROUP BY r.rank)
 SELECT CAST(k AS INTEGER) AS k, round(hamming_loss, 6) AS hamming_loss, row_number() OVER (ORDER BY hamming_loss, k) = 1 AS best FROM h""")
+
+
+# ---------------------------------------------------------------- 2.9 thresholding
+
+_TH = with_views("v_userday") + scored_ctes("v_userday")
+
+sql("th_one", _TH + """,
+cnt AS (SELECT s AS c, t, count(*) AS n FROM sc GROUP BY s, t),
+g1 AS (SELECT CAST(k AS INTEGER) AS k, CAST(k AS DOUBLE) / 10 AS th FROM range(11) r(k)),
+s1 AS (SELECT k, th AS threshold, sum(CASE WHEN CAST(c >= th AS INTEGER) <> t THEN n ELSE 0 END) / sum(n) AS hamming_loss
+       FROM cnt CROSS JOIN g1 GROUP BY k, th),
+b1 AS (SELECT k AS bk FROM s1 ORDER BY hamming_loss, k LIMIT 1),
+g2 AS (SELECT CAST(i AS INTEGER) AS k, CAST(10 * bk + i - 5 AS DOUBLE) / 100 AS th FROM range(11) r(i) CROSS JOIN b1),
+s2 AS (SELECT k, th AS threshold, sum(CASE WHEN CAST(c >= th AS INTEGER) <> t THEN n ELSE 0 END) / sum(n) AS hamming_loss
+       FROM cnt CROSS JOIN g2 GROUP BY k, th)
+SELECT 1 AS stage, k, round(threshold, 6) AS threshold, round(hamming_loss, 6) AS hamming_loss,
+       row_number() OVER (ORDER BY hamming_loss, k) = 1 AS chosen FROM s1
+UNION ALL
+SELECT 2, k, round(threshold, 6), round(hamming_loss, 6), row_number() OVER (ORDER BY hamming_loss, k) = 1 FROM s2""")
+
+sql("th_rcut", _TH + """,
+cnt AS (SELECT rk AS r, t, count(*) AS n FROM sc GROUP BY rk, t),
+res AS (SELECT CAST(g.k AS INTEGER) AS k, sum(CASE WHEN CAST(r <= g.k AS INTEGER) <> t THEN n ELSE 0 END) / sum(n) AS hl
+        FROM cnt CROSS JOIN range(6) g(k) GROUP BY g.k),
+card AS (SELECT CAST(floor(avg(n_rel) + 0.5) AS INTEGER) AS tc FROM pr)
+SELECT 'measure' AS rule, k AS t, round(hl, 6) AS hamming_loss, row_number() OVER (ORDER BY hl, k) = 1 AS chosen FROM res
+UNION ALL
+SELECT 'cardinality', k, round(hl, 6), true FROM res JOIN card ON res.k = card.tc""")
+
+sql("th_scut", _TH + """,
+sj AS (SELECT j, s AS c, CAST(sum(t) AS DOUBLE) AS pos, CAST(sum(1 - t) AS DOUBLE) AS neg FROM sc GROUP BY j, s),
+tot AS (SELECT j, sum(pos) AS P, sum(neg) AS N FROM sj GROUP BY j),
+cands AS (
+  SELECT sj.j, c AS threshold,
+    coalesce(sum(pos) OVER (PARTITION BY sj.j ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+    + (tot.N - coalesce(sum(neg) OVER (PARTITION BY sj.j ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS errors
+  FROM sj JOIN tot USING (j)
+  UNION ALL SELECT j, 'inf'::DOUBLE, P FROM tot)
+SELECT CAST(j AS INTEGER) AS j, round(threshold, 6) AS threshold, CAST(errors AS BIGINT) AS errors FROM (
+  SELECT *, row_number() OVER (PARTITION BY j ORDER BY errors, threshold) AS r FROM cands) WHERE r = 1""")
+
+sql("th_expected_f", _TH + """,
+lst AS (SELECT id, list(s ORDER BY s DESC) AS ps, sum(s) AS tot FROM sc GROUP BY id),
+fs AS (SELECT id, g.n + 1 AS n, 2 * list_sum(list_slice(ps, 1, g.n + 1)) / (tot + g.n + 1) AS f FROM lst CROSS JOIN range(5) g(n)),
+best AS (SELECT id, n, f, row_number() OVER (PARTITION BY id ORDER BY f DESC, n) AS r FROM fs)
+SELECT id, CAST(CASE WHEN f > 0 THEN n ELSE 1 END AS INTEGER) AS n FROM best WHERE r = 1""")
+
+sql("th_predicted", _TH + """,
+srt AS (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS k FROM sc),
+mid AS (SELECT a.id, a.k, (a.s + coalesce(b.s, a.s)) / 2 AS m FROM srt a LEFT JOIN srt b ON b.id = a.id AND b.k = a.k - 1),
+er AS (SELECT mid.id, mid.k, mid.m, sum(CASE WHEN (sc.t = 1 AND sc.s <= mid.m) OR (sc.t = 0 AND sc.s >= mid.m) THEN 1 ELSE 0 END) AS e
+       FROM mid JOIN sc ON sc.id = mid.id GROUP BY mid.id, mid.k, mid.m),
+b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY e, k) AS r FROM er)
+SELECT id, round(CASE WHEN e < 5 THEN m ELSE 0.0 END, 6) AS threshold, CAST(least(e, 5) AS INTEGER) AS errors FROM b WHERE r = 1""")
+
+sql("th_meta_labeler", _ORDER_TRAIN + f""",
+ml_rows AS (SELECT 0 AS _m, id, {size_sql('y')} AS t FROM tr WHERE len(list_filter(y, lambda x: x IS NULL)) = 0),
+ml_rfl AS (SELECT r._m, r.id, r.t, fl.f, fl.v FROM ml_rows r JOIN fl USING (id)),
+ml_cls AS (SELECT DISTINCT _m, t FROM ml_rows)""" + nb_sql(["_m"], "ml_rows", "ml_rfl", "ml_cls", "fl_all", "allrows", "ml") + f""",
+cidx AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS ci FROM ml_cls),
+mx AS (SELECT id, t, s, max(s) OVER (PARTITION BY id) AS m FROM ml_score),
+nn AS (SELECT id, arg_min(t, {h2_sql('id', 'ci', 7)}) AS n FROM mx JOIN cidx USING (t) WHERE s = m GROUP BY id),
+scr AS (SELECT id, CAST(g.j AS INTEGER) AS j, ((id * 31 + g.j * 17) % 10) / 10.0 AS s FROM allrows CROSS JOIN range(6) g(j)),
+rk AS (SELECT id, j, row_number() OVER (PARTITION BY id ORDER BY s DESC, j DESC) AS r FROM scr)
+SELECT id, j, CAST(r <= n AS INTEGER) AS bip FROM rk JOIN nn USING (id)""")

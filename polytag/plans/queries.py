@@ -661,3 +661,49 @@ QUERIES["ln_brknn_b"] = _brknn("b")
 def q_knn_select_k(spark, d):
     m, train = vec_split(spark, d)
     return r6(KN.select_k(train, m.L, kmax=10, vec="embedding").select(F.col("k").cast("int").alias("k"), "hamming_loss", "best"))
+
+
+# ---------------------------------------------------------------- 2.9 thresholding
+
+from polytag.operators import threshold as TH  # noqa: E402
+
+
+@query("th_one")
+def q_th_one(spark, d):
+    return r6(TH.one_threshold(scored(spark, d)).select(F.col("stage").cast("int").alias("stage"), F.col("k").cast("int").alias("k"),
+                                                        "threshold", "hamming_loss", "chosen"))
+
+
+@query("th_rcut")
+def q_th_rcut(spark, d):
+    return r6(TH.rcut(scored(spark, d), 5))
+
+
+@query("th_scut")
+def q_th_scut(spark, d):
+    return r6(TH.scut_hamming(scored(spark, d)))
+
+
+@query("th_expected_f")
+def q_th_expected_f(spark, d):
+    return TH.expected_f(scored(spark, d), 5)
+
+
+@query("th_predicted")
+def q_th_predicted(spark, d):
+    return r6(TH.predicted_threshold_target(scored(spark, d)).select("id", "threshold", F.col("errors").cast("int").alias("errors")))
+
+
+@query("th_meta_labeler")
+def q_th_meta_labeler(spark, d):
+    m, train = order_split(spark, d)
+    n = LN.nb_argmax(LN.fit_meta_labeler(m, train), m.df).select("id", F.col("t").alias("n"))
+    s = EV.with_predictions(m.df.select("id", "y", LS.synthetic_scores("id", m.L).alias("conf"))).join(n, "id")
+    b = TH.apply_top_n(s.drop("bip"))
+    return b.select("id", F.posexplode("bip").alias("j", "bip")).select("id", F.col("j").cast("int").alias("j"), "bip")
+
+
+@query("th_linear_function")
+def q_th_linear_function(spark, d):
+    _, coef = TH.linear_threshold_function(scored(spark, d), 5)
+    return r6(coef)
