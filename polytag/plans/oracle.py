@@ -1000,3 +1000,77 @@ nn AS (SELECT id, arg_min(t, {h2_sql('id', 'ci', 7)}) AS n FROM mx JOIN cidx USI
 scr AS (SELECT id, CAST(g.j AS INTEGER) AS j, ((id * 31 + g.j * 17) % 10) / 10.0 AS s FROM allrows CROSS JOIN range(6) g(j)),
 rk AS (SELECT id, j, row_number() OVER (PARTITION BY id ORDER BY s DESC, j DESC) AS r FROM scr)
 SELECT id, j, CAST(r <= n AS INTEGER) AS bip FROM rk JOIN nn USING (id)""")
+
+
+# ---------------------------------------------------------------- 2.6 feature ranking and selection
+
+def _ig_sql(rows: str, keys: str) -> str:
+    """CTE ig(keys, feature, info_gain, gain_ratio) from rows(keys, t, f, v, w)."""
+    return f""",
+c AS (SELECT {keys}, f, v, t, sum(w) AS n FROM {rows} GROUP BY {keys}, f, v, t),
+fv AS (SELECT {keys}, f, v, sum(n) AS nfv FROM c GROUP BY {keys}, f, v),
+ft AS (SELECT {keys}, f, t, sum(n) AS nft FROM c GROUP BY {keys}, f, t),
+tot AS (SELECT {keys}, f, sum(n) AS N FROM c GROUP BY {keys}, f),
+hy AS (SELECT {keys}, f, -sum(CASE WHEN nft > 0 THEN nft / N * log2(nft / N) ELSE 0 END) AS hy
+       FROM ft JOIN tot USING ({keys}, f) GROUP BY {keys}, f),
+cond AS (SELECT {keys}, f, v, -sum(CASE WHEN n > 0 THEN n / nfv * log2(n / nfv) ELSE 0 END) AS hv, max(nfv) AS nfv
+         FROM c JOIN fv USING ({keys}, f, v) GROUP BY {keys}, f, v),
+hyx AS (SELECT {keys}, f, sum(nfv / N * hv) AS hyx, -sum(CASE WHEN nfv > 0 THEN nfv / N * log2(nfv / N) ELSE 0 END) AS hx
+        FROM cond JOIN tot USING ({keys}, f) GROUP BY {keys}, f),
+ig AS (SELECT {keys}, f AS feature, hy - hyx AS info_gain, CASE WHEN hx > 0 THEN (hy - hyx) / hx ELSE 0.0 END AS gain_ratio
+       FROM hy JOIN hyx USING ({keys}, f))"""
+
+
+_FS = with_views("v_order") + """,
+fl_all AS (
+  UNPIVOT (SELECT id, f_prio, f_status, CAST(f_lines AS VARCHAR) AS f_lines, CAST(f_qty AS VARCHAR) AS f_qty,
+                  CAST(f_price AS VARCHAR) AS f_price FROM v_order)
+  ON f_prio, f_status, f_lines, f_qty, f_price INTO NAME f VALUE v),
+lr AS (SELECT CAST(g.j AS INTEGER) AS j, id, y[g.j + 1] AS t FROM v_order CROSS JOIN range(6) g(j) WHERE y[g.j + 1] IS NOT NULL),
+rows_br AS (SELECT lr.j, lr.t, fl_all.f, fl_all.v, 1.0 AS w FROM lr JOIN fl_all USING (id))""" + _ig_sql("rows_br", "j")
+
+sql("fs_score_per_label", _FS + """
+SELECT j, feature, round(info_gain, 6) AS info_gain, round(gain_ratio, 6) AS gain_ratio FROM ig""")
+
+sql("fs_normalize", _FS + """
+SELECT 'dl' AS norm, j, feature,
+  round(CASE WHEN sqrt(sum(info_gain * info_gain) OVER (PARTITION BY j)) <> 0
+             THEN info_gain / sqrt(sum(info_gain * info_gain) OVER (PARTITION BY j)) ELSE info_gain END, 6) AS score FROM ig
+UNION ALL
+SELECT 'dm', j, feature,
+  round(CASE WHEN max(info_gain) OVER (PARTITION BY j) <> 0 THEN info_gain / max(info_gain) OVER (PARTITION BY j) ELSE info_gain END, 6) FROM ig""")
+
+sql("fs_combine", _FS + """
+SELECT 'max' AS comb, feature, round(max(info_gain), 6) AS score FROM ig GROUP BY feature
+UNION ALL SELECT 'min', feature, round(min(info_gain), 6) FROM ig GROUP BY feature
+UNION ALL SELECT 'avg', feature, round(avg(info_gain), 6) FROM ig GROUP BY feature""")
+
+sql("fs_rank_mode", _FS + """
+SELECT feature, round(avg(5 - r), 6) AS score FROM (
+  SELECT j, feature, row_number() OVER (PARTITION BY j ORDER BY info_gain DESC, feature DESC) AS r FROM ig)
+GROUP BY feature""")
+
+sql("fs_score_powerset", with_views("v_order") + f""",
+fl_all AS (
+  UNPIVOT (SELECT id, f_prio, f_status, CAST(f_lines AS VARCHAR) AS f_lines, CAST(f_qty AS VARCHAR) AS f_qty,
+                  CAST(f_price AS VARCHAR) AS f_price FROM v_order)
+  ON f_prio, f_status, f_lines, f_qty, f_price INTO NAME f VALUE v),
+rows_lp AS (SELECT 0 AS _m, {bits_sql('y')} AS t, fl_all.f, fl_all.v, 1.0 AS w FROM v_order JOIN fl_all USING (id))""" + _ig_sql("rows_lp", "_m") + """
+SELECT feature, round(info_gain, 6) AS info_gain, round(gain_ratio, 6) AS gain_ratio FROM ig""")
+
+sql("fs_score_multiclass", _FS.replace(_ig_sql("rows_br", "j"), "") + """,
+rows_mc AS (SELECT 0 AS _m, lr.j AS t, fl_all.f, fl_all.v, 1.0 AS w FROM lr JOIN fl_all USING (id) WHERE lr.t = 1)""" + _ig_sql("rows_mc", "_m") + """
+SELECT feature, round(info_gain, 6) AS info_gain, round(gain_ratio, 6) AS gain_ratio FROM ig""")
+
+_RANKED = _FS + """,
+nrm AS (SELECT j, feature, CASE WHEN max(info_gain) OVER (PARTITION BY j) <> 0 THEN info_gain / max(info_gain) OVER (PARTITION BY j)
+                                ELSE info_gain END AS score FROM ig),
+cmb AS (SELECT feature, avg(score) AS score FROM nrm GROUP BY feature),
+rk AS (SELECT feature, score, row_number() OVER (ORDER BY score DESC, feature) AS rank FROM cmb)"""
+
+sql("fs_ranker", _RANKED + "\nSELECT CAST(rank AS INTEGER) AS rank, feature, round(score, 6) AS score FROM rk")
+sql("fs_top_k", _RANKED + "\nSELECT feature FROM rk WHERE rank <= 3")
+sql("fs_threshold", _RANKED + "\nSELECT feature FROM rk WHERE score >= 0.2")
+sql("fs_top_pct", _RANKED + "\nSELECT feature FROM rk WHERE rank <= CAST(round(5 * 40.0 / 100) AS INTEGER)")
+sql("fs_apply", _RANKED + """
+SELECT fl_all.id, fl_all.f AS feature, fl_all.v AS value FROM fl_all JOIN rk ON rk.feature = fl_all.f WHERE rk.rank <= 3""")

@@ -707,3 +707,88 @@ def q_th_meta_labeler(spark, d):
 def q_th_linear_function(spark, d):
     _, coef = TH.linear_threshold_function(scored(spark, d), 5)
     return r6(coef)
+
+
+# ---------------------------------------------------------------- 2.6 feature ranking and selection
+
+from polytag.operators import features as FS  # noqa: E402
+
+
+def _fs_base(spark, d):
+    m = V.v_order(spark, d)
+    return m, FS.score_per_label(m)
+
+
+@query("fs_score_per_label")
+def q_fs_score_per_label(spark, d):
+    _, s = _fs_base(spark, d)
+    return r6(s)
+
+
+@query("fs_normalize")
+def q_fs_normalize(spark, d):
+    _, s = _fs_base(spark, d)
+    dl = FS.normalise(s, "info_gain", "dl").select(F.lit("dl").alias("norm"), "j", "feature", "score")
+    dm = FS.normalise(s, "info_gain", "dm").select(F.lit("dm").alias("norm"), "j", "feature", "score")
+    return r6(dl.unionByName(dm))
+
+
+@query("fs_combine")
+def q_fs_combine(spark, d):
+    _, s = _fs_base(spark, d)
+    s = s.withColumn("score", F.col("info_gain"))
+    out = None
+    for how in ("max", "min", "avg"):
+        c = FS.combine(s, how).select(F.lit(how).alias("comb"), "feature", "score")
+        out = c if out is None else out.unionByName(c)
+    return r6(out)
+
+
+@query("fs_rank_mode")
+def q_fs_rank_mode(spark, d):
+    m, s = _fs_base(spark, d)
+    return r6(FS.combine(FS.rank_scores(s, "info_gain", len(m.features)), "avg"))
+
+
+@query("fs_score_powerset")
+def q_fs_score_powerset(spark, d):
+    return r6(FS.score_powerset(V.v_order(spark, d)))
+
+
+@query("fs_score_multiclass")
+def q_fs_score_multiclass(spark, d):
+    return r6(FS.score_multiclass(V.v_order(spark, d), "copy"))
+
+
+def _ranked(spark, d):
+    _, s = _fs_base(spark, d)
+    return FS.ranker(FS.combine(FS.normalise(s, "info_gain", "dm"), "avg"))
+
+
+@query("fs_ranker")
+def q_fs_ranker(spark, d):
+    return r6(_ranked(spark, d).select(F.col("rank").cast("int").alias("rank"), "feature", "score"))
+
+
+@query("fs_top_k")
+def q_fs_top_k(spark, d):
+    return FS.top_k(_ranked(spark, d), 3)
+
+
+@query("fs_threshold")
+def q_fs_threshold(spark, d):
+    return FS.by_threshold(_ranked(spark, d), 0.2)
+
+
+@query("fs_top_pct")
+def q_fs_top_pct(spark, d):
+    return FS.top_percent(_ranked(spark, d), 40.0)
+
+
+@query("fs_apply")
+def q_fs_apply(spark, d):
+    m = V.v_order(spark, d)
+    chosen = [r["feature"] for r in FS.top_k(_ranked(spark, d), 3).collect()]
+    out = FS.apply(m, chosen)
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in out.features])
+    return out.df.select("id", F.inline(cells))
