@@ -1074,3 +1074,32 @@ sql("fs_threshold", _RANKED + "\nSELECT feature FROM rk WHERE score >= 0.2")
 sql("fs_top_pct", _RANKED + "\nSELECT feature FROM rk WHERE rank <= CAST(round(5 * 40.0 / 100) AS INTEGER)")
 sql("fs_apply", _RANKED + """
 SELECT fl_all.id, fl_all.f AS feature, fl_all.v AS value FROM fl_all JOIN rk ON rk.feature = fl_all.f WHERE rk.rank <= 3""")
+
+
+# ---------------------------------------------------------------- 2.11 multi-target regression
+
+_REG = with_views("v_target") + f""",
+tr AS (SELECT * FROM v_target WHERE {u_sql('id', 3)} * 100 < 67.0),
+te AS (SELECT * FROM v_target WHERE NOT ({u_sql('id', 3)} * 100 < 67.0)),
+coef AS (SELECT CAST(g.j AS INTEGER) AS j, regr_slope(target[g.j + 1], o_totalprice) AS w,
+                regr_intercept(target[g.j + 1], o_totalprice) AS b
+         FROM tr CROSS JOIN range(3) g(j) GROUP BY g.j),
+mu AS (SELECT CAST(g.j AS INTEGER) AS j, avg(target[g.j + 1]) AS mu FROM tr CROSS JOIN range(3) g(j) GROUP BY g.j)"""
+
+sql("rg_single_target", _REG + """
+SELECT v.id, coef.j, round(coef.b + coef.w * v.o_totalprice, 4) AS pred FROM v_target v CROSS JOIN coef""")
+
+_REG_EV = _REG + """,
+ev AS (
+  SELECT coef.j, avg(abs(coef.b + coef.w * te.o_totalprice - te.target[coef.j + 1])) AS mae,
+         sqrt(avg(power(coef.b + coef.w * te.o_totalprice - te.target[coef.j + 1], 2))) AS rmse,
+         avg(abs(mu.mu - te.target[coef.j + 1])) AS bmae, sqrt(avg(power(mu.mu - te.target[coef.j + 1], 2))) AS brmse
+  FROM te CROSS JOIN coef JOIN mu ON mu.j = coef.j
+  WHERE te.target[coef.j + 1] IS NOT NULL AND NOT isnan(te.target[coef.j + 1])
+  GROUP BY coef.j),
+evm AS (SELECT j, mae, rmse, CASE WHEN bmae <> 0 THEN mae / bmae END AS rel_mae, CASE WHEN brmse <> 0 THEN rmse / brmse END AS rel_rmse FROM ev)"""
+
+for _name, _col in (("ev_mae", "mae"), ("ev_avg_rmse", "rmse"), ("ev_relative_mae", "rel_mae"), ("ev_relative_rmse", "rel_rmse")):
+    sql(_name, _REG_EV + f"""
+SELECT j, round({_col}, 6) AS value FROM evm
+UNION ALL SELECT CAST(NULL AS INTEGER), round(avg({_col}), 6) FROM evm""")

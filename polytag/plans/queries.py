@@ -792,3 +792,104 @@ def q_fs_apply(spark, d):
     out = FS.apply(m, chosen)
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value")) for f in out.features])
     return out.df.select("id", F.inline(cells))
+
+
+# ---------------------------------------------------------------- 2.11 multi-target regression
+
+from polytag.operators import regress as RG  # noqa: E402
+
+REG_FEATURES = ["o_totalprice", "n_lines", "prio"]
+
+
+def target_split(spark, d):
+    t = V.v_target(spark, d)
+    u = SP.uniform("id", 3) * 100 < F.lit(67.0)
+    return t, t.filter(u), t.filter(~u)
+
+
+def _pred_long(df: DataFrame) -> DataFrame:
+    return r6(df.select("id", F.posexplode("pred").alias("j", "pred")).select("id", F.col("j").cast("int").alias("j"), "pred"))
+
+
+@query("rg_single_target")
+def q_rg_single_target(spark, d):
+    t, tr, _ = target_split(spark, d)
+    _, out = RG.single_target(t, ["o_totalprice"], 3, tr)
+    # predictions reach 1e5 in magnitude: 4 decimals is all a double computed two ways agrees on
+    return out.select("id", F.posexplode("pred").alias("j", "pred")).select(
+        "id", F.col("j").cast("int").alias("j"), F.round("pred", 4).alias("pred"))
+
+
+@query("rg_chain_simple")
+def q_rg_chain_simple(spark, d):
+    t, tr, _ = target_split(spark, d)
+    return _pred_long(RG.chain_simple(t, REG_FEATURES, [2, 0, 1], tr))
+
+
+@query("rg_chain")
+def q_rg_chain(spark, d):
+    t, tr, _ = target_split(spark, d)
+    return _pred_long(RG.chain_cv(t, REG_FEATURES, [2, 0, 1], tr, folds=3))
+
+
+@query("rg_ensemble_chains")
+def q_rg_ensemble_chains(spark, d):
+    t, tr, _ = target_split(spark, d)
+    return _pred_long(RG.ensemble_of_chains(t, REG_FEATURES, 3, tr, m=4))
+
+
+@query("rg_stacking")
+def q_rg_stacking(spark, d):
+    t, tr, _ = target_split(spark, d)
+    return _pred_long(RG.stacking(t, REG_FEATURES, 3, tr))
+
+
+@query("rg_random_combinations")
+def q_rg_random_combinations(spark, d):
+    t, tr, _ = target_split(spark, d)
+    return _pred_long(RG.random_linear_combinations(t, REG_FEATURES, 3, tr, r=6, non_zero=2))
+
+
+@query("rg_random_forest")
+def q_rg_random_forest(spark, d):
+    t, tr, _ = target_split(spark, d)
+    return _pred_long(RG.random_forest(t, REG_FEATURES, 3, tr, trees=10))
+
+
+def _reg_eval(spark, d):
+    t, tr, te = target_split(spark, d)
+    _, out = RG.single_target(te, ["o_totalprice"], 3, tr)
+    mu = tr.agg(*[F.avg(F.col("target")[j]).alias(f"m{j}") for j in range(3)]).first()
+    return EV.regression_measures(out, "target", "pred", [mu[f"m{j}"] for j in range(3)])
+
+
+def _reg_q(col):
+    def fn(spark, d):
+        per = _reg_eval(spark, d).select("j", F.col(col).alias("value"))
+        return r6(per.unionByName(per.agg(F.avg("value").alias("value")).select(F.lit(None).cast("int").alias("j"), "value")))
+
+    return fn
+
+
+QUERIES["ev_mae"] = _reg_q("mae")
+QUERIES["ev_avg_rmse"] = _reg_q("rmse")
+QUERIES["ev_relative_mae"] = _reg_q("rel_mae")
+QUERIES["ev_relative_rmse"] = _reg_q("rel_rmse")
+
+
+@query("rg_compare")
+def q_rg_compare(spark, d):
+    """Method x target table on the held-out part: MAE and RMSE."""
+    t, tr, te = target_split(spark, d)
+    mu = tr.agg(*[F.avg(F.col("target")[j]).alias(f"m{j}") for j in range(3)]).first()
+    means = [mu[f"m{j}"] for j in range(3)]
+    runs = {
+        "single_target": RG.single_target(te, REG_FEATURES, 3, tr)[1],
+        "chain": RG.chain_simple(te, REG_FEATURES, [2, 0, 1], tr),
+        "stacking": RG.stacking(te, REG_FEATURES, 3, tr),
+    }
+    out = None
+    for name, df in runs.items():
+        e = EV.regression_measures(df, "target", "pred", means).select(F.lit(name).alias("method"), "j", "mae", "rmse")
+        out = e if out is None else out.unionByName(e)
+    return r6(out)
