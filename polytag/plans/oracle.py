@@ -1103,3 +1103,36 @@ for _name, _col in (("ev_mae", "mae"), ("ev_avg_rmse", "rmse"), ("ev_relative_ma
     sql(_name, _REG_EV + f"""
 SELECT j, round({_col}, 6) AS value FROM evm
 UNION ALL SELECT CAST(NULL AS INTEGER), round(avg({_col}), 6) FROM evm""")
+
+
+# ---------------------------------------------------------------- 2.8 label orderings
+
+def _mi_chain_sql(mode: str) -> str:
+    key = "mi * 1000000 + j" if mode == "min" else "-mi * 1000000 + j"
+    return "WITH RECURSIVE " + with_views("v_userday")[len("WITH "):] + pair_ctes("v_userday") + """,
+mi AS (
+  SELECT i, j, round(
+      (CASE WHEN n11 > 0 THEN (n11 / n) * ln((n11 / n) / (px1 * py1)) ELSE 0.0 END)
+    + (CASE WHEN n10 > 0 THEN (n10 / n) * ln((n10 / n) / (px1 * (1 - py1))) ELSE 0.0 END)
+    + (CASE WHEN n01 > 0 THEN (n01 / n) * ln((n01 / n) / ((1 - px1) * py1)) ELSE 0.0 END)
+    + (CASE WHEN n00 > 0 THEN (n00 / n) * ln((n00 / n) / ((1 - px1) * (1 - py1))) ELSE 0.0 END), 3) AS mi
+  FROM (SELECT i, j, CAST(N AS DOUBLE) AS n, n11, n1i - n11 AS n10, n1j - n11 AS n01, N - n1i - n1j + n11 AS n00,
+               n1i / CAST(N AS DOUBLE) AS px1, n1j / CAST(N AS DOUBLE) AS py1 FROM pt WHERE i < j) q),
+sym AS (SELECT i, j, mi FROM mi UNION ALL SELECT j, i, mi FROM mi),
+start AS (SELECT i AS a, j AS b FROM mi ORDER BY mi, i, j LIMIT 1),
+rec AS (
+  SELECT 2 AS n, b AS last, [a, b] AS chain FROM start
+  UNION ALL
+  SELECT n + 1, nxt, list_append(chain, nxt) FROM (
+    SELECT r.n, r.chain, (SELECT arg_min(s.j, """ + key.replace("mi", "s.mi").replace("+ j", "+ s.j") + """) FROM sym s
+                           WHERE s.i = r.last AND NOT list_contains(r.chain, s.j)) AS nxt
+    FROM rec r WHERE r.n < 5) q
+)
+SELECT CAST(g.p AS INTEGER) AS pos, CAST(chain[g.p + 1] AS INTEGER) AS j FROM rec CROSS JOIN range(5) g(p) WHERE n = 5"""
+
+
+sql("label_chain_mi_min", _mi_chain_sql("min"))
+sql("label_chain_mi_max", _mi_chain_sql("max"))
+
+sql("label_tree_random", f"""
+SELECT CAST(j AS INTEGER) AS j, CAST(ntile(3) OVER (ORDER BY {h_sql('j', 4)}, j) - 1 AS INTEGER) AS grp FROM range(25) g(j)""")

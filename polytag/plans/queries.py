@@ -893,3 +893,56 @@ def q_rg_compare(spark, d):
         e = EV.regression_measures(df, "target", "pred", means).select(F.lit(name).alias("method"), "j", "mae", "rmse")
         out = e if out is None else out.unionByName(e)
     return r6(out)
+
+
+# ---------------------------------------------------------------- 2.8 label clustering and orderings
+
+from polytag.operators import cluster as CL  # noqa: E402
+
+
+@query("label_kmodes_cosine")
+def q_label_kmodes_cosine(spark, d):
+    return CL.kmodes_cosine(V.v_tree(spark, d), k=3, iters=100)
+
+
+@query("label_kmeans_euclid")
+def q_label_kmeans_euclid(spark, d):
+    return CL.kmeans_euclid(V.v_tree(spark, d), k=3)
+
+
+def _mi_chain(mode):
+    def fn(spark, d):
+        m = V.v_userday(spark, d)
+        ch = CL.mi_chain(m, None, mode)
+        return spark.createDataFrame([(p, j) for p, j in enumerate(ch)], "pos int, j int")
+
+    return fn
+
+
+QUERIES["label_chain_mi_min"] = _mi_chain("min")
+QUERIES["label_chain_mi_max"] = _mi_chain("max")
+
+
+@query("label_tree_balanced")
+def q_label_tree_balanced(spark, d):
+    return CL.label_tree(V.v_tree(spark, d), k=3, method="balanced")
+
+
+@query("label_tree_cluster")
+def q_label_tree_cluster(spark, d):
+    return CL.label_tree(V.v_tree(spark, d), k=3, method="cluster")
+
+
+@query("label_tree_random")
+def q_label_tree_random(spark, d):
+    return CL.random_partition(V.v_tree(spark, d), k=3, seed=4)
+
+
+@query("vector_kmeans_wssse")
+def q_vector_kmeans_wssse(spark, d):
+    m = V.v_vec(spark, d)
+    model, cost = CL.vector_kmeans(m.df, "embedding", k=5)
+    x = model.transform(m.df.select("id", __import__("pyspark.ml.functions", fromlist=["array_to_vector"]).array_to_vector(
+        F.col("embedding").cast("array<double>")).alias("features")))
+    return x.groupBy(F.col("prediction").cast("int").alias("cluster")).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "wssse", F.lit(round(cost, 3)))
