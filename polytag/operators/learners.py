@@ -450,3 +450,184 @@ def fit_meta_labeler(mlf: MLFrame, train: DataFrame) -> NB.NBModel:
     """Meta-labeler (content mode, nominal class): predicts the number of labels from the features."""
     rows = train.filter(~F.exists(mlf.y_col, lambda v: v.isNull())).select(*mlf.features, LS.size(mlf.y_col).alias("t"))
     return NB.fit_nb(rows, [], list(mlf.features))
+
+
+# ------------------------------------------------------------------ hierarchy: HMC and HOMER
+
+
+def tree_parents(tree: DataFrame) -> dict[int, int | None]:
+    """idx -> parent idx from a label-tree edge table (label-sized)."""
+    return {r["idx"]: r["parent_idx"] for r in tree.select("idx", "parent_idx").collect()}
+
+
+def fit_hmc(mlf: MLFrame, train: DataFrame, parents: dict[int, int | None]) -> NB.NBModel:
+    """One binary model per tree node, trained on the rows where its parent is set (all rows for
+    top nodes); every node from one count keyed by ``j``.  ``mlf.y`` must hold every node."""
+    par = F.array(*[F.lit(-1 if parents.get(j) is None else parents[j]) for j in range(mlf.L)])
+    x = train.select(*mlf.features, mlf.y_col, F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
+    p = F.get(par, F.col("j"))
+    x = x.filter((p < 0) | (F.get(F.col(mlf.y_col), p) == 1)).withColumn("j", F.col("j").cast("int"))
+    spark = train.sparkSession
+    classes = _binary_classes(spark, spark.range(mlf.L).select(F.col("id").cast("int").alias("j")))
+    return NB.fit_nb(x.drop(mlf.y_col), ["j"], list(mlf.features), classes)
+
+
+def predict_hmc(model: NB.NBModel, df: DataFrame, L: int, parents: dict[int, int | None], id_col: str = "id") -> DataFrame:
+    """Top-down: a node is positive iff its own model says so and its parent is positive; under a
+    negative node every descendant is negative and takes that node's confidence.  (The reference
+    leaves a rejected node's own confidence at 0; here it keeps its model's confidence.)"""
+    depth = {}
+
+    def dep(j):
+        if j not in depth:
+            p = parents.get(j)
+            depth[j] = 1 if p is None else dep(p) + 1
+        return depth[j]
+
+    order = sorted(range(L), key=lambda j: (dep(j), j))
+    b = to_arrays(predict_br(model, df, id_col), ("conf", "bip"), id_col)
+    par = F.array(*[F.lit(-1 if parents.get(j) is None else parents[j]) for j in range(L)])
+    init = F.struct(F.array_repeat(F.lit(0.0), L).alias("c"), F.array_repeat(F.lit(0), L).alias("b"))
+
+    def step(acc, j):
+        p = F.get(par, j)
+        ok = (p < 0) | (F.get(acc["b"], p) == 1)
+        cj = F.when(ok, F.get("conf", j)).otherwise(F.get(acc["c"], p))
+        bj = F.when(ok, F.get("bip", j)).otherwise(F.lit(0))
+        return F.struct(F.transform(acc["c"], lambda v, i: F.when(i == j, cj).otherwise(v)).alias("c"),
+                        F.transform(acc["b"], lambda v, i: F.when(i == j, bj).otherwise(v)).alias("b"))
+
+    res = F.aggregate(F.array(*[F.lit(j) for j in order]), init, step)
+    return b.select(id_col, res["c"].alias("conf"), res["b"].alias("bip"))
+
+
+def with_meta_labels(mlf: MLFrame, tree: DataFrame) -> tuple[MLFrame, dict[int, int | None]]:
+    """Append one label per inner node of ``tree`` = OR of the leaf labels below it (any depth)."""
+    parents = tree_parents(tree)
+    kids: dict[int, list[int]] = {}
+    for c, p in parents.items():
+        if p is not None:
+            kids.setdefault(p, []).append(c)
+    inner = sorted(k for k in kids if k >= mlf.L)
+
+    def leaves(n):
+        if n < mlf.L:
+            return [n]
+        return [x for c in kids.get(n, []) for x in leaves(c)]
+
+    y = F.col(mlf.y_col)
+    meta = [F.greatest(*[F.coalesce(y[x], F.lit(0)) for x in leaves(n)], F.lit(0)) for n in inner]
+    # re-index inner nodes to L, L+1, ... in sorted order
+    remap = {n: mlf.L + i for i, n in enumerate(inner)}
+    par2 = {remap.get(c, c): (None if p is None else remap.get(p, p)) for c, p in parents.items()}
+    df = mlf.df.withColumn(mlf.y_col, F.concat(y, F.array(*meta)))
+    return mlf.with_df(df, labels=tuple(mlf.labels) + tuple(f"meta{n}" for n in inner)), par2
+
+
+def homer(mlf: MLFrame, train: DataFrame, k: int = 3, method: str = "balanced", seed: int = 1) -> DataFrame:
+    """HOMER: build a label tree, add meta-labels, run HMC, drop the meta outputs."""
+    from polytag.operators import cluster as CL
+
+    tree = CL.label_tree(mlf.with_df(train), k, method, seed)
+    hm, par = with_meta_labels(mlf, tree)
+    tr2 = hm.df.join(train.select(mlf.id_col), mlf.id_col)
+    model = fit_hmc(hm, tr2, par)
+    out = predict_hmc(model, hm.df, hm.L, par)
+    return out.select(mlf.id_col, F.slice("conf", 1, mlf.L).alias("conf"), F.slice("bip", 1, mlf.L).alias("bip"))
+
+
+# ------------------------------------------------------------------ chains over clusters and ensembles
+
+
+def predict_chains(mlf: MLFrame, train: DataFrame, chains: list[list[int]], df: DataFrame) -> DataFrame:
+    """One local chain per label group (each label in exactly one chain); outputs scattered back by
+    label index and summed across chains."""
+    parts = [predict_cc(fit_cc(mlf, ch, train), df, mlf.L) for ch in chains if ch]
+    out = parts[0].select("id", F.col("conf").alias("c0"), F.col("bip").alias("b0"))
+    for i, p in enumerate(parts[1:], start=1):
+        out = out.join(p.select("id", F.col("conf").alias(f"c{i}"), F.col("bip").alias(f"b{i}")), "id")
+    n = len(parts)
+    owner = {lab: i for i, ch in enumerate([c for c in chains if c]) for lab in ch}
+    conf = F.array(*[F.get(f"c{owner[j]}", F.lit(j)) if j in owner else F.lit(0.0) for j in range(mlf.L)])
+    bip = F.array(*[F.get(f"b{owner[j]}", F.lit(j)) if j in owner else F.lit(0) for j in range(mlf.L)])
+    del n
+    return out.select("id", conf.alias("conf"), bip.alias("bip"))
+
+
+def clustered_chains(mlf: MLFrame, train: DataFrame, k: int = 3, iters: int = 100, seed: int = 1) -> DataFrame:
+    """Cluster the labels by cosine k-modes, order each cluster farthest-from-centre first and fit one
+    local chain per cluster (the chain sees only its own cluster's labels: no leak of other clusters)."""
+    from polytag.operators import cluster as CL
+
+    cl = CL.kmodes_cosine(mlf.with_df(train), k, iters, 0, seed).collect()
+    chains: dict[int, list[tuple[int, int]]] = {}
+    for r in cl:
+        chains.setdefault(r["cluster"], []).append((r["pos"], r["j"]))
+    ordered = [[j for _, j in sorted(v)] for _, v in sorted(chains.items())]
+    return predict_chains(mlf, train, ordered, mlf.df)
+
+
+def fit_cc_weighted(mlf: MLFrame, chain: list[int], train: DataFrame, weight: F.Column) -> NB.NBModel:
+    """Classifier chain on weighted rows (bootstrap weights)."""
+    return fit_cc(mlf.with_df(train.withColumn("_bw", weight).filter(F.col("_bw") > 0)), chain, None) \
+        if False else _fit_cc_w(mlf, chain, train.withColumn("_bw", weight))
+
+
+def _fit_cc_w(mlf: MLFrame, chain: list[int], train: DataFrame) -> NB.NBModel:
+    order = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(chain)])
+    links = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lab).alias("lab")) for k, lab in enumerate(chain)])
+    x = train.select(NB.feature_pairs(mlf.features).alias("_b"), F.col(mlf.y_col).alias("_y"), "_bw", F.explode(links).alias("ln"))
+    prev = F.transform(F.filter(order, lambda e: e["i"] < F.col("ln.k")),
+                       lambda e: F.struct(F.concat(F.lit("__lab"), e["c"].cast("string")).alias("f"), F.get("_y", e["c"]).cast("string").alias("v")))
+    rows = x.select(F.col("ln.k").cast("int").alias("link"), F.get("_y", F.col("ln.lab")).alias("t"), "_bw",
+                    F.filter(F.concat("_b", prev), lambda p: p["v"].isNotNull()).alias("_fv")).filter(F.col("t").isNotNull() & (F.col("_bw") > 0))
+    spark = train.sparkSession
+    classes = _binary_classes(spark, spark.range(len(chain)).select(F.col("id").cast("int").alias("link")))
+    m = NB.fit_nb(rows, ["link"], list(mlf.features), classes, weight="_bw", pairs="_fv")
+    m.chain = chain  # type: ignore[attr-defined]
+    return m
+
+
+def ecc(mlf: MLFrame, train: DataFrame, m: int = 5, use_conf: bool = True, seed: int = 1) -> DataFrame:
+    """Ensemble of classifier chains: m random label orders, each on a Poisson(1) bag of the training
+    rows (weights from a seeded hash, no row moves); conf = mean confidence (or vote share), bip at 0.5."""
+    import random
+
+    from polytag.functions.labelsets import MINSTD_M, stable_hash2
+    from polytag.operators.split import poisson1_thresholds
+
+    rnd = random.Random(seed)
+    outs = []
+    for i in range(m):
+        chain = list(range(mlf.L))
+        rnd.shuffle(chain)
+        u = stable_hash2(mlf.id_col, F.lit(i), seed) / F.lit(float(MINSTD_M))
+        wgt = sum(F.when(u >= F.lit(t), 1).otherwise(0) for t in poisson1_thresholds()).cast("double")
+        p = predict_cc(_fit_cc_w(mlf, chain, train.withColumn("_bw", wgt)), mlf.df, mlf.L)
+        outs.append(p.select("id", (F.col("conf") if use_conf else F.col("bip").cast("array<double>")).alias(f"v{i}")))
+    x = outs[0]
+    for o in outs[1:]:
+        x = x.join(o, "id")
+    mean = F.array(*[sum(F.get(f"v{i}", F.lit(j)) for i in range(m)) / F.lit(float(m)) for j in range(mlf.L)])
+    x = x.select("id", mean.alias("conf"))
+    return x.withColumn("bip", LS.bipartition("conf", 0.5))
+
+
+def eps(mlf: MLFrame, train: DataFrame, m: int = 5, pct: float = 66.0, p: int = 30, b: int = 2, seed: int = 1) -> DataFrame:
+    """Ensemble of pruned sets: m pruned-set models on random pct % subsets; conf = vote share, bip >= 0.5."""
+    from polytag.functions.labelsets import MINSTD_M, stable_hash2
+    from polytag.operators import transform as TR
+
+    outs = []
+    for i in range(m):
+        u = stable_hash2(mlf.id_col, F.lit(i), seed) / F.lit(float(MINSTD_M))
+        sub = train.filter(u * 100 < F.lit(pct))
+        pr = TR.prune_ps(mlf.with_df(sub), p=p, strategy="A", b=b)
+        model = fit_lp(mlf, sub, pruned=pr)
+        outs.append(predict_lp(model, mlf.df, mlf.L, conf_mode=2).select("id", F.col("bip").alias(f"v{i}")))
+    x = outs[0]
+    for o in outs[1:]:
+        x = x.join(o, "id")
+    share = F.array(*[sum(F.get(f"v{i}", F.lit(j)) for i in range(m)) / F.lit(float(m)) for j in range(mlf.L)])
+    x = x.select("id", share.alias("conf"))
+    return x.withColumn("bip", LS.bipartition("conf", 0.5))

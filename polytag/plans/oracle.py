@@ -1136,3 +1136,64 @@ sql("label_chain_mi_max", _mi_chain_sql("max"))
 
 sql("label_tree_random", f"""
 SELECT CAST(j AS INTEGER) AS j, CAST(ntile(3) OVER (ORDER BY {h_sql('j', 4)}, j) - 1 AS INTEGER) AS grp FROM range(25) g(j)""")
+
+
+# ---------------------------------------------------------------- 2.7 local chain and HMC
+
+sql("ln_local_chain", "WITH RECURSIVE " + _ORDER_TRAIN[len("WITH "):] + """,
+ch AS (SELECT * FROM (VALUES (0, 4), (1, 1), (2, 3)) v(k, lab)),
+lc_rows AS (SELECT ch.k AS link, b.id, b.t FROM br_rows b JOIN ch ON b.j = ch.lab),
+lc_rfl AS (
+  SELECT r.link, r.id, r.t, fl.f, fl.v FROM lc_rows r JOIN fl USING (id)
+  UNION ALL
+  SELECT r.link, r.id, r.t, '__lab' || CAST(p.lab AS VARCHAR), CAST(b.t AS VARCHAR)
+  FROM lc_rows r JOIN ch p ON p.k < r.link JOIN br_rows b ON b.id = r.id AND b.j = p.lab),
+lc_cls AS (SELECT CAST(k AS INTEGER) AS link, c.t FROM ch CROSS JOIN (VALUES (0), (1)) c(t))""" + nb_sql(
+    ["link"], "lc_rows", "lc_rfl", "lc_cls", "fl_all", "allrows", "lc") + """,
+labw AS (
+  SELECT w.link, ch.k AS cpos, CAST(w.v AS INTEGER) AS v, w.t, w.w
+  FROM lc_wt w JOIN ch ON ch.lab = CAST(substr(w.f, 6) AS INTEGER) WHERE w.f LIKE '\\_\\_lab%' ESCAPE '\\'),
+bs AS (SELECT id, link, max(CASE WHEN t = 0 THEN s END) AS s0, max(CASE WHEN t = 1 THEN s END) AS s1 FROM lc_score GROUP BY id, link),
+rec AS (
+  SELECT id, 0 AS k, CAST([] AS INTEGER[]) AS preds, CAST([] AS DOUBLE[]) AS confs FROM allrows
+  UNION ALL
+  SELECT id, k + 1, list_append(preds, CAST(z1 >= z0 AS INTEGER)), list_append(confs, 1.0 / (1.0 + exp(z0 - z1)))
+  FROM (
+    SELECT r.id, r.k, r.preds, r.confs,
+      bs.s0 + coalesce((SELECT sum(w) FROM labw lw WHERE lw.link = r.k AND lw.t = 0 AND lw.cpos < r.k AND lw.v = r.preds[lw.cpos + 1]), 0.0) AS z0,
+      bs.s1 + coalesce((SELECT sum(w) FROM labw lw WHERE lw.link = r.k AND lw.t = 1 AND lw.cpos < r.k AND lw.v = r.preds[lw.cpos + 1]), 0.0) AS z1
+    FROM rec r JOIN bs ON bs.id = r.id AND bs.link = r.k
+    WHERE r.k < 3) q
+)
+SELECT rec.id, CAST(ch.lab AS INTEGER) AS j, round(confs[ch.k + 1], 6) AS conf, preds[ch.k + 1] AS bip
+FROM rec CROSS JOIN ch WHERE rec.k = 3""")
+
+sql("ln_hmc", with_views("v_tree") + "," + long_cte("v_tree", "lng") + f""",
+reg AS (
+  SELECT id, list(rv ORDER BY r) AS meta FROM (
+    SELECT lng.id, n.n_regionkey AS r, max(lng.t) AS rv FROM lng JOIN nation n ON n.n_nationkey = lng.j GROUP BY lng.id, n.n_regionkey)
+  GROUP BY id),
+hy AS (SELECT v_tree.*, list_concat(v_tree.y, reg.meta) AS hy FROM v_tree JOIN reg USING (id)),
+par AS (SELECT CAST(n_nationkey AS INTEGER) AS j, CAST(n_regionkey + 25 AS INTEGER) AS p FROM nation),
+tr AS (SELECT * FROM hy WHERE {u_sql('id', 3)} * 100 < 67.0),
+fl_all AS (
+  UNPIVOT (SELECT id, f_prio, f_status, CAST(f_lines AS VARCHAR) AS f_lines, CAST(f_qty AS VARCHAR) AS f_qty,
+                  CAST(f_price AS VARCHAR) AS f_price FROM hy)
+  ON f_prio, f_status, f_lines, f_qty, f_price INTO NAME f VALUE v),
+fl AS (SELECT * FROM fl_all WHERE id IN (SELECT id FROM tr)),
+allrows AS (SELECT id FROM hy),
+hm_rows AS (
+  SELECT CAST(g.j AS INTEGER) AS j, tr.id, tr.hy[g.j + 1] AS t
+  FROM tr CROSS JOIN range(30) g(j) LEFT JOIN par ON par.j = g.j
+  WHERE tr.hy[g.j + 1] IS NOT NULL AND (par.p IS NULL OR tr.hy[par.p + 1] = 1)),
+hm_rfl AS (SELECT r.j, r.id, r.t, fl.f, fl.v FROM hm_rows r JOIN fl USING (id)),
+hm_cls AS (SELECT CAST(g.j AS INTEGER) AS j, c.t FROM range(30) g(j) CROSS JOIN (VALUES (0), (1)) c(t))""" + nb_sql(
+    ["j"], "hm_rows", "hm_rfl", "hm_cls", "fl_all", "allrows", "hm") + """,
+own AS (
+  SELECT id, j, 1.0 / (1.0 + exp(max(CASE WHEN t = 0 THEN s END) - max(CASE WHEN t = 1 THEN s END))) AS conf,
+         CAST(max(CASE WHEN t = 1 THEN s END) >= max(CASE WHEN t = 0 THEN s END) AS INTEGER) AS bip
+  FROM hm_score GROUP BY id, j)
+SELECT o.id, CAST(o.j AS INTEGER) AS j,
+  round(CASE WHEN par.p IS NULL OR pr.bip = 1 THEN o.conf ELSE pr.conf END, 6) AS conf,
+  CAST(CASE WHEN par.p IS NULL OR pr.bip = 1 THEN o.bip ELSE 0 END AS INTEGER) AS bip
+FROM own o LEFT JOIN par ON par.j = o.j LEFT JOIN own pr ON pr.id = o.id AND pr.j = par.p""")

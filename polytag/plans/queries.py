@@ -946,3 +946,62 @@ def q_vector_kmeans_wssse(spark, d):
         F.col("embedding").cast("array<double>")).alias("features")))
     return x.groupBy(F.col("prediction").cast("int").alias("cluster")).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "wssse", F.lit(round(cost, 3)))
+
+
+# ---------------------------------------------------------------- 2.7 hierarchy, chains over clusters, ensembles
+
+
+@query("ln_local_chain")
+def q_ln_local_chain(spark, d):
+    m, train = order_split(spark, d)
+    chain = [4, 1, 3]
+    out = LN.predict_cc(LN.fit_cc(m, chain, train), m.df, m.L)
+    return _long_out(out).filter(F.col("j").isin(chain))
+
+
+def tree_split(spark, d):
+    m = TR.hierarchical(V.v_tree(spark, d))
+    part = SP.holdout_split(m, pct=67.0, seed=3)
+    train = m.df.join(part.filter(F.col("part") == "train").select("id"), "id")
+    return m, train
+
+
+@query("ln_hmc")
+def q_ln_hmc(spark, d):
+    m, train = tree_split(spark, d)
+    par = LN.tree_parents(m.tree)
+    model = LN.fit_hmc(m, train, par)
+    return _long_out(LN.predict_hmc(model, m.df, m.L, par))
+
+
+@query("ln_homer")
+def q_ln_homer(spark, d):
+    m, train = order_split(spark, d)
+    return _long_out(LN.homer(m, train, k=2, method="balanced"))
+
+
+@query("ln_clustered_chains")
+def q_ln_clustered_chains(spark, d):
+    m, train = order_split(spark, d)
+    return _long_out(LN.clustered_chains(m, train, k=2))
+
+
+@query("ln_sclcc")
+def q_ln_sclcc(spark, d):
+    """Cosine k-modes label clusters (k = 3) on the 25-nation tree view, one local chain each."""
+    m = V.v_tree(spark, d)
+    part = SP.holdout_split(m, pct=67.0, seed=3)
+    train = m.df.join(part.filter(F.col("part") == "train").select("id"), "id")
+    return _long_out(LN.clustered_chains(m, train, k=3))
+
+
+@query("ln_ecc")
+def q_ln_ecc(spark, d):
+    m, train = order_split(spark, d)
+    return _long_out(LN.ecc(m, train, m=4))
+
+
+@query("ln_eps")
+def q_ln_eps(spark, d):
+    m, train = order_split(spark, d)
+    return _long_out(LN.eps(m, train, m=4))
