@@ -1197,3 +1197,26 @@ SELECT o.id, CAST(o.j AS INTEGER) AS j,
   round(CASE WHEN par.p IS NULL OR pr.bip = 1 THEN o.conf ELSE pr.conf END, 6) AS conf,
   CAST(CASE WHEN par.p IS NULL OR pr.bip = 1 THEN o.bip ELSE 0 END AS INTEGER) AS bip
 FROM own o LEFT JOIN par ON par.j = o.j LEFT JOIN own pr ON pr.id = o.id AND pr.j = par.p""")
+
+
+# ---------------------------------------------------------------- 2.1 sources (round trips)
+
+sql("read_arff", with_views("v_order") + f"""
+SELECT id, {bits_sql('y')} AS bits, f_prio, f_status, f_lines, f_qty, f_price FROM v_order""")
+
+sql("read_libsvm_ml", with_views("v_order") + f"""
+SELECT id, {bits_sql('y')} AS bits, round(CAST(n_lines AS DOUBLE), 6) AS n_lines, round(CAST(sum_qty AS DOUBLE), 6) AS sum_qty,
+       round(o_totalprice, 6) AS o_totalprice FROM v_order""")
+
+sql("read_hier_csv", with_views("v_tree") + "," + long_cte("v_tree", "lng") + """,
+nr AS (SELECT CAST(n_nationkey AS INTEGER) AS j, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT DISTINCT id, label FROM (
+  SELECT lng.id, nr.r_name AS label FROM lng JOIN nr USING (j) WHERE lng.t = 1
+  UNION ALL
+  SELECT lng.id, nr.r_name || '/' || nr.n_name FROM lng JOIN nr USING (j) WHERE lng.t = 1)""")
+
+sql("read_text_vectors", with_views("v_vec") + """
+SELECT id, CAST(g.i AS INTEGER) AS i, round(CAST(embedding[g.i + 1] AS DOUBLE), 6) AS x FROM v_vec CROSS JOIN range(64) g(i)""")
+
+sql("write_ml_parquet", ORACLE["tr_hierarchical"])
+sql("model_save_load", ORACLE["ln_binary_relevance"])

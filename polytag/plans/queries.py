@@ -1005,3 +1005,73 @@ def q_ln_ecc(spark, d):
 def q_ln_eps(spark, d):
     m, train = order_split(spark, d)
     return _long_out(LN.eps(m, train, m=4))
+
+
+# ---------------------------------------------------------------- 2.1 sources and sinks (round trips through files Spark writes)
+
+from polytag.sources import formats as IO  # noqa: E402
+
+
+@query("read_arff")
+def q_read_arff(spark, d):
+    m = V.v_order(spark, d)
+    base = IO.scratch(spark, "arff")
+    IO.write_arff(m, base + "/data", relation="orders")
+    IO.write_label_xml(spark, [(lab, None) for lab in m.labels], base + "/labels.xml")
+    names, _ = IO.read_label_xml(spark, base + "/labels.xml")
+    r = IO.read_arff_dir(spark, base + "/data", labels=names, id_col="id")
+    return r.df.select(F.col("id").cast("bigint").alias("id"), LS.bits("y").alias("bits"), "f_prio", "f_status",
+                       F.col("f_lines").cast("int").alias("f_lines"), F.col("f_qty").cast("int").alias("f_qty"),
+                       F.col("f_price").cast("int").alias("f_price"))
+
+
+@query("read_libsvm_ml")
+def q_read_libsvm_ml(spark, d):
+    m = V.v_order(spark, d)
+    path = IO.scratch(spark, "libsvm")
+    IO.write_libsvm(m.with_df(m.df.withColumn("idd", F.col("id").cast("double"))), path, ["idd", "n_lines", "sum_qty", "o_totalprice"])
+    r = IO.read_libsvm_ml(spark, path, n_features=4)
+    return r6(r.df.select(F.col("x1").cast("bigint").alias("id"), LS.bits("y").alias("bits"), F.col("x2").alias("n_lines"),
+                          F.col("x3").alias("sum_qty"), F.col("x4").alias("o_totalprice")))
+
+
+@query("read_hier_csv")
+def q_read_hier_csv(spark, d):
+    m = V.v_tree(spark, d)
+    path = IO.scratch(spark, "hiercsv")
+    nat = V.nation_labels(spark, d)
+    reg = {r[0]: r[1] for r in spark.read.parquet(f"{d}/region.parquet").collect()}
+    paths = F.array(*[F.when(F.col("y")[k] == 1, F.lit(f"{reg[rk]}/{nm}")) for k, nm, rk in nat])
+    cell = F.array_join(F.filter(paths, lambda p: p.isNotNull()), "@")
+    m.df.select(F.col("id").cast("string").alias("id"), cell.alias("class")).write.mode("overwrite").option("header", True).csv(path)
+    df, _ = IO.read_hier_csv(spark, path)
+    return df.select(F.col("id").cast("bigint").alias("id"), F.explode("labels").alias("label"))
+
+
+@query("read_text_vectors")
+def q_read_text_vectors(spark, d):
+    m = V.v_vec(spark, d)
+    path = IO.scratch(spark, "vectors")
+    line = F.concat_ws(" ", F.col("id").cast("double").cast("string"),
+                       F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), " "))
+    m.df.select(line.alias("value")).write.mode("overwrite").text(path)
+    v = IO.read_text_vectors(spark, path)
+    x = v.select(F.col("vec")[0].cast("bigint").alias("id"), F.posexplode(F.slice("vec", 2, 10**6)).alias("i", "x"))
+    return r6(x.select("id", F.col("i").cast("int").alias("i"), "x"))
+
+
+@query("write_ml_parquet")
+def q_write_ml_parquet(spark, d):
+    m = TR.hierarchical(V.v_tree(spark, d))
+    path = IO.scratch(spark, "mlparquet")
+    IO.write_ml_parquet(m, path)
+    back = IO.read_ml_parquet(spark, path)
+    return back.df.select("id", LS.bits(back.y_col).alias("bits"))
+
+
+@query("model_save_load")
+def q_model_save_load(spark, d):
+    m, train = order_split(spark, d)
+    path = IO.scratch(spark, "model")
+    IO.save_nb_model(LN.fit_br(m, train), path)
+    return r6(LN.predict_br(IO.load_nb_model(spark, path), m.df))
