@@ -1220,3 +1220,21 @@ SELECT id, CAST(g.i AS INTEGER) AS i, round(CAST(embedding[g.i + 1] AS DOUBLE),
 
 sql("write_ml_parquet", ORACLE["tr_hierarchical"])
 sql("model_save_load", ORACLE["ln_binary_relevance"])
+
+
+# ---------------------------------------------------------------- 2.12 streaming (same results as the batch forms)
+
+sql("st_score", ORACLE["ln_binary_relevance"])
+
+sql("st_update_counts", with_views("v_userday") + "," + long_cte("v_userday", "lng") + """
+SELECT j, t, count(*) AS n FROM lng GROUP BY j, t""")
+
+sql("st_windowed_measures", _EV_UD + """,
+win AS (
+  SELECT strftime(time_bucket(INTERVAL 7 DAY, CAST(DATE '1970-01-01' + CAST(id % 100000 AS INTEGER) AS TIMESTAMP),
+                              TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS window_start,
+         sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(L) AS cells
+  FROM pr GROUP BY 1)
+SELECT window_start, round((fp + fn) / cells, 6) AS hamming_loss,
+       round(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE 2 * tp / (2 * tp + fn + fp) END, 6) AS micro_f1
+FROM win""")

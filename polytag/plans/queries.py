@@ -1075,3 +1075,51 @@ def q_model_save_load(spark, d):
     path = IO.scratch(spark, "model")
     IO.save_nb_model(LN.fit_br(m, train), path)
     return r6(LN.predict_br(IO.load_nb_model(spark, path), m.df))
+
+
+# ---------------------------------------------------------------- 2.12 streaming forms
+
+from polytag.streaming import stream as STM  # noqa: E402
+
+
+@query("st_score")
+def q_st_score(spark, d):
+    """The BR model of ln_binary_relevance scores the orders arriving in three micro-batches."""
+    m, train = order_split(spark, d)
+    model = LN.fit_br(m, train)
+    base = IO.scratch(spark, "st-score")
+    rows = m.df.select("id", *m.features)
+    STM.stage_files(rows, base + "/in", parts=3)
+    out = STM.score_stream(spark, base + "/in", rows.schema, lambda b: LN.predict_br(model, b), base + "/out")
+    return r6(out.select("id", "j", "conf", "bip"))
+
+
+@query("st_update_counts")
+def q_st_update_counts(spark, d):
+    """Label counts (rows per label and value) kept current over three micro-batches."""
+    m = V.v_userday(spark, d)
+    base = IO.scratch(spark, "st-counts")
+    rows = m.df.select("id", "y")
+    STM.stage_files(rows, base + "/in", parts=3)
+
+    def counts(b):
+        return b.select(F.posexplode("y").alias("j", "t")).groupBy(F.col("j").cast("int").alias("j"), "t").agg(F.count(F.lit(1)).alias("n"))
+
+    return STM.count_stream(spark, base + "/in", rows.schema, counts, base + "/out", ["j", "t"])
+
+
+@query("st_windowed_measures")
+def q_st_windowed_measures(spark, d):
+    """Hamming loss and micro F1 of the tied synthetic scores per 7-day event-time window."""
+    s = scored(spark, d)
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.pmod("id", F.lit(100000)).cast("int"))
+    x = s.select("id", day.cast("timestamp").alias("ts"),
+                 EV._count2("y", "bip", lambda u, v: (u == 1) & (v == 1)).alias("tp"),
+                 EV._count2("y", "bip", lambda u, v: (u == 0) & (v == 1)).alias("fp"),
+                 EV._count2("y", "bip", lambda u, v: (u == 1) & (v == 0)).alias("fn"),
+                 EV._count2("y", "bip", lambda u, v: (u == 0) & (v == 0)).alias("tn"),
+                 F.size("y").alias("L"))
+    base = IO.scratch(spark, "st-win")
+    STM.stage_files(x, base + "/in", parts=3, part_col=F.least((F.dayofmonth("ts") - 1) / 11, F.lit(2)).cast("int"))
+    out = STM.windowed_measures(spark, base + "/in", x.schema, base + "/out", watermark="11 days")
+    return r6(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "hamming_loss", "micro_f1"))
