@@ -631,3 +631,139 @@ def eps(mlf: MLFrame, train: DataFrame, m: int = 5, pct: float = 66.0, p: int =
     share = F.array(*[sum(F.get(f"v{i}", F.lit(j)) for i in range(m)) / F.lit(float(m)) for j in range(mlf.L)])
     x = x.select("id", share.alias("conf"))
     return x.withColumn("bip", LS.bipartition("conf", 0.5))
+
+
+# ------------------------------------------------------------------ stacking, IBLR, clustering-based, CSS
+
+
+def _fold_keyed_br(mlf: MLFrame, train: DataFrame, folds: int, seed: int) -> tuple[NB.NBModel, DataFrame]:
+    """BR models for every fold at once: a row counts for every fold but its own (model key
+    (fold, j)); returns the model and the training rows with their fold."""
+    from polytag.functions.labelsets import stable_hash
+
+    tr = train.withColumn("_fold", F.pmod(stable_hash(mlf.id_col, seed), F.lit(folds)).cast("int"))
+    x = tr.select(*mlf.features, "_fold", F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
+    x = x.select(*mlf.features, F.col("j").cast("int").alias("j"), "t",
+                 F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("_fold"))).alias("fold"))
+    spark = train.sparkSession
+    keys = spark.range(folds).select(F.col("id").cast("int").alias("fold")).select("fold", F.explode(F.sequence(F.lit(0), F.lit(mlf.L - 1))).alias("j"))
+    classes = _binary_classes(spark, keys)
+    return NB.fit_nb(x, ["fold", "j"], list(mlf.features), classes), tr
+
+
+def out_of_fold_br(mlf: MLFrame, train: DataFrame, folds: int = 3, seed: int = 1) -> DataFrame:
+    """(id, conf ARRAY): every training row scored by the BR model that did not see it; all fold
+    models come from one count (the fold is part of the model key)."""
+    model, tr = _fold_keyed_br(mlf, train, folds, seed)
+    p = NB.nb_binary_scores(model, tr, mlf.id_col).join(tr.select(mlf.id_col, "_fold"), mlf.id_col)
+    p = p.filter(F.col("fold") == F.col("_fold")).select(mlf.id_col, "j", F.col("p1").alias("conf"))
+    return to_arrays(p, ("conf",), mlf.id_col)
+
+
+def stacking(mlf: MLFrame, train: DataFrame, folds: int = 3, seed: int = 1, include_features: bool = True) -> DataFrame:
+    """Two-level stacking: level 1 BR with out-of-fold confidences; level 2 one model per label on the
+    binned level-1 confidences of all labels (+ the features).  Test rows get level-1 confidences
+    from the BR fitted on all training rows."""
+    oof = out_of_fold_br(mlf, train, folds, seed)
+    tr2 = train.join(oof, mlf.id_col)
+    feats = list(mlf.features) if include_features else []
+    base = NB.feature_pairs(feats) if feats else F.array().cast("array<struct<f:string,v:string>>")
+    rows = tr2.select(F.concat(base, conf_bins("conf", mlf.L)).alias("_fv"), F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
+    spark = train.sparkSession
+    classes = _binary_classes(spark, spark.range(mlf.L).select(F.col("id").cast("int").alias("j")))
+    lvl2 = NB.fit_nb(rows.withColumn("j", F.col("j").cast("int")), ["j"], feats, classes, pairs="_fv")
+    full = to_arrays(predict_br(fit_br(mlf, train), mlf.df), ("conf",))
+    x = mlf.df.join(full, mlf.id_col)
+    fl = x.select(mlf.id_col, F.explode(F.concat(base, conf_bins("conf", mlf.L))).alias("p")).select(mlf.id_col, "p.f", "p.v")
+    m = fl.join(NB.maybe_broadcast(lvl2.weights, lvl2.n_weights), ["f", "v"]).select(mlf.id_col, "j", "t", F.col("w").alias("x"))
+    cst = mlf.df.select(mlf.id_col, F.explode(lvl2.const_array()).alias("c")).select(mlf.id_col, "c.j", "c.t", F.col("c.kc").alias("x"))
+    s = m.unionByName(cst).groupBy(mlf.id_col, "j").agg(F.sum(F.when(F.col("t") == 1, F.col("x"))).alias("s1"),
+                                                         F.sum(F.when(F.col("t") == 0, F.col("x"))).alias("s0"))
+    s = s.select(mlf.id_col, "j", (1 / (1 + F.exp(F.col("s0") - F.col("s1")))).alias("conf"), (F.col("s1") >= F.col("s0")).cast("int").alias("bip"))
+    return to_arrays(s, ("conf", "bip"), mlf.id_col)
+
+
+def iblr(mlf: MLFrame, train: DataFrame, k: int = 10, vec: str = "embedding", add_features: bool = False) -> DataFrame:
+    """IBLR: neighbour label shares (k neighbours; leave-one-out on the training rows) are the
+    inputs of one logistic regression per label (pyspark.ml)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from polytag.operators import knn as KN
+
+    ranges = KN.vector_ranges(train, vec)
+    tr_nb = KN.neighbour_label_counts(KN.knn(train, train, k, vec, exclude_self=True, ranges=ranges), train, mlf.L)
+    all_nb = KN.neighbour_label_counts(KN.knn(mlf.df, train, k, vec, exclude_self=False, ranges=ranges), train, mlf.L)
+
+    def feats(cnt_df, rows):
+        x = rows.join(cnt_df.withColumnRenamed("qid", mlf.id_col), mlf.id_col)
+        share = F.transform("cnt", lambda c: c / F.lit(float(k)))
+        inp = F.concat(share, F.col(vec).cast("array<double>")) if add_features else share
+        return x.select(mlf.id_col, mlf.y_col, array_to_vector(inp).alias("features"))
+
+    tr = feats(tr_nb, train).cache()
+    te = feats(all_nb, mlf.df)
+    out = te.select(mlf.id_col, "features")
+    for j in range(mlf.L):
+        lr = LogisticRegression(featuresCol="features", labelCol="label", probabilityCol=f"_p{j}", predictionCol=f"_y{j}",
+                                rawPredictionCol=f"_r{j}", maxIter=50)
+        model = lr.fit(tr.select("features", F.col(mlf.y_col)[j].cast("double").alias("label")).filter(F.col("label").isNotNull()))
+        out = model.transform(out).withColumn(f"_c{j}", vector_to_array(f"_p{j}")[1]).drop(f"_p{j}", f"_y{j}", f"_r{j}")
+    tr.unpersist()
+    conf = F.array(*[F.col(f"_c{j}") for j in range(mlf.L)])
+    return out.select(mlf.id_col, conf.alias("conf")).withColumn("bip", LS.bipartition("conf", 0.5))
+
+
+def cluster_then_fit(mlf: MLFrame, train: DataFrame, numeric: list[str], k: int = 5, seed: int = 1) -> DataFrame:
+    """k-means (pyspark.ml) on numeric features, then one BR model set per cluster, all from one
+    count keyed by (cluster, label); each row is scored by its own cluster's models."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    va = VectorAssembler(inputCols=numeric, outputCol="_raw")
+    sc = StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True).fit(va.transform(train))
+    km = KMeans(k=k, seed=seed).fit(sc.transform(va.transform(train)))
+    lab = lambda d: km.transform(sc.transform(va.transform(d))).select(mlf.id_col, F.col("prediction").cast("int").alias("cluster"))
+    trc = train.join(lab(train), mlf.id_col)
+    rows = trc.select(*mlf.features, "cluster", F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull()).withColumn("j", F.col("j").cast("int"))
+    spark = train.sparkSession
+    keys = spark.range(k).select(F.col("id").cast("int").alias("cluster")).select("cluster", F.explode(F.sequence(F.lit(0), F.lit(mlf.L - 1))).alias("j"))
+    model = NB.fit_nb(rows, ["cluster", "j"], list(mlf.features), _binary_classes(spark, keys))
+    allc = mlf.df.join(lab(mlf.df), mlf.id_col)
+    p = NB.nb_binary_scores(model, allc, mlf.id_col).join(allc.select(mlf.id_col, F.col("cluster").alias("_c")), mlf.id_col)
+    p = p.filter(F.col("cluster") == F.col("_c")).select(mlf.id_col, "j", F.col("p1").alias("conf"), (F.col("s1") >= F.col("s0")).cast("int").alias("bip"))
+    return to_arrays(p, ("conf", "bip"), mlf.id_col)
+
+
+def css_select(mlf: MLFrame, kappa: int | None = None, seed: int = 1):
+    """Column subset selection: kappa labels sampled (without replacement, seeded) with probability
+    proportional to their leverage in the top-kappa right singular vectors of Y; Y'Y is the Gram
+    matrix (one pass), so only L x L numbers are decomposed.  Returns (chosen, leverage, P) with
+    P = pinv(Y_C) Y = G_CC^-1 G_C. (kappa x L) recovering every label from the chosen ones."""
+    import numpy as np
+
+    from polytag.operators import cluster as CL
+
+    L = mlf.L
+    kappa = max(2, round(0.1 * L)) if kappa is None else kappa
+    _, G = CL.gram(mlf)
+    w, Vt = np.linalg.eigh(G)
+    top = Vt[:, np.argsort(w)[::-1][:kappa]]
+    lev = (top ** 2).sum(axis=1) / kappa
+    rnd = np.random.default_rng(seed)
+    p = lev / lev.sum() if lev.sum() > 0 else np.full(L, 1.0 / L)
+    chosen = sorted(int(c) for c in rnd.choice(L, size=kappa, replace=False, p=p))
+    P = np.linalg.pinv(G[np.ix_(chosen, chosen)]) @ G[chosen, :]
+    return chosen, lev, P
+
+
+def css_learner(mlf: MLFrame, train: DataFrame, kappa: int | None = None, seed: int = 1) -> DataFrame:
+    """Learn the chosen labels with BR and recover all labels by the projection; positive iff
+    ceil(conf) = 1 (0 < conf <= 1)."""
+    chosen, _, P = css_select(mlf.with_df(train), kappa, seed)
+    sub = mlf.with_df(train.select(mlf.id_col, *mlf.features, F.array(*[F.col(mlf.y_col)[c] for c in chosen]).alias(mlf.y_col)),
+                      labels=tuple(mlf.labels[c] for c in chosen))
+    pc = to_arrays(predict_br(fit_br(sub, sub.df), mlf.df), ("conf",))
+    conf = F.array(*[sum(F.get("conf", F.lit(i)) * F.lit(float(P[i, j])) for i in range(len(chosen))) for j in range(mlf.L)])
+    x = pc.select(mlf.id_col, conf.alias("conf"))
+    return x.withColumn("bip", F.transform("conf", lambda c: (F.ceil(c) == 1).cast("int")))

@@ -1238,3 +1238,21 @@ win AS (
 SELECT window_start, round((fp + fn) / cells, 6) AS hamming_loss,
        round(CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE 2 * tp / (2 * tp + fn + fp) END, 6) AS micro_f1
 FROM win""")
+
+
+# ---------------------------------------------------------------- views
+
+sql("v_userday", with_views("v_userday") + f"""
+SELECT id, n_events, round(sum_value, 6) AS sum_value, first_hour, f_n, f_hour, f_val, {bits_sql('y')} AS bits FROM v_userday""")
+sql("v_order", with_views("v_order") + f"""
+SELECT id, round(o_totalprice, 6) AS o_totalprice, n_lines, round(sum_qty, 6) AS sum_qty, f_prio, f_status, f_lines, f_qty, f_price,
+       {bits_sql('y')} AS bits FROM v_order""")
+sql("v_tree", with_views("v_tree") + f"""
+SELECT id, n_lines, round(sum_qty, 6) AS sum_qty, f_prio, f_status, f_lines, f_qty, f_price, {bits_sql('y')} AS bits FROM v_tree""")
+sql("v_doc", with_views("v_doc") + f"""
+SELECT id, lang, source, n_chars, f_len, {bits_sql('y')} AS bits FROM v_doc""")
+sql("v_vec", with_views("v_vec") + f"""
+SELECT id, label, {bits_sql('y')} AS bits FROM v_vec""")
+sql("v_target", with_views("v_target") + """
+SELECT id, round(o_totalprice, 6) AS o_totalprice, round(n_lines, 6) AS n_lines, round(prio, 6) AS prio,
+       round(target[1], 6) AS t0, round(target[2], 6) AS t1, round(target[3], 6) AS t2 FROM v_target""")

@@ -1123,3 +1123,61 @@ def q_st_windowed_measures(spark, d):
     STM.stage_files(x, base + "/in", parts=3, part_col=F.least((F.dayofmonth("ts") - 1) / 11, F.lit(2)).cast("int"))
     out = STM.windowed_measures(spark, base + "/in", x.schema, base + "/out", watermark="11 days")
     return r6(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "hamming_loss", "micro_f1"))
+
+
+# ---------------------------------------------------------------- views (the multi-label tables every operator reads)
+
+
+def _view_q(name, cols):
+    def fn(spark, d):
+        m = V.VIEWS[name](spark, d)
+        return r6(m.df.select("id", *cols, LS.bits("y").alias("bits")))
+
+    return fn
+
+
+QUERIES["v_userday"] = _view_q("v_userday", ["n_events", "sum_value", "first_hour", "f_n", "f_hour", "f_val"])
+QUERIES["v_order"] = _view_q("v_order", ["o_totalprice", "n_lines", "sum_qty", "f_prio", "f_status", "f_lines", "f_qty", "f_price"])
+QUERIES["v_tree"] = _view_q("v_tree", ["n_lines", "sum_qty", "f_prio", "f_status", "f_lines", "f_qty", "f_price"])
+QUERIES["v_doc"] = _view_q("v_doc", ["lang", "source", "n_chars", "f_len"])
+QUERIES["v_vec"] = _view_q("v_vec", ["label"])
+
+
+@query("v_target")
+def q_v_target(spark, d):
+    t = V.v_target(spark, d)
+    return r6(t.select("id", "o_totalprice", "n_lines", "prio", *[F.col("target")[j].alias(f"t{j}") for j in range(3)]))
+
+
+@query("ln_stacking")
+def q_ln_stacking(spark, d):
+    m, train = order_split(spark, d)
+    return _long_out(LN.stacking(m, train, folds=3))
+
+
+@query("ln_iblr")
+def q_ln_iblr(spark, d):
+    m, train = vec_split(spark, d)
+    return _long_out(LN.iblr(m, train, k=10))
+
+
+@query("ln_cluster_then_fit")
+def q_ln_cluster_then_fit(spark, d):
+    m, train = order_split(spark, d)
+    return _long_out(LN.cluster_then_fit(m, train, ["o_totalprice", "n_lines", "sum_qty"], k=5))
+
+
+@query("ln_css")
+def q_ln_css(spark, d):
+    m = V.v_tree(spark, d)
+    part = SP.holdout_split(m, pct=67.0, seed=3)
+    train = m.df.join(part.filter(F.col("part") == "train").select("id"), "id")
+    return _long_out(LN.css_learner(m, train, kappa=5))
+
+
+@query("tr_label_subset_css")
+def q_tr_label_subset_css(spark, d):
+    m = V.v_tree(spark, d)
+    chosen, lev, P = LN.css_select(m, kappa=5)
+    rows = [(int(c), int(j), float(P[i, j]), float(lev[c])) for i, c in enumerate(chosen) for j in range(m.L)]
+    return r6(spark.createDataFrame(rows, "chosen int, j int, projection double, leverage double"))
