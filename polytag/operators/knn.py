@@ -178,3 +178,53 @@ def select_k(train: DataFrame, L: int, kmax: int = 10, vec: str = "vec", ranges=
     h = x.groupBy(F.col("rank").alias("k")).agg((F.sum(wrong) / (F.count(F.lit(1)) * L)).alias("hamming_loss"))
     w2 = Window.orderBy("hamming_loss", "k")
     return h.withColumn("best", F.row_number().over(w2) == 1)
+
+
+# ------------------------------------------------------------------ DML-kNN
+
+
+def _count_key(c) -> F.Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+def predict_dmlknn(train: DataFrame, df: DataFrame, L: int, k: int = 10, s: float = 1.0, delta: int = 6, vec: str = "vec",
+                   ranges=None) -> DataFrame:
+    """(id, j, conf, bip).  Training rows vote for label q only when their neighbour-count vector is
+    within +-delta of the query's on *every* label and equal on label q:
+    in = prior_q (s + V_q) / (s L + C_q), out = (1 - prior_q) (s + NV_q) / (s L + NC_q).
+
+    Work happens on *distinct* count vectors (at most (k+1)^L, and at most the row count), so a hot
+    vector is one row: training vectors carry (rows, positives per label); query vectors meet them
+    in a band join keyed on the first two counts (query side exploded over the +-delta window, an
+    equi-join, no broadcast), the remaining labels are a filter."""
+    ranges = ranges or vector_ranges(train, vec)
+    n = train.count()
+    c = [int(x) for x in train.agg(F.array(*[F.sum(F.coalesce(F.col("y")[j], F.lit(0))) for j in range(L)]).alias("c")).first()["c"]]
+    prior = [(s + c[j]) / (s * 2 + n) for j in range(L)]
+    ci = neighbour_label_counts(knn(train, train, k, vec, exclude_self=True, ranges=ranges), train, L)
+    tv = ci.join(train.select(F.col("id").alias("qid"), "y"), "qid").groupBy("cnt").agg(
+        F.count(F.lit(1)).alias("nr"), F.array(*[F.sum(F.coalesce(F.get("y", F.lit(j)), F.lit(0))) for j in range(L)]).alias("pos"))
+    ct = neighbour_label_counts(knn(df, train, k, vec, exclude_self=False, ranges=ranges), train, L)
+    qv = ct.select(F.col("cnt").alias("qc")).distinct()
+    band = list(range(min(L, 2)))
+    tvk = tv.select("cnt", "nr", "pos", *[F.col("cnt")[b].alias(f"b{b}") for b in band])
+    qvk = qv
+    for b in band:
+        qvk = qvk.withColumn(f"b{b}", F.explode(F.sequence(F.greatest(F.col("qc")[b] - delta, F.lit(0)),
+                                                           F.least(F.col("qc")[b] + delta, F.lit(k)))))
+    pairs = qvk.join(tvk, [f"b{b}" for b in band]).filter(
+        F.forall(F.zip_with("cnt", "qc", lambda a, b: F.abs(a - b) <= delta), lambda ok: ok))
+    eq = [F.get("cnt", F.lit(q)) == F.get("qc", F.lit(q)) for q in range(L)]
+    votes = pairs.groupBy(_count_key(F.col("qc")).alias("ck")).agg(
+        F.array(*[F.sum(F.when(eq[q], F.get("pos", F.lit(q))).otherwise(0)) for q in range(L)]).alias("V"),
+        F.array(*[F.sum(F.when(eq[q], F.col("nr") - F.get("pos", F.lit(q))).otherwise(0)) for q in range(L)]).alias("NV"))
+    x = ct.select("qid", "cnt", _count_key(F.col("cnt")).alias("ck")).join(votes, "ck", "left")
+    x = x.select("qid", F.posexplode("cnt").alias("j", "d"), "V", "NV")
+    pr = F.get(F.array(*[F.lit(p) for p in prior]), F.col("j"))
+    cc = F.get(F.array(*[F.lit(float(v)) for v in c]), F.col("j"))
+    v = F.coalesce(F.get("V", F.col("j")), F.lit(0))
+    nv = F.coalesce(F.get("NV", F.col("j")), F.lit(0))
+    pin = pr * (F.lit(s) + v) / (F.lit(s * L) + cc)
+    pout = (F.lit(1.0) - pr) * (F.lit(s) + nv) / (F.lit(s * L) + (F.lit(float(n)) - cc))
+    conf = F.when(pin + pout == 0, pin).otherwise(pin / (pin + pout))
+    return x.select(F.col("qid").alias("id"), F.col("j").cast("int").alias("j"), conf.alias("conf"), (pin >= pout).cast("int").alias("bip"))

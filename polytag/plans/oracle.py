@@ -924,6 +924,24 @@ sql("ln_brknn", _brknn_sql("none"))
 sql("ln_brknn_a", _brknn_sql("a"))
 sql("ln_brknn_b", _brknn_sql("b"))
 
+sql("ln_dmlknn", _vec_ctes(_VEC_TR) + _nn("nt", "tr", "tr", 10, True) + _nn("na", "v_vec", "tr", 10, False) + """,
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr),
+lab AS (SELECT id, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS t FROM v_vec CROSS JOIN range(4) g(j)),
+cpos AS (SELECT j, CAST(sum(t) AS DOUBLE) AS c FROM lab WHERE id IN (SELECT id FROM tr) GROUP BY j),
+pri AS (SELECT j, c, (1.0 + c) / (2.0 + n.n) AS p, n.n - c AS nc FROM cpos CROSS JOIN n),
+ci AS (SELECT nt.qid AS id, l.j, sum(l.t) AS d FROM nt JOIN lab l ON l.id = nt.rid GROUP BY nt.qid, l.j),
+ct AS (SELECT na.qid AS id, l.j, sum(l.t) AS d FROM na JOIN lab l ON l.id = na.rid GROUP BY na.qid, l.j),
+ok AS (SELECT q.id AS qid, r.id AS rid FROM ct q JOIN ci r ON q.j = r.j GROUP BY q.id, r.id HAVING max(abs(q.d - r.d)) <= 6),
+vt AS (SELECT ok.qid, q.j, sum(CASE WHEN q.d = r.d AND l.t = 1 THEN 1 ELSE 0 END) AS v,
+              sum(CASE WHEN q.d = r.d AND l.t = 0 THEN 1 ELSE 0 END) AS nv
+       FROM ok JOIN ct q ON q.id = ok.qid JOIN ci r ON r.id = ok.rid AND r.j = q.j JOIN lab l ON l.id = ok.rid AND l.j = q.j
+       GROUP BY ok.qid, q.j),
+sc AS (SELECT ct.id, ct.j, pri.p * (1.0 + coalesce(vt.v, 0)) / (4.0 + pri.c) AS pin,
+              (1.0 - pri.p) * (1.0 + coalesce(vt.nv, 0)) / (4.0 + pri.nc) AS pout
+       FROM ct JOIN pri USING (j) LEFT JOIN vt ON vt.qid = ct.id AND vt.j = ct.j)
+SELECT id, CAST(j AS INTEGER) AS j, round(CASE WHEN pin + pout = 0 THEN pin ELSE pin / (pin + pout) END, 6) AS conf,
+       CAST(pin >= pout AS INTEGER) AS bip FROM sc""")
+
 sql("knn_select_k", _vec_ctes(_VEC_TR) + _nn("nt", "tr", "tr", 10, True) + """,
 n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tr),
 lab AS (SELECT id, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS t FROM v_vec CROSS JOIN range(4) g(j)),

@@ -657,6 +657,12 @@ QUERIES["ln_brknn_a"] = _brknn("a")
 QUERIES["ln_brknn_b"] = _brknn("b")
 
 
+@query("ln_dmlknn")
+def q_ln_dmlknn(spark, d):
+    m, train = vec_split(spark, d)
+    return r6(KN.predict_dmlknn(train, m.df, m.L, k=10, delta=6, vec="embedding"))
+
+
 @query("knn_select_k")
 def q_knn_select_k(spark, d):
     m, train = vec_split(spark, d)
