@@ -1274,3 +1274,57 @@ SELECT id, label, {bits_sql('y')} AS bits FROM v_vec""")
 sql("v_target", with_views("v_target") + """
 SELECT id, round(o_totalprice, 6) AS o_totalprice, round(n_lines, 6) AS n_lines, round(prio, 6) AS prio,
        round(target[1], 6) AS t0, round(target[2], 6) AS t1, round(target[3], 6) AS t2 FROM v_target""")
+
+
+# ---------------------------------------------------------------- 2.3 conditional dependence
+
+sql("conditional_dependence", with_views("v_userday") + f""",
+fo AS (SELECT id, CAST((_rk - 1) % 10 AS INTEGER) AS fold FROM {salted_rank_sql('v_userday', '', h_sql('id', 1))} r),
+x AS (SELECT v.id, fo.fold, v.y, CAST(f_n AS VARCHAR) AS f_n, CAST(f_hour AS VARCHAR) AS f_hour, CAST(f_val AS VARCHAR) AS f_val
+      FROM v_userday v JOIN fo USING (id)),
+fl AS (UNPIVOT (SELECT id, fold, f_n, f_hour, f_val FROM x) ON f_n, f_hour, f_val INTO NAME f VALUE v),
+folds AS (SELECT CAST(g.k AS INTEGER) AS fold FROM range(10) g(k)),
+lab AS (SELECT id, fold, CAST(g.i AS INTEGER) AS i, y[g.i + 1] AS t FROM x CROSS JOIN range(5) g(i) WHERE y[g.i + 1] IS NOT NULL),
+cf AS (SELECT l.fold, l.i, fl.f, fl.v, l.t, count(*) AS c FROM lab l JOIN fl USING (id) GROUP BY l.fold, l.i, fl.f, fl.v, l.t),
+ctot AS (SELECT i, f, v, t, sum(c) AS c FROM cf GROUP BY i, f, v, t),
+w AS (SELECT k.fold, a.i, a.f, a.v, a.t, ln(a.c - coalesce(b.c, 0) + 1.0) AS w
+      FROM folds k CROSS JOIN ctot a LEFT JOIN cf b ON b.fold = k.fold AND b.i = a.i AND b.f = a.f AND b.v = a.v AND b.t = a.t),
+vf AS (SELECT f, count(DISTINCT v) AS nv FROM cf GROUP BY f),
+cls AS (SELECT k.fold, CAST(g.i AS INTEGER) AS i, c.t FROM folds k CROSS JOIN range(5) g(i) CROSS JOIN (VALUES (0), (1)) c(t)),
+nf AS (SELECT fold, i, t, count(*) AS c FROM lab GROUP BY fold, i, t),
+ntt AS (SELECT i, t, sum(c) AS c FROM nf GROUP BY i, t),
+nt AS (SELECT cls.fold, cls.i, cls.t, CAST(coalesce(ntt.c, 0) - coalesce(nf.c, 0) AS DOUBLE) AS n
+       FROM cls LEFT JOIN ntt ON ntt.i = cls.i AND ntt.t = cls.t LEFT JOIN nf ON nf.fold = cls.fold AND nf.i = cls.i AND nf.t = cls.t),
+lg AS (SELECT nt.fold, nt.i, nt.t, sum(ln(nt.n + vf.nv)) AS lg FROM nt CROSS JOIN vf GROUP BY nt.fold, nt.i, nt.t),
+kc AS (SELECT nt.fold, nt.i, nt.t, ln((nt.n + 1.0) / (sum(nt.n) OVER (PARTITION BY nt.fold, nt.i) + 2.0)) - lg.lg AS kc
+       FROM nt JOIN lg USING (fold, i, t)),
+sw AS (SELECT fl.id, w.i, w.t, sum(w.w) AS w FROM fl JOIN w ON w.fold = fl.fold AND w.f = fl.f AND w.v = fl.v GROUP BY fl.id, w.i, w.t),
+s AS (SELECT x.id, x.fold, kc.i, kc.t, kc.kc + coalesce(sw.w, 0.0) AS s
+      FROM x JOIN kc ON kc.fold = x.fold LEFT JOIN sw ON sw.id = x.id AND sw.i = kc.i AND sw.t = kc.t),
+dl AS (SELECT s.id, s.fold, s.i, l.t AS yi, max(CASE WHEN s.t = 1 THEN s.s END) - max(CASE WHEN s.t = 0 THEN s.s END) AS delta
+       FROM s JOIN lab l ON l.id = s.id AND l.i = s.i GROUP BY s.id, s.fold, s.i, l.t),
+acc1 AS (SELECT fold, i, 100.0 * sum(CASE WHEN CAST(delta > 0 AS INTEGER) = yi THEN 1 ELSE 0 END) / count(*) AS acc FROM dl GROUP BY fold, i),
+pc AS (SELECT a.fold, a.i, a.t, b.i AS j, b.t AS v, count(*) AS c FROM lab a JOIN lab b ON a.id = b.id AND a.i <> b.i
+       GROUP BY a.fold, a.i, a.t, b.i, b.t),
+pt AS (SELECT i, t, j, v, sum(c) AS c FROM pc GROUP BY i, t, j, v),
+pg AS (SELECT cls.fold, cls.i, cls.t, CAST(g.j AS INTEGER) AS j, c.v FROM cls CROSS JOIN range(5) g(j) CROSS JOIN (VALUES (0), (1)) c(v)
+       WHERE g.j <> cls.i),
+po AS (SELECT pg.fold, pg.i, pg.t, pg.j, pg.v, ln((coalesce(pt.c, 0) - coalesce(pc.c, 0) + 1.0) / (nt.n + 2.0)) AS lp
+       FROM pg LEFT JOIN pt ON pt.i = pg.i AND pt.t = pg.t AND pt.j = pg.j AND pt.v = pg.v
+       LEFT JOIN pc ON pc.fold = pg.fold AND pc.i = pg.i AND pc.t = pg.t AND pc.j = pg.j AND pc.v = pg.v
+       JOIN nt ON nt.fold = pg.fold AND nt.i = pg.i AND nt.t = pg.t),
+gg AS (SELECT fold, i, j, v, max(CASE WHEN t = 1 THEN lp END) - max(CASE WHEN t = 0 THEN lp END) AS g FROM po GROUP BY fold, i, j, v),
+dd AS (SELECT dl.fold, dl.i, CAST(r.j AS INTEGER) AS j, dl.yi, dl.delta + coalesce(gg.g, 0.0) AS sc
+       FROM dl CROSS JOIN range(5) r(j)
+       LEFT JOIN lab b ON b.id = dl.id AND b.i = r.j
+       LEFT JOIN gg ON gg.fold = dl.fold AND gg.i = dl.i AND gg.j = r.j AND gg.v = b.t
+       WHERE r.j <> dl.i),
+acc2 AS (SELECT fold, i, j, 100.0 * sum(CASE WHEN CAST(sc > 0 AS INTEGER) = yi THEN 1 ELSE 0 END) / count(*) AS acc FROM dd GROUP BY fold, i, j),
+tt AS (SELECT a.i, a.j, avg(b.acc) AS a1, avg(a.acc) AS a2, var_pop(b.acc - a.acc) * count(*) AS vd, count(*) AS nf
+       FROM acc2 a JOIN acc1 b ON a.fold = b.fold AND a.i = b.i GROUP BY a.i, a.j),
+ts AS (SELECT i, j, CASE WHEN a1 - a2 > 1e-9 THEN -1.0
+                         ELSE abs(a1 - a2) * (CASE WHEN vd < 1e-12 THEN 0.0 ELSE sqrt(nf * (nf - 1) / vd) END) END AS score FROM tt)
+SELECT CAST(CASE WHEN f.score >= r.score THEN f.i ELSE r.i END AS INTEGER) AS label,
+       CAST(CASE WHEN f.score >= r.score THEN f.j ELSE r.j END AS INTEGER) AS given,
+       round(CASE WHEN f.score >= r.score THEN f.score ELSE r.score END, 6) AS score
+FROM ts f JOIN ts r ON f.i = r.j AND f.j = r.i WHERE f.i < f.j""")

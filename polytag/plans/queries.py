@@ -111,6 +111,13 @@ def q_label_cosine_distance(spark, d):
     return r6(ST.label_cosine_distance(V.v_order(spark, d)))
 
 
+@query("conditional_dependence")
+def q_conditional_dependence(spark, d):
+    from polytag.operators import dependence as DP
+
+    return r6(DP.conditional_dependence(V.v_userday(spark, d), k=10, seed=1))
+
+
 # ---------------------------------------------------------------- 2.2 projection, validation, label-set functions
 
 from polytag.frame import MLFrame  # noqa: E402
