@@ -959,6 +959,23 @@ SELECT CAST(k AS INTEGER) AS k, round(hamming_loss, 6) AS hamming_loss, row_numb
 
 _TH = with_views("v_userday") + scored_ctes("v_userday")
 
+sql("th_expected_measure", _TH + """,
+srt AS (SELECT id, j, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, j) AS r FROM sc),
+oc AS (SELECT srt.id, o.o, product(CASE WHEN ((o.o >> (srt.r - 1)) & 1) = 1 THEN srt.s ELSE 1 - srt.s END) AS pr
+       FROM srt CROSS JOIN range(32) o(o) GROUP BY srt.id, o.o),
+cnt AS (SELECT oc.id, oc.o, oc.pr, rr.R,
+               sum(CASE WHEN srt.r <= rr.R AND ((oc.o >> (srt.r - 1)) & 1) = 1 THEN 1 ELSE 0 END) AS a,
+               sum(CASE WHEN srt.r > rr.R AND ((oc.o >> (srt.r - 1)) & 1) = 1 THEN 1 ELSE 0 END) AS c
+        FROM oc JOIN srt ON srt.id = oc.id CROSS JOIN range(1, 6) rr(R) GROUP BY oc.id, oc.o, oc.pr, rr.R),
+ls AS (SELECT id, R, sum(pr * abs(1.0 - CASE WHEN a + (R - a) + c = 0 THEN 1.0 ELSE 2.0 * a / (2.0 * a + (R - a) + c) END)) AS loss
+       FROM cnt GROUP BY id, R),
+best AS (SELECT id, R FROM (SELECT id, R, row_number() OVER (PARTITION BY id ORDER BY round(loss, 10), R) AS k FROM ls) WHERE k = 1),
+thr AS (SELECT b.id, b.R, (max(CASE WHEN s.r = b.R THEN s.s END) + coalesce(max(CASE WHEN s.r = b.R + 1 THEN s.s END), 0.0)) / 2 AS t
+        FROM best b JOIN srt s ON s.id = b.id GROUP BY b.id, b.R)
+SELECT thr.id, CAST(thr.R AS INTEGER) AS n, round(thr.t, 6) AS threshold,
+       string_agg(CAST(CAST(srt.s >= thr.t AS INTEGER) AS VARCHAR), '' ORDER BY srt.j) AS bits
+FROM thr JOIN srt ON srt.id = thr.id GROUP BY thr.id, thr.R, thr.t""")
+
 sql("th_one", _TH + """,
 cnt AS (SELECT s AS c, t, count(*) AS n FROM sc GROUP BY s, t),
 g1 AS (SELECT CAST(k AS INTEGER) AS k, CAST(k AS DOUBLE) / 10 AS th FROM range(11) r(k)),

@@ -702,6 +702,13 @@ def q_th_expected_f(spark, d):
     return TH.expected_f(scored(spark, d), 5)
 
 
+@query("th_expected_measure")
+def q_th_expected_measure(spark, d):
+    s = scored(spark, d)
+    out = TH.expected_measure_cut(s, 5, "ex_fmeasure")
+    return r6(out.select("id", "n", "threshold", F.array_join(F.transform("bip", lambda b: b.cast("string")), "").alias("bits")))
+
+
 @query("th_predicted")
 def q_th_predicted(spark, d):
     return r6(TH.predicted_threshold_target(scored(spark, d)).select("id", "threshold", F.col("errors").cast("int").alias("errors")))
