@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from polytag.frame import MLFrame
 from polytag.functions import labelsets as LS
+from polytag.operators import nb as NB
 
 ROWS_PER_BUCKET = 1_000_000
 
@@ -98,3 +99,99 @@ def subset_sample(mlf: MLFrame, models: int = 10, pct: float = 67.0, seed: int =
     x = mlf.df.select(mlf.id_col, m)
     u = LS.stable_hash2(mlf.id_col, F.col("model"), seed) / F.lit(float(LS.MINSTD_M))
     return x.filter(u * 100 < F.lit(pct)).select(mlf.id_col, F.col("model").cast("int").alias("model"))
+
+
+# ------------------------------------------------------------------ iterative stratification
+
+
+def greedy_quota(D: list[int], C: list[int], n: int, step: int) -> list[int]:
+    """Fold counts of the greedy that puts each of ``n`` rows into the fold with the largest desire
+    D (then the largest total desire C, then the lowest fold index) and lowers both by ``step``.
+
+    Each fold's keys (D - step t, C - step t) fall strictly with t, so the greedy takes exactly the
+    n largest keys of all folds: find the n-th largest D-value x by bisection, take every key above
+    it and break the ties at x by (C, fold).  O(k log range); integers, so no float ties."""
+    k = len(D)
+    if n <= 0:
+        return [0] * k
+
+    def at_least(x):  # keys with D-value >= x
+        return sum((d - x) // step + 1 for d in D if d >= x)
+
+    lo, hi = min(D) - step * (n + 1), max(D)
+    while lo < hi:  # largest x with at_least(x) >= n
+        mid = (lo + hi + 1) // 2
+        if at_least(mid) >= n:
+            lo = mid
+        else:
+            hi = mid - 1
+    x = lo
+    q = [((d - x - 1) // step + 1) if d > x else 0 for d in D]
+    rest = n - sum(q)
+    tied = [f for f in range(k) if D[f] >= x and (D[f] - x) % step == 0]
+    tied.sort(key=lambda f: (-(C[f] - (D[f] - x)), f))
+    for f in tied[:rest]:
+        q[f] += 1
+    return q
+
+
+def iterative_stratification(mlf: MLFrame, k: int = 10, seed: int = 1) -> DataFrame:
+    """(id, fold): iterative stratification (Sechidis et al. 2011).  The label with the fewest
+    unassigned rows goes first; its rows are dealt to the folds that most want that label (then
+    that want the most rows), each row lowering its fold's desire for every label it carries; rows
+    with no label follow the total desire alone.
+
+    One round per label, no per-row loop: the fold quotas of the round come from ``greedy_quota``
+    on the driver (k numbers); Spark ranks the round's rows in a seeded random order (salted, so a
+    label holding a third of the rows is ranked by many tasks) and deals them by cumulative quota.
+    Each round's assignment is checkpointed and yields the k x L label sums that update the
+    desires.  Differences from the reference: exact ties go to the lower fold index instead of a
+    random one, and rows of a round are dealt in random order rather than file order."""
+    idc, L = mlf.id_col, mlf.L
+    x, n = NB.materialize(mlf.df.select(idc, mlf.y_col))
+    freq = [int(v or 0) for v in x.agg(F.array(*[F.sum(F.when(F.col(mlf.y_col)[j] == 1, 1).otherwise(0))
+                                                for j in range(L)]).alias("c")).first()["c"]]
+    # desires scaled by k so they stay integers: desire = count / k, one row = k units
+    D = [[freq[j] for j in range(L)] for _ in range(k)]
+    C = [n for _ in range(k)]
+    openc = list(freq)
+    done: list[int] = []
+    parts = []
+
+    def deal(rows: DataFrame, q: list[int]) -> DataFrame:
+        cum = [sum(q[:f + 1]) for f in range(k)]
+        r = salted_rank(rows, [], LS.stable_hash(idc, seed), idc)
+        bounds = F.array(*[F.lit(c) for c in cum])
+        return r.select(idc, mlf.y_col, F.size(F.filter(bounds, lambda b: b < F.col("_rk"))).cast("int").alias("fold"))
+
+    for _ in range(L):
+        cand = [j for j in range(L) if openc[j] > 0]
+        if not cand:
+            break
+        lab = min(cand, key=lambda j: (openc[j], j))
+        q = greedy_quota([D[f][lab] for f in range(k)], C, openc[lab], k)
+        cond = F.col(mlf.y_col)[lab] == 1
+        for j in done:
+            cond = cond & (F.coalesce(F.col(mlf.y_col)[j], F.lit(0)) != 1)
+        part, _ = NB.materialize(deal(x.filter(cond), q))
+        sums = part.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *[
+            F.sum(F.when(F.col(mlf.y_col)[j] == 1, 1).otherwise(0)).alias(f"s{j}") for j in range(L)]).collect()
+        for r in sums:
+            f = r["fold"]
+            C[f] -= k * r["n"]
+            for j in range(L):
+                D[f][j] -= k * r[f"s{j}"]
+                openc[j] -= r[f"s{j}"]
+        done.append(lab)
+        parts.append(part.select(idc, "fold"))
+    cond = F.lit(True)
+    for j in range(L):
+        cond = cond & (F.coalesce(F.col(mlf.y_col)[j], F.lit(0)) != 1)
+    rest = x.filter(cond)
+    n0 = rest.count()
+    if n0:
+        parts.append(deal(rest, greedy_quota(list(C), list(C), n0, k)).select(idc, "fold"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -355,6 +355,11 @@ def q_strat_label_powerset(spark, d):
     return SP.strat_label_powerset(V.v_order(spark, d), k=5, seed=2)
 
 
+@query("strat_iterative")
+def q_strat_iterative(spark, d):
+    return SP.iterative_stratification(V.v_order(spark, d), k=5, seed=2)
+
+
 @query("holdout_split")
 def q_holdout_split(spark, d):
     return SP.holdout_split(V.v_order(spark, d), pct=67.0, seed=3)
