@@ -622,6 +622,24 @@ def q_ln_rakel(spark, d):
     return _long_out(LN.predict_subsets(model, m.df, m.L))
 
 
+@query("ln_ensemble_partitions")
+def q_ln_ensemble_partitions(spark, d):
+    from polytag.operators import partitions as PT
+
+    m, train = order_split(spark, d)
+    return _long_out(PT.ensemble_of_partitions(m, train, m.df, m=10, diverse=True, seed=1))
+
+
+@query("label_groups_greedy")
+def q_label_groups_greedy(spark, d):
+    from polytag.operators import partitions as PT
+
+    m = V.v_userday(spark, d)
+    groups, _ = PT.greedy_label_clustering(m, m.df, folds=10, seed=1)
+    rows = [(j, gi, ",".join(str(x) for x in g)) for gi, g in enumerate(groups) for j in g]
+    return spark.createDataFrame(rows, "j int, grp int, members string")
+
+
 @query("predict_unlabelled")
 def q_predict_unlabelled(spark, d):
     m = V.v_doc(spark, d)

@@ -85,3 +85,52 @@ def test_dependence_scores_pairs_once(spark):
     pairs = {tuple(sorted((r["label"], r["given"]))) for r in out}
     assert len(out) == 10 and len(pairs) == 10
     assert all(r["score"] == -1.0 or r["score"] >= 0 for r in out)
+
+
+def _running_weight(partition, W, L):
+    """Literal running sum: a same-group set and an other-labels set grow as groups are visited;
+    each pair's weight is used once (then zeroed)."""
+    M = [row[:] for row in W]
+    same, other, wt = set(), set(), 0.0
+    for grp in partition:
+        for a in grp:
+            same.update(grp)
+            other.update(n for n in range(L) if n not in same)
+            for sset, sign in ((same, 1), (other, -1)):
+                for b in sorted(sset):
+                    i, j = (a, b) if a < b else (b, a)
+                    wt += sign * M[i][j]
+                    M[i][j] = 0.0
+    return wt
+
+
+def test_partition_weight_closed_form(spark):
+    from polytag.operators.partitions import groups_of, random_partitions, score_partitions
+
+    L = 6
+    rnd = random.Random(9)
+    W = [[0.0] * L for _ in range(L)]
+    w = {}
+    for i in range(L):
+        for j in range(i + 1, L):
+            W[i][j] = w[(i, j)] = rnd.uniform(-4, 3)
+    got = score_partitions(random_partitions(spark, L, 200, seed=4), w).collect()
+    seen_multi = False
+    for r in got:
+        raw = {}
+        for lab, g in enumerate(r["grp"]):
+            raw.setdefault(g, []).append(lab)
+        part = [raw[g] for g in sorted(raw)]
+        seen_multi |= 1 < len(part) < L
+        assert abs(r["weight"] - _running_weight(part, W, L)) < 1e-9
+        assert sorted(x for g in groups_of(list(r["grp"])) for x in g) == list(range(L))
+    assert seen_multi
+
+
+def test_diverse_selection_prefers_distant_partitions():
+    from polytag.operators.partitions import distance, select_diverse
+
+    cands = [[[0, 1], [2], [3]], [[0, 1, 2], [3]], [[0], [1], [2], [3]], [[0, 1], [2, 3]], [[0, 3], [1, 2]], [[0, 2], [1, 3]]]
+    assert distance(cands[0], cands[0], 4) == 0 and distance(cands[0], cands[1], 4) == 2
+    out = select_diverse(cands, 3, 4)
+    assert out[0] == cands[0] and len(out) == 3
