@@ -42,7 +42,8 @@ def cosine_pm1(N: int, G: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------ k-modes with cosine similarity
 
 
-def kmodes_cosine(mlf: MLFrame, k: int = 3, iters: int = 100, max_change: int = 0, seed: int = 1) -> DataFrame:
+def kmodes_cosine(mlf: MLFrame, k: int = 3, iters: int = 100, max_change: int = 0, seed: int = 1,
+                  init: list[list[tuple[int, int]]] | None = None) -> DataFrame:
     """(j, cluster, pos): cosine k-modes over the +-1 label columns.
 
     A centre is a sign vector over rows; it is stored as its member labels and their signs and
@@ -60,7 +61,7 @@ def kmodes_cosine(mlf: MLFrame, k: int = 3, iters: int = 100, max_change: int =
         score = np.min(np.abs(cos[:, seeds]), axis=1)
         score[seeds] = np.inf
         seeds.append(int(np.argmin(score)))
-    centres = [[(s, 1)] for s in seeds]
+    centres = [list(c) for c in init] if init else [[(s, 1)] for s in seeds]
     counts = ST.labelset_counts(mlf).select("y", "count").cache()
     assign = [-1] * L
     dist = np.zeros(L)
@@ -93,6 +94,48 @@ def kmodes_cosine(mlf: MLFrame, k: int = 3, iters: int = 100, max_change: int =
     return mlf.df.sparkSession.createDataFrame(rows, "j int, cluster int, pos int")
 
 
+# ------------------------------------------------------------------ k-means|| style seeding by cost
+
+
+def _cos_cost(cos: np.ndarray) -> np.ndarray:
+    """-ln|cos| with a zero cosine replaced by the smallest positive double."""
+    c = np.where(cos == 0, np.finfo(float).tiny, cos)
+    return -np.log(np.abs(c))
+
+
+def sample_by_cost(mlf: MLFrame, k: int = 3, steps: int = 2, seed: int = 1) -> list[list[tuple[int, int]]]:
+    """Initial k-modes centres over the +-1 label columns, k-means|| style: start from a seeded
+    random label; for ``steps`` rounds every label's cost is its smallest -ln|cos| to a centre and
+    each label becomes a centre with probability 2 k cost / sum(cost).  When more than k distinct
+    centres result, a 10-iteration k-modes over those candidate labels merges them into k centres.
+    Centres are returned as (label, sign) member lists.  Costs come from the L x L cosine table
+    (one Spark aggregation over the rows); nothing row-sized reaches the driver."""
+    L = mlf.L
+    N, G = gram(mlf)
+    D = _cos_cost(cosine_pm1(N, G))
+    rnd = random.Random(seed)
+    centres = [rnd.randrange(L)]
+    costs = np.full(L, np.inf)
+    new = list(centres)
+    for _ in range(steps):
+        costs = np.minimum(costs, D[new, :].min(axis=0))
+        total = float(costs.sum())
+        chosen = [j for j in range(L) if total > 0 and rnd.random() < 2.0 * k * costs[j] / total]
+        centres += chosen
+        new = list(dict.fromkeys(centres))
+    distinct = list(dict.fromkeys(centres))
+    if len(distinct) <= k:
+        return [[(j, 1)] for j in distinct]
+    sub = MLFrame(mlf.df.select(mlf.id_col, F.array(*[F.col(mlf.y_col)[j] for j in distinct]).alias(mlf.y_col)),
+                  tuple(mlf.labels[j] for j in distinct), (), mlf.id_col, mlf.y_col)
+    cl = kmodes_cosine(sub, k=k, iters=10, max_change=0, seed=seed).collect()
+    groups = {}
+    for r in cl:
+        groups.setdefault(r["cluster"], []).append(distinct[r["j"]])
+    # a centre is the sign vector of its members' sum; members enter with sign +1
+    return [[(j, 1) for j in sorted(g)] for _, g in sorted(groups.items())]
+
+
 # ------------------------------------------------------------------ kernel k-means on the Gram matrix
 
 

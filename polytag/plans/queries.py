@@ -943,6 +943,19 @@ def q_rg_compare(spark, d):
 from polytag.operators import cluster as CL  # noqa: E402
 
 
+@query("sample_by_cost")
+def q_sample_by_cost(spark, d):
+    cen = CL.sample_by_cost(V.v_tree(spark, d), k=3, steps=2, seed=5)
+    rows = [(c, j, sg) for c, mem in enumerate(cen) for j, sg in mem]
+    return spark.createDataFrame(rows, "center int, j int, sign int")
+
+
+@query("label_kmodes_parallel_init")
+def q_label_kmodes_parallel_init(spark, d):
+    m = V.v_tree(spark, d)
+    return CL.kmodes_cosine(m, k=3, iters=100, init=CL.sample_by_cost(m, k=3, steps=2, seed=5))
+
+
 @query("label_kmodes_cosine")
 def q_label_kmodes_cosine(spark, d):
     return CL.kmodes_cosine(V.v_tree(spark, d), k=3, iters=100)
