@@ -693,6 +693,27 @@ def q_ln_dmlknn(spark, d):
     return r6(KN.predict_dmlknn(train, m.df, m.L, k=10, delta=6, vec="embedding"))
 
 
+@query("ln_ranking_perceptron")
+def q_ln_ranking_perceptron(spark, d):
+    from polytag.operators import neural as NN
+
+    m, train = vec_split(spark, d)
+    W = NN.fit_ranking_perceptron(train, m.L, vec="embedding", rule="uniform", epochs=10)
+    return _long_out(NN.linear_scores(W, m.df, vec="embedding"), with_bip=False)
+
+
+@query("ln_ranking_net")
+def q_ln_ranking_net(spark, d):
+    from polytag.operators import neural as NN
+
+    m, train = vec_split(spark, d)
+    model = NN.fit_ranking_net(train, m.L, vec="embedding", epochs=100)
+    w, _ = TH.linear_threshold_function(NN.net_scores(model, train, vec="embedding").join(train.select("id", "y"), "id"), m.L)
+    s = NN.net_scores(model, m.df, vec="embedding")
+    t = sum((F.get("conf", F.lit(j)) * float(w[j]) for j in range(m.L)), F.lit(float(w[m.L])))
+    return _long_out(s.withColumn("bip", F.transform("conf", lambda c: (c >= t).cast("int"))))
+
+
 @query("knn_select_k")
 def q_knn_select_k(spark, d):
     m, train = vec_split(spark, d)

@@ -134,3 +134,37 @@ def test_diverse_selection_prefers_distant_partitions():
     assert distance(cands[0], cands[0], 4) == 0 and distance(cands[0], cands[1], 4) == 2
     out = select_diverse(cands, 3, 4)
     assert out[0] == cands[0] and len(out) == 3
+
+
+def test_ranking_net_gradient_matches_finite_differences():
+    from polytag.operators.neural import net_error, net_gradient
+
+    g = np.random.default_rng(0)
+    X = np.hstack([g.uniform(-1, 1, (7, 4)), np.ones((7, 1))])
+    Y = (g.random((7, 3)) < 0.5).astype(float)
+    Y[0] = [1, 1, 1]  # no irrelevant label: carries no error
+    W1, W2 = g.normal(0, 0.5, (5, 2)), g.normal(0, 0.5, (3, 3))
+    G1, G2, _ = net_gradient(X, Y, W1, W2)
+    eps = 1e-6
+    for W, G in ((W1, G1), (W2, G2)):
+        for idx in np.ndindex(W.shape):
+            W[idx] += eps
+            up = net_error(X, Y, W1, W2)
+            W[idx] -= 2 * eps
+            dn = net_error(X, Y, W1, W2)
+            W[idx] += eps
+            assert abs((up - dn) / (2 * eps) - G[idx]) < 1e-5
+
+
+def test_perceptron_rules_move_violating_pairs_apart():
+    from polytag.operators.neural import _mmp_step, _ranking_loss
+
+    for rule in ("uniform", "max", "random"):
+        W = np.zeros((3, 3))
+        x = np.array([1.0, 2.0, 1.0])
+        y = np.array([1.0, 0.0, 1.0])
+        rng = np.random.default_rng(1)
+        before = _ranking_loss(W @ x, y)
+        for _ in range(5):
+            _mmp_step(W, x, y, rule, rng)
+        assert before > 0 and _ranking_loss(W @ x, y) == 0
