@@ -667,14 +667,16 @@ def stacking(mlf: MLFrame, train: DataFrame, folds: int = 3, seed: int = 1, incl
     oof = out_of_fold_br(mlf, train, folds, seed)
     tr2 = train.join(oof, mlf.id_col)
     feats = list(mlf.features) if include_features else []
-    base = NB.feature_pairs(feats) if feats else F.array().cast("array<struct<f:string,v:string>>")
-    rows = tr2.select(F.concat(base, conf_bins("conf", mlf.L)).alias("_fv"), F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
+    fv_type = "array<struct<f:string,v:string>>"
+    base = (NB.feature_pairs(feats) if feats else F.array()).cast(fv_type)
+    bins = conf_bins("conf", mlf.L).cast(fv_type)
+    rows = tr2.select(F.concat(base, bins).alias("_fv"), F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
     spark = train.sparkSession
     classes = _binary_classes(spark, spark.range(mlf.L).select(F.col("id").cast("int").alias("j")))
     lvl2 = NB.fit_nb(rows.withColumn("j", F.col("j").cast("int")), ["j"], feats, classes, pairs="_fv")
     full = to_arrays(predict_br(fit_br(mlf, train), mlf.df), ("conf",))
     x = mlf.df.join(full, mlf.id_col)
-    fl = x.select(mlf.id_col, F.explode(F.concat(base, conf_bins("conf", mlf.L))).alias("p")).select(mlf.id_col, "p.f", "p.v")
+    fl = x.select(mlf.id_col, F.explode(F.concat(base, bins)).alias("p")).select(mlf.id_col, "p.f", "p.v")
     m = fl.join(NB.maybe_broadcast(lvl2.weights, lvl2.n_weights), ["f", "v"]).select(mlf.id_col, "j", "t", F.col("w").alias("x"))
     cst = mlf.df.select(mlf.id_col, F.explode(lvl2.const_array()).alias("c")).select(mlf.id_col, "c.j", "c.t", F.col("c.kc").alias("x"))
     s = m.unionByName(cst).groupBy(mlf.id_col, "j").agg(F.sum(F.when(F.col("t") == 1, F.col("x"))).alias("s1"),

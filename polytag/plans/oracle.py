@@ -582,15 +582,26 @@ SELECT round(avg(h), 6) AS hierarchical_loss FROM per""")
 
 # ---------------------------------------------------------------- 2.7 learners: naive Bayes in SQL
 
-def nb_sql(keys: list[str], rows: str, rfl: str, classes: str, sfl: str, srows: str, p: str, wcol: str | None = None) -> str:
+def nb_sql(keys: list[str], rows: str, rfl: str, classes: str, sfl: str, srows: str, p: str, wcol: str | None = None,
+           key_sfl: str | None = None) -> str:
     """CTEs fitting count-based naive Bayes for every key and scoring every row.
 
     rows(keys, id, t): model rows; rfl(keys, id, t, f, v): their feature pairs; classes(keys, t);
     sfl(id, f, v): feature pairs of the rows to score; srows(id): rows to score.  Produces
-    {p}_score(id, keys, t, s).  CTE names are prefixed with ``p``."""
+    {p}_score(id, keys, t, s).  CTE names are prefixed with ``p``.  ``key_sfl(id, keys, f, v)``
+    optionally adds feature pairs that belong to one model key only."""
     K = ", ".join(keys)
     kj = " AND ".join(f"a.{k} = b.{k}" for k in keys)
     cnt = f"sum(CAST({wcol} AS DOUBLE))" if wcol else "count(*)"
+    wk = ", ".join("w." + k for k in keys)
+    if key_sfl is None:
+        scw = f"""{p}_scw AS (SELECT s.id, {wk}, w.t, sum(w.w) AS w FROM {sfl} s JOIN {p}_wt w ON w.f = s.f AND w.v = s.v
+            GROUP BY s.id, {wk}, w.t)"""
+    else:
+        kk = " AND ".join(f"w.{k} = s.{k}" for k in keys)
+        scw = f"""{p}_scw0 AS (SELECT s.id, {wk}, w.t, w.w FROM {sfl} s JOIN {p}_wt w ON w.f = s.f AND w.v = s.v
+             UNION ALL SELECT s.id, {wk}, w.t, w.w FROM {key_sfl} s JOIN {p}_wt w ON w.f = s.f AND w.v = s.v AND {kk}),
+{p}_scw AS (SELECT id, {K}, t, sum(w) AS w FROM {p}_scw0 GROUP BY id, {K}, t)"""
     return f""",
 {p}_cnt AS (SELECT {K}, f, v, t, {cnt} AS c FROM {rfl} GROUP BY {K}, f, v, t),
 {p}_nt0 AS (SELECT {K}, t, {cnt} AS n FROM {rows} GROUP BY {K}, t),
@@ -605,8 +616,7 @@ def nb_sql(keys: list[str], rows: str, rfl: str, classes: str, sfl: str, srows:
   SELECT {", ".join("a." + k for k in keys)}, a.t, ln((a.n + 1.0) / (b.N + b.KK)) - coalesce(c.lg, 0.0) AS kc
   FROM {p}_nt a JOIN {p}_tot b ON {kj} LEFT JOIN {p}_lg c ON {" AND ".join(f"a.{k} = c.{k}" for k in keys)} AND a.t = c.t),
 {p}_wt AS (SELECT {K}, f, v, t, ln(c + 1.0) AS w FROM {p}_cnt),
-{p}_scw AS (SELECT s.id, {", ".join("w." + k for k in keys)}, w.t, sum(w.w) AS w FROM {sfl} s JOIN {p}_wt w ON w.f = s.f AND w.v = s.v
-            GROUP BY s.id, {", ".join("w." + k for k in keys)}, w.t),
+{scw},
 {p}_score AS (
   SELECT r.id, {", ".join("a." + k for k in keys)}, a.t, a.kc + coalesce(b.w, 0.0) AS s
   FROM {srows} r CROSS JOIN {p}_kc a LEFT JOIN {p}_scw b ON b.id = r.id AND {kj} AND a.t = b.t)"""
@@ -698,6 +708,72 @@ rec AS (
 SELECT id, CAST(g.j AS INTEGER) AS j, round(confs[g.j + 1], 6) AS conf, preds[g.j + 1] AS bip
 FROM rec CROSS JOIN range(6) g(j) WHERE k = 6""")
 
+def _two_stage_tail(dec: str) -> str:
+    return f""",
+brc AS (SELECT id, j, conf, bip FROM br_pred),
+pv AS (
+  SELECT d.id, d.a, d.b,
+    CASE WHEN ca.conf > 0.2 AND cb.conf > 0.2 THEN CAST(d.a_wins AS INTEGER) WHEN ca.conf > 0.2 THEN 1 ELSE 0 END AS va,
+    CASE WHEN ca.conf > 0.2 AND cb.conf > 0.2 THEN CAST(NOT d.a_wins AS INTEGER) WHEN ca.conf > 0.2 THEN 0 WHEN cb.conf > 0.2 THEN 1 ELSE 0 END AS vb,
+    CASE WHEN ca.conf <= 0.2 AND cb.conf <= 0.2 THEN 1 ELSE 0 END AS nv
+  FROM {dec} d JOIN brc ca ON ca.id = d.id AND ca.j = d.a JOIN brc cb ON cb.id = d.id AND cb.j = d.b),
+lv AS (
+  SELECT c.id, c.j, c.conf, c.bip,
+    c.bip + coalesce((SELECT sum(CASE WHEN pv.a = c.j THEN va ELSE vb END) FROM pv WHERE pv.id = c.id AND (pv.a = c.j OR pv.b = c.j)), 0) AS v,
+    coalesce((SELECT sum(nv) FROM pv WHERE pv.id = c.id AND (pv.a = c.j OR pv.b = c.j)), 0) AS novote
+  FROM brc c),
+virt AS (SELECT id, sum(1 - bip) AS vt FROM brc GROUP BY id)
+SELECT id, CAST(j AS INTEGER) AS j,
+  round(CASE WHEN v >= vt THEN CAST(v AS DOUBLE) / (6 - novote) ELSE conf / 6.0 END, 6) AS conf,
+  CAST(v >= vt AS INTEGER) AS bip
+FROM lv JOIN virt USING (id)"""
+
+
+_BINS = """,
+cbin AS (SELECT id, j, CAST(CAST(least(floor(conf * 10), 9) AS INTEGER) AS VARCHAR) AS v FROM br_pred),
+tc_rows AS (SELECT a.j AS a, b.j AS b, a.id, a.t FROM br_rows a JOIN br_rows b ON a.id = b.id AND a.j < b.j AND a.t <> b.t),
+tc_cls AS (SELECT DISTINCT a, b, c.t FROM tc_rows CROSS JOIN (VALUES (0), (1)) c(t))"""
+
+sql("ln_two_stage_chain", _ORDER_TRAIN + _BINS + """,
+cbv AS (SELECT id, 'c' || CAST(j AS VARCHAR) AS f, v FROM cbin),
+tc_rfl AS (SELECT r.a, r.b, r.id, r.t, fl.f, fl.v FROM tc_rows r JOIN fl USING (id)
+           UNION ALL SELECT r.a, r.b, r.id, r.t, c.f, c.v FROM tc_rows r JOIN cbv c USING (id)),
+tc_sfl AS (SELECT id, f, v FROM fl_all UNION ALL SELECT id, f, v FROM cbv)""" + nb_sql(
+    ["a", "b"], "tc_rows", "tc_rfl", "tc_cls", "tc_sfl", "allrows", "tc") + """,
+tc_dec AS (SELECT id, a, b, max(CASE WHEN t = 1 THEN s END) >= max(CASE WHEN t = 0 THEN s END) AS a_wins FROM tc_score GROUP BY id, a, b)"""
+    + _two_stage_tail("tc_dec"))
+
+sql("ln_two_stage_pruned_chain", _ORDER_TRAIN + _BINS + """,
+tc_rfl AS (SELECT r.a, r.b, r.id, r.t, fl.f, fl.v FROM tc_rows r JOIN fl USING (id)
+           UNION ALL SELECT r.a, r.b, r.id, r.t, 'ca', c.v FROM tc_rows r JOIN cbin c ON c.id = r.id AND c.j = r.a
+           UNION ALL SELECT r.a, r.b, r.id, r.t, 'cb', c.v FROM tc_rows r JOIN cbin c ON c.id = r.id AND c.j = r.b),
+tc_pairs AS (SELECT DISTINCT a, b FROM tc_rows),
+tc_ksfl AS (SELECT r.id, p.a, p.b, 'ca' AS f, c.v FROM allrows r CROSS JOIN tc_pairs p JOIN cbin c ON c.id = r.id AND c.j = p.a
+            UNION ALL SELECT r.id, p.a, p.b, 'cb', c.v FROM allrows r CROSS JOIN tc_pairs p JOIN cbin c ON c.id = r.id AND c.j = p.b)""" + nb_sql(
+    ["a", "b"], "tc_rows", "tc_rfl", "tc_cls", "fl_all", "allrows", "tc", key_sfl="tc_ksfl") + """,
+tc_dec AS (SELECT id, a, b, max(CASE WHEN t = 1 THEN s END) >= max(CASE WHEN t = 0 THEN s END) AS a_wins FROM tc_score GROUP BY id, a, b)"""
+    + _two_stage_tail("tc_dec"))
+
+sql("ln_stacking", _ORDER_TRAIN + f""",
+st_fold AS (SELECT id, CAST({h_sql('id', 1)} % 3 AS INTEGER) AS fold FROM tr),
+k_rows AS (SELECT CAST(f.k AS INTEGER) AS fold, r.j, r.id, r.t FROM br_rows r JOIN st_fold sf USING (id) CROSS JOIN range(3) f(k)
+           WHERE f.k <> sf.fold),
+k_rfl AS (SELECT r.fold, r.j, r.id, r.t, fl.f, fl.v FROM k_rows r JOIN fl USING (id)),
+k_cls AS (SELECT CAST(f.k AS INTEGER) AS fold, CAST(g.j AS INTEGER) AS j, c.t FROM range(3) f(k) CROSS JOIN range(6) g(j)
+          CROSS JOIN (VALUES (0), (1)) c(t)),
+k_srows AS (SELECT id FROM tr)""" + nb_sql(["fold", "j"], "k_rows", "k_rfl", "k_cls", "fl", "k_srows", "k") + """,
+oof AS (SELECT s.id, s.j, 1.0 / (1.0 + exp(max(CASE WHEN s.t = 0 THEN s.s END) - max(CASE WHEN s.t = 1 THEN s.s END))) AS conf
+        FROM k_score s JOIN st_fold sf ON sf.id = s.id AND sf.fold = s.fold GROUP BY s.id, s.j),
+oofb AS (SELECT id, 'c' || CAST(j AS VARCHAR) AS f, CAST(CAST(least(floor(conf * 10), 9) AS INTEGER) AS VARCHAR) AS v FROM oof),
+l2_rfl AS (SELECT r.j, r.id, r.t, fl.f, fl.v FROM br_rows r JOIN fl USING (id)
+           UNION ALL SELECT r.j, r.id, r.t, o.f, o.v FROM br_rows r JOIN oofb o USING (id)),
+fullb AS (SELECT id, 'c' || CAST(j AS VARCHAR) AS f, CAST(CAST(least(floor(conf * 10), 9) AS INTEGER) AS VARCHAR) AS v FROM br_pred),
+l2_sfl AS (SELECT id, f, v FROM fl_all UNION ALL SELECT id, f, v FROM fullb)""" + nb_sql(
+    ["j"], "br_rows", "l2_rfl", "br_cls", "l2_sfl", "allrows", "l2") + """,
+l2p AS (SELECT id, j, max(CASE WHEN t = 1 THEN s END) AS s1, max(CASE WHEN t = 0 THEN s END) AS s0 FROM l2_score GROUP BY id, j)
+SELECT id, CAST(j AS INTEGER) AS j, round(1.0 / (1.0 + exp(s0 - s1)), 6) AS conf, CAST(s1 >= s0 AS INTEGER) AS bip FROM l2p""")
+
+
 sql("ln_two_stage_voting", _ORDER_PW + """,
 brc AS (SELECT id, j, conf, bip FROM br_pred),
 pv AS (
