@@ -54,6 +54,9 @@ def predict_br(model: NB.NBModel, df: DataFrame, id_col: str = "id") -> DataFram
 # ------------------------------------------------------------------ label powerset
 
 
+TUPLE_CELLS = 20_000_000  # broadcast budget for per-tuple posterior tables (tuples x classes)
+
+
 def fit_lp(mlf: MLFrame, train: DataFrame | None = None, pruned: DataFrame | None = None) -> NB.NBModel:
     """One multi-class model over the label sets seen (class = bit string).  ``pruned`` optionally
     maps (bits -> new_bits) for pruned-set variants: a row of a rare set becomes one row per new set."""
@@ -73,12 +76,20 @@ def predict_lp(model: NB.NBModel, df: DataFrame, L: int, conf_mode: int = 1, see
     containing the label.  With ``threshold`` the bipartition is conf > threshold."""
     classes = sorted({r["t"] for r in model.const})
     cidx = F.create_map(*[x for i, b in enumerate(classes) for x in (F.lit(b), F.lit(i))])
-    s = NB.nb_scores(model, df, id_col)
-    g = s.groupBy(id_col).agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
+    # Scores depend only on the feature values: score each distinct feature tuple once (the
+    # posterior array of all classes), then join the rows back; only the seeded tie-break uses
+    # the row id.  The tuple table is broadcast only under a cell budget (tuples x classes).
+    fk = F.to_json(F.struct(*[F.col(f) for f in model.features]))
+    tup = df.select(fk.alias("_fk"), *model.features).dropDuplicates(["_fk"])
+    s = NB.nb_scores(model, tup, "_fk")
+    g = s.groupBy("_fk").agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
     # unnormalised posteriors e = exp(s - max); every confidence divides by the row's sum once
-    g = g.select(id_col, F.transform("cs", lambda e: F.struct(e["t"].alias("t"), F.exp(e["s"] - F.col("mx")).alias("e"),
-                                                             (e["s"] == F.col("mx")).alias("top"))).alias("ps"))
-    g = g.select(id_col, "ps", F.aggregate("ps", F.lit(0.0), lambda a, e: a + e["e"]).alias("norm"))
+    g = g.select("_fk", F.transform("cs", lambda e: F.struct(e["t"].alias("t"), F.exp(e["s"] - F.col("mx")).alias("e"),
+                                                            (e["s"] == F.col("mx")).alias("top"))).alias("ps"))
+    g = g.select("_fk", "ps", F.aggregate("ps", F.lit(0.0), lambda a, e: a + e["e"]).alias("norm"))
+    g, n_tup = NB.materialize(g)
+    side = F.broadcast(g) if n_tup * max(1, len(classes)) <= TUPLE_CELLS else g
+    g = df.select(id_col, fk.alias("_fk")).join(side, "_fk").drop("_fk")
     idc = F.col(id_col)
     best = F.array_min(F.transform(F.filter("ps", lambda e: e["top"]),
                                    lambda e: F.struct(LS.stable_hash2(idc, F.element_at(cidx, e["t"]), seed).alias("h"),
