@@ -106,12 +106,26 @@ def nb_scores(model: NBModel, df: DataFrame, id_col: str = "id") -> DataFrame:
     return m.unionByName(base).groupBy(id_col, *model.keys, "t").agg(F.sum("x").alias("s"))
 
 
+def feature_key(features) -> F.Column:
+    """A null-safe string key of a row's feature values (rows with equal features score equally)."""
+    return F.to_json(F.struct(*[F.col(f) for f in features]))
+
+
 def nb_binary_scores(model: NBModel, df: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, *keys, p1): probability of class 1 for every binary model key; one shuffle on (id, keys)."""
-    fl = df.select(id_col, F.explode(feature_pairs(model.features)).alias("p")).select(id_col, "p.f", "p.v")
-    m = fl.join(maybe_broadcast(model.weights, model.n_weights), ["f", "v"]).select(id_col, *model.keys, "t", F.col("w").alias("x"))
-    base = df.select(id_col, F.explode(model.const_array()).alias("c")).select(
-        id_col, *[F.col(f"c.{k}").alias(k) for k in model.keys], F.col("c.t").alias("t"), F.col("c.kc").alias("x"))
-    g = m.unionByName(base).groupBy(id_col, *model.keys).agg(
+    """(id, *keys, s0, s1, p1): scores and probability of class 1 for every binary model key.
+
+    Scores depend only on the feature values, so every *distinct* feature tuple is scored once
+    (explode, weight join and one grouped sum over tuples instead of rows); the scored tuple table
+    is checkpointed and joined back to the rows, broadcast only when its counted size is under
+    ``BROADCAST_ROWS``."""
+    tup = df.select(feature_key(model.features).alias("_fk"), *model.features).dropDuplicates(["_fk"])
+    fl = tup.select("_fk", F.explode(feature_pairs(model.features)).alias("p")).select("_fk", "p.f", "p.v")
+    m = fl.join(maybe_broadcast(model.weights, model.n_weights), ["f", "v"]).select("_fk", *model.keys, "t", F.col("w").alias("x"))
+    base = tup.select("_fk", F.explode(model.const_array()).alias("c")).select(
+        "_fk", *[F.col(f"c.{k}").alias(k) for k in model.keys], F.col("c.t").alias("t"), F.col("c.kc").alias("x"))
+    g = m.unionByName(base).groupBy("_fk", *model.keys).agg(
         F.sum(F.when(F.col("t") == 1, F.col("x"))).alias("s1"), F.sum(F.when(F.col("t") == 0, F.col("x"))).alias("s0"))
-    return g.select(id_col, *model.keys, "s0", "s1", (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("s0") - F.col("s1")))).alias("p1"))
+    g, n = materialize(g.select("_fk", *model.keys, "s0", "s1",
+                                (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("s0") - F.col("s1")))).alias("p1")))
+    rows = df.select(id_col, feature_key(model.features).alias("_fk"))
+    return rows.join(maybe_broadcast(g, n), "_fk").drop("_fk")
