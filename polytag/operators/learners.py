@@ -138,7 +138,11 @@ def fit_cc(mlf: MLFrame, chain: list[int] | None = None, train: DataFrame | None
 def predict_cc(model: NB.NBModel, df: DataFrame, L: int, id_col: str = "id") -> DataFrame:
     """(id, conf ARRAY, bip ARRAY) in label order.  The chain runs as one ``aggregate`` over the links
     with a literal coefficient array: state = predictions so far; link k adds the weights of the
-    *predicted* earlier labels.  The plan stays flat whatever the chain length."""
+    *predicted* earlier labels.  The plan stays flat whatever the chain length.  The chain runs
+    once per distinct feature tuple (its output depends only on the features); rows join back."""
+    rows = df.select(id_col, NB.feature_key(model.features).alias("_fk"))
+    df = df.select(NB.feature_key(model.features).alias("_fk"), *model.features).dropDuplicates(["_fk"])
+    row_id, id_col = id_col, "_fk"
     chain = model.chain  # type: ignore[attr-defined]
     n = len(chain)
     base_w = model.weights.filter(~F.col("f").startswith("__lab"))
@@ -178,7 +182,9 @@ def predict_cc(model: NB.NBModel, df: DataFrame, L: int, id_col: str = "id") ->
         )
 
     res = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), init, step)
-    return g.select(id_col, res["conf"].alias("conf"), F.transform(res["pred"], lambda v: F.greatest(v, F.lit(0))).alias("bip"))
+    out, n_tup = NB.materialize(g.select(id_col, res["conf"].alias("conf"),
+                                         F.transform(res["pred"], lambda v: F.greatest(v, F.lit(0))).alias("bip")))
+    return rows.join(NB.maybe_broadcast(out, n_tup), "_fk").select(row_id, "conf", "bip")
 
 
 # ------------------------------------------------------------------ pairwise family
