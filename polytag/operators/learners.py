@@ -31,6 +31,16 @@ def to_arrays(long: DataFrame, cols=("conf",), id_col: str = "id") -> DataFrame:
     return g.select(id_col, *[F.transform("_a", field(c)).alias(c) for c in cols])
 
 
+def on_feature_tuples(features, df: DataFrame, id_col: str, fn) -> DataFrame:
+    """Run a prediction whose output depends only on the feature values once per distinct feature
+    tuple (``fn(tuples, key_col)``), checkpoint it and join the rows back (broadcast only under the
+    counted-size limit)."""
+    rows = df.select(id_col, NB.feature_key(features).alias("_fk"))
+    tup = df.select(NB.feature_key(features).alias("_fk"), *features).dropDuplicates(["_fk"])
+    out, n = NB.materialize(fn(tup, "_fk"))
+    return rows.join(NB.maybe_broadcast(out, n), "_fk").drop("_fk")
+
+
 # ------------------------------------------------------------------ binary relevance
 
 
@@ -217,11 +227,20 @@ def pairwise_votes(model: NB.NBModel, df: DataFrame, L: int, soft: bool = False,
 
 def predict_pairwise(model: NB.NBModel, df: DataFrame, L: int, soft: bool = False, id_col: str = "id") -> DataFrame:
     """(id, conf ARRAY): votes / (L - 1); a ranking-only output."""
+    return on_feature_tuples(model.features, df, id_col, lambda t, k: _predict_pairwise(model, t, L, soft, k))
+
+
+def _predict_pairwise(model: NB.NBModel, df: DataFrame, L: int, soft: bool, id_col: str) -> DataFrame:
     v = pairwise_votes(model, df, L, soft, id_col)
     return v.select(id_col, F.transform("votes", lambda x: x / F.lit(float(L - 1))).alias("conf"))
 
 
 def predict_clr(br: NB.NBModel, pw: NB.NBModel, df: DataFrame, L: int, soft: bool = False, id_col: str = "id") -> DataFrame:
+    """Calibrated label ranking (see ``_predict_clr``), run once per distinct feature tuple."""
+    return on_feature_tuples(br.features, df, id_col, lambda t, k: _predict_clr(br, pw, t, L, soft, k))
+
+
+def _predict_clr(br: NB.NBModel, pw: NB.NBModel, df: DataFrame, L: int, soft: bool = False, id_col: str = "id") -> DataFrame:
     """Calibrated label ranking: pairwise votes plus a virtual label from BR.  Label j gains one
     vote when BR says yes, else the virtual label gains one; j is positive iff its votes >= the
     virtual label's; conf = votes / L."""
@@ -243,7 +262,8 @@ def predict_tsva(br: NB.NBModel, pw: NB.NBModel, df: DataFrame, L: int, t: float
     """Two-stage voting: a pair model votes only when both labels pass the BR stage (conf > t); if one
     passes it gets the vote, if none both lose a possible vote.  j is positive iff its votes (pairs +
     BR) >= the virtual label's; conf = votes / (L - lost) when positive, else BR conf / L."""
-    return _two_stage_vote(NB.nb_binary_scores(pw, df, id_col), br, df, L, t, id_col)
+    return on_feature_tuples(br.features, df, id_col,
+                             lambda x, k: _two_stage_vote(NB.nb_binary_scores(pw, x, k), br, x, L, t, k))
 
 
 def conf_bins(conf_col: str, L: int, labels=None, prefix: str = "c") -> F.Column:

@@ -118,14 +118,14 @@ def nb_binary_scores(model: NBModel, df: DataFrame, id_col: str = "id") -> DataF
     (explode, weight join and one grouped sum over tuples instead of rows); the scored tuple table
     is checkpointed and joined back to the rows, broadcast only when its counted size is under
     ``BROADCAST_ROWS``."""
-    tup = df.select(feature_key(model.features).alias("_fk"), *model.features).dropDuplicates(["_fk"])
-    fl = tup.select("_fk", F.explode(feature_pairs(model.features)).alias("p")).select("_fk", "p.f", "p.v")
-    m = fl.join(maybe_broadcast(model.weights, model.n_weights), ["f", "v"]).select("_fk", *model.keys, "t", F.col("w").alias("x"))
-    base = tup.select("_fk", F.explode(model.const_array()).alias("c")).select(
-        "_fk", *[F.col(f"c.{k}").alias(k) for k in model.keys], F.col("c.t").alias("t"), F.col("c.kc").alias("x"))
-    g = m.unionByName(base).groupBy("_fk", *model.keys).agg(
+    tup = df.select(feature_key(model.features).alias("__nbk"), *model.features).dropDuplicates(["__nbk"])
+    fl = tup.select("__nbk", F.explode(feature_pairs(model.features)).alias("p")).select("__nbk", "p.f", "p.v")
+    m = fl.join(maybe_broadcast(model.weights, model.n_weights), ["f", "v"]).select("__nbk", *model.keys, "t", F.col("w").alias("x"))
+    base = tup.select("__nbk", F.explode(model.const_array()).alias("c")).select(
+        "__nbk", *[F.col(f"c.{k}").alias(k) for k in model.keys], F.col("c.t").alias("t"), F.col("c.kc").alias("x"))
+    g = m.unionByName(base).groupBy("__nbk", *model.keys).agg(
         F.sum(F.when(F.col("t") == 1, F.col("x"))).alias("s1"), F.sum(F.when(F.col("t") == 0, F.col("x"))).alias("s0"))
-    g, n = materialize(g.select("_fk", *model.keys, "s0", "s1",
+    g, n = materialize(g.select("__nbk", *model.keys, "s0", "s1",
                                 (F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("s0") - F.col("s1")))).alias("p1")))
-    rows = df.select(id_col, feature_key(model.features).alias("_fk"))
-    return rows.join(maybe_broadcast(g, n), "_fk").drop("_fk")
+    rows = df.select(id_col, feature_key(model.features).alias("__nbk"))
+    return rows.join(maybe_broadcast(g, n), "__nbk").drop("__nbk")
