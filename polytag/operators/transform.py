@@ -144,13 +144,19 @@ def hierarchical(mlf: MLFrame) -> MLFrame:
 
 def _frequent_subsets(rare: DataFrame, freq: DataFrame) -> DataFrame:
     """(bits, sub_bits, sub_size, sub_count): frequent sets that are proper non-empty subsets of
-    each rare set.  Equi-join on the frequent set's first label, then a containment test, so no
-    2^s subset enumeration and no size guard is needed."""
-    fr = freq.select(F.col("bits").alias("sub_bits"), F.col("y").alias("fy"), F.col("count").alias("sub_count"),
-                     LS.positives("y").alias("fp"))
-    fr = fr.filter(F.size("fp") > 0).select("sub_bits", "sub_count", "fp", F.size("fp").alias("sub_size"), F.col("fp")[0].alias("f0"))
-    rr = rare.select("bits", "y", LS.size("y").alias("size"), F.explode(LS.positives("y")).alias("f0"))
-    j = rr.join(fr, "f0").filter((F.col("sub_size") < F.col("size")) & F.forall("fp", lambda q: F.get("y", q) == 1))
+    each rare set.  Equi-join on the frequent set's first two labels (the rare side emits its
+    ordered label pairs; one-label frequent sets join on the label alone), then a containment
+    test, so no 2^s subset enumeration and no size guard is needed."""
+    fr = freq.select(F.col("bits").alias("sub_bits"), F.col("count").alias("sub_count"), LS.positives("y").alias("fp"))
+    fr = fr.filter(F.size("fp") > 0).select("sub_bits", "sub_count", "fp", F.size("fp").alias("sub_size"),
+                                            F.col("fp")[0].alias("k0"),
+                                            F.when(F.size("fp") > 1, F.col("fp")[1]).otherwise(F.lit(-1)).alias("k1"))
+    rr = rare.select("bits", "y", LS.size("y").alias("size"), LS.positives("y").alias("pos"))
+    one = rr.select("bits", "y", "size", F.explode("pos").alias("k0"), F.lit(-1).alias("k1"))
+    two = rr.select("bits", "y", "size", "pos", F.posexplode("pos").alias("i", "k0")).select(
+        "bits", "y", "size", "k0", F.explode(F.slice("pos", F.col("i") + 2, F.lit(1 << 20))).alias("k1"))
+    keyed = one.unionByName(two)
+    j = keyed.join(fr, ["k0", "k1"]).filter((F.col("sub_size") < F.col("size")) & F.forall("fp", lambda q: F.get("y", q) == 1))
     return j.select("bits", "sub_bits", "sub_size", "sub_count")
 
 
@@ -180,8 +186,11 @@ def prune_ppt(mlf: MLFrame, p: int, strategy: str = "replace") -> DataFrame:
     """Pruned problem transformation: (bits, new_bits, count).  Frequent sets (count > p) stay;
     rare sets are dropped (``drop``) or replaced by disjoint frequent subsets chosen greedily,
     largest first, each subset taken only if it shares no label with those already taken.
-    Equal sizes are ordered by count desc, then bits desc (the reference keeps enumeration order)."""
-    counts = ST.labelset_counts(mlf)
+    Equal sizes are ordered by count desc, then bits desc (the reference keeps enumeration order).
+    The label-set counts feed three branches, so they are checkpointed once."""
+    from polytag.operators.nb import materialize
+
+    counts, _ = materialize(ST.labelset_counts(mlf))
     freq = counts.filter(F.col("count") > p).select("bits", "y", "count")
     keep = freq.select("bits", F.col("bits").alias("new_bits"), "count")
     if strategy == "drop":
