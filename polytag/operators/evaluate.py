@@ -192,7 +192,10 @@ def label_ap_curves(df: DataFrame, levels: int = 10) -> DataFrame:
     s = ordered_scan(lg, ["j"], "c", "id", {"pos": ("sum", "one"), "hits": ("sum", "t")}, score_desc=True)
     s = s.withColumn("prec", F.col("hits") / F.col("pos"))
     tot = s.groupBy("j").agg(F.sum("t").alias("R"))
-    s = s.join(tot, "j")
+    # the scanned table feeds the AP sum and a second (reverse) scan: checkpoint it once
+    from polytag.operators.nb import materialize
+
+    s, _ = materialize(s.join(F.broadcast(tot), "j"))
     ap = s.groupBy("j").agg(F.sum(F.when(F.col("t") == 1, F.col("prec")).otherwise(0.0)).alias("_s"), F.first("R").alias("R"))
     ap = ap.select("j", F.col("R").alias("n_rel"), F.when(F.col("R") > 0, F.col("_s") / F.col("R")).alias("ap"))
     # interpolated precision: suffix max of precision, read at the first position reaching recall i/(levels-1)
