@@ -31,6 +31,13 @@ def to_arrays(long: DataFrame, cols=("conf",), id_col: str = "id") -> DataFrame:
     return g.select(id_col, *[F.transform("_a", field(c)).alias(c) for c in cols])
 
 
+def compact_rows(train: DataFrame, features, y_col: str) -> DataFrame:
+    """Training rows grouped by (feature values, label set) with their multiplicity ``_w``.  The
+    naive-Bayes counts are sums over rows, so equal rows are counted once with a weight (partial
+    aggregation before the shuffle; the per-label / per-pair explode then runs on far fewer rows)."""
+    return train.groupBy(*features, y_col).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+
+
 def on_feature_tuples(features, df: DataFrame, id_col: str, fn) -> DataFrame:
     """Run a prediction whose output depends only on the feature values once per distinct feature
     tuple (``fn(tuples, key_col)``), checkpoint it and join the rows back (broadcast only under the
@@ -47,11 +54,12 @@ def on_feature_tuples(features, df: DataFrame, id_col: str, fn) -> DataFrame:
 def fit_br(mlf: MLFrame, train: DataFrame | None = None) -> NB.NBModel:
     """One binary model per label, all from one count; rows with a missing label are skipped for it."""
     train = mlf.df if train is None else train
-    rows = train.select(*mlf.features, F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
+    c = compact_rows(train, mlf.features, mlf.y_col)
+    rows = c.select(*mlf.features, "_w", F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
     rows = rows.withColumn("j", F.col("j").cast("int"))
     spark = train.sparkSession
     classes = _binary_classes(spark, spark.range(mlf.L).select(F.col("id").cast("int").alias("j")))
-    return NB.fit_nb(rows, ["j"], list(mlf.features), classes)
+    return NB.fit_nb(rows, ["j"], list(mlf.features), classes, weight="_w")
 
 
 def predict_br(model: NB.NBModel, df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -203,13 +211,18 @@ def predict_cc(model: NB.NBModel, df: DataFrame, L: int, id_col: str = "id") ->
 def fit_pairwise(mlf: MLFrame, train: DataFrame | None = None) -> NB.NBModel:
     """One model per label pair a < b on the rows where exactly one of the two is set (class 1 = a set);
     all pairs from one count.  Pairs without rows get no model."""
-    from polytag.operators import transform as TR
-
     train = mlf.df if train is None else train
-    rows = TR.pairwise(mlf.with_df(train)).select("a", "b", F.col("class").alias("t"), *mlf.features)
+    c = compact_rows(train, mlf.features, mlf.y_col)
+    y = F.col(mlf.y_col)
+    idx = F.sequence(F.lit(0), F.lit(mlf.L - 1))
+    x = c.select(*mlf.features, "_w", mlf.y_col, F.explode(idx).alias("a"))
+    x = x.select(*mlf.features, "_w", mlf.y_col, "a", F.explode(F.filter(idx, lambda b: b > F.col("a"))).alias("b"))
+    ta, tb = F.get(y, F.col("a")), F.get(y, F.col("b"))
+    rows = x.filter(ta != tb).select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), ta.alias("t"),
+                                     *mlf.features, "_w")
     keys = rows.select("a", "b").distinct()
     classes = keys.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"))
-    return NB.fit_nb(rows, ["a", "b"], list(mlf.features), classes)
+    return NB.fit_nb(rows, ["a", "b"], list(mlf.features), classes, weight="_w")
 
 
 def pairwise_votes(model: NB.NBModel, df: DataFrame, L: int, soft: bool = False, id_col: str = "id") -> DataFrame:
