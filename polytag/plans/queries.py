@@ -1043,10 +1043,7 @@ def q_ln_local_chain(spark, d):
 
 
 def tree_split(spark, d):
-    m = TR.hierarchical(V.v_tree(spark, d))
-    part = SP.holdout_split(m, pct=67.0, seed=3)
-    train = m.df.join(part.filter(F.col("part") == "train").select("id"), "id")
-    return m, train
+    return _materialized_split(TR.hierarchical(V.v_tree(spark, d)))
 
 
 @query("ln_hmc")
@@ -1072,9 +1069,7 @@ def q_ln_clustered_chains(spark, d):
 @query("ln_sclcc")
 def q_ln_sclcc(spark, d):
     """Cosine k-modes label clusters (k = 3) on the 25-nation tree view, one local chain each."""
-    m = V.v_tree(spark, d)
-    part = SP.holdout_split(m, pct=67.0, seed=3)
-    train = m.df.join(part.filter(F.col("part") == "train").select("id"), "id")
+    m, train = _materialized_split(V.v_tree(spark, d))
     return _long_out(LN.clustered_chains(m, train, k=3))
 
 
@@ -1252,9 +1247,7 @@ def q_ln_cluster_then_fit(spark, d):
 
 @query("ln_css")
 def q_ln_css(spark, d):
-    m = V.v_tree(spark, d)
-    part = SP.holdout_split(m, pct=67.0, seed=3)
-    train = m.df.join(part.filter(F.col("part") == "train").select("id"), "id")
+    m, train = _materialized_split(V.v_tree(spark, d))
     return _long_out(LN.css_learner(m, train, kappa=5))
 
 
