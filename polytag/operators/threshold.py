@@ -163,6 +163,7 @@ def _ex_measure(name: str, a: float, b: float, c: float, d: float) -> float:
 
 
 IDEAL = {"hamming_loss": 0.0}  # every other measure has ideal value 1
+DP_CELLS = 8_000_000  # numbers held by one DP step (rows x ~L^2), about 64 MB of doubles
 
 
 def _loss_tables(name: str, L: int) -> list:
@@ -211,19 +212,22 @@ def expected_measure_cut(df: DataFrame, L: int, measure: str = "ex_fmeasure", co
     Row-parallel with no shuffle: each Arrow batch is one numpy DP over all its rows, O(L^2) per row."""
     tables = _loss_tables(measure, L)
 
+    # the DP keeps ~L^2 numbers per row: cut each Arrow batch into row chunks under a cell budget
+    chunk = max(1, DP_CELLS // max(1, (L + 1) * (L + 2)))
+
     def run(batches):
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            C = np.vstack(pdf[conf].to_numpy()).astype(np.float64)
-            P = -np.sort(-C, axis=1)
-            pre, suf = _count_dists(P)
-            loss = np.stack([np.einsum("na,ac,nc->n", pre[R], tables[R - 1], suf[R]) for R in range(1, L + 1)], axis=1)
-            best = np.argmin(np.round(loss, 10), axis=1) + 1  # rounding: float-noise guard for exact ties
-            hi = P[np.arange(len(P)), best - 1]
-            lo = np.where(best < L, P[np.arange(len(P)), np.minimum(best, L - 1)], 0.0)
-            thr = (hi + lo) / 2
-            bip = (C >= thr[:, None]).astype(np.int32)
-            yield pd.DataFrame({"id": pdf["id"].to_numpy(), "n": best.astype(np.int32), "threshold": thr, "bip": list(bip)})
+            for s0 in range(0, len(pdf), chunk):
+                part = pdf.iloc[s0:s0 + chunk]
+                C = np.vstack(part[conf].to_numpy()).astype(np.float64)
+                P = -np.sort(-C, axis=1)
+                pre, suf = _count_dists(P)
+                loss = np.stack([np.einsum("na,ac,nc->n", pre[R], tables[R - 1], suf[R]) for R in range(1, L + 1)], axis=1)
+                best = np.argmin(np.round(loss, 10), axis=1) + 1  # rounding: float-noise guard for exact ties
+                hi = P[np.arange(len(P)), best - 1]
+                lo = np.where(best < L, P[np.arange(len(P)), np.minimum(best, L - 1)], 0.0)
+                thr = (hi + lo) / 2
+                bip = (C >= thr[:, None]).astype(np.int32)
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": best.astype(np.int32), "threshold": thr, "bip": list(bip)})
 
     return df.select("id", conf).mapInPandas(run, "id long, n int, threshold double, bip array<int>")

@@ -168,3 +168,14 @@ def test_perceptron_rules_move_violating_pairs_apart():
         for _ in range(5):
             _mmp_step(W, x, y, rule, rng)
         assert before > 0 and _ranking_loss(W @ x, y) == 0
+
+
+def test_expected_measure_cut_chunking_does_not_change_results(spark, monkeypatch):
+    from polytag.operators import threshold as TH
+
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(i, [rnd.random() for _ in range(5)]) for i in range(30)], "id long, conf array<double>")
+    whole = {r["id"]: (r["n"], r["threshold"]) for r in TH.expected_measure_cut(df, 5).collect()}
+    monkeypatch.setattr(TH, "DP_CELLS", 1)
+    one_by_one = {r["id"]: (r["n"], r["threshold"]) for r in TH.expected_measure_cut(df, 5).collect()}
+    assert whole == one_by_one
