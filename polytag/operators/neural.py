@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from polytag.operators import nb as NB
 
+PAIR_CELLS = 4_000_000  # rows x L x L numbers per gradient step (about 32 MB of doubles)
+
 
 def _sum_vectors(parts: DataFrame, n_col: str, vec_col: str, size: int) -> tuple[float, np.ndarray]:
     """Sum of the per-partition vectors: exploded by position and summed per position (partial
@@ -184,10 +186,12 @@ def fit_ranking_net(train: DataFrame, L: int, vec: str = "vec", hidden_share: fl
                 X = np.where(rg > 0, 2 * (X - mn) / np.where(rg > 0, rg, 1) - 1, -1.0)
                 X = np.hstack([X, np.ones((len(X), 1))])
                 Y = np.nan_to_num(np.vstack(pdf["y"].to_numpy()).astype(np.float64), nan=0.0)
-                g1, g2, k = net_gradient(X, Y, W1, W2)
-                G1 += g1
-                G2 += g2
-                m += k
+                step = max(1, PAIR_CELLS // max(1, L * L))  # the error tensor is rows x L x L
+                for s0 in range(0, len(X), step):
+                    g1, g2, k = net_gradient(X[s0:s0 + step], Y[s0:s0 + step], W1, W2)
+                    G1 += g1
+                    G2 += g2
+                    m += k
             yield pd.DataFrame({"m": [m], "g": [np.concatenate([G1.ravel(), G2.ravel()]).tolist()]})
 
         size = W1.size + W2.size
