@@ -21,9 +21,9 @@ Method
    by what they add to and leave out of H (X and R): |A n B| <= |H| - max(|Ra|, |Rb|) + |Xa n Xb|, so a
    link needs a number of *added* shingles in common that depends on |A|, |B|, |H| and R alone.
    Where that number is positive the added shingles are joined by the same prefix rule (a document that added more
-   than it shares with anyone is out); where it is not (both close to H and short) the pair is
-   proposed outright.  Members with different heads are proposed when they share a posting list.  All proposals are
-   confirmed on the full sets, so no link between two components is missed.
+   than it shares with anyone is out); where it is not (both close to H and short) members of fitting sizes
+   are compared.  R and X decide the similarity exactly.  Members with different heads are proposed when they share a
+   posting list and are confirmed on the full sets.  So no link between two components is missed.
 
 The signature threshold is 28 of 64: a pair of similarity 0.75 agrees in 48 coordinates on average
 (sd 3.5) and misses the threshold with a chance below 1e-8; everything above it is confirmed
@@ -156,30 +156,32 @@ def _jaccard_links(batches: Iterator[pa.RecordBatch], width: int, percent: int)
 
 
 def _added(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The same rows, a being a head -> rep (b), hub_n (|H|), left (|R|), added (X)."""
+    """The same rows, a being a head -> rep (b), hub_n (|H|), gone (R, in H alone), added (X, in b alone)."""
     held: tuple[int, int, int, np.ndarray] | None = None
     for batch in batches:
         a, b, a1, a2, b1, b2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
         for lo, hi, data, offs in chunks(batch.column(7)):
             values, first = shingle_sets(data, offs, width)
-            out: list[tuple[int, int, int, np.ndarray]] = []
+            out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
             for r in range(lo, hi):
                 if held is None or held[0] != a[r] or held[1] != a1[r] or held[2] != a2[r]:
                     _, _, d, o = next(chunks(batch.column(6).slice(r, 1)))
                     held = (a[r], a1[r], a2[r], shingle_sets(d, o, width)[0])
                 x, y = held[3], values[first[r - lo] : first[r - lo + 1]]
                 if _digest(x) == (a1[r], a2[r]) and _digest(y) == (b1[r], b2[r]):
-                    new = np.setdiff1d(y, x, assume_unique=True)
-                    out.append((b[r], len(x), len(x) - len(y) + len(new), new))
-            sizes = np.concatenate(([0], np.cumsum([len(o[3]) for o in out]))).astype(np.int64)
-            flat = np.concatenate([o[3] for o in out]) if out else np.zeros(0, np.uint64)
+                    out.append((b[r], len(x), np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(o[0]) for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
-                 pa.array([o[2] for o in out], pa.int64()), lists(flat.view(np.int64), sizes, pa.int64())],
-                names=["rep", "hub_n", "left", "added"],
+                 _listed([o[2] for o in out]), _listed([o[3] for o in out])],
+                names=["rep", "hub_n", "gone", "added"],
             )
 
 
+def _listed(rows: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+    return lists(flat.view(np.int64), np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int64())
+
+
 def _digest(values: np.ndarray) -> tuple[int, int]:
     one = np.add.reduce(mix64(values), dtype=np.uint64).view(np.int64)
     two = np.add.reduce(mix64(values ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).view(np.int64)
@@ -204,31 +206,54 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, perc
     return met.mapInArrow(lambda it: _jaccard_links(it, width, percent), "a long, b long").distinct()
 
 
-def same_head_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between components among documents with one head (see 5 above).
+def same_head_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components among documents with one head (see 5 above), decided on the full sets.
 
-    ``members``: rep, component, hub, n (|A|), hub_n (|H|), left (|R|), added (X); one row per rep.
+    ``members``: rep, component, hub, n (|A|), hub_n (|H|), gone (R), added (X); one row per rep.  As A = (H - R) + X,
+    the sizes of R's union and X's intersection give |A n B| exactly.
     """
-    least = members.groupBy("hub").agg(F.min("n").alias("least_n"))
     over = 100 + percent
-    # shared added shingles that a link of this document needs, whatever the other is: the other has least_n shingles or more
-    need = F.expr(f"cast(ceil({percent} * (n + least_n) / {over}) as int) - hub_n + left")
-    m = members.join(least, "hub").withColumn("need", need)
+    least = members.groupBy("hub").agg(F.min("n").alias("least_n"))
+    # the smallest partner a document can have, and the added shingles that a link to any partner needs
+    m = (
+        members.join(least, "hub")
+        .withColumn("least_n", F.greatest("least_n", F.expr(f"cast(ceil({percent} * n / 100) as long)")))
+        .withColumn("need", F.expr(f"cast(ceil({percent} * (n + least_n) / {over}) as int) - hub_n + size(gone)"))
+    )
     slim = m.select("rep", "component", "hub", "need")
     by_added = rarest(m.select("rep", "hub", F.explode("added").alias("key")), ["hub", "key"], F.greatest("need", F.lit(1)).cast("int"), slim)
     posted = by_added.select("hub", F.explode("prefix").alias("key"), "rep", "component")
     one, two = (posted.select("hub", "key", F.col("rep").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-    sharing = one.join(two, ["hub", "key"]).filter("a < b and ca <> cb").select("a", "b")
-    # no shared addition needed: n(a) + n(b) <= over / percent * (|H| - max(left))
+    sharing = one.join(two, ["hub", "key"]).filter("a < b and ca <> cb").select("a", "b").distinct()
+
+    def side(s: str) -> DataFrame:
+        return m.select(*(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "hub_n", "gone", "added")))
+
+    common = "(hub_n_a - size(array_union(gone_a, gone_b)) + size(array_intersect(added_a, added_b)))"
+    linked = F.expr(f"100 * {common} >= {percent} * (n_a + n_b - {common})")
+    found = sharing.join(side("a"), F.col("a") == F.col("rep_a")).join(side("b"), F.col("b") == F.col("rep_b")).filter(linked).select("a", "b")
+    # no shared addition needed: n(a) + n(b) <= over / percent * (|H| - most left out); the one that leaves out more asks,
+    # so each pair is met once, and only pairs that pass leave the join
     loose = m.filter("need <= 0")
-    asked = loose.select(
-        "hub", F.col("rep").alias("p"), F.col("component").alias("cp"), F.col("left").alias("lp"),
-        F.explode(F.expr(f"sequence(least_n, greatest(least_n, {over} * (hub_n - left) div {percent} - n))")).alias("n"),
-    )
-    given = loose.select("hub", "n", F.col("rep").alias("q"), F.col("component").alias("cq"), F.col("left").alias("lq"))
-    # the member that leaves out more asks, so each pair is met once
-    close = asked.join(given, ["hub", "n"]).filter("cp <> cq and (lq < lp or (lq = lp and q < p))")
-    return sharing.unionAll(close.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))).distinct()
+    reach = F.expr(f"sequence(least_n, greatest(least_n, {over} * (hub_n - size(gone)) div {percent} - n))")
+    asking = loose.withColumn("met_n", F.explode(reach)).select("hub", "met_n", *(F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "hub_n", "gone", "added")))
+    asked = loose.select("hub", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "gone", "added")))
+    once = F.expr("component_a <> component_b and (size(gone_b) < size(gone_a) or (size(gone_b) = size(gone_a) and rep_b < rep_a))")
+    close = asking.alias("p").join(asked.alias("q"), (F.col("p.hub") == F.col("q.hub")) & (F.col("met_n") == F.col("n_b")) & once & linked)
+    return found.unionAll(close.select(F.least("rep_a", "rep_b"), F.greatest("rep_a", "rep_b"))).distinct()
+
+
+def roots(hubs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, hub), each hub more central than its rep -> the end of each chain (pointer doubling)."""
+    cur, left = scratch.write(hubs, "hubs"), 1
+    while left:
+        up = cur.select(F.col("rep").alias("hub"), F.col("hub").alias("next"))
+        nxt = scratch.write(cur.join(up, "hub", "left").select("rep", F.coalesce("next", "hub").alias("hub"), F.col("next").isNotNull().alias("moved")), "hubs")
+        left = nxt.filter("moved").limit(1).count()
+        scratch.drop(cur)
+        cur = nxt.drop("moved")
+        cur._scratch_path = nxt._scratch_path  # type: ignore[attr-defined]
+    return cur
 
 
 def near_duplicates(
@@ -265,22 +290,25 @@ def near_duplicates(
         "key", "rep", F.coalesce("component", "rep").alias("component")
     )
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    hubs = met.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("weight", "h", "a")).alias("hub")).select("rep", "hub.*")
-    still = placed.join(mixed, "key").join(hubs.drop("h"), "rep", "left").join(prefixes.select("rep", F.col("weight").alias("own")), "rep")
-    # the head of a document: the most central one it met, or itself
-    hub = F.when(F.col("weight") >= F.col("own"), F.col("a")).otherwise(F.col("rep"))
-    still = scratch.write(still.select("key", "rep", "component", hub.alias("hub")), "open")
+    best = met.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("weight", "h", "a")).alias("hub"))
+    own = prefixes.select("rep", F.struct("weight", F.xxhash64("rep").alias("h"), F.col("rep").alias("a")).alias("own"))
+    # the head of a document: the most central one it met, then that one's, to the end; itself where it met none above it
+    hubs = roots(best.join(own, "rep").filter("hub > own").select("rep", F.col("hub.a").alias("hub")), scratch)
+    still = placed.join(mixed, "key").join(hubs, "rep", "left")
+    still = scratch.write(still.select("key", "rep", "component", F.coalesce("hub", "rep").alias("hub")), "open")
 
     left, right = (still.select("key", F.col("rep").alias(s), F.col("component").alias(f"c{s}"), F.col("hub").alias(f"h{s}")) for s in "ab")
-    apart = left.join(right, "key").filter("a < b and ca <> cb and ha <> hb").select("a", "b").distinct()
+    apart = left.join(right, "key").filter("a < b and ca <> cb and ha <> hb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+    across = scratch.write(collide(apart), "across")
     members = still.select("rep", "component", "hub").distinct().join(reps.select("rep", "n"), "rep")
     away = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    changes = with_texts(away, reps, docs).mapInArrow(lambda it: _added(it, width), "rep long, hub_n long, left long, added array<long>").dropDuplicates(["rep"])
-    itself = members.filter("rep = hub").withColumns({"hub_n": F.col("n"), "left": F.lit(0).cast("long"), "added": F.expr("cast(array() as array<long>)")})
+    changes = with_texts(away, reps, docs).mapInArrow(
+        lambda it: _added(it, width), "rep long, hub_n long, gone array<long>, added array<long>"
+    ).dropDuplicates(["rep"])
+    none = F.expr("cast(array() as array<long>)")
+    itself = members.filter("rep = hub").withColumns({"hub_n": F.col("n"), "gone": none, "added": none})
     members = scratch.write(members.join(changes, "rep").unionByName(itself), "members")
-    proposed = apart.unionAll(same_head_pairs(members, percent)).distinct().join(tested, ["a", "b"], "left_anti")
-    across = scratch.write(collide(proposed), "across")
-    late = scratch.write(confirm(across, reps, docs, width, percent), "late")
+    late = scratch.write(confirm(across, reps, docs, width, percent).unionAll(same_head_links(members, percent)), "late")
     if not late.isEmpty():
         comps = scratch.write(connected_components(spark, links.unionAll(late), scratch), "components")
 
@@ -292,3 +320,17 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents that stay: one row per group of near-duplicates, all columns as given.
+
+    Rows with a null doc_id stay.  Rows that repeat a doc_id count as copies of each other: one stays.
+    """
+    found = near_duplicates(docs)
+    ids = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    twice = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
+    if not twice.isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))
