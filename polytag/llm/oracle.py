@@ -20,3 +20,20 @@ reach AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT l.b, r.c F
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
 FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT d, min(c) AS c FROM reach GROUP BY d) r ON r.d = d.doc_id
 """
+
+ORACLE["op2_fair_queue_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight, 3 * source_size / [5, 2, 1][rank % 3 + 1] AS full_at FROM s),
+f AS (SELECT *, sum(source_size) OVER () AS total,
+        coalesce(sum(3 * source_size) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken,
+        coalesce(sum(weight) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone, sum(weight) OVER () AS all_weight FROM w),
+a AS (SELECT *, (total - taken)::BIGINT / (all_weight - gone)::BIGINT AS lvl FROM f),
+v AS (SELECT lvl AS level FROM a WHERE full_at >= lvl ORDER BY full_at, rank LIMIT 1),
+q AS (SELECT d.*, a.rank, a.weight, a.source_size, a.total::BIGINT AS total, least((3 * a.source_size)::DOUBLE, a.weight * v.level) AS target,
+        sum(size) OVER (PARTITION BY a.rank ORDER BY digest, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+      FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source, v),
+i AS (SELECT q.*, e, sum(size) OVER (ORDER BY (e * source_size + upto) / weight, rank, digest, doc_id, e ROWS UNBOUNDED PRECEDING) AS used FROM q, range(3) AS p(e))
+SELECT doc_id, size, source_size, target, sum(CASE WHEN used <= total THEN size ELSE 0 END)::BIGINT AS taken
+FROM i GROUP BY doc_id, size, source_size, target
+"""
