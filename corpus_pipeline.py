@@ -8,19 +8,42 @@ Parquet to the shared folder and read again as the next stage's docs.  All but t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from polytag.llm import neardup
+from polytag.llm import decontaminate, mixing, neardup, pii, toxicity
 from polytag.llm.store import Scratch, read_table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays (the smallest doc_id)."""
     return neardup.keep_one(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; every document stays."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix with size, source_size, target and taken (words the mix takes, repeats counted)."""
+    return mixing.mixed_documents(docs)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
 ]
 
 #: the first stage is a trained classifier, which SQL cannot express; the stages are tested against brute force instead
