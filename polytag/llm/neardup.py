@@ -297,9 +297,18 @@ def near_duplicates(
     still = placed.join(mixed, "key").join(hubs, "rep", "left")
     still = scratch.write(still.select("key", "rep", "component", F.coalesce("hub", "rep").alias("hub")), "open")
 
-    left, right = (still.select("key", F.col("rep").alias(s), F.col("component").alias(f"c{s}"), F.col("hub").alias(f"h{s}")) for s in "ab")
-    apart = left.join(right, "key").filter("a < b and ca <> cb and ha <> hb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    across = scratch.write(collide(apart), "across")
+    # different heads: a pair leaves the join once (at its first common posting) and only if its signatures collide often enough
+    split = still.groupBy("key").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).filter("lo <> hi").select("key")
+    facing = still.join(split, "key").join(prefixes.select("rep", "keys", "prefix"), "rep").join(reps.select("rep", "n"), "rep")
+    left, right = (facing.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "hub", "keys", "prefix", "n"))) for s in "ab")
+    meets = F.expr(
+        "rep_a < rep_b and component_a <> component_b and hub_a <> hub_b"
+        f" and least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent}"
+        " and element_at(array_intersect(prefix_a, prefix_b), 1) = p.key"
+        f" and size(array_intersect(keys_a, keys_b)) >= {matches}"
+    )
+    apart = left.alias("p").join(right.alias("q"), (F.col("p.key") == F.col("q.key")) & meets).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    across = scratch.write(apart.join(tested, ["a", "b"], "left_anti"), "across")
     members = still.select("rep", "component", "hub").distinct().join(reps.select("rep", "n"), "rep")
     away = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     changes = with_texts(away, reps, docs).mapInArrow(
