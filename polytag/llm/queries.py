@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, mixing, neardup, pii, quality, toxicity
+from . import decontaminate, fingerprint, licenses, mixing, neardup, pii, quality, secrets, toxicity
 from .store import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,13 @@ def op6_content_defined_fingerprints(spark: SparkSession, sf_dir: str) -> DataFr
 @query
 def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest_columns(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
