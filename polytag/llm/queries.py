@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, licenses, mixing, neardup, pii, quality, secrets, toxicity
+from . import decontaminate, fingerprint, langmodel, licenses, mixing, neardup, pii, quality, secrets, toxicity
 from .store import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.licenses(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.score(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
