@@ -211,4 +211,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS)
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a verified overlap, all columns as given; rows with a null doc_id stay."""
     hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return docs.join(hit, docs["doc_id"].cast("long") == hit["_id"], "left_anti")

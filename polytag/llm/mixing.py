@@ -119,8 +119,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, all columns as given plus size, source_size, target, taken; those not taken go."""
     found = mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), "source", "text_key").agg(
         *(F.max(c).alias(c) for c in ("size", "source_size", "target", "taken"))
-    ).withColumnRenamed("source", "_source")
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (text == F.col("text_key"))
+    ).withColumnsRenamed({"source": "_source", "text_key": "_text_key"})
     clash = [c for c in ("size", "source_size", "target", "taken") if c in docs.columns]
-    return docs.drop(*clash).join(found, on).drop("_id", "_source", "text_key")
+    docs = docs.drop(*clash)
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    on = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & docs["source"].cast("string").eqNullSafe(found["_source"]) & (text == found["_text_key"])
+    return docs.join(found, on).drop(found["_id"], found["_source"], found["_text_key"])

@@ -338,7 +338,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = near_duplicates(docs)
     ids = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    kept = docs.join(ids, docs["doc_id"].cast("long") == ids["_id"], "left_semi")
     twice = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
     if not twice.isEmpty():
         kept = kept.dropDuplicates(["doc_id"])

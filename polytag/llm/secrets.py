@@ -48,7 +48,7 @@ _CONTEXT_KEYS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "cre
 # fixed values: keyboard rows and alphabets along which a walk is cheap
 _WALKS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "0123456789", "qazwsxedcrfvtgbyhnujmikolp")
 _NEXT = {a + b for w in _WALKS for s in (w, w[::-1]) for a, b in zip(s, s[1:], strict=False)}
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:3[01]|[12]\d|0?[1-9])|(?:3[01]|[12]\d|0?[1-9])[-/._]?(?:1[0-2]|0?[1-9])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 
 
 def guess_cost(value: str, ranks: dict[str, int]) -> float:
