@@ -7,7 +7,7 @@ the same in batch and streaming plans.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Park-Miller "minimal standard" generator constants (fixed values): a stable,
@@ -66,24 +66,24 @@ def intersection(a, b) -> Column:
     return F.when(F.size(_c(a)) == F.size(_c(b)), F.zip_with(_c(a), _c(b), lambda x, y: x * y))
 
 
-def subset_masks(y, max_size: int = 16) -> Column:
-    """All proper non-empty subsets (2^s - 2) of a label set, as 0/1 arrays; guarded at s <= max_size.
+SUBSET_STEP, MOST_SUBSET_LABELS = 12, 48
 
-    Subset m (1 <= m <= 2^s - 2) keeps the k-th set label iff bit k of m is set.
-    """
-    pos = positives(y)
-    s = F.size(pos)
-    n = F.when(s <= max_size, F.pow(F.lit(2), s).cast("int") - 2).otherwise(F.lit(0))
-    masks = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        masks,
-        lambda m: F.transform(
-            _c(y),
-            lambda x, i: F.when(
-                (x == 1) & (m.bitwiseAND(F.pow(F.lit(2), F.array_position(pos, i) - 1).cast("int")) != 0), 1
-            ).otherwise(0),
-        ),
-    )
+
+def explode_subsets(df: DataFrame, y: str, out: str = "sub") -> DataFrame:
+    """One row per proper non-empty subset (2^s - 2) of the label set in array column ``y``, as a 0/1 array.
+
+    Subset m (1 <= m <= 2^s - 2) keeps the k-th set label iff bit k of m is set.  The masks are 64-bit and made lazily,
+    ``SUBSET_STEP`` bits a generator, so no row holds an array of them all; a set of more than
+    ``MOST_SUBSET_LABELS`` labels, whose subsets nobody can list, raises."""
+    s = F.size(positives(y))
+    too_many = F.raise_error(F.format_string("a set of %s labels has too many subsets to list", s.cast("string")))
+    x = df.withColumn("_s", F.when(s <= MOST_SUBSET_LABELS, s).otherwise(too_many.cast("int"))).withColumn("_m", F.lit(0).cast("long"))
+    for low in range(0, MOST_SUBSET_LABELS, SUBSET_STEP):
+        part = F.expr(f"sequence(0L, shiftleft(1L, least(greatest(_s - {low}, 0), {SUBSET_STEP})) - 1)")
+        x = x.withColumn("_p", F.explode(part)).withColumn("_m", F.col("_m").bitwiseOR(F.shiftleft("_p", low)))
+    x = x.filter("_m > 0 and _m < shiftleft(1L, _s) - 1")
+    bit = lambda i: F.call_function("shiftright", F.col("_m"), (F.array_position(positives(y), i) - 1).cast("int")).bitwiseAND(F.lit(1))
+    return x.withColumn(out, F.transform(_c(y), lambda v, i: F.when(v == 1, bit(i)).otherwise(0).cast("int"))).drop("_s", "_m", "_p")
 
 
 def ranks(scores) -> Column:

@@ -66,8 +66,12 @@ def score_multiclass(mlf: MLFrame, kind: str = "copy") -> DataFrame:
         x, w = TR.ignore(mlf), None
     elif kind in ("select_max", "select_min"):
         x, w = TR.select_by_frequency(mlf, most=kind == "select_max"), None
-    else:
+    elif kind == "select_random":
+        x, w = TR.select_random(mlf), None
+    elif kind == "copy":
         x, w = TR.copy(mlf), None
+    else:
+        raise ValueError(f"unknown multi-class transformation {kind!r}")
     rows = x.select(feature_pairs(mlf.features).alias("_fv"), F.col("j").alias("t"), F.lit(0).alias("_m"),
                     *([F.col(w)] if w else []))
     return scores_from_rows(rows, ["_m"], w).drop("_m")

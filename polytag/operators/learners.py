@@ -371,9 +371,9 @@ def predict_include_labels(model: NB.NBModel, mlf: MLFrame, df: DataFrame) -> Da
     """(id, j, conf, bip): the single model scored once per (row, label); positive iff P(1) >= P(0)."""
     names = F.array(*[F.lit(n) for n in mlf.labels])
     x = df.select(mlf.id_col, *mlf.features, F.posexplode(names).alias("j", "label"))
-    x = x.withColumn("_rid", F.col(mlf.id_col) * F.lit(mlf.L) + F.col("j"))
+    x = x.withColumn("_rid", F.struct(F.col(mlf.id_col).alias("id"), "j"))
     p = NB.nb_binary_scores(model, x, "_rid")
-    return p.select((F.col("_rid") / mlf.L).cast("bigint").alias(mlf.id_col), F.pmod("_rid", F.lit(mlf.L)).cast("int").alias("j"),
+    return p.select(F.col("_rid.id").alias(mlf.id_col), F.col("_rid.j").cast("int").alias("j"),
                     F.col("p1").alias("conf"), (F.col("s1") >= F.col("s0")).cast("int").alias("bip"))
 
 
@@ -451,7 +451,6 @@ def predict_subsets(model: NB.NBModel, df: DataFrame, L: int, threshold: float =
 
 def rakel_subsets(L: int, k: int = 3, m: int | None = None, seed: int = 1) -> list[list[int]]:
     """m distinct random k-label subsets (default m = min(2L, C(L, k))); label-sized, seeded."""
-    import itertools
     import math
     import random
 
@@ -459,10 +458,6 @@ def rakel_subsets(L: int, k: int = 3, m: int | None = None, seed: int = 1) -> li
     m = min(2 * L, total) if m is None else min(m, total)
     rnd = random.Random(seed)
     seen, out = set(), []
-    if total <= 10 * m:
-        allc = list(itertools.combinations(range(L), k))
-        rnd.shuffle(allc)
-        return [list(c) for c in allc[:m]]
     while len(out) < m:
         c = tuple(sorted(rnd.sample(range(L), k)))
         if c not in seen:
@@ -596,20 +591,18 @@ def predict_chains(mlf: MLFrame, train: DataFrame, chains: list[list[int]], df:
     out = parts[0].select("id", F.col("conf").alias("c0"), F.col("bip").alias("b0"))
     for i, p in enumerate(parts[1:], start=1):
         out = out.join(p.select("id", F.col("conf").alias(f"c{i}"), F.col("bip").alias(f"b{i}")), "id")
-    n = len(parts)
     owner = {lab: i for i, ch in enumerate([c for c in chains if c]) for lab in ch}
     conf = F.array(*[F.get(f"c{owner[j]}", F.lit(j)) if j in owner else F.lit(0.0) for j in range(mlf.L)])
     bip = F.array(*[F.get(f"b{owner[j]}", F.lit(j)) if j in owner else F.lit(0) for j in range(mlf.L)])
-    del n
     return out.select("id", conf.alias("conf"), bip.alias("bip"))
 
 
-def clustered_chains(mlf: MLFrame, train: DataFrame, k: int = 3, iters: int = 100, seed: int = 1) -> DataFrame:
+def clustered_chains(mlf: MLFrame, train: DataFrame, k: int = 3, iters: int = 100, seed: int = 1, init: list | None = None) -> DataFrame:
     """Cluster the labels by cosine k-modes, order each cluster farthest-from-centre first and fit one
     local chain per cluster (the chain sees only its own cluster's labels: no leak of other clusters)."""
     from polytag.operators import cluster as CL
 
-    cl = CL.kmodes_cosine(mlf.with_df(train), k, iters, 0, seed).collect()
+    cl = CL.kmodes_cosine(mlf.with_df(train), k, iters, 0, seed, init).collect()
     chains: dict[int, list[tuple[int, int]]] = {}
     for r in cl:
         chains.setdefault(r["cluster"], []).append((r["pos"], r["j"]))
@@ -617,13 +610,8 @@ def clustered_chains(mlf: MLFrame, train: DataFrame, k: int = 3, iters: int = 10
     return predict_chains(mlf, train, ordered, mlf.df)
 
 
-def fit_cc_weighted(mlf: MLFrame, chain: list[int], train: DataFrame, weight: F.Column) -> NB.NBModel:
-    """Classifier chain on weighted rows (bootstrap weights)."""
-    return fit_cc(mlf.with_df(train.withColumn("_bw", weight).filter(F.col("_bw") > 0)), chain, None) \
-        if False else _fit_cc_w(mlf, chain, train.withColumn("_bw", weight))
-
-
 def _fit_cc_w(mlf: MLFrame, chain: list[int], train: DataFrame) -> NB.NBModel:
+    """Classifier chain on rows weighted by column ``_bw`` (bootstrap weights)."""
     order = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(chain)])
     links = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lab).alias("lab")) for k, lab in enumerate(chain)])
     x = train.select(NB.feature_pairs(mlf.features).alias("_b"), F.col(mlf.y_col).alias("_y"), "_bw", F.explode(links).alias("ln"))

@@ -73,13 +73,13 @@ def holdout_split(mlf: MLFrame, pct: float = 67.0, seed: int = 1) -> DataFrame:
     return mlf.df.select(mlf.id_col, F.when(u * 100 < F.lit(pct), "train").otherwise("test").alias("part"))
 
 
-def poisson1_thresholds(kmax: int = 12) -> list[float]:
-    """CDF of Poisson(1) at 0..kmax-1 (built from the formula, not a table)."""
+def poisson1_thresholds() -> list[float]:
+    """CDF of Poisson(1) at 0, 1, ... until a further term no longer changes the sum (built from the formula, not a table)."""
     out, term, acc = [], math.exp(-1.0), 0.0
-    for k in range(kmax):
+    while acc + term != acc:
         acc += term
         out.append(acc)
-        term /= k + 1
+        term /= len(out)
     return out
 
 

@@ -123,20 +123,26 @@ def chain_step(df: DataFrame, features, chain, k: int, target_col: str = "target
 
 
 def hierarchical(mlf: MLFrame) -> MLFrame:
-    """Append meta-label columns for the inner tree nodes: meta = OR of its children (leaf labels).
+    """Append meta-label columns for the inner tree nodes: meta = OR of all leaf labels below it, at any depth.
 
     The tree is label-sized; the meta labels are computed row-wise by array
     expressions (no shuffle)."""
     assert mlf.tree is not None, "hierarchical() needs a label tree"
-    edges = mlf.tree.filter(F.col("parent_idx").isNotNull()).select("idx", "parent_idx").collect()
-    parents = sorted({e["parent_idx"] for e in edges})
-    kids = {p: [e["idx"] for e in edges if e["parent_idx"] == p] for p in parents}
+    nodes = mlf.tree.select("label", "idx", "parent_idx").collect()
+    kids: dict[int, list[int]] = {}
+    for n in nodes:
+        if n["parent_idx"] is not None:
+            kids.setdefault(n["parent_idx"], []).append(n["idx"])
+    name = {n["idx"]: n["label"] for n in nodes}
+
+    def leaves(n: int) -> list[int]:
+        return [x for c in kids[n] for x in leaves(c)] if n in kids else [n]
+
+    inner = sorted(kids)
     y = F.col(mlf.y_col)
-    meta = [F.greatest(*[F.coalesce(y[c], F.lit(0)) for c in kids[p]]) if len(kids[p]) > 1
-            else F.coalesce(y[kids[p][0]], F.lit(0)) for p in parents]
+    meta = [F.greatest(*[F.coalesce(y[x], F.lit(0)) for x in leaves(p)], F.lit(0)) for p in inner]
     out = mlf.df.withColumn(mlf.y_col, F.concat(y, F.array(*meta)))
-    names = mlf.tree.filter(F.col("parent_idx").isNull()).orderBy("idx").select("label").collect()
-    return mlf.with_df(out, labels=tuple(mlf.labels) + tuple(r[0] for r in names))
+    return mlf.with_df(out, labels=tuple(mlf.labels) + tuple(name.get(p, f"meta{p}") for p in inner))
 
 
 # ------------------------------------------------------------------ label set pruning
@@ -154,7 +160,7 @@ def _frequent_subsets(rare: DataFrame, freq: DataFrame) -> DataFrame:
     rr = rare.select("bits", "y", LS.size("y").alias("size"), LS.positives("y").alias("pos"))
     one = rr.select("bits", "y", "size", F.explode("pos").alias("k0"), F.lit(-1).alias("k1"))
     two = rr.select("bits", "y", "size", "pos", F.posexplode("pos").alias("i", "k0")).select(
-        "bits", "y", "size", "k0", F.explode(F.slice("pos", F.col("i") + 2, F.lit(1 << 20))).alias("k1"))
+        "bits", "y", "size", "k0", F.explode(F.slice("pos", F.col("i") + 2, F.size("pos"))).alias("k1"))
     keyed = one.unionByName(two)
     j = keyed.join(fr, ["k0", "k1"]).filter((F.col("sub_size") < F.col("size")) & F.forall("fp", lambda q: F.get("y", q) == 1))
     return j.select("bits", "sub_bits", "sub_size", "sub_count")

@@ -1245,8 +1245,9 @@ SELECT CAST(g.p AS INTEGER) AS pos, CAST(chain[g.p + 1] AS INTEGER) AS j FROM re
 sql("label_chain_mi_min", _mi_chain_sql("min"))
 sql("label_chain_mi_max", _mi_chain_sql("max"))
 
-sql("label_tree_random", f"""
-SELECT CAST(j AS INTEGER) AS j, CAST(ntile(3) OVER (ORDER BY {h_sql('j', 4)}, j) - 1 AS INTEGER) AS grp FROM range(25) g(j)""")
+sql("label_tree_random", with_views("v_tree") + "," + long_cte("v_tree", "lng") + f""",
+seen AS (SELECT CAST(j AS INTEGER) AS j, count(*) AS n FROM lng WHERE t = 1 GROUP BY j)
+SELECT j, CAST(ntile(3) OVER (ORDER BY {h_sql('j', 4)}, j) - 1 AS INTEGER) AS grp, n FROM seen""")
 
 
 # ---------------------------------------------------------------- 2.7 local chain and HMC

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -216,8 +217,7 @@ def q_labelset_intersection(spark, d):
 @query("labelset_subsets")
 def q_labelset_subsets(spark, d):
     c = ST.labelset_counts(V.v_order(spark, d))
-    x = c.select("bits", F.explode(LS.subset_masks("y")).alias("sub"))
-    return x.select("bits", LS.bits("sub").alias("sub_bits"))
+    return LS.explode_subsets(c.select("bits", "y"), "y").select("bits", LS.bits("sub").alias("sub_bits"))
 
 
 @query("rank_from_scores")
@@ -1025,8 +1025,7 @@ def q_label_tree_random(spark, d):
 def q_vector_kmeans_wssse(spark, d):
     m = V.v_vec(spark, d)
     model, cost = CL.vector_kmeans(m.df, "embedding", k=5)
-    x = model.transform(m.df.select("id", __import__("pyspark.ml.functions", fromlist=["array_to_vector"]).array_to_vector(
-        F.col("embedding").cast("array<double>")).alias("features")))
+    x = model.transform(m.df.select("id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
     return x.groupBy(F.col("prediction").cast("int").alias("cluster")).agg(F.count(F.lit(1)).alias("n")).withColumn(
         "wssse", F.lit(round(cost, 3)))
 
@@ -1066,11 +1065,11 @@ def q_ln_clustered_chains(spark, d):
     return _long_out(LN.clustered_chains(m, train, k=2))
 
 
-@query("ln_sclcc")
-def q_ln_sclcc(spark, d):
-    """Cosine k-modes label clusters (k = 3) on the 25-nation tree view, one local chain each."""
+@query("ln_cosine_cluster_chains")
+def q_ln_cosine_cluster_chains(spark, d):
+    """Cosine k-modes label clusters (k = 3, cost-sampled seeds) on the 25-nation tree view, one local chain each."""
     m, train = _materialized_split(V.v_tree(spark, d))
-    return _long_out(LN.clustered_chains(m, train, k=3))
+    return _long_out(LN.clustered_chains(m, train, k=3, init=CL.sample_by_cost(m.with_df(train), k=3, steps=2, seed=5)))
 
 
 @query("ln_ecc")
@@ -1134,7 +1133,7 @@ def q_read_text_vectors(spark, d):
                        F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), " "))
     m.df.select(line.alias("value")).write.mode("overwrite").text(path)
     v = IO.read_text_vectors(spark, path)
-    x = v.select(F.col("vec")[0].cast("bigint").alias("id"), F.posexplode(F.slice("vec", 2, 10**6)).alias("i", "x"))
+    x = v.select(F.col("vec")[0].cast("bigint").alias("id"), F.posexplode(F.slice("vec", F.lit(2), F.size("vec"))).alias("i", "x"))
     return r6(x.select("id", F.col("i").cast("int").alias("i"), "x"))
 
 
@@ -1198,7 +1197,10 @@ def q_st_windowed_measures(spark, d):
                  EV._count2("y", "bip", lambda u, v: (u == 0) & (v == 0)).alias("tn"),
                  F.size("y").alias("L"))
     base = IO.scratch(spark, "st-win")
-    STM.stage_files(x, base + "/in", parts=3, part_col=F.least((F.dayofmonth("ts") - 1) / 11, F.lit(2)).cast("int"))
+    # three files in event-time order, whatever months the events cover: no row is behind the watermark of an earlier file
+    span = x.agg(F.min(F.unix_timestamp("ts")).alias("lo"), F.max(F.unix_timestamp("ts")).alias("hi")).first()
+    part = F.floor((F.unix_timestamp("ts") - (span["lo"] or 0)) * 3 / ((span["hi"] or 0) - (span["lo"] or 0) + 1)).cast("int")
+    STM.stage_files(x, base + "/in", parts=3, part_col=part)
     out = STM.windowed_measures(spark, base + "/in", x.schema, base + "/out", watermark="11 days")
     return r6(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "hamming_loss", "micro_f1"))
 

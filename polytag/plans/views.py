@@ -10,7 +10,7 @@ count-based learners see the same categories in any engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,8 +33,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
+def known(column: str, values: tuple[str, ...]) -> Column:
+    """The column itself; a value outside the fixed label list raises instead of vanishing."""
+    c = F.col(column)
+    return F.when(c.isNull() | c.isin(*values), c).otherwise(F.raise_error(F.concat(F.lit(f"{column} outside its labels: "), c)).cast("string")).alias(column)
+
+
 def v_userday(spark: SparkSession, d: str) -> MLFrame:
-    ev = _t(spark, d, "events").select("user_id", "ts", "event_type", "value")
+    ev = _t(spark, d, "events").select("user_id", "ts", known("event_type", USERDAY_LABELS), "value")
     day = F.to_date("ts")
     g = ev.groupBy("user_id", day.alias("day")).agg(
         *[F.max((F.col("event_type") == lab).cast("int")).alias(lab) for lab in USERDAY_LABELS],
@@ -61,7 +67,8 @@ def _order_lines(spark: SparkSession, d: str) -> DataFrame:
     li = _t(spark, d, "lineitem").select(
         "l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount"
     )
-    combo = F.concat(F.col("l_returnflag"), F.col("l_linestatus"))
+    li = li.withColumn("_combo", F.concat(F.col("l_returnflag"), F.col("l_linestatus"))).withColumn("_combo", known("_combo", ORDER_LABELS))
+    combo = F.col("_combo")
     return li.groupBy("l_orderkey").agg(
         *[F.max((combo == lab).cast("int")).alias(lab) for lab in ORDER_LABELS],
         F.count(F.lit(1)).alias("n_lines"),

@@ -9,6 +9,7 @@ accept either a single file or such a directory.
 
 from __future__ import annotations
 
+import re
 import json
 import os
 import xml.etree.ElementTree as ET
@@ -38,7 +39,8 @@ def parse_arff_header(lines: list[str]) -> list[tuple[str, str, list[str] | None
         else:
             name, typ = rest.split(None, 1)
         if typ.startswith("{"):
-            vals = [v.strip().strip("'") for v in typ.strip("{}").split(",")]
+            vals = [v.strip().strip("'\"") for v in re.findall(r"""'[^']*'|"[^"]*"|[^,]+""", typ.strip("{}").strip())]
+            vals = [v for v in vals if v]
             out.append((name, "nominal", vals))
         elif typ.lower() in ("numeric", "real", "integer"):
             out.append((name, "numeric", None))
@@ -66,42 +68,59 @@ def read_label_xml(spark: SparkSession, path: str) -> tuple[list[str], list[tupl
     return names, edges
 
 
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+#: a cell is quoted text or anything up to a comma; group 1 (dense) or index and value (sparse)
+QUOTED_DENSE = rf"\s*({_QUOTED}|[^,]*)\s*(?:,|$)"
+QUOTED_SPARSE = rf"\s*(\d+)\s+({_QUOTED}|[^,]*)\s*(?:,|$)"
+
+
 def read_arff(spark: SparkSession, path: str, labels: list[str] | None = None, n_labels: int | None = None,
               labels_first: bool = False, id_col: str | None = None) -> MLFrame:
     """ARFF (dense 'a,b,c' or sparse '{i v,...}' rows) -> MLFrame.  Labels come from ``labels``
     (for example read from the XML) or are the last (first) ``n_labels`` attributes.  A nominal
-    label is 1 when its value is the string '1' (a {1,0} declaration flips the index, not the value)."""
-    txt = spark.read.text(path)
-    header = [r["value"] for r in txt.filter(F.col("value").startswith("@")).collect()]
+    label is 1 when its value is the string '1' (a {1,0} declaration flips the index, not the value).
+    A line that begins with % is a comment anywhere, as the format has it; one that begins with @ only before @data."""
+    # a line's place: the split it lies in, then its order in the split; header lines are those up to the first @data of a file
+    # with a @relation line, and every line of a file without one is data
+    where = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    txt = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), where.alias("_at"))
+    word = F.lower(F.trim("value"))
+    marks = txt.groupBy("_file").agg(F.min(F.when(word.rlike(r"^@data\s*$"), F.col("_at"))).alias("_data"), F.max(word.startswith("@relation")).alias("_head")).filter("_head")
+    lines = txt.join(F.broadcast(marks), "_file", "left")  # one row per header file
+    header = [r["value"] for r in lines.filter("_head and (_data is null or _at <= _data)").filter(F.trim("value").startswith("@")).orderBy("_file", "_at").collect()]
     attrs = parse_arff_header(header)
     names = [a[0] for a in attrs]
     if labels is None:
         labels = names[:n_labels] if labels_first else names[-n_labels:]
-    body = txt.filter(~F.col("value").startswith("@") & ~F.col("value").startswith("%") & (F.trim("value") != ""))
+    body = lines.filter(F.col("_head").isNull() | (F.col("_at") > F.col("_data"))).filter((F.trim("value") != "") & ~F.trim("value").rlike(r"^%"))
+    if id_col is None:  # an id that does not depend on how the file is split: the row's content and its number among equal rows
+        body = body.groupBy("value").agg(F.count(F.lit(1)).alias("_n")).select("value", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_k"))
+        body = body.select("value", F.xxhash64("value", "_k").alias("_id"))
+    else:
+        body = body.select("value", F.lit(None).cast("long").alias("_id"))
     v = F.trim("value")
     sparse = v.startswith("{")
+    inner = F.regexp_replace(v, r"^\{|\}$", "")
     # sparse: {i v, j w} -> map of index -> value; unspecified numeric/nominal cells are 0 / first value
-    kv = F.transform(F.split(F.regexp_replace(v, r"^\{|\}$", ""), r"\s*,\s*"), lambda s: F.split(F.trim(s), r"\s+"))
-    smap = F.map_from_entries(F.transform(F.filter(kv, lambda p: F.size(p) == 2),
-                                          lambda p: F.struct(p[0].cast("int").alias("k"), p[1].alias("v"))))
-    dense = F.split(v, r"\s*,\s*")
-    x = body.select(F.when(sparse, smap).alias("_m"), F.when(~sparse, dense).alias("_d"))
+    cell = F.lit(QUOTED_SPARSE)
+    smap = F.map_from_arrays(F.transform(F.regexp_extract_all(inner, cell, F.lit(1)), lambda i: i.cast("int")), F.transform(F.regexp_extract_all(inner, cell, F.lit(2)), lambda c: F.trim(c)))
+    dense = F.transform(F.regexp_extract_all(v, F.lit(QUOTED_DENSE), F.lit(1)), lambda c: F.trim(c))
+    x = body.select("_id", F.when(sparse, smap).alias("_m"), F.when(~sparse, dense).alias("_d"))
     cols = []
     for i, (nm, kind, vals) in enumerate(attrs):
         default = "0" if kind != "nominal" else vals[0]
         raw = F.coalesce(F.get("_d", F.lit(i)), F.coalesce(F.element_at("_m", F.lit(i)), F.lit(default)))
-        raw = F.regexp_replace(raw, r"^'|'$", "")
+        bare = raw == "?"
+        raw = F.regexp_replace(raw, r"""^(['"])(.*)\1$""", "$2")
         if nm in labels:
-            cols.append(F.when(raw == "?", None).otherwise((raw == "1").cast("int")).alias(nm))
+            cols.append(F.when(bare, None).otherwise((raw == "1").cast("int")).alias(nm))
         elif kind == "numeric":
-            cols.append(F.when(raw == "?", None).otherwise(raw.cast("double")).alias(nm))
+            cols.append(F.when(bare, None).otherwise(raw.try_cast("double")).alias(nm))  # text that is no number is missing
         else:
-            cols.append(F.when(raw == "?", None).otherwise(raw).alias(nm))
-    df = x.select(*cols)
+            cols.append(F.when(bare, None).otherwise(raw).alias(nm))
+    df = x.select(*cols, *([F.col("_id").alias("id")] if id_col is None else []))
     feats = [n for n in names if n not in labels and n != id_col]
-    if id_col is None:
-        df = df.withColumn("id", F.monotonically_increasing_id())
-        id_col = "id"
+    id_col = id_col or "id"
     return MLFrame.from_wide(df, labels, feats, id_col)
 
 
@@ -157,14 +176,15 @@ def read_libsvm_ml(spark: SparkSession, path: str, n_features: int | None = None
     kv = F.filter(parts, lambda s: s.contains(":"))
     fmap = F.map_from_entries(F.transform(kv, lambda s: F.struct(F.split(s, ":")[0].cast("int").alias("k"),
                                                                   F.split(s, ":")[1].cast("double").alias("v"))))
-    x = txt.select(labs.alias("_l"), fmap.alias("_f"))
+    # an id that does not depend on how the files are split: the row's content and its number among equal rows
+    once = txt.groupBy("value").agg(F.count(F.lit(1)).alias("_n")).select("value", F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_k"))
+    x = once.select(labs.alias("_l"), fmap.alias("_f"), F.xxhash64("value", "_k").alias("id"))
     st = x.agg(F.max(F.array_max("_l")).alias("ml"), F.max(F.array_max(F.map_keys("_f"))).alias("mf")).first()
     L = int(st["ml"]) + 1
     d = n_features or int(st["mf"])
     feats = [f"x{i}" for i in range(1, d + 1)]
     df = x.select(*[F.coalesce(F.element_at("_f", F.lit(i)), F.lit(0.0)).alias(f"x{i}") for i in range(1, d + 1)],
-                  F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda j: F.array_contains("_l", j).cast("int")).alias("y"))
-    df = df.withColumn("id", F.monotonically_increasing_id())
+                  F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda j: F.array_contains("_l", j).cast("int")).alias("y"), "id")
     return MLFrame(df, tuple(f"L{j}" for j in range(L)), tuple(feats))
 
 
