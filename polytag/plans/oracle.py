@@ -1422,3 +1422,71 @@ SELECT CAST(CASE WHEN f.score >= r.score THEN f.i ELSE r.i END AS INTEGER) AS la
        CAST(CASE WHEN f.score >= r.score THEN f.j ELSE r.j END AS INTEGER) AS given,
        round(CASE WHEN f.score >= r.score THEN f.score ELSE r.score END, 6) AS score
 FROM ts f JOIN ts r ON f.i = r.j AND f.j = r.i WHERE f.i < f.j""")
+
+
+# ---------------------------------------------------------------- 2.10 cross-validation of learners
+
+_CV_FEATURES = {"v_order": ("f_prio", "f_status", "f_lines", "f_qty", "f_price"), "v_userday": ("f_n", "f_hour", "f_val")}
+
+
+def _cv_sql(view: str, learner: str, folds: int, seed: int) -> str:
+    """Measure, mean and sd over folds of one learner on one view."""
+    L, feats = VIEW_L[view], _CV_FEATURES[view]
+    keys = ["fold", "j"] if learner == "br" else ["fold"]
+    head = with_views(view) + f""",
+fd AS (SELECT id, y, CAST({h_sql('id', seed)} % {folds} AS INTEGER) AS own FROM {view}),
+fl_all AS (
+  UNPIVOT (SELECT id, {", ".join(f"CAST({f} AS VARCHAR) AS {f}" for f in feats)} FROM {view}) ON {", ".join(feats)} INTO NAME f VALUE v),
+allrows AS (SELECT id FROM {view}),
+lab AS (SELECT id, own, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS t FROM fd CROSS JOIN range({L}) g(j)),
+seen AS (SELECT CAST(k.fold AS INTEGER) AS fold, lab.* FROM lab CROSS JOIN range({folds}) k(fold) WHERE k.fold <> own)"""
+    if learner == "br":
+        body = """,
+cv_rows AS (SELECT fold, j, id, t FROM seen),
+cv_rfl AS (SELECT r.fold, r.j, r.id, r.t, f, v FROM cv_rows r JOIN fl_all USING (id)),
+cv_cls AS (SELECT DISTINCT fold, j, c.t FROM seen CROSS JOIN (VALUES (0), (1)) c(t))""" + nb_sql(keys, "cv_rows", "cv_rfl", "cv_cls", "fl_all", "allrows", "cv") + """,
+out AS (
+  SELECT id, fold, j, 1.0 / (1.0 + exp(max(CASE WHEN t = 0 THEN s END) - max(CASE WHEN t = 1 THEN s END))) AS s,
+         CAST(max(CASE WHEN t = 1 THEN s END) >= max(CASE WHEN t = 0 THEN s END) AS INTEGER) AS b
+  FROM cv_score GROUP BY id, fold, j)"""
+    elif learner == "lp":
+        body = f""",
+cv_rows AS (SELECT CAST(k.fold AS INTEGER) AS fold, id, {bits_sql('y')} AS t FROM fd CROSS JOIN range({folds}) k(fold) WHERE k.fold <> own),
+cv_rfl AS (SELECT r.fold, r.id, r.t, f, v FROM cv_rows r JOIN fl_all USING (id)),
+cv_cls AS (SELECT DISTINCT fold, t FROM cv_rows)""" + nb_sql(keys, "cv_rows", "cv_rfl", "cv_cls", "fl_all", "allrows", "cv") + f""",
+top AS (SELECT id, fold, min({{'s': -round(s, 9), 't': t}}) AS best FROM cv_score GROUP BY id, fold),
+out AS (
+  SELECT id, fold, CAST(g.j AS INTEGER) AS j, CAST(substr(best.t, g.j + 1, 1) AS DOUBLE) AS s, CAST(substr(best.t, g.j + 1, 1) AS INTEGER) AS b
+  FROM top CROSS JOIN range({L}) g(j))"""
+    else:
+        body = """,
+shr AS (SELECT fold, j, sum(t) / CAST(count(*) AS DOUBLE) AS s FROM seen GROUP BY fold, j),
+out AS (SELECT lab.id, shr.fold, lab.j, s, CAST(s >= 0.5 AS INTEGER) AS b FROM lab JOIN shr ON shr.fold = lab.own AND shr.j = lab.j)"""
+    measures = "pr AS (" + scored_ctes(view).split("pr AS (", 1)[1].split("\nplm AS (")[0].rsplit("cf AS (", 1)[0].rstrip().rstrip(",")
+    row = ("hamming_loss", "subset_accuracy", "ex_precision", "ex_recall", "ex_fmeasure", "ex_accuracy", "ex_specificity", "average_precision",
+           "one_minus_ap", "coverage", "one_error", "is_error", "error_set_size", "ranking_loss", "log_loss")
+    ratio = """CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+    CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE (2 * tp) / (2 * tp + fn + fp) END AS fmeasure,
+    CASE WHEN tn + fp + fn = 0 THEN 1.0 WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS specificity"""
+    return head + body + f""",
+sc AS (SELECT lab.id, lab.j, lab.t, lab.own, out.s, out.b, row_number() OVER (PARTITION BY lab.id ORDER BY out.s DESC, lab.j DESC) AS rk
+       FROM lab JOIN out ON out.id = lab.id AND out.fold = lab.own AND out.j = lab.j),
+{measures},
+fcf AS (
+  SELECT own, j, CAST(sum(CAST(t = 1 AND b = 1 AS INTEGER)) AS DOUBLE) AS tp, CAST(sum(CAST(t = 0 AND b = 1 AS INTEGER)) AS DOUBLE) AS fp,
+         CAST(sum(CAST(t = 1 AND b = 0 AS INTEGER)) AS DOUBLE) AS fn, CAST(sum(CAST(t = 0 AND b = 0 AS INTEGER)) AS DOUBLE) AS tn FROM sc GROUP BY own, j),
+mic AS (SELECT own, {ratio} FROM (SELECT own, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM fcf GROUP BY own)),
+mac AS (SELECT own, avg(precision) AS precision, avg(recall) AS recall, avg(fmeasure) AS fmeasure, avg(specificity) AS specificity
+        FROM (SELECT own, {ratio} FROM fcf) GROUP BY own),
+byf AS (SELECT own, {", ".join(f"avg({m}) AS {m}" for m in row)} FROM rowm JOIN fd USING (id) GROUP BY own),
+allm AS (
+  {" UNION ALL ".join(f"SELECT '{m}' AS measure, {m} AS v FROM byf" for m in row)}
+  {"".join(f" UNION ALL SELECT '{p}_{m}', {m} FROM {t}" for p, t in (("micro", "mic"), ("macro", "mac")) for m in ("precision", "recall", "fmeasure", "specificity"))})
+SELECT measure, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM allm GROUP BY measure"""
+
+
+sql("ev_cross_validate", _cv_sql("v_order", "br", 5, 6))
+sql("ev_compare", " UNION ALL ".join(
+    f"SELECT '{_v}' AS data, '{_l}' AS learner, 5 AS folds, measure, mean, sd FROM ({_cv_sql(_v, _l, 5, 6)}) {_v}_{_l}"
+    for _v in ("v_order", "v_userday") for _l in ("br", "lp", "prior")))

@@ -1084,6 +1084,23 @@ def q_ln_eps(spark, d):
     return _long_out(LN.eps(m, train, m=4))
 
 
+# ---------------------------------------------------------------- 2.10 evaluation of learners by cross-validation
+
+from polytag.operators import validate as VA  # noqa: E402
+
+
+@query("ev_cross_validate")
+def q_ev_cross_validate(spark, d):
+    """Five-fold cross-validation of binary relevance on the order view: mean and sd of every measure."""
+    return r6(VA.cross_validate(V.v_order(spark, d), "br", folds=5, seed=6))
+
+
+@query("ev_compare")
+def q_ev_compare(spark, d):
+    """Binary relevance, label powerset and label priors on two data sets, five folds each."""
+    return r6(VA.compare({"v_order": V.v_order(spark, d), "v_userday": V.v_userday(spark, d)}, seed=6))
+
+
 # ---------------------------------------------------------------- 2.1 sources and sinks (round trips through files Spark writes)
 
 from polytag.sources import formats as IO  # noqa: E402
