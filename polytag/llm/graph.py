@@ -19,6 +19,8 @@ def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch
     """
     cur = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
+    if cur.isEmpty():
+        return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
