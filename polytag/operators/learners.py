@@ -72,7 +72,28 @@ def predict_br(model: NB.NBModel, df: DataFrame, id_col: str = "id") -> DataFram
 # ------------------------------------------------------------------ label powerset
 
 
-TUPLE_CELLS = 20_000_000  # broadcast budget for per-tuple posterior tables (tuples x classes)
+def ranked_classes(model: NB.NBModel, tops: F.Column, key: F.Column | None = None) -> F.Column:
+    """The best classes of a tuple (array of structs with ``t``, ``e``) with each class's position ``i`` in the model's sorted class
+    list, which seeds the tie-break (``key``: the group the class belongs to, positions running over (group, class))."""
+    if key is None:
+        names = sorted({r["t"] for r in model.const})
+    else:
+        names = [f"{g}:{t}" for g, t in sorted({(r["g"], r["t"]) for r in model.const})]
+    at = F.create_map(*[x for i, b in enumerate(names) for x in (F.lit(b), F.lit(i))])
+
+    def place(e):
+        return F.element_at(at, e["t"] if key is None else F.concat(key.cast("string"), F.lit(":"), e["t"]))
+
+    # a single best class needs no position
+    return F.when(F.size(tops) > 1, F.transform(tops, lambda e: F.struct(e["t"].alias("t"), e["e"].alias("e"), place(e).alias("i")))).otherwise(
+        F.transform(tops, lambda e: F.struct(e["t"].alias("t"), e["e"].alias("e"), F.lit(0).alias("i"))))
+
+
+def tied_best(tops: F.Column, idc: F.Column, seed: int) -> F.Column:
+    """The best class of a row: the only one, or of tied ones that of the smallest seeded hash of row and class position."""
+    drawn = F.array_min(F.transform(tops, lambda e: F.struct(LS.stable_hash2(idc, e["i"], seed).alias("h"), e["t"].alias("t"), e["e"].alias("e"))))
+    return F.when(F.size(tops) > 1, F.struct(drawn["t"].alias("t"), drawn["e"].alias("e"))).otherwise(
+        F.struct(F.get(tops, F.lit(0))["t"].alias("t"), F.get(tops, F.lit(0))["e"].alias("e")))
 
 
 def fit_lp(mlf: MLFrame, train: DataFrame | None = None, pruned: DataFrame | None = None) -> NB.NBModel:
@@ -92,35 +113,32 @@ def predict_lp(model: NB.NBModel, df: DataFrame, L: int, conf_mode: int = 1, see
     """(id, conf ARRAY, bip ARRAY): posterior over the seen label sets; best set by max posterior
     (ties: seeded stable hash); conf mode 0 = the set itself, 1 = p or 1-p, 2 = sum of p over sets
     containing the label.  With ``threshold`` the bipartition is conf > threshold."""
-    classes = sorted({r["t"] for r in model.const})
-    cidx = F.create_map(*[x for i, b in enumerate(classes) for x in (F.lit(b), F.lit(i))])
-    # Scores depend only on the feature values: score each distinct feature tuple once (the
-    # posterior array of all classes), then join the rows back; only the seeded tie-break uses
-    # the row id.  The tuple table is broadcast only under a cell budget (tuples x classes).
-    fk = F.to_json(F.struct(*[F.col(f) for f in model.features]))
+    # Everything but the seeded tie-break depends on the feature values alone, so it is worked out once per distinct
+    # feature tuple: the best sets (more than one only on a tie), the normaliser and, for mode 2, the L label sums.
+    # A row joins these small arrays, never the list of all classes.
+    fk = NB.feature_key(model.features)
     tup = df.select(fk.alias("_fk"), *model.features).dropDuplicates(["_fk"])
     s = NB.nb_scores(model, tup, "_fk")
     g = s.groupBy("_fk").agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
-    # unnormalised posteriors e = exp(s - max); every confidence divides by the row's sum once
+    # unnormalised posteriors e = exp(s - max); every confidence divides by the tuple's sum once
     g = g.select("_fk", F.transform("cs", lambda e: F.struct(e["t"].alias("t"), F.exp(e["s"] - F.col("mx")).alias("e"),
                                                             (e["s"] == F.col("mx")).alias("top"))).alias("ps"))
-    g = g.select("_fk", "ps", F.aggregate("ps", F.lit(0.0), lambda a, e: a + e["e"]).alias("norm"))
-    g, n_tup = NB.materialize(g)
-    side = F.broadcast(g) if n_tup * max(1, len(classes)) <= TUPLE_CELLS else g
-    g = df.select(id_col, fk.alias("_fk")).join(side, "_fk").drop("_fk")
-    idc = F.col(id_col)
-    best = F.array_min(F.transform(F.filter("ps", lambda e: e["top"]),
-                                   lambda e: F.struct(LS.stable_hash2(idc, F.element_at(cidx, e["t"]), seed).alias("h"),
-                                                      e["t"].alias("t"), e["e"].alias("e"))))
-    g = g.select(id_col, "ps", "norm", best["t"].alias("best"), (best["e"] / F.col("norm")).alias("pbest"))
+    norm = F.aggregate("ps", F.lit(0.0), lambda a, e: a + e["e"])
+    tops = ranked_classes(model, F.filter("ps", lambda e: e["top"]))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda j: F.aggregate(
+        "ps", F.lit(0.0), lambda a, e: a + F.when(e["t"].substr(j + 1, F.lit(1)) == "1", e["e"]).otherwise(0.0)))
+    keep = [tops.alias("tops"), norm.alias("norm")] + ([sums.alias("sums")] if conf_mode == 2 else [])
+    g, n_tup = NB.materialize(g.select("_fk", *keep))
+    g = df.select(id_col, fk.alias("_fk")).join(NB.maybe_broadcast(g, n_tup * (L if conf_mode == 2 else 1)), "_fk").drop("_fk")
+    best = tied_best(F.col("tops"), F.col(id_col), seed)
+    g = g.select(id_col, "norm", *(["sums"] if conf_mode == 2 else []), best["t"].alias("best"), (best["e"] / F.col("norm")).alias("pbest"))
     bbits = LS.from_bits("best")
     if conf_mode == 0:
         conf = bbits.cast("array<double>")
     elif conf_mode == 1:
         conf = F.transform(bbits, lambda b: F.when(b == 1, F.col("pbest")).otherwise(1 - F.col("pbest")))
     else:
-        conf = F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda j: F.aggregate(
-            "ps", F.lit(0.0), lambda a, e: a + F.when(e["t"].substr(j + 1, F.lit(1)) == "1", e["e"]).otherwise(0.0)) / F.col("norm"))
+        conf = F.transform("sums", lambda x: x / F.col("norm"))
     if threshold is None:
         return g.select(id_col, conf.alias("conf"), bbits.alias("bip"))
     # one array of (conf, bip) pairs, so the conf expression is evaluated once per row
@@ -399,13 +417,17 @@ def fit_multiclass(mlf: MLFrame, train: DataFrame, kind: str = "copy_weight") ->
 
 def predict_multiclass(model: NB.NBModel, df: DataFrame, L: int, id_col: str = "id") -> DataFrame:
     """(id, conf ARRAY): posterior of each label's class (0 for a class never trained); ranking only."""
-    s = NB.nb_scores(model, df, id_col)
-    g = s.groupBy(id_col).agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
-    g = g.select(id_col, F.transform("cs", lambda e: F.struct(e["t"].alias("t"), F.exp(e["s"] - F.col("mx")).alias("e"))).alias("ps"))
-    g = g.select(id_col, "ps", F.aggregate("ps", F.lit(0.0), lambda a, e: a + e["e"]).alias("norm"))
-    conf = F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda j: F.aggregate(
-        "ps", F.lit(0.0), lambda a, e: a + F.when(e["t"] == j, e["e"]).otherwise(0.0)) / F.col("norm"))
-    return g.select(id_col, conf.alias("conf"))
+
+    def scored(tup: DataFrame, key: str) -> DataFrame:
+        s = NB.nb_scores(model, tup, key)
+        g = s.groupBy(key).agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
+        g = g.select(key, F.transform("cs", lambda e: F.struct(e["t"].alias("t"), F.exp(e["s"] - F.col("mx")).alias("e"))).alias("ps"))
+        g = g.select(key, "ps", F.aggregate("ps", F.lit(0.0), lambda a, e: a + e["e"]).alias("norm"))
+        conf = F.transform(F.sequence(F.lit(0), F.lit(L - 1)), lambda j: F.aggregate(
+            "ps", F.lit(0.0), lambda a, e: a + F.when(e["t"] == j, e["e"]).otherwise(0.0)) / F.col("norm"))
+        return g.select(key, conf.alias("conf"))
+
+    return on_feature_tuples(model.features, df, id_col, scored)
 
 
 # ------------------------------------------------------------------ label-subset learners (RAkEL family)
@@ -427,14 +449,14 @@ def predict_subsets(model: NB.NBModel, df: DataFrame, L: int, threshold: float =
     conf = vote share over the groups containing the label, bip = share >= threshold (a partition
     gives the group's own decision); a label in no group gets 0."""
     groups = model.groups  # type: ignore[attr-defined]
-    cls = sorted({(r["g"], r["t"]) for r in model.const})
-    cidx = F.create_map(*[x for i, (g, t) in enumerate(cls) for x in (F.lit(f"{g}:{t}"), F.lit(i))])
-    s = NB.nb_scores(model, df, id_col)
-    mx = s.groupBy(id_col, "g").agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
-    idc = F.col(id_col)
-    top = F.filter("cs", lambda e: e["s"] == F.col("mx"))
-    best = F.array_min(F.transform(top, lambda e: F.struct(
-        LS.stable_hash2(idc, F.element_at(cidx, F.concat(F.col("g").cast("string"), F.lit(":"), e["t"])), seed).alias("h"), e["t"].alias("t"))))
+    fk = NB.feature_key(model.features)
+    tup = df.select(fk.alias("_fk"), *model.features).dropDuplicates(["_fk"])
+    s = NB.nb_scores(model, tup, "_fk")
+    mx = s.groupBy("_fk", "g").agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", F.col("s").alias("e"))).alias("cs"))
+    tops = ranked_classes(model, F.filter("cs", lambda e: e["e"] == F.col("mx")), F.col("g"))
+    mx, n_tup = NB.materialize(mx.select("_fk", "g", tops.alias("tops")))
+    mx = df.select(id_col, fk.alias("_fk")).join(NB.maybe_broadcast(mx, n_tup), "_fk")
+    best = tied_best(F.col("tops"), F.col(id_col), seed)
     labs = F.array(*[F.array(*[F.lit(j) for j in grp]) for grp in groups])
     x = mx.select(id_col, "g", best["t"].alias("bt"))
     x = x.select(id_col, F.posexplode(F.arrays_zip(F.get(labs, F.col("g")).alias("lab"), LS.from_bits("bt").alias("b"))).alias("k", "z"))
@@ -481,14 +503,13 @@ def rakeld_partition(L: int, k: int = 3, seed: int = 1) -> list[list[int]]:
 def nb_argmax(model: NB.NBModel, df: DataFrame, seed: int = 7, id_col: str = "id") -> DataFrame:
     """(id, t): the most probable class of a single multi-class model (ties: seeded stable hash of
     the class position)."""
-    classes = sorted({r["t"] for r in model.const})
-    cidx = F.create_map(*[x for i, b in enumerate(classes) for x in (F.lit(b), F.lit(i))])
-    s = NB.nb_scores(model, df, id_col)
-    g = s.groupBy(id_col).agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", "s")).alias("cs"))
-    idc = F.col(id_col)
-    best = F.array_min(F.transform(F.filter("cs", lambda e: e["s"] == F.col("mx")),
-                                   lambda e: F.struct(LS.stable_hash2(idc, F.element_at(cidx, e["t"]), seed).alias("h"), e["t"].alias("t"))))
-    return g.select(id_col, best["t"].alias("t"))
+    fk = NB.feature_key(model.features)
+    tup = df.select(fk.alias("_fk"), *model.features).dropDuplicates(["_fk"])
+    s = NB.nb_scores(model, tup, "_fk")
+    g = s.groupBy("_fk").agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", F.col("s").alias("e"))).alias("cs"))
+    g, n = NB.materialize(g.select("_fk", ranked_classes(model, F.filter("cs", lambda e: e["e"] == F.col("mx"))).alias("tops")))
+    rows = df.select(id_col, fk.alias("_fk")).join(NB.maybe_broadcast(g, n), "_fk")
+    return rows.select(id_col, tied_best(F.col("tops"), F.col(id_col), seed)["t"].alias("t"))
 
 
 def fit_meta_labeler(mlf: MLFrame, train: DataFrame) -> NB.NBModel:
