@@ -7,7 +7,7 @@ adjacent byte classes and of word properties (language-independent); a gated att
 
 weighs the passages, and the document's score is sigmoid(c . sum(a h) + d).  Only documents carry labels: which
 passages decide is learned.  The bounded labelled sample is encoded on the executors; the small network (a few thousand numbers, broadcast)
-is fitted on the driver by Adam with gradients written out by hand.  Scoring encodes every passage of every whole text.
+is fitted in one task by Adam with gradients written out by hand.  Scoring encodes every passage of every whole text.
 
 Cases: a null or empty text is one empty passage; with no labelled row every score is 0; with one class only the score is
 its smoothed rate; repeated and null-id rows are scored like any other.
@@ -185,17 +185,30 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All training rows (one task) -> one row: the network's numbers, or the one score there is."""
+    rows = []
+    for batch in batches:
+        col = batch.column(2)
+        at, flat = col.offsets.to_numpy(), col.values.to_numpy()
+        rows += [(i, at[k + 1] - at[k], y, flat[at[k] : at[k + 1]].reshape(-1, INPUTS)) for k, (i, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))]
+    rows.sort(key=lambda r: r[:3])  # an order that does not depend on how the rows arrived
+    net: Network | float = 0.0
+    if rows:
+        net = fit(np.concatenate([r[3] for r in rows]), np.concatenate(([0], np.cumsum([len(r[3]) for r in rows]))), np.array([float(r[2]) for r in rows]))
+    one = isinstance(net, float)
+    parts = [] if one else [np.asarray(p, float).reshape(-1).tolist() for p in net]
+    yield pa.RecordBatch.from_arrays([pa.array([parts], pa.list_(pa.list_(pa.float64()))), pa.array([net if one else None], pa.float64())], names=["parts", "score"])
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Network | float:
-    """Fit on the bounded labelled sample (its encoded passages come to the driver)."""
-    made = sampled_documents(docs, labels, "quality", rows).mapInArrow(_encoded, "doc_id long, label int, x array<float>").toArrow()
-    if made.num_rows == 0:
-        return 0.0
-    col = made.column("x").combine_chunks()
-    at, flat = col.offsets.to_numpy(), col.values.to_numpy()
-    order = np.lexsort((np.diff(at), made.column("doc_id").to_numpy()))
-    parts = [flat[at[i] : at[i + 1]].reshape(-1, INPUTS) for i in order]
-    y = made.column("label").to_numpy().astype(float)[order]
-    return fit(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))), y)
+    """Fit on the bounded labelled sample (its encoded passages meet in one task, whose network comes to the driver)."""
+    made = sampled_documents(docs, labels, "quality", rows).mapInArrow(_encoded, "doc_id long, label int, x array<float>")
+    r = made.repartition(1).mapInArrow(_fitted, "parts array<array<double>>, score double").first()
+    if r is None or r["score"] is not None:
+        return 0.0 if r is None else r["score"]
+    shapes = [(INPUTS,), (INPUTS,), (INPUTS, HIDDEN), (HIDDEN,), (HIDDEN, GATE), (HIDDEN, GATE), (GATE,), (HIDDEN,), (1,)]
+    return Network(*(np.array(p).reshape(s) for p, s in zip(r["parts"], shapes, strict=True)))
 
 
 def _scores(batches: Iterator[pa.RecordBatch], net: Network | float) -> Iterator[pa.RecordBatch]:

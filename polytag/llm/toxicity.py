@@ -129,14 +129,15 @@ def fit(
         return w_all, -np.inf
     rate = (y.sum() + 0.5) / (n + 1)
     bias = float(np.log(rate / (1 - rate)))
-    col = np.concatenate(rows).astype(np.int64)
+    col = np.concatenate(rows).astype(np.int32)
     used = np.flatnonzero(np.bincount(col, minlength=slots) >= least_rows)
-    place = np.full(slots, -1, np.int64)
-    place[used] = np.arange(len(used))
+    place = np.full(slots, -1, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
     if y.min() == y.max() or len(used) == 0:
         return w_all, bias
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    col, keep = place[col], place[col] >= 0
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    col = place[col]
+    keep = col >= 0
     col, owner = col[keep], owner[keep]
     signed = np.concatenate(swaps).astype(np.int64) if swaps else np.zeros(0, np.int64)
     s_owner = np.repeat(np.arange(len(swaps)), [len(s) for s in swaps]) if swaps else np.zeros(0, np.int64)
@@ -187,18 +188,37 @@ def fit(
     return w_all, float(b)
 
 
+def _fitted(batches: Iterator[pa.RecordBatch], settings: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """All training rows (one task) -> one row: the weights that are not 0, and the bias."""
+    label, doc_id, parts = [], [], []
+    for batch in batches:
+        label.append(batch.column(1).to_numpy(zero_copy_only=False).astype(float))
+        doc_id.append(batch.column(0).to_numpy(zero_copy_only=False).astype(float))
+        col = batch.column(2)
+        at, values = col.offsets.to_numpy(), col.values.to_numpy()
+        parts += [values[at[i] : at[i + 1]] for i in range(len(col))]
+    y = np.concatenate(label) if label else np.zeros(0)
+    ids = np.concatenate(doc_id) if doc_id else np.zeros(0)
+    # an order that does not depend on how the rows arrived
+    known = sorted(np.flatnonzero(~np.isnan(y)).tolist(), key=lambda i: (ids[i], len(parts[i]), y[i]))
+    swaps = sorted((parts[i] for i in np.flatnonzero(np.isnan(y))), key=lambda a: a.tolist())
+    weights, bias = fit([parts[i] for i in known], y[known], swaps, **settings)
+    used = np.flatnonzero(weights)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([used.astype(np.int32).tolist()], pa.list_(pa.int32())), pa.array([weights[used].tolist()], pa.list_(pa.float32())), pa.array([bias])],
+        names=["slot", "weight", "bias"],
+    )
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, sets: tuple[tuple[str, ...], ...] = IDENTITY_SETS, **settings: float) -> tuple[np.ndarray, float]:
-    """Fit on the bounded labelled sample: the features of at most ``rows`` documents come to the driver."""
-    picked = sampled_documents(docs, labels, "toxic", rows)
-    made = picked.mapInArrow(lambda it: _training_rows(it, sets), "doc_id long, label int, features array<int>").toArrow()
-    flat = made.column("features").combine_chunks()
-    label = made.column("label").to_numpy().astype(float)
-    order = np.lexsort((made.column("doc_id").to_numpy(),))
-    at, values = flat.offsets.to_numpy(), flat.values.to_numpy()
-    part = lambda i: values[at[i] : at[i + 1]]
-    known = [i for i in order if not np.isnan(label[i])]
-    swaps = sorted((part(i) for i in order if np.isnan(label[i])), key=lambda a: a.tolist())
-    return fit([part(i) for i in known], label[known], swaps, **settings)
+    """Fit on the bounded labelled sample: the features of at most ``rows`` documents meet in one task, whose weights come to the driver."""
+    made = sampled_documents(docs, labels, "toxic", rows).mapInArrow(lambda it: _training_rows(it, sets), "doc_id long, label int, features array<int>")
+    r = made.repartition(1).mapInArrow(lambda it: _fitted(it, settings), "slot array<int>, weight array<float>, bias double").first()
+    weights = np.zeros(SLOTS, np.float32)
+    if r is None:
+        return weights, -np.inf
+    weights[r["slot"]] = r["weight"]
+    return weights, r["bias"]
 
 
 def _scores(batches: Iterator[pa.RecordBatch], weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
