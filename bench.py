@@ -27,6 +27,8 @@ HEADLINE = [
     "ln_calibrated_ranking",
     "knn_neighbors",
     "ln_mlknn",
+    "ln_rakel",
+    "ev_cross_validate",
 ]
 
 
