@@ -127,16 +127,15 @@ def test_model_probabilities_sum_to_one_over_the_next_symbol():
 def test_lanes_side_by_side_equal_each_alone():
     rng = np.random.default_rng(4)
     size = [9, 7, 7, 1]
-    alone, facts = [], [rng.integers(-90, 90, (n, 4)).astype(np.int8) for n in size]
+    odds = [rng.normal(0, 3, (3, n)).astype(np.float32) for n in size]
+    bits = [rng.integers(0, 2, n).astype(np.float32) for n in size]
     gates = [rng.integers(0, langmodel.GATES, n) for n in size]
-    for f in facts:
-        f[:, 3] &= 1
-    for f, g in zip(facts, gates, strict=True):
-        alone.append(langmodel.mix(f, g.astype(np.int32), np.arange(len(f) + 1))[0])
+    alone = [langmodel.mix(x, b, g.astype(np.int32), np.arange(len(b) + 1)) for x, b, g in zip(odds, bits, gates, strict=True)]
     order = [(k, t) for t in range(9) for k in range(4) if t < size[k]]
     borders = np.concatenate(([0], np.cumsum([sum(n > t for n in size) for t in range(9)])))
-    both = langmodel.mix(np.array([facts[k][t] for k, t in order]), np.array([gates[k][t] * 4 + k for k, t in order], np.int32), borders)
-    assert np.allclose(both, alone, rtol=1e-5)
+    both = langmodel.mix(
+        np.array([odds[k][:, t] for k, t in order]).T.copy(), np.array([bits[k][t] for k, t in order]), np.array([gates[k][t] * 4 + k for k, t in order], np.int32), borders)
+    assert np.allclose(both, [alone[k][t] for k, t in order], rtol=1e-5)
 
 
 def test_baseline_is_exact_and_the_model_learns(spark, monkeypatch):
