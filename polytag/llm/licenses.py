@@ -3,9 +3,10 @@
 Texts and templates are normalised to runs of lower-case ASCII letters and digits with single spaces between.  Of the hashes of all
 ``GRAM``-byte substrings, winnowing keeps the smallest of every ``WINDOW`` neighbours, so any shared passage of
 GRAM + WINDOW - 1 bytes shares a kept hash.  The templates' kept hashes form an inverted index (hash -> template, word), broadcast:
-the template list is a parameter, at most ``MOST_TEMPLATE_BYTES`` in all.  A document's kept hashes are looked up; hits of one
-template on nearby diagonals are a candidate, and the template's words are aligned with the words around it in a band of ``BAND``
-words on either side of the diagonal (match +2, substitution -1, gap -1, free ends in the document).  Reported are
+the template list is a parameter, at most ``MOST_TEMPLATE_BYTES`` in all.  A document's kept hashes are looked up; every
+diagonal with a hit of a template is a candidate, and the template's words are aligned with the words around it in a band of ``BAND``
+words on either side of the diagonal (match +2, substitution -1, gap -1, free ends in the document); what lies before and
+after the best alignment is aligned again, so copies closer than the band are all found.  Reported are
 alignments that cover at least ``COVERAGE`` of the template's words, with their span in code points of the original text; of
 reports that overlap, the one with more matched words stays.
 
@@ -15,6 +16,7 @@ ids are scanned like any other; a template found several times is reported for e
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -167,32 +169,35 @@ def align(doc: np.ndarray, template: np.ndarray, shift: int, band: int = BAND) -
 _FOUND = "doc_id long, license_id string, template int, start long, end long, matched_words long, template_words long, coverage double"
 
 
+def _around(words_: np.ndarray, template: np.ndarray, diagonal: int) -> Iterator[tuple[int, int, int]]:
+    """All alignments near a diagonal: the best one, then the best in what lies before and after it, and so on -> (first doc word, one past the last, matched)."""
+    least = COVERAGE * len(template)
+    rest = [(max(0, diagonal - 2 * BAND), min(len(words_), diagonal + len(template) + 2 * BAND))]
+    while rest:
+        lo, hi = rest.pop()
+        region = words_[lo : max(lo, hi)]
+        # too few words, or too few of the template's words, for any alignment to be reported
+        if len(region) < least or np.isin(template, region).sum() < least:
+            continue
+        matched, a, b = align(region, template, diagonal - lo)
+        if not matched:
+            continue
+        if matched >= least:
+            yield lo + a, lo + b, matched
+        rest += [(lo, lo + a), (lo + b, hi)]
+
+
 def _row_matches(words_: np.ndarray, hits: list[tuple[int, int, int]], index: Index) -> list[tuple[int, int, int, int]]:
     """hits (template, template word, doc word) of one document -> (template, first doc word, one past the last, matched)."""
-    by: dict[int, list[int]] = defaultdict(list)
-    for t, tw, dw in hits:
-        by[t].append(dw - tw)
-    found = []
-    for t, diagonals in by.items():
-        size = len(index.words[t])
-        groups: list[list[int]] = []
-        for d in sorted(diagonals):
-            if groups and d - groups[-1][-1] <= BAND:
-                groups[-1].append(d)
-            else:
-                groups.append([d])
-        for g in groups:
-            middle = g[len(g) // 2]
-            lo = max(0, middle - 2 * BAND)
-            region = words_[lo : max(lo, middle + size + 2 * BAND)]
-            matched, a, b = align(region, index.words[t], middle - lo)
-            if matched >= COVERAGE * size:
-                found.append((t, lo + a, lo + b, matched))
+    diagonals = sorted({(t, dw - tw) for t, tw, dw in hits})
+    found = {(t, a, b, matched) for t, d in diagonals for a, b, matched in _around(words_, index.words[t], d)}
+    # kept reports do not overlap, so the only ones that can meet a new one are its neighbours by start
     kept: list[tuple[int, int, int, int]] = []
-    for m in sorted(found, key=lambda m: (-m[3], m[1], m[0])):
-        if all(m[2] <= k[1] or k[2] <= m[1] for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: (m[1], m[0]))
+    for m in sorted(found, key=lambda m: (-m[3], m[1], m[0], m[2])):
+        at = bisect(kept, m[1], key=lambda k: k[1])
+        if (at == 0 or kept[at - 1][2] <= m[1]) and (at == len(kept) or m[2] <= kept[at][1]):
+            kept.insert(at, m)
+    return kept
 
 
 def _scan(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:

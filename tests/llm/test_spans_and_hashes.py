@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import crc, edited, frame, prose, tokens
@@ -85,6 +86,30 @@ def test_licenses_are_found_where_they_stand(spark):
     assert 0.9 < two.coverage < 1 and docs[1][1][two.start : two.end].startswith("Permission")
 
 
+def found_licenses(text):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    return [r for out in licenses._scan(iter([batch]), licenses.Index(licenses.TEMPLATES)) for r in out.to_pylist()]
+
+
+@pytest.mark.parametrize("gap", range(10))
+def test_each_of_several_close_notices_is_reported(gap):
+    for name, n in (("MIT", 0), ("Apache-2.0", 0), ("CC-BY-4.0", 0), ("CC-BY-SA-4.0", 1), ("GPL-3.0", 0), ("ISC", 0)):
+        notice = licenses.TEMPLATES[name][n].rstrip(".")
+        text = (notice + " " + "filler " * gap) * 7
+        got = found_licenses(text)
+        want = [m.start() for m in re.finditer(re.escape(notice), text)]
+        assert [(r["license_id"], r["template"], r["start"], r["coverage"]) for r in got] == [(name, n, s, 1.0) for s in want], (name, gap)
+
+
+def test_every_line_of_a_notice_list_is_reported():
+    notices = [("MIT", "Released under the MIT License."), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+               ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("CC-BY-4.0", "Licensed under CC BY 4.0.")]
+    rng = random.Random(5)
+    lines = [rng.choice(notices) for _ in range(300)]
+    got = found_licenses("\n".join(f"lib{i}: {t}" if i % 3 else f"lib{i} is licensed under the terms of {t}" for i, (_, t) in enumerate(lines)))
+    assert [r["license_id"] for r in got] == [k for k, _ in lines]
+
+
 def test_kept_grams_are_those_of_the_plain_winnowing():
     text = ("the quick brown fox jumps over the lazy dog " * 3).encode()
     raw = np.frombuffer(text, np.uint8)
