@@ -1,14 +1,15 @@
 """Benchmark decontamination: spaced-seed hashing.
 
 A seed is a fixed mask over consecutive words: the hash of the words at the mask's marked positions, so a substituted
-word at an unmarked one leaves it unchanged.  ``MASKS`` holds one contiguous seed of eight words and two
-spaced ones that span twelve; a passage with a substitution every few words still keeps some seed.
+word at an unmarked one leaves it unchanged.  ``MASKS`` were chosen by enumeration so that whatever words of a stretch differ,
+as long as the stretch passes the verification, some mask at some offset marks none of them: ``MASKS`` for stretches of
+``WINDOW`` words, ``SHORT_MASKS`` (by the item's length) for items shorter than that.
 
 1. The benchmark's seeds become a table (hash, item, position) and a bitmap of fixed size (``FILTER_BITS`` bits
-   whatever the benchmark holds), built by Spark's bitmap aggregates.
-2. Each document's seeds are tested against the bitmap (broadcast: its size is fixed); only those that pass
-   leave the task, each with the hashes of the words around it, hits that lie close together sharing
-   one stretch of words.
+   whatever the benchmark holds, two of them set per seed), built by Spark's bitmap aggregates.
+2. Each document's seeds, of the masks that the benchmark's items use, are tested against the bitmap (broadcast: its size is
+   fixed); only those that pass leave the task, with the hashes of the words around them, hits that lie close together in
+   one row with one stretch of words.
 3. Passing seeds meet the benchmark's in an equi-join on the hash, which removes the bitmap's false positives.
 4. Around every hit the document's and the item's words are laid side by side on the hit's diagonal, and the
    longest aligned stretch in which every ``WINDOW`` consecutive words agree in at least ``AGREE`` is measured.  A
@@ -30,8 +31,19 @@ from pyspark.sql import functions as F
 from .store import Scratch
 from .text import chunks, lists, mix64, word_hashes
 
-#: fixed seed masks; 1 marks a word that is hashed
-MASKS = ("11111111", "110110011011", "111001010111")
+#: fixed seed masks; 1 marks a word that is hashed.  Any 3 words of 13 may differ.
+MASKS = (
+    "11101111", "1111010011", "1101001111", "11100101011", "11111011", "110100011011", "11001100111", "110110010101", "101101111", "111000101011", "101111000101",
+)
+#: masks for items of fewer words than the window, of which 1 (8 words) or 2 (9 to 12 words) may differ
+SHORT_MASKS = {
+    8: ("1011111", "11110101", "11101011"),
+    9: ("1110111", "111111", "11011011", "110101011", "111000111", "101101101", "101110011", "111100101", "1011111", "110011101"),
+    10: ("1110111", "11011011", "1101001011", "111111", "111000111"),
+    11: ("1110111", "111001011", "1001011101", "11001100101"),
+    12: ("11101011", "1001001111", "100101100011"),
+}
+ALL_MASKS = tuple(dict.fromkeys((*MASKS, *(m for masks in SHORT_MASKS.values() for m in masks))))
 #: bits of the prefilter: 2^27 bits (16 MB) however large the benchmark
 FILTER_BITS = 27
 #: words kept on either side of a hit
@@ -47,26 +59,31 @@ def seeds(hashes: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     left = np.repeat(first[1:], np.diff(first))[:n] - np.arange(n)
     at = np.flatnonzero(left >= span)
-    out = np.full(len(at), len(mask) * 131 + int(mask, 2), np.uint64)
+    out = np.full(n, len(mask) * 131 + int(mask, 2), np.uint64)
     for j, bit in enumerate(mask):
         if bit == "1":
-            out = (out ^ hashes[at + j]) * np.uint64(0x9FB21C651E98DF25)
+            out ^= hashes[j : j + n]
+            out *= np.uint64(0x9FB21C651E98DF25)
             out ^= out >> np.uint64(29)
-    return mix64(out), at
+    return mix64(out[at]), at
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, text) -> (item_id, seed hash, position)."""
+    """(item_id, text) -> (item_id, seed hash, position, mask): the masks for the item's length."""
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, data, offs in chunks(batch.column(1)):
             hashes, first = word_hashes(data, offs)
-            for mask in MASKS:
+            size = np.diff(first)
+            for k, mask in enumerate(ALL_MASKS):
+                lengths = [n for n, masks in (*SHORT_MASKS.items(), (WINDOW, MASKS)) if mask in masks]
                 value, at = seeds(hashes, first, mask)
                 row = np.searchsorted(first, at, "right") - 1
+                mine = np.isin(np.minimum(size, WINDOW)[row], lengths)
+                value, at, row = value[mine], at[mine], row[mine]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo).take(pa.array(row)), pa.array(value.view(np.int64)), pa.array(at - first[row])],
-                    names=["item_id", "seed", "item_at"],
+                    [ids.slice(lo, hi - lo).take(pa.array(row)), pa.array(value.view(np.int64)), pa.array(at - first[row]), pa.array(np.full(len(at), k, np.int32))],
+                    names=["item_id", "seed", "item_at", "mask"],
                 )
 
 
@@ -80,30 +97,35 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def seed_filter(item_seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Packed bitmap of the seeds' low ``bits`` bits: at most 2^(bits - 15) blocks of 4 KB come to the driver."""
-    place = F.expr(f"seed & {(1 << bits) - 1}")
-    blocks = item_seeds.select(place.alias("p")).groupBy(F.expr("p div 32768").alias("block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
+    """Packed bitmap of the places given by the seeds' low ``bits`` bits and the ``bits`` above: at most 2^(bits - 15) blocks of 4 KB come to the driver."""
+    low = (1 << bits) - 1
+    places = F.expr(f"explode(array(seed & {low}, shiftrightunsigned(seed, {bits}) & {low}))")
+    blocks = item_seeds.select(places.alias("p")).groupBy(F.expr("p div 32768").alias("block")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in blocks.toLocalIterator():
         out[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return out
 
 
-_HITS = "doc_id long, seed long, doc_at long, words_at long, words array<long>"
+_HITS = "doc_id long, words_at long, words array<long>, seeds array<long>, places array<long>"
 
 
-def _document_hits(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> seeds that pass the bitmap, each with the word hashes of its stretch."""
+def _may_hold(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 != 0
+
+
+def _document_hits(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits: int, masks: list[str]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> stretches of words with the seeds in them that pass the bitmap."""
     low = np.uint64((1 << bits) - 1)
     for batch in batches:
         ids = batch.column(0)
         for lo, hi, data, offs in chunks(batch.column(1)):
             hashes, first = word_hashes(data, offs)
-            found, places = [], []
-            for mask in MASKS:
+            found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for mask in masks:
                 value, at = seeds(hashes, first, mask)
-                p = value & low
-                ok = (bitmap[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 != 0
+                ok = np.flatnonzero(_may_hold(bitmap, value & low))
+                ok = ok[_may_hold(bitmap, value[ok] >> np.uint64(bits) & low)]
                 found.append(value[ok])
                 places.append(at[ok])
             at = np.concatenate(places)
@@ -113,19 +135,17 @@ def _document_hits(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray, bits:
             at, value = at[order], np.concatenate(found)[order]
             row = np.searchsorted(first, at, "right") - 1
             # a stretch: hits of one row less than AROUND words apart
-            new = np.concatenate(([True], (row[1:] != row[:-1]) | (np.diff(at) >= AROUND)))
-            group = np.cumsum(new) - 1
-            heads = np.flatnonzero(new)
-            tails = np.append(heads[1:], len(at)) - 1
-            begin = np.maximum(first[row[heads]], at[heads] - AROUND)
-            end = np.minimum(first[row[heads] + 1], at[tails] + AROUND)
-            size = (end - begin)[group]
+            heads = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (np.diff(at) >= AROUND))))
+            hits = np.append(heads, len(at))
+            own = row[heads]
+            begin = np.maximum(first[own], at[heads] - AROUND)
+            size = np.minimum(first[own + 1], at[hits[1:] - 1] + AROUND) - begin
             borders = np.concatenate(([0], np.cumsum(size)))
-            take = np.arange(borders[-1]) - np.repeat(borders[:-1], size) + np.repeat(begin[group], size)
+            take = np.arange(borders[-1]) + np.repeat(begin - borders[:-1], size)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo).take(pa.array(row)), pa.array(value.view(np.int64)), pa.array(at - first[row]),
-                 pa.array(begin[group] - first[row]), lists(hashes[take].view(np.int64), borders, pa.int64())],
-                names=["doc_id", "seed", "doc_at", "words_at", "words"],
+                [ids.slice(lo, hi - lo).take(pa.array(own)), pa.array(begin - first[own]), lists(hashes[take].view(np.int64), borders, pa.int64()),
+                 lists(value.view(np.int64), hits, pa.int64()), lists(at - first[row], hits, pa.int64())],
+                names=["doc_id", "words_at", "words", "seeds", "places"],
             )
 
 
@@ -184,16 +204,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS)
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    item_seeds = scratch.write(items.mapInArrow(_item_seeds, "item_id long, seed long, item_at long"), "seeds")
+    item_seeds = scratch.write(items.mapInArrow(_item_seeds, "item_id long, seed long, item_at long, mask int"), "seeds")
+    # at most one row per mask
+    masks = [ALL_MASKS[r["mask"]] for r in item_seeds.select("mask").distinct().orderBy("mask").collect()]
     item_words = items.mapInArrow(_item_words, "item_id long, item_words array<long>")
     bitmap = spark.sparkContext.broadcast(seed_filter(item_seeds, bits))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hits = scratch.write(texts.mapInArrow(lambda it: _document_hits(it, bitmap.value, bits), _HITS), "hits")
+    hits = scratch.write(texts.mapInArrow(lambda it: _document_hits(it, bitmap.value, bits, masks), _HITS), "hits")
     # a doc_id may come with several texts: a stretch is told apart by its words too
     stretch = F.xxhash64("words").alias("stretch")
     # one row per document, stretch, item and diagonal
     lines = (
-        hits.select("doc_id", "seed", "doc_at", "words_at", stretch).join(item_seeds, "seed")
+        hits.select("doc_id", "words_at", stretch, F.explode(F.arrays_zip(F.col("seeds").alias("seed"), F.col("places").alias("doc_at"))).alias("h"))
+        .select("doc_id", "words_at", "stretch", "h.seed", "h.doc_at").join(item_seeds, "seed")
         .groupBy("doc_id", "words_at", "stretch", "item_id", (F.col("doc_at") - F.col("item_at")).alias("diagonal"))
         .agg(F.min("doc_at").alias("doc_at"), F.min("item_at").alias("item_at"))
     )

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -27,6 +28,36 @@ def test_leaked_passages_are_found_with_substitutions(spark):
     assert left == {15, 30, 31, 32}
 
 
+def test_every_stretch_that_is_verified_holds_a_seed():
+    for n in range(8, 31):
+        w = min(n, decontaminate.WINDOW)
+        differ = w - -(-decontaminate.AGREE * w // decontaminate.WINDOW)
+        masks = [[i for i, c in enumerate(m) if c == "1"] for m in (decontaminate.SHORT_MASKS.get(w, decontaminate.MASKS))]
+        placed = [{o + i for i in m} for m in masks for o in range(w - m[-1])]
+        for miss in itertools.combinations(range(w), differ):
+            assert any(p.isdisjoint(miss) for p in placed), (w, miss)
+
+
+def test_periodic_edits_are_found_like_brute_force(spark):
+    rng = random.Random(12)
+    items, docs, want = [], [], {}
+    for n in (8, 9, 10, 11, 12, 13, 14, 17, 20, 25, 30):
+        for every in (4, 5, 6, 7, 8):
+            for begin in range(0, every, 2):
+                i = len(items)
+                words = [f"i{i}w{k}" for k in range(n)]
+                leak = [f"x{i}y{k}" if k % every == begin else w for k, w in enumerate(words)]
+                items.append((i, " ".join(words)))
+                docs.append((i, f"{prose(rng, 20)} {' '.join(leak)} {prose(rng, 20)}"))
+                same = np.array([a == b for a, b in zip(words, leak, strict=True)])
+                w = min(13, n)
+                if any(13 * same[j : j + w].sum() >= 10 * w for j in range(n - w + 1)):
+                    want[i] = int(same.sum())
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, docs), bench, bits=18).collect()}
+    assert got == {(i, i) for i in want} and len(docs) > len(want) > 60
+
+
 def test_overlap_is_the_longest_stretch_that_agrees():
     doc, item = np.arange(100), np.arange(20, 80)
     assert decontaminate.overlap(doc, item, 20) == (20, 60, 60)
