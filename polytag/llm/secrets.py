@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns plus a guess-cost test of values in a credential context.
 
 Base spans (assign, access, hex) come from fixed patterns.  Beside them, the value of any wider credential context (``pwd:``,
-``auth_token =>``, ``client secret is``, ...) is priced: dynamic programming finds the segmentation into dictionary words
+``auth_token =>``, ``DB_PWD=``, ``client secret is``, ...; every place where a key starts is tried) is priced: dynamic programming finds the segmentation into dictionary words
 (cost: log10 of the rank, plus capitals), dates, repeats, keyboard or alphabet walks and brute-force characters that
 an attacker would guess with the least work.  A value whose cheapest segmentation still needs 10^``GUESSES`` guesses or more, and
 that does not overlap a base span, is added as an assign span.  Every assign value's cost is reported.
@@ -39,10 +39,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: a text without any of these (lower case) has no assign match
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: wider credential contexts: a key, an optional connecting word or sign, a value
-CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secrets?|token|api[_\x20-]?key|access[_\x20-]?key|private[_\x20-]?key|client[_\x20-]?secret|auth(?:orization)?(?:[_\x20-]?token)?|bearer|credentials?)"""
-    r"""["'\x20]{0,3}(?::=|=>|->|[:=]|\x20is\x20|\x20)["'\x20]{0,3}(?P<value>[!-&(-~]{6,})""", re.I | re.A)
+_KEY = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_\x20-]?key|access[_\x20-]?key|private[_\x20-]?key|client[_\x20-]?secret|auth(?:orization)?(?:[_\x20-]?token)?|bearer|credential)s?"
+#: further parts of a key: PASSWORD_PROD, token-2, secretKey
+_PARTS = r"(?:[_-][A-Za-z0-9]+|(?-i:(?<=[a-z])[A-Z][a-z0-9]+)|[0-9]{1,2}){0,6}"
+#: wider credential contexts: a key, an optional connecting word or sign, a value (the run of _VALUE characters that follows)
+CONTEXT = re.compile(_KEY + _PARTS + r"""["'\x20]{0,3}(?::=|=>|->|[:=]|(?P<plain>\x20is\x20|\x20))["'\x20]{0,3}(?=[!-&(-~]{6})""", re.I | re.A)
+_VALUE = re.compile(r"[!-&(-~]+")
+#: where a key may start; contexts are tried from every such place, so a key that follows another key is not lost as its value
+_START = re.compile(r"p(?=ass|wd|rivate)|s(?=ecret)|t(?=oken)|a(?=pi|ccess|uth)|c(?=lient|redential)|b(?=earer)", re.I | re.A)
+_IS_KEY = re.compile(_KEY + r"""["']?(?::=|=>|->|[:=])?""", re.I | re.A)
 _CONTEXT_KEYS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential")
 
 # fixed values: keyboard rows and alphabets along which a walk is cheap
@@ -135,19 +140,52 @@ def base_spans(text: str, long_hex: bool = True) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def contexts(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start of the key, start and end of the value) of every credential context, by start; of keys before one value the first.
+
+    A key may follow letters and digits (dbpassword) if a sign comes after it.  A value that is itself a key is none.
+    """
+    seen: set[int] = set()
+    first = last = end = 0  # the run of value characters met last, and its end without closing marks
+    for at in _START.finditer(text):
+        i = at.start()
+        m = CONTEXT.match(text, i)
+        if not m or m.end() in seen:
+            continue
+        inner = i > 0 and text[i - 1].isascii() and text[i - 1].isalnum() and not (text[i - 1].islower() and text[i].isupper())
+        if inner and m["plain"]:
+            continue
+        s = m.end()
+        if not first <= s < last:
+            first, last = _VALUE.match(text, s).span()
+            end = first + len(text[first:last].rstrip(".,;:!?)]}\"'"))
+        seen.add(s)
+        stop = max(s, end)
+        if not any(e - s < 40 and _IS_KEY.fullmatch(text, s, e) for e in (stop, last)):
+            yield i, s, stop
+
+
 def scan(text: str, ranks: dict[str, int], long_hex: bool = True, guesses: float = GUESSES) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[float]]:
-    """(base spans, added spans, log10 guesses of every credential-context value in order)."""
+    """(base spans, added spans, log10 guesses of credential-context values in order).
+
+    A key inside another's value is not priced again where that value is already part of a span.
+    """
     low = text.lower()
     base = base_spans(text, long_hex)
     added, costs = [], []
+    reach = 0
     if any(k in low for k in _CONTEXT_KEYS):
-        for m in CONTEXT.finditer(text):
-            s, e = m.span("value")
-            value = m["value"].rstrip(".,;:!?)]}\"'")
-            cost = guess_cost(value, ranks)
+        for start, s, end in contexts(text):
+            if start < reach and any(b[0] <= start and end <= b[2] for b in (*base, *added[-1:])):
+                continue
+            reach = max(reach, end)
+            cost = guess_cost(text[s:end], ranks)
             costs.append(cost)
-            if cost >= guesses and all(b[2] <= m.start() or s + len(value) <= b[0] for b in base):
-                added.append((m.start(), 0, s + len(value)))
+            if cost >= guesses and all(b[2] <= start or end <= b[0] for b in base):
+                if added and start < added[-1][2]:
+                    added[-1] = (added[-1][0], 0, max(added[-1][2], end))
+                else:
+                    added.append((start, 0, end))
     return base, added, costs
 
 

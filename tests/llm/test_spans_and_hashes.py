@@ -169,6 +169,26 @@ def test_secret_base_spans_and_added_ones(spark):
     assert cost("8f3KzQ1xWv0b2Yt5") > 15 and cost("Password") > cost("password") and cost("20190412") < 5.5
 
 
+@pytest.mark.parametrize("text", [
+    "AWS_SECRET_ACCESS_KEY=@", "DB_PWD=@", "DB_PASSWORD=@", "secret password: @", "bearer token: @", "Authorization: Bearer @", "dbPassword -> @", "dbpwd = @", "PASSWORD_PROD: @ x",
+    "secret password=@", "secret password_prod: @", "the pwd is @ ok", "my-api-key => @", "client secret is @", '{"auth_token" : "@"}', "password2=@", "API_TOKENS=@", "access key: secret_live_@ please rotate"])
+def test_values_of_compound_and_consecutive_keys_are_priced(text):
+    value = "Zx9!kq#7Lw@2m"
+    full = text.replace("@", value)
+    base, added, costs = secrets.scan(full, {w: i + 1 for i, w in enumerate(("password", "secret", "token"))})
+    at = full.index(value)
+    assert not base and len(added) == 1 and added[0][0] < at and added[0][2] == at + len(value)
+    assert max(costs) >= secrets.guess_cost(value, {})
+
+
+def test_each_context_of_a_line_is_found_in_linear_time():
+    text = "password: Zx9!kq#7Lw@2m token: Pq8$wz&6Ty^1n, compass Zx9!kq#7Lw@2m"
+    assert [text[a:b] for a, _, b in secrets.scan(text, {})[1]] == ["password: Zx9!kq#7Lw@2m", "token: Pq8$wz&6Ty^1n"]
+    assert secrets.scan("password token secret", {})[1:] == ([], [])
+    assert len(list(secrets.contexts("token=" * 50_000))) > 49_000
+    assert len(secrets.scan("token=" * 500, {})[2]) <= 1
+
+
 def test_model_probabilities_sum_to_one_over_the_next_symbol():
     """The tree gives every symbol a path, and the bits of a path are decided one after the other: probabilities add up."""
     rng = np.random.default_rng(0)
