@@ -8,9 +8,11 @@ signs) and its context (neighbouring characters, a keyword before it).
 Training is weakly supervised: a candidate whose own string passes a kind's base check is a positive of that kind, one that
 does not is a negative, and the feature that decides the check (the leading +, the @ sign) is withheld from that kind's model, so
 trees learn what such a span looks like otherwise.  All candidates of the corpus are counted per feature
-combination by one aggregation; the ``COMBINATIONS`` most frequent combinations come to the driver as weighted
+combination by one aggregation, a written table; its ``COMBINATIONS`` most frequent combinations come to the driver as weighted
 training rows, where gradient-boosted depth-2 trees are fitted.  Documents with crc32(doc_id) mod 4 = 2 are left out of fitting and
 calibrate each kind's threshold: the lowest score at which the smoothed precision of all candidates above it is at least ``PRECISION``.
+For that all combinations, not only those fitted on, are scored on Spark and summed per score; the driver
+reads the sums one after the other, from the highest score, and keeps only the totals.
 The trees become one CASE expression, so scoring is a projection.  A candidate that passes and does not overlap a base
 span is added under its kind.
 
@@ -21,7 +23,9 @@ are independent, so ties, repeats and null ids change nothing.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,19 +223,56 @@ def boost(rows: list[tuple[tuple[int, ...], float, float]], usable: tuple[int, .
     return base, trees
 
 
+def _lowest(falling: Iterable[tuple[float, float, float]], precision: float) -> float:
+    """The threshold from (score, positives, negatives) by falling score."""
+    best, p, n = math.inf, 0.0, 0.0
+    for s, a, b in falling:
+        p, n = p + a, n + b
+        if (p + 0.5) / (p + n + 1) >= precision:
+            best = s
+    return best
+
+
 def threshold(scored: list[tuple[float, float, float]], precision: float = PRECISION) -> float:
     """Lowest score at which (positives + 1/2) / (all + 1) of the candidates at or above it is ``precision``; inf if none."""
-    best, p, n = math.inf, 0.0, 0.0
     by_score: dict[float, list[float]] = {}
     for s, a, b in scored:
         t = by_score.setdefault(s, [0.0, 0.0])
         t[0] += a
         t[1] += b
-    for s in sorted(by_score, reverse=True):
-        p, n = p + by_score[s][0], n + by_score[s][1]
-        if (p + 0.5) / (p + n + 1) >= precision:
-            best = s
-    return best
+    return _lowest(((s, *by_score[s]) for s in sorted(by_score, reverse=True)), precision)
+
+
+def _tree_column(tree: Tree | float, f: Column) -> Column:
+    if not isinstance(tree, tuple):
+        return F.lit(float(tree))
+    return F.when(f[FEATURES[tree[0]]] <= tree[1], _tree_column(tree[2], f)).otherwise(_tree_column(tree[3], f))
+
+
+def _score(base: float, trees: list, f: Column) -> Column:
+    return sum((_tree_column(x, f) for x in trees), F.lit(base))
+
+
+def _own(kind: str, generator: Column) -> Column:
+    return generator == 0 if kind == "email" else generator > 0
+
+
+def calibrated(table: DataFrame, models: dict[str, tuple[float, list, float]]) -> dict[str, tuple[float, list, float]]:
+    """The models with their thresholds from the held-out counts of all combinations."""
+    parts = []
+    for kind, (base, trees, _) in models.items():
+        if trees:
+            others = sum((F.col(f"{k}_true") for k in (*KINDS, "") if k != kind), F.lit(0))
+            # rounded, so that sums which differ in the last bits only are one score (added_spans allows for it)
+            score = F.round(_score(base, trees, F.struct(*FEATURES)), 9)
+            parts.append(table.filter(_own(kind, F.col("generator"))).select(F.lit(kind).alias("kind"), score.alias("score"), F.col(f"{kind}_true").alias("p"), others.alias("n")))
+    if not parts:
+        return models
+    sums = reduce(DataFrame.unionByName, parts).groupBy("kind", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    out = dict(models)
+    for kind, rows in groupby(sums.orderBy("kind", F.desc("score")).toLocalIterator(), lambda r: r["kind"]):
+        out[kind] = (*models[kind][:2], _lowest(((r["score"], float(r["p"]), float(r["n"])) for r in rows), PRECISION))
+    return out
 
 
 def train(found: DataFrame, combinations: int = COMBINATIONS) -> dict[str, tuple[float, list, float]]:
@@ -239,6 +280,7 @@ def train(found: DataFrame, combinations: int = COMBINATIONS) -> dict[str, tuple
     one = found.select((F.coalesce(crc_rest(F.col("doc_id"), 4), F.lit(0)) == 2).alias("held"), F.explode("candidates").alias("c"))
     counts = [F.sum((F.col("held") == h).cast("long") * (F.coalesce(F.col("c.passes"), F.lit("")) == k).cast("long")).alias(f"{k}_{h}".lower()) for k in (*KINDS, "") for h in (False, True)]
     table = one.groupBy(*(F.col(f"c.f.{f}").alias(f) for f in FEATURES)).agg(F.count(F.lit(1)).alias("n"), *counts)
+    table = Scratch(found.sparkSession, "pii").write(table, "combinations")
     rows = [r.asDict() for r in table.orderBy(F.desc("n"), *FEATURES).limit(combinations).collect()]
     models = {}
     for kind in KINDS:
@@ -247,15 +289,8 @@ def train(found: DataFrame, combinations: int = COMBINATIONS) -> dict[str, tuple
         x = [tuple(r[f] for f in FEATURES) for r in mine]
         fit = [(a, float(r[f"{kind}_false"]), float(sum(r[f"{k}_false"] for k in others))) for a, r in zip(x, mine, strict=True)]
         base, trees = boost(fit, tuple(i for i, f in enumerate(FEATURES) if f not in _WITHHELD[kind]))
-        held = [(base + sum(_value(t, a) for t in trees), float(r[f"{kind}_true"]), float(sum(r[f"{k}_true"] for k in others))) for a, r in zip(x, mine, strict=True)]
-        models[kind] = (base, trees, threshold(held) if trees else math.inf)
-    return models
-
-
-def _tree_column(tree: Tree | float, f: Column) -> Column:
-    if not isinstance(tree, tuple):
-        return F.lit(float(tree))
-    return F.when(f[FEATURES[tree[0]]] <= tree[1], _tree_column(tree[2], f)).otherwise(_tree_column(tree[3], f))
+        models[kind] = (base, trees, math.inf)
+    return calibrated(table, models)
 
 
 def added_spans(models: dict[str, tuple[float, list, float]]) -> Column:
@@ -266,8 +301,8 @@ def added_spans(models: dict[str, tuple[float, list, float]]) -> Column:
         base, trees, cut = models[kind]
         if not trees or math.isinf(cut):
             continue
-        right = (lambda c: c["f"]["generator"] == 0) if kind == "email" else (lambda c: c["f"]["generator"] > 0)
-        margin = lambda c: sum((_tree_column(x, c["f"]) for x in trees), F.lit(base)) - cut  # noqa: E731, B023
+        right = lambda c: _own(kind, c["f"]["generator"])  # noqa: E731, B023
+        margin = lambda c: _score(base, trees, c["f"]) - cut  # noqa: E731, B023
         scored = F.transform(F.filter("candidates", right), lambda c: F.struct(margin(c).alias("margin"), F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end")))  # noqa: B023
         passing.append(F.filter(scored, lambda c: c["margin"] >= -1e-9))
     if not passing:

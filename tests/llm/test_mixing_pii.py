@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from helpers import frame, prose, tokens
+import pytest
+
+from helpers import crc, frame, prose, tokens
 from polytag.llm import mixing, pii
 
 
@@ -86,6 +88,24 @@ def test_trees_learn_and_thresholds_are_calibrated():
     assert pii.boost(rows[:2], (1,))[1] == [] and pii.threshold([(1.0, 1.0, 9.0)]) == float("inf")
 
 
+def test_thresholds_count_the_combinations_that_are_not_fitted_on(spark):
+    def row(i, passes, digits, gaps):
+        f = dict.fromkeys(pii.FEATURES, 0) | {"generator": 1, "digits": digits, "gaps": gaps}
+        return i, [(0, 9, passes, tuple(f[k] for k in pii.FEATURES))]
+
+    schema = f"doc_id long, candidates array<struct<start:int,end:int,passes:string,f:struct<{','.join(f'{k}:int' for k in pii.FEATURES)}>>>"
+    common = [row(i, "phone" if i % 2 else None, 12 if i % 2 else 7, 0) for i in range(400)]
+    # rare formats look like the passing ones, and fail
+    rare = [row(1000 + i, None, 13 + i % 7, 1 + i // 7 % 6) for i in range(210)]
+    good = pii.train(spark.createDataFrame(common, schema), 2)["phone"]
+    assert good[1] and good[2] < float("inf")
+    frame_ = spark.createDataFrame(common + rare, schema)
+    assert pii.train(frame_, 2)["phone"][2] == float("inf")
+    base, trees, cut = pii.train(frame_)["phone"]
+    every = [(base + sum(pii._value(t, c[0][3]) for t in trees), c[0][2] == "phone") for i, c in common + rare if crc(i) % 4 == 2]
+    assert cut == pytest.approx(pii.threshold([(round(s, 9), float(p), float(not p)) for s, p in every])) and cut < float("inf")
+
+
 def test_redaction_replaces_spans_and_keeps_the_rest(spark):
     rows = [(1, "mail bob@x.org or +1 (502) 555-8498, ip 10.0.0.1."), (2, "nothing here"), (3, None)]
     out = {r.doc_id: r for r in pii.redact(frame(spark, rows)).collect()}
