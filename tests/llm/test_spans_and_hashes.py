@@ -214,6 +214,33 @@ def test_lanes_side_by_side_equal_each_alone():
     assert np.allclose(both, [alone[k][t] for k, t in order], rtol=1e-5)
 
 
+def test_tables_hold_every_pair_and_no_other():
+    rng = np.random.default_rng(3)
+    pair = rng.integers(0, 1 << 63, 30_000, dtype=np.uint64) * np.uint64(2)
+    odds = rng.choice([*range(-127, 0), *range(1, 128)], len(pair)).astype(np.int8)
+    table = langmodel.Table(20_000, 10)
+    for part in np.array_split(np.arange(20_000), 7):
+        table.add(pair[part], odds[part])
+    assert len(table.cells) >= 40_000
+    got = table.look(pair)
+    assert (got[:20_000] == odds[:20_000]).all() and (got[20_000:] != 0).sum() <= 2
+
+
+def test_contexts_of_single_continuations_are_known(spark):
+    """'qqz' is followed once by each of 20 letters; a context seen once in all stays unknown."""
+    ids = [i for i in range(100) if crc(i) % 7 != 2]
+    rows = [(i, f"qqz{chr(97 + k)}") for k, i in enumerate(ids[:20])] + [(ids[20], "xxjv")]
+    docs = frame(spark, rows)
+    model = langmodel.train(docs, langmodel.Scratch(spark, "langmodel_test"), bits=10)[0]
+
+    def known(three):
+        context = np.array([int.from_bytes(three.encode(), "big") | 3 << 24])
+        root = model.codes.nodes[model.codes.starts[ord(three[-1]) * langmodel.SYMBOLS + 97]]
+        return model.tables[langmodel.ORDER3].look(langmodel.pair_hash(langmodel.context_hash(context, langmodel.ORDER3), np.array([root])))[0] != 0
+
+    assert known("qqz") and not known("xxj")
+
+
 def test_baseline_is_exact_and_the_model_learns(spark, monkeypatch):
     monkeypatch.setattr(langmodel, "HEAD_WORDS", 50)
     rng = random.Random(6)
