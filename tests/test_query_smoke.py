@@ -3,7 +3,7 @@ never runs is how a broken learner slipped through before)."""
 
 import pytest
 
-from conftest import SF
+from datadirs import SF
 
 NEW = [
     "ln_dmlknn", "conditional_dependence", "th_expected_measure", "strat_iterative", "ln_stacking",

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF
+from datadirs import SF
 
 
 def _greedy_rows(D, C, n, step):
