@@ -1,8 +1,6 @@
 import os
-import sys
 
 here = os.path.dirname(os.path.abspath(__file__))
-sys.path.insert(0, here)
 root = os.path.dirname(os.path.dirname(here))
 # Python workers import the package too
 if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
