@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, langmodel, licenses, mixing, neardup, pii, quality, secrets, toxicity
+from . import centroids, codes, decontaminate, fingerprint, langmodel, licenses, linefreq, mixing, neardup, pii, quality, secrets, toxicity
 from .store import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,18 @@ def op9_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefreq.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_pivot_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest_columns(codes.compress(read_table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op13_pivot_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digest_columns(centroids.cluster(read_table(spark, sf_dir, "embeddings")))
