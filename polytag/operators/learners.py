@@ -51,10 +51,15 @@ def on_feature_tuples(features, df: DataFrame, id_col: str, fn) -> DataFrame:
 # ------------------------------------------------------------------ binary relevance
 
 
-def fit_br(mlf: MLFrame, train: DataFrame | None = None) -> NB.NBModel:
-    """One binary model per label, all from one count; rows with a missing label are skipped for it."""
+def fit_br(mlf: MLFrame, train: DataFrame | None = None, base=None):
+    """One binary model per label, all from one count; rows with a missing label are skipped for it.
+    ``base``: another base learner than naive Bayes (``tree.TreeBase``)."""
     train = mlf.df if train is None else train
     c = compact_rows(train, mlf.features, mlf.y_col)
+    if base is not None:
+        rows = c.select("_w", base.values(mlf.features).alias("_vals"), F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
+        labels = train.sparkSession.range(mlf.L).select(F.col("id").cast("int").alias("j"))
+        return base.fit(rows.withColumn("j", F.col("j").cast("int")), ["j"], list(mlf.features), labels)
     rows = c.select(*mlf.features, "_w", F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
     rows = rows.withColumn("j", F.col("j").cast("int"))
     spark = train.sparkSession
@@ -62,9 +67,14 @@ def fit_br(mlf: MLFrame, train: DataFrame | None = None) -> NB.NBModel:
     return NB.fit_nb(rows, ["j"], list(mlf.features), classes, weight="_w")
 
 
-def predict_br(model: NB.NBModel, df: DataFrame, id_col: str = "id") -> DataFrame:
+def binary_scores(model, df: DataFrame, id_col: str = "id") -> DataFrame:
+    """(id, *keys, s0, s1, p1) of any base learner's binary models."""
+    return NB.nb_binary_scores(model, df, id_col) if isinstance(model, NB.NBModel) else model.binary_scores(df, id_col)
+
+
+def predict_br(model, df: DataFrame, id_col: str = "id") -> DataFrame:
     """(id, j, conf, bip): conf = P(1); positive iff P(1) >= P(0)."""
-    p = NB.nb_binary_scores(model, df, id_col)
+    p = binary_scores(model, df, id_col)
     return p.select(id_col, F.col("j").cast("int").alias("j"), F.col("p1").alias("conf"),
                     (F.col("s1") >= F.col("s0")).cast("int").alias("bip"))
 
@@ -150,23 +160,35 @@ def predict_lp(model: NB.NBModel, df: DataFrame, L: int, conf_mode: int = 1, see
 # ------------------------------------------------------------------ classifier chain
 
 
-def fit_cc(mlf: MLFrame, chain: list[int] | None = None, train: DataFrame | None = None) -> NB.NBModel:
+def fit_cc(mlf: MLFrame, chain: list[int] | None = None, train: DataFrame | None = None, base=None, weight: str | None = None):
     """Link k predicts label chain[k] from the features and the *true* labels chain[:k]
-    (label features named '__lab<j>'); all links from one count keyed by ``link``."""
+    (label features named '__lab<j>'); all links from one count keyed by ``link``.  ``weight`` names a column of
+    row weights (bags; rows of weight 0 are left out); ``base`` another base learner than naive Bayes (``tree.TreeBase``)."""
     train = mlf.df if train is None else train
     chain = list(range(mlf.L)) if chain is None else list(chain)
+    if base is not None:
+        from polytag.operators import tree as TREE
+
+        w = F.sum(F.col(weight).cast("double")) if weight else F.count(F.lit(1)).cast("double")
+        c = train.groupBy(*mlf.features, mlf.y_col).agg(w.alias("_w")).filter("_w > 0")
+        keys = train.sparkSession.range(len(chain)).select(F.col("id").cast("int").alias("link"))
+        m = base.fit(TREE.chain_rows(base, c, mlf.features, mlf.y_col, mlf.L, chain), ["link"], list(mlf.features), keys, more=mlf.L)
+        m.chain = chain
+        return m
     order = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(chain)])
     links = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lab).alias("lab")) for k, lab in enumerate(chain)])
-    x = train.select(NB.feature_pairs(mlf.features).alias("_b"), F.col(mlf.y_col).alias("_y"), F.explode(links).alias("ln"))
+    extra = [weight] if weight else []
+    x = train.filter(F.col(weight) > 0) if weight else train
+    x = x.select(NB.feature_pairs(mlf.features).alias("_b"), F.col(mlf.y_col).alias("_y"), *extra, F.explode(links).alias("ln"))
     prev = F.transform(
         F.filter(order, lambda e: e["i"] < F.col("ln.k")),
         lambda e: F.struct(F.concat(F.lit("__lab"), e["c"].cast("string")).alias("f"), F.get("_y", e["c"]).cast("string").alias("v")),
     )
-    rows = x.select(F.col("ln.k").cast("int").alias("link"), F.get("_y", F.col("ln.lab")).alias("t"),
+    rows = x.select(F.col("ln.k").cast("int").alias("link"), F.get("_y", F.col("ln.lab")).alias("t"), *extra,
                     F.filter(F.concat("_b", prev), lambda p: p["v"].isNotNull()).alias("_fv")).filter(F.col("t").isNotNull())
     spark = train.sparkSession
     classes = _binary_classes(spark, spark.range(len(chain)).select(F.col("id").cast("int").alias("link")))
-    m = NB.fit_nb(rows, ["link"], list(mlf.features), classes, pairs="_fv")
+    m = NB.fit_nb(rows, ["link"], list(mlf.features), classes, weight=weight, pairs="_fv")
     m.chain = chain  # type: ignore[attr-defined]
     return m
 
@@ -176,6 +198,10 @@ def predict_cc(model: NB.NBModel, df: DataFrame, L: int, id_col: str = "id") ->
     with a literal coefficient array: state = predictions so far; link k adds the weights of the
     *predicted* earlier labels.  The plan stays flat whatever the chain length.  The chain runs
     once per distinct feature tuple (its output depends only on the features); rows join back."""
+    if not isinstance(model, NB.NBModel):
+        from polytag.operators import tree as TREE
+
+        return TREE.predict_chain(model, df, L, model.chain, id_col)
     rows = df.select(id_col, NB.feature_key(model.features).alias("_fk"))
     df = df.select(NB.feature_key(model.features).alias("_fk"), *model.features).dropDuplicates(["_fk"])
     row_id, id_col = id_col, "_fk"
@@ -631,22 +657,6 @@ def clustered_chains(mlf: MLFrame, train: DataFrame, k: int = 3, iters: int = 10
     return predict_chains(mlf, train, ordered, mlf.df)
 
 
-def _fit_cc_w(mlf: MLFrame, chain: list[int], train: DataFrame) -> NB.NBModel:
-    """Classifier chain on rows weighted by column ``_bw`` (bootstrap weights)."""
-    order = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(chain)])
-    links = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lab).alias("lab")) for k, lab in enumerate(chain)])
-    x = train.select(NB.feature_pairs(mlf.features).alias("_b"), F.col(mlf.y_col).alias("_y"), "_bw", F.explode(links).alias("ln"))
-    prev = F.transform(F.filter(order, lambda e: e["i"] < F.col("ln.k")),
-                       lambda e: F.struct(F.concat(F.lit("__lab"), e["c"].cast("string")).alias("f"), F.get("_y", e["c"]).cast("string").alias("v")))
-    rows = x.select(F.col("ln.k").cast("int").alias("link"), F.get("_y", F.col("ln.lab")).alias("t"), "_bw",
-                    F.filter(F.concat("_b", prev), lambda p: p["v"].isNotNull()).alias("_fv")).filter(F.col("t").isNotNull() & (F.col("_bw") > 0))
-    spark = train.sparkSession
-    classes = _binary_classes(spark, spark.range(len(chain)).select(F.col("id").cast("int").alias("link")))
-    m = NB.fit_nb(rows, ["link"], list(mlf.features), classes, weight="_bw", pairs="_fv")
-    m.chain = chain  # type: ignore[attr-defined]
-    return m
-
-
 def ecc(mlf: MLFrame, train: DataFrame, m: int = 5, use_conf: bool = True, seed: int = 1) -> DataFrame:
     """Ensemble of classifier chains: m random label orders, each on a Poisson(1) bag of the training
     rows (weights from a seeded hash, no row moves); conf = mean confidence (or vote share), bip at 0.5."""
@@ -662,7 +672,7 @@ def ecc(mlf: MLFrame, train: DataFrame, m: int = 5, use_conf: bool = True, seed:
         rnd.shuffle(chain)
         u = stable_hash2(mlf.id_col, F.lit(i), seed) / F.lit(float(MINSTD_M))
         wgt = sum(F.when(u >= F.lit(t), 1).otherwise(0) for t in poisson1_thresholds()).cast("double")
-        p = predict_cc(_fit_cc_w(mlf, chain, train.withColumn("_bw", wgt)), mlf.df, mlf.L)
+        p = predict_cc(fit_cc(mlf, chain, train.withColumn("_bw", wgt), weight="_bw"), mlf.df, mlf.L)
         outs.append(p.select("id", (F.col("conf") if use_conf else F.col("bip").cast("array<double>")).alias(f"v{i}")))
     x = outs[0]
     for o in outs[1:]:

@@ -642,6 +642,73 @@ br_pred AS (
 sql("ln_binary_relevance", _ORDER_TRAIN + """
 SELECT id, CAST(j AS INTEGER) AS j, round(conf, 6) AS conf, bip FROM br_pred""")
 
+_XLX = "(CASE WHEN {0} > 0 THEN {0} * ln({0}) ELSE 0.0 END)"
+
+
+def _mass_sql(n: str, n1: str) -> str:
+    return "(" + _XLX.format(n) + " - " + _XLX.format(n1) + " - " + _XLX.format(f"({n} - {n1})") + ")"
+
+
+def tree_sql(key: str, rows: str, rfl: str, order: list[str], depth: int, min_leaf: int) -> str:
+    """CTEs of one information-gain tree per key: dt_split(key, node, f), dt_tot(key, node, n, n1); a node is the path to it.
+
+    rows(key, id, t): training rows; rfl(key, id, f, v): their feature values; ``order``: features, earlier ones win ties."""
+    place = "[" + ", ".join(f"'{f}'" for f in order) + "]"
+    out = f""",
+dt_n0 AS (SELECT {key}, id, CAST(t AS DOUBLE) AS t, '' AS node FROM {rows})"""
+    for d in range(depth):
+        out += f""",
+dt_t{d} AS (SELECT {key}, node, CAST(count(*) AS DOUBLE) AS n, sum(t) AS n1 FROM dt_n{d} GROUP BY {key}, node),
+dt_c{d} AS (SELECT a.{key}, a.node, b.f, b.v, CAST(count(*) AS DOUBLE) AS n, sum(a.t) AS n1 FROM dt_n{d} a JOIN {rfl} b ON b.{key} = a.{key} AND b.id = a.id GROUP BY a.{key}, a.node, b.f, b.v),
+dt_p{d} AS (SELECT {key}, node, f, sum({_mass_sql("n", "n1")}) AS rest FROM dt_c{d} GROUP BY {key}, node, f HAVING count(*) FILTER (WHERE n >= {min_leaf}) >= 2),
+dt_s{d} AS (SELECT p.{key}, p.node, p.f FROM dt_p{d} p JOIN dt_t{d} t ON t.{key} = p.{key} AND t.node = p.node WHERE t.n1 > 0 AND t.n1 < t.n
+  QUALIFY row_number() OVER (PARTITION BY p.{key}, p.node ORDER BY round(({_mass_sql("t.n", "t.n1")} - rest) / t.n, 10) DESC, list_position({place}, p.f)) = 1),
+dt_n{d + 1} AS (SELECT a.{key}, a.id, a.t, a.node || '/' || s.f || '=' || b.v AS node FROM dt_n{d} a JOIN dt_s{d} s ON s.{key} = a.{key} AND s.node = a.node
+  JOIN {rfl} b ON b.{key} = a.{key} AND b.id = a.id AND b.f = s.f)"""
+    return out + f""",
+dt_t{depth} AS (SELECT {key}, node, CAST(count(*) AS DOUBLE) AS n, sum(t) AS n1 FROM dt_n{depth} GROUP BY {key}, node),
+dt_split AS ({" UNION ALL ".join(f"SELECT * FROM dt_s{d}" for d in range(depth))}),
+dt_tot AS ({" UNION ALL ".join(f"SELECT * FROM dt_t{d}" for d in range(depth + 1))})"""
+
+
+def tree_walk_sql(key: str, sfl: str, srows: str, depth: int, p: str) -> str:
+    """CTE {p}_leaf(id, key, conf) from srows(id, key) and sfl(id, f, v)."""
+    out = f""",
+{p}_w0 AS (SELECT id, {key}, '' AS node FROM {srows})"""
+    for d in range(depth):
+        out += f""",
+{p}_w{d + 1} AS (SELECT a.id, a.{key}, coalesce(t.node, a.node) AS node FROM {p}_w{d} a LEFT JOIN dt_split s ON s.{key} = a.{key} AND s.node = a.node
+  LEFT JOIN {sfl} b ON b.id = a.id AND b.f = s.f LEFT JOIN dt_tot t ON t.{key} = a.{key} AND t.node = a.node || '/' || s.f || '=' || b.v)"""
+    return out + f""",
+{p}_leaf AS (SELECT a.id, a.{key}, (t.n1 + 1.0) / (t.n + 2.0) AS conf FROM {p}_w{depth} a JOIN dt_tot t ON t.{key} = a.{key} AND t.node = a.node)"""
+
+
+_TREE_FEATURES = ["f_prio", "f_status", "f_lines", "f_qty", "f_price"]
+
+sql("ln_tree_binary_relevance", _ORDER_TRAIN + tree_sql("j", "br_rows", "br_rfl", _TREE_FEATURES, 2, 5) + """,
+dt_all AS (SELECT r.id, CAST(g.j AS INTEGER) AS j FROM allrows r CROSS JOIN range(6) g(j))""" + tree_walk_sql("j", "fl_all", "dt_all", 2, "br2") + """
+SELECT id, j, round(conf, 6) AS conf, CAST(conf >= 0.5 AS INTEGER) AS bip FROM br2_leaf""")
+
+
+def _tree_chain_sql() -> str:
+    out = _ORDER_TRAIN + """,
+tc_rows AS (SELECT j AS link, id, t FROM br_rows),
+tc_rfl AS (SELECT r.link, r.id, fl.f, fl.v FROM tc_rows r JOIN fl USING (id)
+  UNION ALL SELECT r.link, r.id, '__lab' || CAST(p.j AS VARCHAR), CAST(p.t AS VARCHAR) FROM tc_rows r JOIN br_rows p ON p.id = r.id AND p.j < r.link)"""
+    out += tree_sql("link", "tc_rows", "tc_rfl", _TREE_FEATURES + [f"__lab{c}" for c in range(6)], 2, 5)
+    seen = "SELECT id, f, v FROM fl_all"
+    for k in range(6):
+        out += f""",
+tc_f{k} AS ({seen}),
+tc_r{k} AS (SELECT id, {k} AS link FROM allrows)""" + tree_walk_sql("link", f"tc_f{k}", f"tc_r{k}", 2, f"tc{k}")
+        seen += f" UNION ALL SELECT id, '__lab{k}', CAST(CAST(conf >= 0.5 AS INTEGER) AS VARCHAR) FROM tc{k}_leaf"
+    every = " UNION ALL ".join(f"SELECT * FROM tc{k}_leaf" for k in range(6))
+    return out + f"""
+SELECT id, CAST(link AS INTEGER) AS j, round(conf, 6) AS conf, CAST(conf >= 0.5 AS INTEGER) AS bip FROM ({every})"""
+
+
+sql("ln_tree_classifier_chain", _tree_chain_sql())
+
 _ORDER_PW = _ORDER_TRAIN + """,
 pw_rows AS (SELECT a.j AS a, b.j AS b, a.id, a.t FROM br_rows a JOIN br_rows b ON a.id = b.id AND a.j < b.j AND a.t <> b.t),
 pw_rfl AS (SELECT r.a, r.b, r.id, r.t, fl.f, fl.v FROM pw_rows r JOIN fl USING (id)),

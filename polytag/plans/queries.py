@@ -657,6 +657,34 @@ def q_predict_unlabelled(spark, d):
     return r6(LN.predict_br(LN.fit_br(m, labelled), unl))
 
 
+# ---------------------------------------------------------------- 2.7 learners on decision trees
+
+from polytag.operators.tree import TreeBase, quantile_edges  # noqa: E402
+
+
+@query("ln_tree_binary_relevance")
+def q_ln_tree_binary_relevance(spark, d):
+    m, train = order_split(spark, d)
+    return r6(LN.predict_br(LN.fit_br(m, train, base=TreeBase(depth=2, min_leaf=5, criterion="gain")), m.df))
+
+
+@query("ln_tree_classifier_chain")
+def q_ln_tree_classifier_chain(spark, d):
+    m, train = order_split(spark, d)
+    model = LN.fit_cc(m, [0, 1, 2, 3, 4, 5], train, base=TreeBase(depth=2, min_leaf=5, criterion="gain"))
+    return _long_out(LN.predict_cc(model, m.df, m.L))
+
+
+@query("ln_tree_numeric")
+def q_ln_tree_numeric(spark, d):
+    """Deep pruned trees with cuts on the numeric columns, gain ratio, all labels at once."""
+    m, train = order_split(spark, d)
+    numeric = ("o_totalprice", "sum_qty", "n_lines")
+    m = MLFrame(m.df, m.labels, ("f_prio", "f_status", *numeric))
+    base = TreeBase(depth=6, min_leaf=5, prune=True, numeric=quantile_edges(train, numeric, 16))
+    return r6(LN.predict_br(LN.fit_br(m, train, base=base), m.df))
+
+
 # ---------------------------------------------------------------- 2.7 neighbour learners
 
 from polytag.operators import knn as KN  # noqa: E402
