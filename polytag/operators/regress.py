@@ -1,11 +1,8 @@
 """Multi-target regression.
 
-The base regressor is ordinary least squares by normal equations on centred
-data: one aggregation gives the feature/target means, a second the centred
-cross-product matrices for *all* targets (and, keyed by fold or model, for all
-folds or ensemble members) — d x d and d x T numbers reach the driver, where
-numpy solves them.  Predictions are column expressions with literal
-coefficients, so scoring is a projection with no shuffle.
+The base regressor is ordinary least squares.  Single targets, chains, ensembles of chains, stacks and target combinations
+come from the cross-products of one scan (``gram``), keyed by fold and member, however many links, folds or members
+there are.  Predictions are column expressions with literal coefficients, so scoring is a projection with no shuffle.
 """
 
 from __future__ import annotations
@@ -16,93 +13,62 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polytag.functions.labelsets import MINSTD_M, stable_hash, stable_hash2
+from polytag.operators import gram as GR
+from polytag.operators.split import poisson1_thresholds
+
+
+def _targets(target: str, n: int) -> list[Column]:
+    return [F.col(target)[j] for j in range(n)]
+
+
+def poisson_weight(member: int, seed: int, id_col: str = "id") -> Column:
+    """Poisson(1) weight of a row in a member's bag, from a hash of (row, member): no row moves."""
+    u = stable_hash2(id_col, F.lit(member), seed) / F.lit(float(MINSTD_M))
+    return sum(F.when(u >= F.lit(t), 1).otherwise(0) for t in poisson1_thresholds()).cast("double")
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
-def fit_ols(df: DataFrame, xs: list, ys: list, weight: Column | None = None) -> dict:
-    """Coefficients for every target in ``ys`` on features ``xs`` (columns or names).
-    Rows with a missing value in a target are skipped for that target only (pairwise masks)."""
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    X = [_c(x).cast("double") for x in xs]
-    Y = [_c(y).cast("double") for y in ys]
-    d, T = len(X), len(Y)
-    # per target: rows where it is present
-    pres = [F.when(y.isNotNull() & ~F.isnan(y), w).otherwise(F.lit(0.0)) for y in Y]
-    m = df.agg(*[F.sum(p).alias(f"n{t}") for t, p in enumerate(pres)],
-               *[F.sum(p * X[a]).alias(f"sx{t}_{a}") for t, p in enumerate(pres) for a in range(d)],
-               *[F.sum(p * F.coalesce(Y[t], F.lit(0.0))).alias(f"sy{t}") for t, p in enumerate(pres)]).first()
-    out = {}
-    mx = {t: [m[f"sx{t}_{a}"] / m[f"n{t}"] if m[f"n{t}"] else 0.0 for a in range(d)] for t in range(T)}
-    my = {t: m[f"sy{t}"] / m[f"n{t}"] if m[f"n{t}"] else 0.0 for t in range(T)}
-    cx = [[X[a] - F.lit(mx[t][a]) for a in range(d)] for t in range(T)]
-    g = df.agg(*[F.sum(pres[t] * cx[t][a] * cx[t][b]).alias(f"g{t}_{a}_{b}") for t in range(T) for a in range(d) for b in range(a, d)],
-               *[F.sum(pres[t] * cx[t][a] * (F.coalesce(Y[t], F.lit(0.0)) - F.lit(my[t]))).alias(f"h{t}_{a}") for t in range(T) for a in range(d)]
-               ).first()
-    for t in range(T):
-        G = np.zeros((d, d))
-        for a in range(d):
-            for b in range(a, d):
-                G[a, b] = G[b, a] = g[f"g{t}_{a}_{b}"] or 0.0
-        h = np.array([g[f"h{t}_{a}"] or 0.0 for a in range(d)])
-        coef = np.linalg.lstsq(G, h, rcond=None)[0] if d else np.zeros(0)
-        out[t] = {"w": [float(v) for v in coef], "b": float(my[t] - float(np.dot(coef, mx[t]))) if d else float(my[t])}
-    return out
 
+def part_weight(member: int, seed: int, pct: float, id_col: str = "id") -> Column:
+    """1 for the rows of a member's ``pct`` % part (without replacement), else 0."""
+    u = stable_hash2(id_col, F.lit(member), seed) / F.lit(float(MINSTD_M))
+    return (u * 100 < F.lit(pct)).cast("double")
 
-def predict_expr(model: dict, t: int, xs: list) -> Column:
-    c = model[t]
-    e = F.lit(c["b"])
-    for wv, x in zip(c["w"], xs):
-        e = e + F.lit(wv) * _c(x).cast("double")
-    return e
 
+def family_grams(train: DataFrame, features: list[str], n_targets: int, mode: str = "true", folds: int = 3, seed: int = 1,
+                 target: str = "target", members: tuple[Column, ...] = (), id_col: str = "id") -> tuple[GR.Grams, list[int]]:
+    """The cross-products that a mode needs, and the members that draw its samples: folds for ``cv``, a Poisson(1) bag per link or target for ``sample``."""
+    fold = F.pmod(stable_hash(id_col, seed), F.lit(folds)) if mode == "cv" else None
+    main = list(members) or [F.lit(1.0)]
+    bags = [poisson_weight(len(main) + k, seed, id_col) for k in range(n_targets)] if mode == "sample" else []
+    g = GR.grams(train, features, _targets(target, n_targets), fold, [*main, *bags])
+    return g, list(range(len(main), len(main) + len(bags)))
 
-def single_target(df: DataFrame, features: list[str], n_targets: int, train: DataFrame, target: str = "target") -> tuple[dict, DataFrame]:
-    """One regressor per target; returns (model, df + pred ARRAY<DOUBLE>)."""
-    model = fit_ols(train, features, [F.col(target)[j] for j in range(n_targets)])
-    pred = F.array(*[predict_expr(model, j, features) for j in range(n_targets)])
-    return model, df.withColumn("pred", pred)
+
+def single_target(df: DataFrame, features: list[str], n_targets: int, train: DataFrame, target: str = "target") -> tuple[np.ndarray, DataFrame]:
+    """One regressor per target; returns (coefficients, df + pred ARRAY<DOUBLE>)."""
+    g = GR.grams(train, features, _targets(target, n_targets))
+    coef = GR.combinations(g, np.eye(n_targets))
+    return coef, df.withColumn("pred", GR.predicted(coef, features))
+
+
+def regressor_chain(df: DataFrame, features: list[str], chain: list[int], train: DataFrame, mode: str = "true", folds: int = 3,
+                    seed: int = 1, target: str = "target") -> DataFrame:
+    """Regressor chain: target chain[k] is fitted on the features and the earlier targets, which enter at training time as ``mode`` says
+    (their true values, their training predictions, out-of-fold predictions of ``folds`` folds, or predictions of a model fitted on a
+    bootstrap sample) and at prediction time as predicted."""
+    g, bags = family_grams(train, features, len(chain), mode, folds, seed, target)
+    return df.withColumn("pred", GR.predicted(GR.chain(g, chain, mode, samples=bags), features))
 
 
 def chain_simple(df: DataFrame, features: list[str], chain: list[int], train: DataFrame, target: str = "target") -> DataFrame:
-    """Regressor chain: target chain[k] is fitted on the features + the *true* earlier targets and
-    predicted with the *predicted* earlier targets (nested column expressions)."""
-    T = len(chain)
-    preds: dict[int, Column] = {}
-    for k, tj in enumerate(chain):
-        prev = chain[:k]
-        xs = [F.col(f) for f in features] + [F.col(target)[p] for p in prev]
-        m = fit_ols(train, xs, [F.col(target)[tj]])
-        xs_pred = [F.col(f) for f in features] + [preds[p] for p in prev]
-        preds[tj] = predict_expr(m, 0, xs_pred)
-    return df.withColumn("pred", F.array(*[preds[j] for j in range(T)]))
+    """Regressor chain on the *true* earlier targets."""
+    return regressor_chain(df, features, chain, train, "true", target=target)
 
 
 def chain_cv(df: DataFrame, features: list[str], chain: list[int], train: DataFrame, folds: int = 3, seed: int = 1,
              target: str = "target") -> DataFrame:
-    """Regressor chain whose earlier-target inputs at training time are out-of-fold predictions
-    (CV meta mode): the fold is a column, each fold model is fitted from the rows outside it."""
-    from polytag.functions.labelsets import stable_hash
-
-    tr = train.withColumn("_fold", F.pmod(stable_hash("id", seed), F.lit(folds)))
-    oof: dict[int, Column] = {}
-    preds: dict[int, Column] = {}
-    for k, tj in enumerate(chain):
-        prev = chain[:k]
-        xs_tr = [F.col(f) for f in features] + [oof[p] for p in prev]
-        m_all = fit_ols(tr, xs_tr, [F.col(target)[tj]])
-        preds[tj] = predict_expr(m_all, 0, [F.col(f) for f in features] + [preds[p] for p in prev])
-        # out-of-fold values of this target for the later links
-        fold_models = [fit_ols(tr.filter(F.col("_fold") != f), xs_tr, [F.col(target)[tj]]) for f in range(folds)]
-        e = None
-        for f in range(folds):
-            pe = predict_expr(fold_models[f], 0, xs_tr)
-            e = F.when(F.col("_fold") == f, pe) if e is None else e.when(F.col("_fold") == f, pe)
-        oof[tj] = e
-    T = len(chain)
-    return df.withColumn("pred", F.array(*[preds[j] for j in range(T)]))
+    """Regressor chain on out-of-fold predictions of the earlier targets (CV meta mode)."""
+    return regressor_chain(df, features, chain, train, "cv", folds, seed, target)
 
 
 def random_chains(n_targets: int, m: int, seed: int = 1) -> list[list[int]]:
@@ -122,45 +88,26 @@ def random_chains(n_targets: int, m: int, seed: int = 1) -> list[list[int]]:
 
 
 def ensemble_of_chains(df: DataFrame, features: list[str], n_targets: int, train: DataFrame, m: int = 5, seed: int = 1,
-                       target: str = "target") -> DataFrame:
-    """Mean of m regressor chains with random orders, each fitted on a Poisson(1) bootstrap
-    weighting of the training rows (the weight is a hash of (row, member): no row moves)."""
-    from polytag.operators.split import poisson1_thresholds
-    from polytag.functions.labelsets import MINSTD_M, stable_hash2
-
+                       target: str = "target", sampling: str = "bag", pct: float = 67.0, mode: str = "true", folds: int = 3) -> DataFrame:
+    """Mean of m regressor chains with random orders (at most n!), each on its own sample of the training rows: a Poisson(1)
+    ``bag``, a ``part`` of ``pct`` % without replacement, or ``all`` rows.  All members come from one scan."""
     chains = random_chains(n_targets, m, seed)
-    members = []
-    for i, chain in enumerate(chains):
-        u = stable_hash2("id", F.lit(i), seed) / F.lit(float(MINSTD_M))
-        wgt = sum(F.when(u >= F.lit(t), 1).otherwise(0) for t in poisson1_thresholds()).cast("double")
-        preds: dict[int, Column] = {}
-        for k, tj in enumerate(chain):
-            prev = chain[:k]
-            xs = [F.col(f) for f in features] + [F.col(target)[p] for p in prev]
-            mdl = fit_ols(train, xs, [F.col(target)[tj]], weight=wgt)
-            preds[tj] = predict_expr(mdl, 0, [F.col(f) for f in features] + [preds[p] for p in prev])
-        members.append(preds)
-    mean = [sum(mb[j] for mb in members) / F.lit(float(len(members))) for j in range(n_targets)]
-    return df.withColumn("pred", F.array(*mean))
-
-
-def stacking(df: DataFrame, features: list[str], n_targets: int, train: DataFrame, target: str = "target") -> DataFrame:
-    """Two-stage stacking: stage 1 per target on the features; stage 2 per target on the features +
-    every other target's stage-1 value (TRAIN meta mode)."""
-    m1 = fit_ols(train, features, [F.col(target)[j] for j in range(n_targets)])
-    s1 = [predict_expr(m1, j, features) for j in range(n_targets)]
-    preds = []
-    for j in range(n_targets):
-        xs = [F.col(f) for f in features] + [s1[o] for o in range(n_targets) if o != j]
-        m2 = fit_ols(train, xs, [F.col(target)[j]])
-        preds.append(predict_expr(m2, 0, xs))
-    return df.withColumn("pred", F.array(*preds))
+    draw = {"bag": lambda i: poisson_weight(i, seed), "part": lambda i: part_weight(i, seed, pct), "all": lambda i: F.lit(1.0)}[sampling]
+    g, bags = family_grams(train, features, n_targets, mode, folds, seed, target, tuple(draw(i) for i in range(len(chains))))
+    coef = sum(GR.chain(g, c, mode, member=i, samples=bags) for i, c in enumerate(chains)) / len(chains)
+    return df.withColumn("pred", GR.predicted(coef, features))
 
 
-def random_linear_combinations(df: DataFrame, features: list[str], n_targets: int, train: DataFrame, r: int = 6,
-                               non_zero: int = 2, seed: int = 1, target: str = "target") -> DataFrame:
-    """Fit r random sparse target mixes (each target used as evenly as possible, weights in [0,1)),
-    then recover the targets from the predicted mixes by least squares (pseudo-inverse)."""
+def stacking(df: DataFrame, features: list[str], n_targets: int, train: DataFrame, target: str = "target", mode: str = "train",
+             folds: int = 3, seed: int = 1, attributes: bool = True) -> DataFrame:
+    """Two-stage stacking: stage 1 per target on the features; stage 2 per target on the features (unless ``attributes`` is off) and
+    every other target's stage-1 value, which enters at training time as ``mode`` says (see ``regressor_chain``)."""
+    g, bags = family_grams(train, features, n_targets, mode, folds, seed, target)
+    return df.withColumn("pred", GR.predicted(GR.stack(g, mode, samples=bags, attributes=attributes), features))
+
+
+def target_mixes(r: int, n_targets: int, non_zero: int = 2, seed: int = 1) -> np.ndarray:
+    """r sparse target mixes: each target used as evenly as possible, weights in [0, 1)."""
     rnd = random.Random(seed)
     M = np.zeros((r, n_targets))
     use = [0] * n_targets
@@ -169,12 +116,22 @@ def random_linear_combinations(df: DataFrame, features: list[str], n_targets: in
         for j in picks:
             use[j] += 1
             M[i, j] = rnd.random()
-    mixes = [sum(F.lit(float(M[i, j])) * F.col(target)[j] for j in range(n_targets) if M[i, j] != 0) for i in range(r)]
-    mdl = fit_ols(train, features, mixes)
-    pm = [predict_expr(mdl, i, features) for i in range(r)]
-    P = np.linalg.pinv(M)
-    preds = [sum(F.lit(float(P[j, i])) * pm[i] for i in range(r)) for j in range(n_targets)]
-    return df.withColumn("pred", F.array(*preds))
+    return M
+
+
+def random_linear_combinations(df: DataFrame, features: list[str], n_targets: int, train: DataFrame, r: int = 6,
+                               non_zero: int = 2, seed: int = 1, target: str = "target") -> DataFrame:
+    """Fit r random sparse target mixes, then recover the targets from the predicted mixes by least squares (pseudo-inverse)."""
+    M = target_mixes(r, n_targets, non_zero, seed)
+    g = GR.grams(train, features, _targets(target, n_targets))
+    return df.withColumn("pred", GR.predicted(np.linalg.pinv(M) @ GR.combinations(g, M), features))
+
+
+def compare(df: DataFrame, features: list[str], n_targets: int, train: DataFrame, chain: list[int], target: str = "target") -> dict[str, DataFrame]:
+    """Predictions of single targets, a chain on true targets and a stack on training predictions, from one scan of the training rows."""
+    g = GR.grams(train, features, _targets(target, n_targets))
+    runs = {"single_target": GR.combinations(g, np.eye(n_targets)), "chain": GR.chain(g, chain), "stacking": GR.stack(g)}
+    return {name: df.withColumn("pred", GR.predicted(coef, features)) for name, coef in runs.items()}
 
 
 def random_forest(df: DataFrame, features: list[str], n_targets: int, train: DataFrame, trees: int = 10, seed: int = 1,

@@ -1283,6 +1283,124 @@ SELECT j, round({_col}, 6) AS value FROM evm
 UNION ALL SELECT CAST(NULL AS INTEGER), round(avg({_col}), 6) FROM evm""")
 
 
+# least squares on several features: centred cross-products, then one sweep per feature
+
+_REG3 = with_views("v_target") + f""",
+tr AS (SELECT *, {h_sql('id', 1)} % 3 AS fold FROM v_target WHERE {u_sql('id', 3)} * 100 < 67.0),
+te AS (SELECT * FROM v_target WHERE NOT ({u_sql('id', 3)} * 100 < 67.0)),
+tin0 AS (SELECT id, g.i, ([o_totalprice, n_lines, prio])[g.i + 1] AS v FROM tr CROSS JOIN range(3) g(i)),
+pin0 AS (SELECT id, g.i, ([o_totalprice, n_lines, prio])[g.i + 1] AS v FROM v_target CROSS JOIN range(3) g(i))"""
+
+
+def _ols_sql(p: str, rows: str, d: int) -> str:
+    """rows(k, id, i, v, w), i = d the target -> {p}_c(k, i, c) coefficients, {p}_b(k, b) constants."""
+    out = f""",
+{p}_r AS MATERIALIZED ({rows}),
+{p}_m AS (SELECT k, i, sum(w * v) / sum(w) AS m FROM {p}_r GROUP BY k, i),
+{p}_z AS (SELECT r.k, r.id, r.i, r.v - m.m AS v, r.w FROM {p}_r r JOIN {p}_m m ON m.k = r.k AND m.i = r.i),
+{p}_s0 AS MATERIALIZED (SELECT a.k, a.i, b.i AS j, sum(a.w * a.v * b.v) AS v FROM {p}_z a JOIN {p}_z b ON b.k = a.k AND b.id = a.id GROUP BY a.k, a.i, b.i)"""
+    for q in range(d):
+        out += f""",
+{p}_s{q + 1} AS MATERIALIZED (SELECT a.k, a.i, a.j, CASE WHEN a.i = {q} AND a.j = {q} THEN 1 / x.v WHEN a.i = {q} THEN a.v / x.v WHEN a.j = {q} THEN -a.v / x.v ELSE a.v - r.v * c.v / x.v END AS v
+  FROM {p}_s{q} a JOIN {p}_s{q} x ON x.k = a.k AND x.i = {q} AND x.j = {q} JOIN {p}_s{q} r ON r.k = a.k AND r.i = a.i AND r.j = {q} JOIN {p}_s{q} c ON c.k = a.k AND c.i = {q} AND c.j = a.j)"""
+    return out + f""",
+{p}_c AS (SELECT k, i, v AS c FROM {p}_s{d} WHERE j = {d} AND i < {d}),
+{p}_b AS (SELECT m.k, any_value(m.m) - sum(c.c * x.m) AS b FROM {p}_m m JOIN {p}_c c ON c.k = m.k JOIN {p}_m x ON x.k = m.k AND x.i = c.i WHERE m.i = {d} GROUP BY m.k)"""
+
+
+def _fit_sql(p: str, tin: str, t: int, d: int, weight: str, cv: bool) -> str:
+    """The model of target t (k = -1), and with ``cv`` those without each fold; prediction CTE {p}_p(id, v) from ``pin`` of the same name."""
+    rows = f"SELECT -1 AS k, a.id, a.i, a.v, {weight} AS w FROM {tin} a UNION ALL SELECT -1, id, {d}, target[{t + 1}], {weight} FROM tr a"
+    if cv:
+        rows += f""" UNION ALL SELECT g.k, a.id, a.i, a.v, 1.0 FROM {tin} a JOIN tr USING (id) CROSS JOIN range(3) g(k) WHERE tr.fold <> g.k
+  UNION ALL SELECT g.k, id, {d}, target[{t + 1}], 1.0 FROM tr CROSS JOIN range(3) g(k) WHERE tr.fold <> g.k"""
+    return _ols_sql(p, rows, d)
+
+
+def _said_sql(p: str, name: str, inputs: str) -> str:
+    return f""",
+{name} AS MATERIALIZED (SELECT x.id, any_value(b.b) + sum(c.c * x.v) AS v FROM {inputs} x JOIN {p}_c c ON c.i = x.i AND c.k = -1 JOIN {p}_b b ON b.k = -1 GROUP BY x.id)"""
+
+
+def _out_of_fold_sql(p: str, name: str, inputs: str) -> str:
+    return f""",
+{name} AS MATERIALIZED (SELECT x.id, any_value(b.b) + sum(c.c * x.v) AS v FROM {inputs} x JOIN tr USING (id) JOIN {p}_c c ON c.i = x.i AND c.k = tr.fold JOIN {p}_b b ON b.k = tr.fold GROUP BY x.id)"""
+
+
+def _chain_sql(p: str, order: list[int], mode: str = "true", weight: str = "1.0") -> str:
+    """CTEs {p}_p<target>(id, v): predictions of a regressor chain for all rows."""
+    out, tin, pin = "", "tin0", "pin0"
+    for k, t in enumerate(order):
+        link = f"{p}_{k}"
+        out += _fit_sql(link, tin, t, 3 + k, weight, mode == "cv") + _said_sql(link, f"{p}_p{t}", pin)
+        if k < len(order) - 1:
+            if mode == "true":
+                out += f", {p}_m{k} AS (SELECT id, target[{t + 1}] AS v FROM tr)"
+            else:
+                out += _out_of_fold_sql(link, f"{p}_m{k}", tin)
+            out += f""",
+{p}_t{k} AS (SELECT id, i, v FROM {tin} UNION ALL SELECT id, {3 + k}, v FROM {p}_m{k}),
+{p}_x{k} AS (SELECT id, i, v FROM {pin} UNION ALL SELECT id, {3 + k}, v FROM {p}_p{t})"""
+            tin, pin = f"{p}_t{k}", f"{p}_x{k}"
+    return out
+
+
+def _plain_sql(p: str, weight: str = "1.0") -> str:
+    """CTEs {p}_p<target>: each target on the features alone."""
+    return "".join(_fit_sql(f"{p}_{t}", "tin0", t, 3, weight, False) + _said_sql(f"{p}_{t}", f"{p}_p{t}", "pin0") for t in range(3))
+
+
+def _preds_sql(p: str, rest: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT id, {t} AS j, round(v, 4) AS pred{rest} FROM {p}_p{t}" for t in range(3))
+
+
+sql("rg_chain_simple", _REG3 + _chain_sql("rc", [2, 0, 1]) + "\n" + _preds_sql("rc"))
+sql("rg_chain", _REG3 + _chain_sql("rc", [2, 0, 1], "cv") + "\n" + _preds_sql("rc"))
+# predictions of linear models for the training rows, and targets recovered from enough mixes, leave the plain models
+sql("rg_stacking", _REG3 + _plain_sql("st") + "\n" + _preds_sql("st"))
+sql("rg_random_combinations", _REG3 + _plain_sql("st") + "\n" + _preds_sql("st"))
+sql("rg_chain_modes", _REG3 + _plain_sql("st") + "\nSELECT mode, q.* FROM (" + _preds_sql("st") + ") q CROSS JOIN (VALUES ('train'), ('sample')) m(mode)")
+
+
+def _stack_cv_sql() -> str:
+    out = _REG3
+    for t in range(3):
+        out += _fit_sql(f"s1_{t}", "tin0", t, 3, "1.0", True) + _said_sql(f"s1_{t}", f"s1_p{t}", "pin0") + _out_of_fold_sql(f"s1_{t}", f"s1_o{t}", "tin0")
+    for t in range(3):
+        a, b = [o for o in range(3) if o != t]
+        out += f""",
+s2_t{t} AS (SELECT id, i, v FROM tin0 UNION ALL SELECT id, 3, v FROM s1_o{a} UNION ALL SELECT id, 4, v FROM s1_o{b}),
+s2_x{t} AS (SELECT id, i, v FROM pin0 UNION ALL SELECT id, 3, v FROM s1_p{a} UNION ALL SELECT id, 4, v FROM s1_p{b})"""
+        out += _fit_sql(f"s2_{t}", f"s2_t{t}", t, 5, "1.0", False) + _said_sql(f"s2_{t}", f"s2_p{t}", f"s2_x{t}")
+    return out + "\n" + _preds_sql("s2")
+
+
+sql("rg_stacking_cv", _stack_cv_sql())
+
+
+def _chains_sql() -> str:
+    from polytag.operators.regress import random_chains
+    from polytag.operators.split import poisson1_thresholds
+
+    out = _REG3
+    steps = "[" + ", ".join(repr(t) for t in poisson1_thresholds()) + "]"
+    chains = random_chains(3, 4, 1)
+    for m, order in enumerate(chains):
+        weight = f"CAST(len(list_filter({steps}, lambda z: {u2_sql('a.id', str(m), 1)} >= z)) AS DOUBLE)"
+        out += _chain_sql(f"e{m}", order, "true", weight)
+    every = " UNION ALL ".join(f"SELECT id, {t} AS j, v FROM e{m}_p{t}" for m in range(len(chains)) for t in range(3))
+    return out + f"\nSELECT id, j, round(avg(v), 4) AS pred FROM ({every}) GROUP BY id, j"
+
+
+sql("rg_ensemble_chains", _chains_sql())
+
+_RUNS = {"single_target": "st", "chain": "rc", "stacking": "st"}
+sql("rg_compare", _REG3 + _plain_sql("st") + _chain_sql("rc", [2, 0, 1]) + """,
+said AS (""" + " UNION ALL ".join(f"SELECT '{name}' AS method, {t} AS j, id, v FROM {p}_p{t}" for name, p in _RUNS.items() for t in range(3)) + """)
+SELECT method, j, round(avg(abs(v - target[j + 1])), 6) AS mae, round(sqrt(avg(power(v - target[j + 1], 2))), 6) AS rmse
+FROM said JOIN te USING (id) GROUP BY method, j""")
+
+
 # ---------------------------------------------------------------- 2.8 label orderings
 
 def _mi_chain_sql(mode: str) -> str:

@@ -900,22 +900,22 @@ REG_FEATURES = ["o_totalprice", "n_lines", "prio"]
 
 
 def target_split(spark, d):
-    t = V.v_target(spark, d)
+    from polytag.operators.nb import materialize
+
+    t, _ = materialize(V.v_target(spark, d))
     u = SP.uniform("id", 3) * 100 < F.lit(67.0)
     return t, t.filter(u), t.filter(~u)
 
 
 def _pred_long(df: DataFrame) -> DataFrame:
-    return r6(df.select("id", F.posexplode("pred").alias("j", "pred")).select("id", F.col("j").cast("int").alias("j"), "pred"))
+    # predictions reach 1e5 in magnitude: 4 decimals is all a double computed two ways agrees on
+    return df.select("id", F.posexplode("pred").alias("j", "pred")).select("id", F.col("j").cast("int").alias("j"), F.round("pred", 4).alias("pred"))
 
 
 @query("rg_single_target")
 def q_rg_single_target(spark, d):
     t, tr, _ = target_split(spark, d)
-    _, out = RG.single_target(t, ["o_totalprice"], 3, tr)
-    # predictions reach 1e5 in magnitude: 4 decimals is all a double computed two ways agrees on
-    return out.select("id", F.posexplode("pred").alias("j", "pred")).select(
-        "id", F.col("j").cast("int").alias("j"), F.round("pred", 4).alias("pred"))
+    return _pred_long(RG.single_target(t, ["o_totalprice"], 3, tr)[1])
 
 
 @query("rg_chain_simple")
@@ -942,6 +942,20 @@ def q_rg_stacking(spark, d):
     return _pred_long(RG.stacking(t, REG_FEATURES, 3, tr))
 
 
+@query("rg_chain_modes")
+def q_rg_chain_modes(spark, d):
+    """The chain with training predictions and with a sampled model's predictions as inputs."""
+    t, tr, _ = target_split(spark, d)
+    runs = [_pred_long(RG.regressor_chain(t, REG_FEATURES, [2, 0, 1], tr, mode)).select(F.lit(mode).alias("mode"), "*") for mode in ("train", "sample")]
+    return runs[0].unionByName(runs[1])
+
+
+@query("rg_stacking_cv")
+def q_rg_stacking_cv(spark, d):
+    t, tr, _ = target_split(spark, d)
+    return _pred_long(RG.stacking(t, REG_FEATURES, 3, tr, mode="cv"))
+
+
 @query("rg_random_combinations")
 def q_rg_random_combinations(spark, d):
     t, tr, _ = target_split(spark, d)
@@ -981,11 +995,7 @@ def q_rg_compare(spark, d):
     t, tr, te = target_split(spark, d)
     mu = tr.agg(*[F.avg(F.col("target")[j]).alias(f"m{j}") for j in range(3)]).first()
     means = [mu[f"m{j}"] for j in range(3)]
-    runs = {
-        "single_target": RG.single_target(te, REG_FEATURES, 3, tr)[1],
-        "chain": RG.chain_simple(te, REG_FEATURES, [2, 0, 1], tr),
-        "stacking": RG.stacking(te, REG_FEATURES, 3, tr),
-    }
+    runs = RG.compare(te, REG_FEATURES, 3, tr, [2, 0, 1])
     out = None
     for name, df in runs.items():
         e = EV.regression_measures(df, "target", "pred", means).select(F.lit(name).alias("method"), "j", "mae", "rmse")
