@@ -707,6 +707,32 @@ tc_r{k} AS (SELECT id, {k} AS link FROM allrows)""" + tree_walk_sql("link", f"tc
 SELECT id, CAST(link AS INTEGER) AS j, round(conf, 6) AS conf, CAST(conf >= 0.5 AS INTEGER) AS bip FROM ({every})"""
 
 
+def _adaboost_sql(rounds: int = 5) -> str:
+    out = _ORDER_TRAIN + """,
+ab0 AS MATERIALIZED (SELECT id, j, t, 1.0::DOUBLE / (SELECT count(*) FROM br_rows) AS d FROM br_rows)"""
+    for r in range(rounds):
+        out += f""",
+ah{r} AS MATERIALIZED (SELECT *, 0.5 * ln((up + e) / (down + e)) AS h FROM (
+  SELECT fl.f, fl.v, a.j, sum(CASE WHEN t = 1 THEN d ELSE 0.0 END) AS up, sum(CASE WHEN t = 0 THEN d ELSE 0.0 END) AS down, 0.5 / (SELECT count(*) FROM br_rows) AS e
+  FROM ab{r} a JOIN fl USING (id) GROUP BY fl.f, fl.v, a.j)),
+az{r} AS MATERIALIZED (SELECT f, 1.0 - sum(up + down) + sum(up * exp(-h) + down * exp(h)) AS z FROM ah{r} GROUP BY f ORDER BY round(z, 12), f LIMIT 1),
+ab{r + 1} AS MATERIALIZED (SELECT a.id, a.j, a.t, a.d * exp((1 - 2 * a.t) * coalesce(h.h, 0.0)) / z.z AS d FROM ab{r} a CROSS JOIN az{r} z
+  LEFT JOIN fl ON fl.id = a.id AND fl.f = z.f LEFT JOIN ah{r} h ON h.f = z.f AND h.v = fl.v AND h.j = a.j)"""
+    every = " UNION ALL ".join(f"SELECT {r + 1} AS round, h.f, h.v, h.j, h.h, z.z FROM ah{r} h JOIN az{r} z ON z.f = h.f" for r in range(rounds))
+    return out + f""",
+stumps AS MATERIALIZED ({every})"""
+
+
+sql("ln_adaboost_mh", _adaboost_sql() + """,
+am AS (SELECT f, v, j, sum(h) AS w FROM stumps GROUP BY f, v, j),
+sc AS (SELECT r.id, CAST(g.j AS INTEGER) AS j, coalesce(sum(am.w), 0.0) AS s FROM allrows r CROSS JOIN range(6) g(j) JOIN fl_all a ON a.id = r.id
+  LEFT JOIN am ON am.f = a.f AND am.v = a.v AND am.j = g.j GROUP BY r.id, g.j)
+SELECT id, j, round(1.0 / (1.0 + exp(-2.0 * s)), 6) AS conf, CAST(s > 1e-9 AS INTEGER) AS bip FROM sc""")
+
+sql("ln_adaboost_mh_rounds", _adaboost_sql() + """,
+zs AS (SELECT DISTINCT round, f, z FROM stumps)
+SELECT CAST(round AS INTEGER) AS round, f AS feature, round(z, 6) AS z, round(exp(sum(ln(z)) OVER (ORDER BY round)), 6) AS bound FROM zs""")
+
 sql("ln_tree_classifier_chain", _tree_chain_sql())
 
 _ORDER_PW = _ORDER_TRAIN + """,

@@ -685,6 +685,24 @@ def q_ln_tree_numeric(spark, d):
     return r6(LN.predict_br(LN.fit_br(m, train, base=base), m.df))
 
 
+from polytag.operators import boost as BO  # noqa: E402
+
+MH_ROUNDS = 5
+
+
+@query("ln_adaboost_mh")
+def q_ln_adaboost_mh(spark, d):
+    m, train = order_split(spark, d)
+    return r6(BO.predict_mh(BO.fit_mh(m, train, MH_ROUNDS), m.df))
+
+
+@query("ln_adaboost_mh_rounds")
+def q_ln_adaboost_mh_rounds(spark, d):
+    """The chosen feature, its normaliser and the bound on the training Hamming loss, round by round."""
+    m, train = order_split(spark, d)
+    return r6(spark.createDataFrame(BO.fit_mh(m, train, MH_ROUNDS).rounds, "round int, feature string, z double, bound double"))
+
+
 # ---------------------------------------------------------------- 2.7 neighbour learners
 
 from polytag.operators import knn as KN  # noqa: E402
