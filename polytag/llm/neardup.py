@@ -22,16 +22,20 @@ Method
    link needs a number of *added* shingles in common that depends on |A|, |B|, |H| and R alone.
    Where that number is positive the added shingles are joined by the same prefix rule (a document that added more
    than it shares with anyone is out); where it is not (both close to H and short) members of fitting sizes
-   are compared.  R and X decide the similarity exactly.  Members with different heads are proposed when they share a
+   are compared.  R and X decide the similarity exactly, inside the join and at the pair's first common added shingle, so that only
+   links leave it, each once.  Members with different heads are proposed when they share a
    posting list and are confirmed on the full sets.  So no link between two components is missed.
 
 The signature threshold is 28 of 64: a pair of similarity 0.75 agrees in 48 coordinates on average
 (sd 3.5) and misses the threshold with a chance below 1e-8; everything above it is confirmed
 exactly, so there are no false links.
 
+Rows are numbered once, in a written table of ids and texts; classes, links and components are of rows, so a repeated doc_id
+confuses nothing.  The text of a head that very many members are compared with is sent once per ``FANOUT`` of them, to different tasks.
+
 Cases: a null or word-less text has an empty set and is linked with nothing; a document of fewer
-than five words has one shingle, its whole sequence; rows with a null doc_id are their own class and kept; rows that
-repeat a doc_id share that id's component.
+than five words has one shingle, its whole sequence; rows with a null doc_id are linked with nothing and kept; rows that repeat a doc_id are
+documents of their own, each with the component of its text.
 """
 
 from __future__ import annotations
@@ -51,9 +55,11 @@ from .text import chunks, lists, mix64, shingle_sets
 COORDINATES = 64
 MATCHES = 28
 WIDTH = 5
+#: comparisons of one text that a task gets
+FANOUT = 256
 
 _SIGNED = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
+    T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
     T.StructField("sig", T.ArrayType(T.IntegerType())),
 ])
@@ -77,13 +83,13 @@ def minhash(values: np.ndarray, offsets: np.ndarray, k: int = COORDINATES) -> np
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, col = batch.column(0), batch.column(1)
-        for lo, hi, data, offs in chunks(col):
+        row, ids = batch.column(0), batch.column(1)
+        for lo, hi, data, offs in chunks(batch.column(2)):
             values, first = shingle_sets(data, offs, width)
             sizes = np.diff(first)
             full = sizes > 0
-            rows = hi - lo
-            h1, h2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+            n = hi - lo
+            h1, h2 = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
             sig_offsets = np.concatenate(([0], np.cumsum(np.where(full, k, 0))))
             sig = np.zeros((0, k), np.uint32)
             if full.any():
@@ -92,15 +98,15 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.
                 h2[full] = np.add.reduceat(mix64(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
                 sig = minhash(values, np.append(starts, first[-1]), k)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, rows), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                [row.slice(lo, n), ids.slice(lo, n), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                  lists(sig.reshape(-1).view(np.int32), sig_offsets, pa.int32())],
                 names=_SIGNED.names,
             )
 
 
-def signatures(docs: DataFrame, width: int = WIDTH, k: int = COORDINATES) -> DataFrame:
-    """doc_id, n_shingles, 128-bit set digest (h1, h2), sig (empty for an empty set)."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _sign(it, width, k), _SIGNED)
+def signatures(rows: DataFrame, width: int = WIDTH, k: int = COORDINATES) -> DataFrame:
+    """row, doc_id, n_shingles, 128-bit set digest (h1, h2), sig (empty for an empty set)."""
+    return rows.select("row", "doc_id", "text").mapInArrow(lambda it: _sign(it, width, k), _SIGNED)
 
 
 def rarest(postings: DataFrame, key: list[str], need: Column, what: DataFrame) -> DataFrame:
@@ -127,54 +133,44 @@ def posting_prefixes(reps: DataFrame, matches: int) -> DataFrame:
     return rarest(posted, ["key"], F.lit(matches), reps.select("rep"))
 
 
-def _jaccard_links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, h1/h2 of a and b, text of a and b) -> pairs whose sets pass, each set made once per run of rows.
+def _sets(batch: pa.RecordBatch, width: int, held: dict[int, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows (a, b, text of a, text of b), rows of one a together -> (a, b, set of a, set of b); ``held`` keeps the last a's set."""
+    a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+    for lo, hi, data, offs in chunks(batch.column(3)):
+        values, first = shingle_sets(data, offs, width)
+        for r in range(lo, hi):
+            if a[r] not in held:
+                _, _, d, o = next(chunks(batch.column(2).slice(r, 1)))
+                held.clear()
+                held[a[r]] = shingle_sets(d, o, width)[0]
+            yield int(a[r]), int(b[r]), held[a[r]], values[first[r - lo] : first[r - lo + 1]]
 
-    A text whose set is not the class's (a doc_id that occurs with several texts) is passed over.
-    """
-    held: tuple[int, int, int, np.ndarray] | None = None
+
+def _jaccard_links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, text of a, text of b) -> the pairs whose sets pass."""
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        a, b, a1, a2, b1, b2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        keep = np.zeros(len(a), bool)
-        for lo, hi, data, offs in chunks(batch.column(7)):
-            values, first = shingle_sets(data, offs, width)
-            for r in range(lo, hi):
-                if held is None or held[0] != a[r] or held[1] != a1[r] or held[2] != a2[r]:
-                    text = batch.column(6).slice(r, 1)
-                    _, _, d, o = next(chunks(text))
-                    held = (a[r], a1[r], a2[r], shingle_sets(d, o, width)[0])
-                x, y = held[3], values[first[r - lo] : first[r - lo + 1]]
-                if not (_digest(x) == (a1[r], a2[r]) and _digest(y) == (b1[r], b2[r])):
-                    continue
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = np.concatenate((x, y))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[r] = 100 * common >= percent * (len(both) - common)
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        out = []
+        for a, b, x, y in _sets(batch, width, held):
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            both = np.concatenate((x, y))
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            if 100 * common >= percent * (len(both) - common):
+                out.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["a", "b"])
 
 
 def _added(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The same rows, a being a head -> rep (b), hub_n (|H|), gone (R, in H alone), added (X, in b alone)."""
-    held: tuple[int, int, int, np.ndarray] | None = None
+    held: dict[int, np.ndarray] = {}
     for batch in batches:
-        a, b, a1, a2, b1, b2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        for lo, hi, data, offs in chunks(batch.column(7)):
-            values, first = shingle_sets(data, offs, width)
-            out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-            for r in range(lo, hi):
-                if held is None or held[0] != a[r] or held[1] != a1[r] or held[2] != a2[r]:
-                    _, _, d, o = next(chunks(batch.column(6).slice(r, 1)))
-                    held = (a[r], a1[r], a2[r], shingle_sets(d, o, width)[0])
-                x, y = held[3], values[first[r - lo] : first[r - lo + 1]]
-                if _digest(x) == (a1[r], a2[r]) and _digest(y) == (b1[r], b2[r]):
-                    out.append((b[r], len(x), np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(o[0]) for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
-                 _listed([o[2] for o in out]), _listed([o[3] for o in out])],
-                names=["rep", "hub_n", "gone", "added"],
-            )
+        out = [(b, len(x), np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)) for _, b, x, y in _sets(batch, width, held)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), _listed([o[2] for o in out]), _listed([o[3] for o in out])],
+            names=["rep", "hub_n", "gone", "added"],
+        )
 
 
 def _listed(rows: list[np.ndarray]) -> pa.ListArray:
@@ -182,28 +178,19 @@ def _listed(rows: list[np.ndarray]) -> pa.ListArray:
     return lists(flat.view(np.int64), np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int64())
 
 
-def _digest(values: np.ndarray) -> tuple[int, int]:
-    one = np.add.reduce(mix64(values), dtype=np.uint64).view(np.int64)
-    two = np.add.reduce(mix64(values ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).view(np.int64)
-    return int(one), int(two)
-
-
-def with_texts(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) with both classes' digests and the texts of their representatives, all rows of one b-text's a together."""
-    wanted = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = (
-        docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-        .join(wanted, "rep")
-        .join(reps.select("rep", "h1", "h2"), "rep")
-    )
-    side = lambda s: texts.select(F.col("rep").alias(s), F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("text").alias(f"{s}t"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a1", "a2", "b1", "b2", "at", "bt")
+def with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both texts, the pairs of one a together; an a of very many pairs is dealt to several tasks."""
+    fan = pairs.groupBy("a").agg(F.expr(f"cast((count(1) - 1) div {FANOUT} + 1 as int)").alias("fan"))
+    dealt = pairs.join(fan, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
+    left = rows.join(fan, F.col("row") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.col("text").alias("at"))
+    right = rows.join(pairs.select("b").distinct(), F.col("row") == F.col("b")).select("b", F.col("text").alias("bt"))
+    met = dealt.join(right, "b").join(left, ["a", "part"])
+    return met.select("a", "b", "at", "bt")
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Of the candidate pairs (a, b), those whose full shingle sets are similar enough."""
-    met = with_texts(pairs, reps, docs)
-    return met.mapInArrow(lambda it: _jaccard_links(it, width, percent), "a long, b long").distinct()
+    return with_texts(pairs, rows).mapInArrow(lambda it: _jaccard_links(it, width, percent), "a long, b long").distinct()
 
 
 def same_head_links(members: DataFrame, percent: int) -> DataFrame:
@@ -220,23 +207,23 @@ def same_head_links(members: DataFrame, percent: int) -> DataFrame:
         .withColumn("least_n", F.greatest("least_n", F.expr(f"cast(ceil({percent} * n / 100) as long)")))
         .withColumn("need", F.expr(f"cast(ceil({percent} * (n + least_n) / {over}) as int) - hub_n + size(gone)"))
     )
-    slim = m.select("rep", "component", "hub", "need")
-    by_added = rarest(m.select("rep", "hub", F.explode("added").alias("key")), ["hub", "key"], F.greatest("need", F.lit(1)).cast("int"), slim)
-    posted = by_added.select("hub", F.explode("prefix").alias("key"), "rep", "component")
-    one, two = (posted.select("hub", "key", F.col("rep").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-    sharing = one.join(two, ["hub", "key"]).filter("a < b and ca <> cb").select("a", "b").distinct()
-
-    def side(s: str) -> DataFrame:
-        return m.select(*(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "n", "hub_n", "gone", "added")))
-
+    carried = ("rep", "component", "n", "hub_n", "gone", "added")
+    by_added = rarest(m.select("rep", "hub", F.explode("added").alias("key")), ["hub", "key"], F.greatest("need", F.lit(1)).cast("int"), m.select("hub", "need", *carried))
+    posted = by_added.select(F.explode("prefix").alias("key"), "hub", "prefix", *carried)
+    one, two = (posted.select("hub", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("prefix", *carried))) for s in "ab")
     common = "(hub_n_a - size(array_union(gone_a, gone_b)) + size(array_intersect(added_a, added_b)))"
     linked = F.expr(f"100 * {common} >= {percent} * (n_a + n_b - {common})")
-    found = sharing.join(side("a"), F.col("a") == F.col("rep_a")).join(side("b"), F.col("b") == F.col("rep_b")).filter(linked).select("a", "b")
+    most = "(hub_n_a - greatest(size(gone_a), size(gone_b)) + least(size(added_a), size(added_b)))"
+    meets = F.expr(
+        f"rep_a < rep_b and component_a <> component_b and 100 * {most} >= {percent} * (n_a + n_b - {most})"
+        " and element_at(array_intersect(prefix_a, prefix_b), 1) = p.key"
+    )
+    found = one.alias("p").join(two.alias("q"), (F.col("p.hub") == F.col("q.hub")) & (F.col("p.key") == F.col("q.key")) & meets & linked).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     # no shared addition needed: n(a) + n(b) <= over / percent * (|H| - most left out); the one that leaves out more asks,
     # so each pair is met once, and only pairs that pass leave the join
     loose = m.filter("need <= 0")
     reach = F.expr(f"sequence(least_n, greatest(least_n, {over} * (hub_n - size(gone)) div {percent} - n))")
-    asking = loose.withColumn("met_n", F.explode(reach)).select("hub", "met_n", *(F.col(c).alias(f"{c}_a") for c in ("rep", "component", "n", "hub_n", "gone", "added")))
+    asking = loose.withColumn("met_n", F.explode(reach)).select("hub", "met_n", *(F.col(c).alias(f"{c}_a") for c in carried))
     asked = loose.select("hub", *(F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "gone", "added")))
     once = F.expr("component_a <> component_b and (size(gone_b) < size(gone_a) or (size(gone_b) = size(gone_a) and rep_b < rep_a))")
     close = asking.alias("p").join(asked.alias("q"), (F.col("p.hub") == F.col("q.hub")) & (F.col("met_n") == F.col("n_b")) & once & linked)
@@ -256,16 +243,31 @@ def roots(hubs: DataFrame, scratch: Scratch) -> DataFrame:
     return cur
 
 
+def numbered(docs: DataFrame, scratch: Scratch, *more: str) -> DataFrame:
+    """row (a number of its own), doc_id, text and ``more`` columns: a written table."""
+    return scratch.write(docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        *(F.col(c).alias(f"_{c}") for c in more)), "rows")
+
+
 def near_duplicates(
     docs: DataFrame, width: int = WIDTH, percent: int = 75, k: int = COORDINATES, matches: int = MATCHES
 ) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row per input row."""
-    spark: SparkSession = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    signed = scratch.write(signatures(docs, width, k), "signed")
+    scratch = Scratch(docs.sparkSession, "neardup")
+    out = grouped(numbered(docs, scratch), scratch, width, percent, k, matches)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def grouped(rows: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 75, k: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+    """Written ``rows`` (row, doc_id, text) -> row, doc_id, n_shingles, component_id and ``first``, the row that stands for the component
+    (its smallest doc_id, then row); null ids have no component and stand for themselves."""
+    spark: SparkSession = rows.sparkSession
+    rows = rows.select("row", "doc_id", "text")
+    signed = scratch.write(signatures(rows, width, k), "signed")
     reps = scratch.write(
         signed.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")),
+        .agg(F.min("row").alias("rep"), F.min(F.struct("doc_id", "row")).alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")),
         "reps",
     )
     prefixes = scratch.write(posting_prefixes(reps, matches), "prefixes")
@@ -283,7 +285,7 @@ def near_duplicates(
     met = lists_.select("key", "rep").join(heads, "key").filter("rep <> head").groupBy("rep", "head").agg(F.first("weight").alias("weight"), F.first("h").alias("h"))
     met = scratch.write(collide(met.select(F.col("head").alias("a"), F.col("rep").alias("b"), "weight", "h")), "star")
     tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.write(confirm(tested, reps, docs, width, percent), "links")
+    links = scratch.write(confirm(tested, rows, width, percent), "links")
     comps = scratch.write(connected_components(spark, links, scratch), "components")
 
     placed = lists_.select("key", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
@@ -311,35 +313,37 @@ def near_duplicates(
     across = scratch.write(apart.join(tested, ["a", "b"], "left_anti"), "across")
     members = still.select("rep", "component", "hub").distinct().join(reps.select("rep", "n"), "rep")
     away = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    changes = with_texts(away, reps, docs).mapInArrow(
+    changes = with_texts(away, rows).mapInArrow(
         lambda it: _added(it, width), "rep long, hub_n long, gone array<long>, added array<long>"
-    ).dropDuplicates(["rep"])
+    )
     none = F.expr("cast(array() as array<long>)")
     itself = members.filter("rep = hub").withColumns({"hub_n": F.col("n"), "gone": none, "added": none})
     members = scratch.write(members.join(changes, "rep").unionByName(itself), "members")
-    late = scratch.write(confirm(across, reps, docs, width, percent).unionAll(same_head_links(members, percent)), "late")
+    late = scratch.write(confirm(across, rows, width, percent).unionAll(same_head_links(members, percent)), "late")
     if not late.isEmpty():
         comps = scratch.write(connected_components(spark, links.unionAll(late), scratch), "components")
 
-    classes = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "h1", "h2", F.coalesce("component", "rep").alias("component_id")
-    )
-    out = signed.drop("sig").join(classes, ["h1", "h2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    classes = reps.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", "first", F.coalesce("component", "rep").alias("component"))
+    classes = scratch.write(classes, "classes")
+    firsts = classes.groupBy("component").agg(F.min("first").alias("first"))
+    classes = classes.drop("first").join(firsts, "component").select("h1", "h2", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first"))
+    mine = F.col("doc_id").isNotNull() & F.col("component_id").isNotNull()
+    return signed.drop("sig").join(classes, ["h1", "h2"], "left").select(
+        "row", "doc_id", "n_shingles", F.when(mine, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(mine, F.col("first")).otherwise(F.col("row")).alias("first"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: one row per group of near-duplicates, all columns as given.
+    """The documents that stay: one row per group of near-duplicates (its smallest doc_id, then the first row), all columns as given.
 
-    Rows with a null doc_id stay.  Rows that repeat a doc_id count as copies of each other: one stays.
+    Rows with a null doc_id and rows without words stay, but for a row without words that repeats a doc_id without words.
     """
-    found = near_duplicates(docs)
-    ids = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, docs["doc_id"].cast("long") == ids["_id"], "left_semi")
-    twice = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
-    if not twice.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    scratch = Scratch(docs.sparkSession, "neardup")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = numbered(docs, scratch, *rest)
+    found = grouped(rows, scratch)
+    blank = found.filter("n_shingles = 0 and doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("stays"))
+    stays = found.filter("first = row and (n_shingles > 0 or doc_id is null)").select(F.col("row").alias("stays")).unionAll(blank.select("stays"))
+    types = dict(docs.dtypes)
+    kept = rows.join(stays, F.col("row") == F.col("stays"), "left_semi")
+    return kept.select(*(F.col(c if c in ("doc_id", "text") else f"_{c}").cast(types[c]).alias(c) for c in docs.columns))

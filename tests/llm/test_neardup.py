@@ -49,6 +49,31 @@ def test_keep_one_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 2] and kept[0].asDict().keys() == frame(spark, rows).first().asDict().keys()
 
 
+def test_repeated_ids_lose_no_text(spark):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, c.upper()), (3, a), (None, a), (None, a), (4, ""), (4, ""), (5, None)]
+    kept = neardup.keep_one(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id or 0, (r.text or "").lower()) for r in kept)) == sorted([(1, a), (2, b), (3, c), (0, a), (0, a), (4, ""), (5, "")])
+    found = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(frame(spark, rows)).collect() if r.doc_id)
+    assert found == sorted([(1, 1), (2, 1), (2, 2), (2, 2), (3, 3), (3, 3), (3, 1), (4, 4), (4, 4), (5, 5)])
+
+
+def test_a_group_with_one_common_addition(spark):
+    """Hundreds of near copies, most of them not close to the central one, that share one added passage."""
+    rng = random.Random(6)
+    base, added = prose(rng, 140).split(" "), "all of these end on one and the same line"
+    rows = []
+    for i in range(220):
+        w = list(base)
+        for _ in range(rng.randrange(3, 7)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w) + (" " + added if i % 3 else "")))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(frame(spark, rows).repartition(9)).collect()}
+    assert got == brute(rows)
+    assert 1 < len({c for _, c, _ in got.values()}) < 220
+
+
 def test_signatures_agree_as_often_as_the_sets_are_similar():
     rng = np.random.default_rng(3)
     shared, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (300, 50, 50))
