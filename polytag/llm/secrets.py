@@ -68,12 +68,21 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
     segment = 0.3  # a further segment: where to cut
     cost = [0.0] + [math.inf] * n
     same = walk = 0  # lengths of the repeat and of the walk that end here
+    # starts of a repeat that may still be its cheapest: an earlier start gains on a later one with every further character, so a start
+    # that is not cheaper than an earlier one when it first counts never will be
+    starts: list[int] = []
     for j in range(1, n + 1):
         c = cost[j - 1] + each[j - 1]
         same = same + 1 if j > 1 and value[j - 1] == value[j - 2] else 1
         walk = walk + 1 if j > 1 and low[j - 2 : j] in _NEXT else 1
-        for length in range(3, same + 1):
-            c = min(c, cost[j - length] + segment + each[j - 1] + math.log10(length))
+        if same < 3:
+            starts.clear()
+        else:
+            best = min((cost[i] + segment + each[j - 1] + math.log10(j - i) for i in starts), default=math.inf)
+            fresh = cost[j - 3] + segment + each[j - 1] + math.log10(3)
+            if fresh < best:
+                starts.append(j - 3)
+            c = min(c, best, fresh)
         for length in range(3, min(walk, 30) + 1):
             c = min(c, cost[j - length] + segment + math.log10(2 * len(_WALKS) * 26) + math.log10(length))
         for i, g in dates.get(j, ()):
