@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, with_row_numbers
 from .text import chunks, lists, mix64, word_hashes
 
 #: fixed seed masks; 1 marks a word that is hashed.  Any 3 words of 13 may differ.
@@ -232,6 +232,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bits: int = FILTER_BITS)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a verified overlap, all columns as given; rows with a null doc_id stay."""
-    hit = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == hit["_id"], "left_anti")
+    """The documents without a verified overlap, all columns as given; every row is judged by its own text, whatever its doc_id."""
+    rows, number = with_row_numbers(docs, Scratch(docs.sparkSession, "decontaminate"))
+    hit = contaminated(rows.select(F.col(number).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    return rows.join(hit, F.col(number) == F.col("_hit"), "left_anti").select(*(F.col(c) for c in docs.columns))

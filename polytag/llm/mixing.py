@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, with_row_numbers
 
 WEIGHTS = (5, 2, 1)
 PASSES = 3
@@ -56,8 +56,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, span_rows: int = SPAN_ROWS) -> DataFrame:
-    """documents (doc_id, source, text, ...) -> doc_id, source, text_key, size, source_size, target, taken; one row per row."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, span_rows: int = SPAN_ROWS, row: str | None = None) -> DataFrame:
+    """documents (doc_id, source, text, ...) -> doc_id, source, text_key, size, source_size, target, taken; one row per row.
+
+    ``row`` names a column to carry along as ``row``."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -65,6 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSE
         docs.select(
             F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("digest"), F.xxhash64(text).alias("text_key"),
+            *([F.col(row).alias("row")] if row else []),
         ),
         "sizes",
     )
@@ -112,16 +115,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSE
                 ("finish", "double"), ("rank", "int"), ("digest", "string"), ("doc_id", "long"), ("size", "long"), ("text_key", "long"), ("pass", "int"))))
             within = [(span(finish[e]) == edge["span"]) & (key(e) <= cut) for e in range(passes)]
         taken = sum((((span(finish[e]) < edge["span"]) | within[e]).cast("long") for e in range(passes)), F.lit(0))
-    return queued.select("doc_id", "source", "text_key", "size", "source_size", "target", (F.col("size") * taken).cast("long").alias("taken"))
+    return queued.select(*(["row"] if row else []), "doc_id", "source", "text_key", "size", "source_size", "target", (F.col("size") * taken).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, all columns as given plus size, source_size, target, taken; those not taken go."""
-    found = mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("_id"), "source", "text_key").agg(
-        *(F.max(c).alias(c) for c in ("size", "source_size", "target", "taken"))
-    ).withColumnsRenamed({"source": "_source", "text_key": "_text_key"})
-    clash = [c for c in ("size", "source_size", "target", "taken") if c in docs.columns]
-    docs = docs.drop(*clash)
-    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    on = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & docs["source"].cast("string").eqNullSafe(found["_source"]) & (text == found["_text_key"])
-    return docs.join(found, on).drop(found["_id"], found["_source"], found["_text_key"])
+    """The documents of the mix, all columns as given plus size, source_size, target, taken; those not taken go.  Of equal rows each is taken for itself."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows, number = with_row_numbers(docs, scratch)
+    new = ("size", "source_size", "target", "taken")
+    found = mix(rows, row=number).filter("taken > 0").select(F.col("row").alias("_taken_row"), *new)
+    rest = [c for c in docs.columns if c not in new]
+    return rows.select(number, *rest).join(found, F.col(number) == F.col("_taken_row")).select(*rest, *new)

@@ -6,6 +6,7 @@ A written table cuts the lineage: later stages read files that outlive any execu
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from polytag.session import scratch_path
 
@@ -34,12 +35,18 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def with_row_numbers(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """``docs`` as a written table with a number of its own for every row, and that column's name."""
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    return scratch.write(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_rest(column, modulus: int):
     """crc32 of an id's text, modulo ``modulus`` (null ids: null)."""
-    from pyspark.sql import functions as F
-
     return F.crc32(column.cast("string").cast("binary")) % modulus

@@ -116,3 +116,13 @@ def test_redaction_replaces_spans_and_keeps_the_rest(spark):
 def test_plans_hold_no_python(spark, capsys):
     pii.redact(frame(spark, [(1, "a@b.co")])).explain()
     assert "Python" not in (shown := capsys.readouterr().out) and "Arrow" not in shown and "Pandas" not in shown
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    from polytag.llm import mixing
+
+    rows = [(0, "a b c d e", "x")] * 4 + [(i, "one two three", "y") for i in range(1, 9)] + [(None, "p q", None)] * 3
+    docs = frame(spark, rows)
+    mixed, out = mixing.mix(docs).collect(), mixing.mixed_documents(docs).collect()
+    assert sorted(((r.doc_id or -1, r.taken) for r in out)) == sorted(((r.doc_id or -1, r.taken) for r in mixed if r.taken))
+    assert sum(r.taken for r in out) == sum(r.taken for r in mixed) <= sum(r.size for r in mixed)

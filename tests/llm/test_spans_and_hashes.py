@@ -260,3 +260,55 @@ def test_baseline_is_exact_and_the_model_learns(spark, monkeypatch):
     held = [(i, t) for i, t in rows if crc(i) % 7 == 2]
     bits = -sum(got[i].score for i, _ in held) / math.log10(2) / sum(len(t or "") + 1 for _, t in held)
     assert bits < 3.2
+
+
+def test_repeated_ids_are_judged_by_their_own_texts(spark):
+    from polytag.llm import decontaminate
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = prose(random.Random(3), 30)
+    docs = frame(spark, [(1, item), (2, item), (2, clean), (None, item), (None, clean), (3, None)])
+    left = decontaminate.drop_contaminated(docs, bench)
+    assert left.dtypes == docs.dtypes
+    assert sorted(((r.doc_id or 0, r.text or "") for r in left.collect())) == sorted([(2, clean), (0, clean), (3, "")])
+
+
+def test_guess_cost_of_runs_equals_the_plain_loop():
+    import math
+
+    from polytag.llm import secrets as S
+
+    def plain(value, ranks):
+        n, low, dates = len(value), value.lower(), {}
+        for i in range(n):
+            if m := S._DATE.match(value, i):
+                dates.setdefault(m.end(), []).append((i, math.log10(365 * 120 if m.end() - i > 4 else 120)))
+        each = [math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33) for c in value]
+        cost = [0.0] + [math.inf] * n
+        for j in range(1, n + 1):
+            c = cost[j - 1] + each[j - 1]
+            for i in range(j - 2):
+                part, length = value[i:j], j - i
+                if len(set(part)) == 1:
+                    c = min(c, cost[i] + 0.3 + each[j - 1] + math.log10(length))
+                if length <= 30 and all(low[k : k + 2] in S._NEXT for k in range(i, j - 1)):
+                    c = min(c, cost[i] + 0.3 + math.log10(2 * len(S._WALKS) * 26) + math.log10(length))
+                if length <= S.LONGEST_WORD and low[i:j] in ranks:
+                    upper = sum(x.isupper() for x in part)
+                    extra = 0.0 if not upper else math.log10(2) if part.istitle() or part.isupper() else math.log10(math.comb(length, upper) + 1)
+                    c = min(c, cost[i] + 0.3 + math.log10(ranks[low[i:j]] + 1) + extra)
+            for i, g in dates.get(j, ()):
+                c = min(c, cost[i] + 0.3 + g)
+            for unit in (2, 3, 4):
+                if j >= 2 * unit and value[j - unit : j] == value[j - 2 * unit : j - unit]:
+                    c = min(c, cost[j - unit] + 0.3)
+            cost[j] = c
+        return cost[n]
+
+    rng = random.Random(8)
+    ranks = {"pass": 3, "aaa": 50, "word": 7, "aaaaaaaa": 900}
+    for _ in range(300):
+        value = "".join(rng.choice(["a", "A", "1", "=", "pass", "Word", "qwe", "2019"]) * rng.choice([1, 1, 2, 5, 12]) for _ in range(rng.randrange(1, 9)))
+        assert abs(S.guess_cost(value, ranks) - plain(value, ranks)) < 1e-12, value
+    assert S.guess_cost("a" * 60_000, ranks) < S.guess_cost("ab7#" * 10, ranks) + 10
