@@ -8,6 +8,9 @@ quadratic is materialised as rows, no group is unbounded, and nothing is
 broadcast; a window over (query id) then keeps the global top-k out of the
 k x B candidates.  Order is total: (distance, reference id).
 
+Its shuffle grows with the square of the rows, so it serves small references only; beyond ``BLOCKED_ROWS`` reference rows
+``knn`` searches pivot cells (``cells``), with the same result.
+
 Distances are Euclidean on range-normalised features ((x - min) / (max - min)
 from the reference set; a constant dimension contributes 0).
 """
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polytag.functions import labelsets as LS
+from polytag.operators.cells import cell_knn
 
 BLOCK_ROWS = 4096
+BLOCKED_ROWS = 16 * BLOCK_ROWS
 CHUNK_CELLS = 4_000_000  # query-chunk x ref-block x dims cells per numpy step
 
 
@@ -46,10 +51,15 @@ def _normalise(m: np.ndarray, mins: np.ndarray, rngs: np.ndarray) -> np.ndarray:
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", id_col: str = "id", exclude_self: bool = True,
-        block_rows: int = BLOCK_ROWS, ranges=None) -> DataFrame:
-    """(qid, rank, rid, dist): the k nearest reference rows of every query row."""
+        block_rows: int = BLOCK_ROWS, ranges=None, method: str | None = None, probes: int | None = None) -> DataFrame:
+    """(qid, rank, rid, dist): the k nearest reference rows of every query row; ``method`` "blocks" or "cells" (default by size).
+
+    ``probes`` gives the approximate form: that many cells per query."""
     mins, rngs = ranges if ranges is not None else vector_ranges(ref, vec)
-    nq, nr = query.count(), ref.count()
+    nr = ref.count()
+    if method == "cells" or probes or (method is None and nr > BLOCKED_ROWS):
+        return cell_knn(query, ref, k, vec, id_col, exclude_self, (mins, rngs), block_rows, CHUNK_CELLS, probes=probes)
+    nq = query.count()
     Q, B = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
     q = query.select(F.col(id_col).alias("qid"), F.col(vec).cast("array<double>").alias("v"),
                      F.pmod(LS.stable_hash(id_col, 101), F.lit(Q)).alias("qb"))

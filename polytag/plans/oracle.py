@@ -1048,6 +1048,8 @@ def _nn(name: str, qsrc: str, rsrc: str, k: int, excl: bool) -> str:
 sql("knn_neighbors", _vec_ctes("true") + _nn("nn", "v_vec", "v_vec", 10, True) + """
 SELECT qid AS id, CAST(rank AS INTEGER) AS rank, rid AS nid, round(dist, 6) AS dist FROM nn""")
 
+sql("knn_neighbors_cells", ORACLE["knn_neighbors"])
+
 _VEC_TR = f"{u_sql('id', 3)} * 100 < 67.0"
 
 sql("ln_mlknn", _vec_ctes(_VEC_TR) + _nn("nt", "tr", "tr", 10, True) + _nn("na", "v_vec", "tr", 10, False) + """,

@@ -719,6 +719,16 @@ def q_knn_neighbors(spark, d):
     return r6(nb.select(F.col("qid").alias("id"), F.col("rank").cast("int").alias("rank"), F.col("rid").alias("nid"), "dist"))
 
 
+@query("knn_neighbors_cells")
+def q_knn_neighbors_cells(spark, d):
+    """The same neighbours by pivot cells, the form that large references take."""
+    from polytag.operators.nb import materialize
+
+    df, _ = materialize(V.v_vec(spark, d).df.select("id", "embedding"))
+    nb = KN.knn(df, df, 10, vec="embedding", exclude_self=True, method="cells")
+    return r6(nb.select(F.col("qid").alias("id"), F.col("rank").cast("int").alias("rank"), F.col("rid").alias("nid"), "dist"))
+
+
 @query("ln_mlknn")
 def q_ln_mlknn(spark, d):
     m, train = vec_split(spark, d)
