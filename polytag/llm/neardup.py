@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import connected_components
+from .lookup import if_small
 from .store import Scratch
 from .text import chunks, lists, mix64, shingle_sets
 
@@ -178,19 +179,25 @@ def _listed(rows: list[np.ndarray]) -> pa.ListArray:
     return lists(flat.view(np.int64), np.concatenate(([0], np.cumsum([len(r) for r in rows]))), pa.int64())
 
 
-def with_texts(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) with both texts of ``rows`` (row, text), the pairs of one a together; an a of very many pairs is dealt to several tasks."""
-    fan = pairs.groupBy("a").agg(F.expr(f"cast((count(1) - 1) div {FANOUT} + 1 as int)").alias("fan"))
+def with_texts(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) with both texts of ``rows`` (row, text), the pairs of one a together; an a of very many pairs is dealt to several tasks.
+
+    Only texts that a pair names are moved: while the pairs' ids are counted small, they go to the texts, not the texts to them.
+    """
+    pairs = scratch.write(pairs, "pairs")
+    fan = scratch.write(pairs.groupBy("a").agg(F.expr(f"cast((count(1) - 1) div {FANOUT} + 1 as int)").alias("fan")), "fan")
+    second = scratch.write(pairs.select("b").distinct(), "second")
+    fan, second = if_small(fan), if_small(second)
     dealt = pairs.join(fan, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
     left = rows.join(fan, F.col("row") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.col("text").alias("at"))
-    right = rows.join(pairs.select("b").distinct(), F.col("row") == F.col("b")).select("b", F.col("text").alias("bt"))
+    right = rows.join(second, F.col("row") == F.col("b")).select("b", F.col("text").alias("bt"))
     met = dealt.join(right, "b").join(left, ["a", "part"])
     return met.select("a", "b", "at", "bt")
 
 
-def confirm(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, rows: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Of the candidate pairs (a, b), those whose full shingle sets are similar enough."""
-    return with_texts(pairs, rows).mapInArrow(lambda it: _jaccard_links(it, width, percent), "a long, b long").distinct()
+    return with_texts(pairs, rows, scratch).mapInArrow(lambda it: _jaccard_links(it, width, percent), "a long, b long").distinct()
 
 
 def same_head_links(members: DataFrame, percent: int) -> DataFrame:
@@ -274,8 +281,8 @@ def grouped(rows: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int
     lists_ = scratch.write(prefixes.select("rep", "weight", F.explode("prefix").alias("key")), "lists")
     # only rows that share a prefix posting can meet: their texts are picked once, every comparison joins this smaller table
     meeting = lists_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    wanted = lists_.join(meeting, "key").select(F.col("rep").alias("_wanted")).distinct()
-    texts = scratch.write(rows.select("row", "text").join(wanted, F.col("row") == F.col("_wanted"), "left_semi"), "texts")
+    wanted = scratch.write(lists_.join(meeting, "key").select(F.col("rep").alias("_wanted")).distinct(), "wanted")
+    texts = scratch.write(rows.select("row", "text").join(if_small(wanted), F.col("row") == F.col("_wanted"), "left_semi"), "texts")
 
     def collide(pairs: DataFrame) -> DataFrame:
         """Pairs that agree in enough coordinates and whose sizes allow the similarity."""
@@ -289,7 +296,7 @@ def grouped(rows: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int
     met = lists_.select("key", "rep").join(heads, "key").filter("rep <> head").groupBy("rep", "head").agg(F.first("weight").alias("weight"), F.first("h").alias("h"))
     met = scratch.write(collide(met.select(F.col("head").alias("a"), F.col("rep").alias("b"), "weight", "h")), "star")
     tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = scratch.write(confirm(tested, texts, width, percent), "links")
+    links = scratch.write(confirm(tested, texts, scratch, width, percent), "links")
     comps = scratch.write(connected_components(spark, links, scratch), "components")
 
     placed = lists_.select("key", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
@@ -317,13 +324,13 @@ def grouped(rows: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int
     across = scratch.write(apart.join(tested, ["a", "b"], "left_anti"), "across")
     members = still.select("rep", "component", "hub").distinct().join(reps.select("rep", "n"), "rep")
     away = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    changes = with_texts(away, texts).mapInArrow(
+    changes = with_texts(away, texts, scratch).mapInArrow(
         lambda it: _added(it, width), "rep long, hub_n long, gone array<long>, added array<long>"
     )
     none = F.expr("cast(array() as array<long>)")
     itself = members.filter("rep = hub").withColumns({"hub_n": F.col("n"), "gone": none, "added": none})
     members = scratch.write(members.join(changes, "rep").unionByName(itself), "members")
-    late = scratch.write(confirm(across, texts, width, percent).unionAll(same_head_links(members, percent)), "late")
+    late = scratch.write(confirm(across, texts, scratch, width, percent).unionAll(same_head_links(members, percent)), "late")
     if not late.isEmpty():
         comps = scratch.write(connected_components(spark, links.unionAll(late), scratch), "components")
 
