@@ -30,7 +30,7 @@ The signature threshold is 28 of 64: a pair of similarity 0.75 agrees in 48 coor
 (sd 3.5) and misses the threshold with a chance below 1e-8; everything above it is confirmed
 exactly, so there are no false links.
 
-Rows are numbered once, in a written table of ids and texts; classes, links and components are of rows, so a repeated doc_id
+Rows are numbered once, in the written table of signatures; classes, links and components are of rows, so a repeated doc_id
 confuses nothing.  The text of a head that very many members are compared with is sent once per ``FANOUT`` of them, to different tasks.
 
 Cases: a null or word-less text has an empty set and is linked with nothing; a document of fewer
@@ -60,7 +60,7 @@ WIDTH = 5
 FANOUT = 256
 
 _SIGNED = T.StructType([
-    T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
+    T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("t", T.LongType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
     T.StructField("sig", T.ArrayType(T.IntegerType())),
 ])
@@ -84,8 +84,7 @@ def minhash(values: np.ndarray, offsets: np.ndarray, k: int = COORDINATES) -> np
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        row, ids = batch.column(0), batch.column(1)
-        for lo, hi, data, offs in chunks(batch.column(2)):
+        for lo, hi, data, offs in chunks(batch.column(3)):
             values, first = shingle_sets(data, offs, width)
             sizes = np.diff(first)
             full = sizes > 0
@@ -99,15 +98,15 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.
                 h2[full] = np.add.reduceat(mix64(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
                 sig = minhash(values, np.append(starts, first[-1]), k)
             yield pa.RecordBatch.from_arrays(
-                [row.slice(lo, n), ids.slice(lo, n), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                [*(batch.column(i).slice(lo, n) for i in range(3)), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                  lists(sig.reshape(-1).view(np.int32), sig_offsets, pa.int32())],
                 names=_SIGNED.names,
             )
 
 
 def signatures(rows: DataFrame, width: int = WIDTH, k: int = COORDINATES) -> DataFrame:
-    """row, doc_id, n_shingles, 128-bit set digest (h1, h2), sig (empty for an empty set)."""
-    return rows.select("row", "doc_id", "text").mapInArrow(lambda it: _sign(it, width, k), _SIGNED)
+    """row, doc_id, t (hash of the text), n_shingles, 128-bit set digest (h1, h2), sig (empty for an empty set)."""
+    return rows.select("row", "doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(lambda it: _sign(it, width, k), _SIGNED)
 
 
 def rarest(postings: DataFrame, key: list[str], need: Column, what: DataFrame) -> DataFrame:
@@ -127,11 +126,11 @@ def rarest(postings: DataFrame, key: list[str], need: Column, what: DataFrame) -
 
 
 def posting_prefixes(reps: DataFrame, matches: int) -> DataFrame:
-    """(rep, keys, weight, prefix): each representative's shared signature postings and the rarest of them."""
+    """(rep, n, keys, weight, prefix): each representative's shared signature postings and the rarest of them."""
     posted = reps.select("rep", F.posexplode("sig").alias("c", "v")).select(
         "rep", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key")
     )
-    return rarest(posted, ["key"], F.lit(matches), reps.select("rep"))
+    return rarest(posted, ["key"], F.lit(matches), reps.select("rep", "n"))
 
 
 def _sets(batch: pa.RecordBatch, width: int, held: dict[int, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -191,7 +190,8 @@ def with_texts(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame
     dealt = pairs.join(fan, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
     left = rows.join(fan, F.col("row") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("part"), F.col("text").alias("at"))
     right = rows.join(second, F.col("row") == F.col("b")).select("b", F.col("text").alias("bt"))
-    met = dealt.join(right, "b").join(left, ["a", "part"])
+    # sorted by a in every task, so that a's set is made once for all its pairs
+    met = dealt.join(right, "b").join(left.hint("merge"), ["a", "part"])
     return met.select("a", "b", "at", "bt")
 
 
@@ -250,11 +250,11 @@ def roots(hubs: DataFrame, scratch: Scratch) -> DataFrame:
     return cur
 
 
-def numbered(docs: DataFrame, scratch: Scratch, *more: str) -> DataFrame:
-    """row (a number of its own), doc_id, text and ``more`` columns: a written table."""
-    return scratch.write(docs.select(
+def numbered(docs: DataFrame, *more: str) -> DataFrame:
+    """row (a number of its own, fixed once it is written), doc_id, text and ``more`` columns."""
+    return docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        *(F.col(c).alias(f"_{c}") for c in more)), "rows")
+        *(F.col(c).alias(f"_{c}") for c in more))
 
 
 def near_duplicates(
@@ -262,13 +262,15 @@ def near_duplicates(
 ) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row per input row."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    out = grouped(numbered(docs, scratch), scratch, width, percent, k, matches)
+    out = grouped(numbered(docs), scratch, width, percent, k, matches)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def grouped(rows: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int = 75, k: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """Written ``rows`` (row, doc_id, text) -> row, doc_id, n_shingles, component_id and ``first``, the row that stands for the component
-    (its smallest doc_id, then row); null ids have no component and stand for themselves."""
+    """``rows`` (row, doc_id, text) -> row, doc_id, n_shingles, component_id and ``first``, the row that stands for the component
+    (its smallest doc_id, then row); null ids have no component and stand for themselves.
+
+    The rows are read twice: for the signatures, whose table fixes the row numbers, and for the texts of those that can meet another (found by doc_id and text)."""
     spark: SparkSession = rows.sparkSession
     rows = rows.select("row", "doc_id", "text")
     signed = scratch.write(signatures(rows, width, k), "signed")
@@ -281,13 +283,16 @@ def grouped(rows: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int
     lists_ = scratch.write(prefixes.select("rep", "weight", F.explode("prefix").alias("key")), "lists")
     # only rows that share a prefix posting can meet: their texts are picked once, every comparison joins this smaller table
     meeting = lists_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    wanted = scratch.write(lists_.join(meeting, "key").select(F.col("rep").alias("_wanted")).distinct(), "wanted")
-    texts = scratch.write(rows.select("row", "text").join(if_small(wanted), F.col("row") == F.col("_wanted"), "left_semi"), "texts")
+    wanted = lists_.join(meeting, "key").select(F.col("rep").alias("row")).distinct().join(signed.select("row", "doc_id", "t"), "row")
+    wanted = scratch.write(wanted.select("row", F.col("doc_id").alias("_id"), F.col("t").alias("_t")), "wanted")
+    own = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_t"))
+    texts = scratch.write(rows.select("doc_id", "text").join(if_small(wanted), own).select("row", "text"), "texts")
 
     def collide(pairs: DataFrame) -> DataFrame:
         """Pairs that agree in enough coordinates and whose sizes allow the similarity."""
-        side = lambda s: prefixes.join(reps.select("rep", "n"), "rep").select(F.col("rep").alias(s), F.col("keys").alias(f"k{s}"), F.col("n").alias(f"n{s}"))
-        found = pairs.join(side("a"), "a").join(side("b"), "b")
+        side = lambda s: prefixes.select(F.col("rep").alias(s), F.col("keys").alias(f"k{s}"), F.col("n").alias(f"n{s}"))
+        pairs = scratch.write(pairs, "candidates")
+        found = side("a").join(if_small(pairs), "a").join(side("b"), "b")
         ok = (F.size(F.array_intersect("ka", "kb")) >= matches) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         return found.filter(ok).select(*pairs.columns)
 
@@ -312,7 +317,7 @@ def grouped(rows: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int
 
     # different heads: a pair leaves the join once (at its first common posting) and only if its signatures collide often enough
     split = still.groupBy("key").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi")).filter("lo <> hi").select("key")
-    facing = still.join(split, "key").join(prefixes.select("rep", "keys", "prefix"), "rep").join(reps.select("rep", "n"), "rep")
+    facing = still.join(split, "key").join(prefixes.select("rep", "keys", "prefix", "n"), "rep")
     left, right = (facing.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "component", "hub", "keys", "prefix", "n"))) for s in "ab")
     meets = F.expr(
         "rep_a < rep_b and component_a <> component_b and hub_a <> hub_b"
@@ -322,11 +327,11 @@ def grouped(rows: DataFrame, scratch: Scratch, width: int = WIDTH, percent: int
     )
     apart = left.alias("p").join(right.alias("q"), (F.col("p.key") == F.col("q.key")) & meets).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     across = scratch.write(apart.join(tested, ["a", "b"], "left_anti"), "across")
-    members = still.select("rep", "component", "hub").distinct().join(reps.select("rep", "n"), "rep")
+    members = still.select("rep", "component", "hub").distinct().join(prefixes.select("rep", "n"), "rep")
     away = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     changes = with_texts(away, texts, scratch).mapInArrow(
         lambda it: _added(it, width), "rep long, hub_n long, gone array<long>, added array<long>"
-    )
+    ).dropDuplicates(["rep"])
     none = F.expr("cast(array() as array<long>)")
     itself = members.filter("rep = hub").withColumns({"hub_n": F.col("n"), "gone": none, "added": none})
     members = scratch.write(members.join(changes, "rep").unionByName(itself), "members")
@@ -351,7 +356,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = numbered(docs, scratch, *rest)
+    rows = scratch.write(numbered(docs, *rest), "rows")
     found = grouped(rows, scratch)
     blank = found.filter("n_shingles = 0 and doc_id is not null").groupBy("doc_id").agg(F.min("row").alias("stays"))
     stays = found.filter("first = row and (n_shingles > 0 or doc_id is null)").select(F.col("row").alias("stays")).unionAll(blank.select("stays"))
