@@ -255,15 +255,16 @@ def label_tree(mlf: MLFrame, k: int = 3, method: str = "balanced", seed: int = 1
 
 
 def random_partition(mlf: MLFrame, k: int = 3, seed: int = 1) -> DataFrame:
-    """(j, grp, n): even random partition into k groups (ntile over a seeded hash order) of the labels that occur in the rows,
-    with each label's number of rows."""
+    """(j, grp, n): even random partition of all labels into k groups (ntile over a seeded hash order), with each label's number
+    of rows (0 for a label that no row has)."""
     from pyspark.sql.window import Window
 
     from polytag.functions.labelsets import stable_hash
 
+    labels = mlf.df.sparkSession.range(mlf.L).select(F.col("id").cast("int").alias("j"))
     seen = mlf.long().filter("t = 1").groupBy(F.col("j").cast("int").alias("j")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(stable_hash("j", seed), "j")  # label-sized
-    return seen.select("j", (F.ntile(k).over(w) - 1).cast("int").alias("grp"), "n")
+    return labels.join(F.broadcast(seen), "j", "left").select("j", (F.ntile(k).over(w) - 1).cast("int").alias("grp"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # ------------------------------------------------------------------ mutual-information chains

@@ -1459,8 +1459,9 @@ sql("label_chain_mi_min", _mi_chain_sql("min"))
 sql("label_chain_mi_max", _mi_chain_sql("max"))
 
 sql("label_tree_random", with_views("v_tree") + "," + long_cte("v_tree", "lng") + f""",
-seen AS (SELECT CAST(j AS INTEGER) AS j, count(*) AS n FROM lng WHERE t = 1 GROUP BY j)
-SELECT j, CAST(ntile(3) OVER (ORDER BY {h_sql('j', 4)}, j) - 1 AS INTEGER) AS grp, n FROM seen""")
+seen AS (SELECT CAST(j AS INTEGER) AS j, count(*) AS n FROM lng WHERE t = 1 GROUP BY j),
+al AS (SELECT CAST(g.j AS INTEGER) AS j, coalesce(n, 0) AS n FROM range({VIEW_L["v_tree"]}) g(j) LEFT JOIN seen USING (j))
+SELECT j, CAST(ntile(3) OVER (ORDER BY {h_sql('j', 4)}, j) - 1 AS INTEGER) AS grp, n FROM al""")
 
 
 # ---------------------------------------------------------------- 2.7 local chain and HMC
@@ -1642,8 +1643,8 @@ FROM ts f JOIN ts r ON f.i = r.j AND f.j = r.i WHERE f.i < f.j""")
 _CV_FEATURES = {"v_order": ("f_prio", "f_status", "f_lines", "f_qty", "f_price"), "v_userday": ("f_n", "f_hour", "f_val")}
 
 
-def _cv_sql(view: str, learner: str, folds: int, seed: int) -> str:
-    """Measure, mean and sd over folds of one learner on one view."""
+def _cv_scores(view: str, learner: str, folds: int, seed: int) -> str:
+    """CTEs down to lab (id, own, j, t) and out (id, fold, j, s, b): the scores of the models that did not see fold."""
     L, feats = VIEW_L[view], _CV_FEATURES[view]
     keys = ["fold", "j"] if learner == "br" else ["fold"]
     head = with_views(view) + f""",
@@ -1675,6 +1676,11 @@ out AS (
         body = """,
 shr AS (SELECT fold, j, sum(t) / CAST(count(*) AS DOUBLE) AS s FROM seen GROUP BY fold, j),
 out AS (SELECT lab.id, shr.fold, lab.j, s, CAST(s >= 0.5 AS INTEGER) AS b FROM lab JOIN shr ON shr.fold = lab.own AND shr.j = lab.j)"""
+    return head + body
+
+
+def _cv_sql(view: str, learner: str, folds: int, seed: int) -> str:
+    """Measure, mean and sd over folds of one learner on one view."""
     measures = "pr AS (" + scored_ctes(view).split("pr AS (", 1)[1].split("\nplm AS (")[0].rsplit("cf AS (", 1)[0].rstrip().rstrip(",")
     row = ("hamming_loss", "subset_accuracy", "ex_precision", "ex_recall", "ex_fmeasure", "ex_accuracy", "ex_specificity", "average_precision",
            "one_minus_ap", "coverage", "one_error", "is_error", "error_set_size", "ranking_loss", "log_loss")
@@ -1682,7 +1688,7 @@ out AS (SELECT lab.id, shr.fold, lab.j, s, CAST(s >= 0.5 AS INTEGER) AS b FROM l
     CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
     CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE (2 * tp) / (2 * tp + fn + fp) END AS fmeasure,
     CASE WHEN tn + fp + fn = 0 THEN 1.0 WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS specificity"""
-    return head + body + f""",
+    return _cv_scores(view, learner, folds, seed) + f""",
 sc AS (SELECT lab.id, lab.j, lab.t, lab.own, out.s, out.b, row_number() OVER (PARTITION BY lab.id ORDER BY out.s DESC, lab.j DESC) AS rk
        FROM lab JOIN out ON out.id = lab.id AND out.fold = lab.own AND out.j = lab.j),
 {measures},
@@ -1703,3 +1709,106 @@ sql("ev_cross_validate", _cv_sql("v_order", "br", 5, 6))
 sql("ev_compare", " UNION ALL ".join(
     f"SELECT '{_v}' AS data, '{_l}' AS learner, 5 AS folds, measure, mean, sd FROM ({_cv_sql(_v, _l, 5, 6)}) {_v}_{_l}"
     for _v in ("v_order", "v_userday") for _l in ("br", "lp", "prior")))
+
+
+# ---------------------------------------------------------------- 2.9 thresholds for any measure, on out-of-fold scores
+
+# value of a measure over the counts a (tp), b (fp), c (fn), d (tn), its level and its ideal value
+_CUT_MEASURES = {
+    "hamming_loss": ("(b + c) / (a + b + c + d)", "pooled", 0.0),
+    "micro_fmeasure": ("CASE WHEN a + b + c = 0 THEN 1.0 ELSE 2 * a / (2 * a + b + c) END", "pooled", 1.0),
+    "macro_fmeasure": ("CASE WHEN a + b + c = 0 THEN 1.0 ELSE 2 * a / (2 * a + b + c) END", "label", 1.0),
+    "ex_fmeasure": ("CASE WHEN a + b + c = 0 THEN 1.0 ELSE 2 * a / (2 * a + b + c) END", "row", 1.0),
+}
+_CUT_LEVEL = {"pooled": "", "label": ", j", "row": ", id"}
+
+
+def _oof(view: str, folds: int, seed: int, bins: int = 1000000) -> str:
+    return _cv_scores(view, "br", folds, seed) + f""",
+oof AS MATERIALIZED (SELECT lab.id, lab.own AS fold, lab.j, lab.t, CAST(round(out.s * {bins}) AS BIGINT) AS c
+  FROM lab JOIN out ON out.id = lab.id AND out.fold = lab.own AND out.j = lab.j)"""
+
+
+def _grid_sql(name: str, src: str, grid: str, measure: str) -> str:
+    """CTE (fold, k, cut, value) of a measure on a grid (fold, k, cut): every row meets every cut."""
+    expr, level, _ = _CUT_MEASURES[measure]
+    key = _CUT_LEVEL[level]
+    hit = lambda t, p: f"CAST(count(*) FILTER (WHERE t = {t} AND {p}) AS DOUBLE)"
+    return f"""{name} AS MATERIALIZED (
+  SELECT fold, k, cut, avg({expr}) AS value FROM (
+    SELECT x.fold, k, cut{key}, {hit(1, "x.c >= cut")} AS a, {hit(0, "x.c >= cut")} AS b, {hit(1, "x.c < cut")} AS c, {hit(0, "x.c < cut")} AS d
+    FROM {src} x JOIN {grid} g ON g.fold = x.fold GROUP BY x.fold, k, cut{key}) GROUP BY fold, k, cut)"""
+
+
+def _th_one_sql(measures) -> str:
+    out = _oof("v_order", 3, 6) + """,
+ff AS (SELECT DISTINCT fold FROM oof),
+g1 AS (SELECT fold, CAST(k AS INTEGER) AS k, k * 100000 AS cut FROM ff CROSS JOIN range(11) r(k))"""
+    parts = []
+    for i, m in enumerate(measures):
+        ideal = _CUT_MEASURES[m][2]
+        out += ",\n" + _grid_sql(f"a{i}", "oof", "g1", m) + f""",
+b{i} AS (SELECT fold, min({{'d': round(abs({ideal} - value), 12), 'k': k}}).k AS best FROM a{i} GROUP BY fold),
+h{i} AS (SELECT fold, CAST(k AS INTEGER) AS k, (10 * best + k - 5) * 10000 AS cut FROM b{i} CROSS JOIN range(11) r(k)),
+""" + _grid_sql(f"c{i}", "oof", f"h{i}", m) + f""",
+d{i} AS (SELECT fold, min({{'d': round(abs({ideal} - value), 12), 'k': k}}).k AS best FROM c{i} GROUP BY fold),
+e{i} AS (SELECT 1 AS stage, fold, k, cut, value, k = best AS chosen FROM a{i} JOIN b{i} USING (fold)
+  UNION ALL SELECT 2, fold, k, cut, value, k = best FROM c{i} JOIN d{i} USING (fold))"""
+        parts.append(f"""SELECT '{m}' AS measure, stage, fold, k, round(cut / 1000000.0, 6) AS threshold, round(value, 6) AS value, chosen,
+  round((SELECT avg(cut / 1000000.0) FROM e{i} WHERE chosen AND stage = 2), 6) AS final FROM e{i}""")
+    return out + "\n" + " UNION ALL ".join(parts)
+
+
+def _th_rank_sql(measures) -> str:
+    L = VIEW_L["v_order"]
+    out = _oof("v_order", 3, 6) + f""",
+rk AS MATERIALIZED (SELECT id, fold, j, t, {L} - row_number() OVER (PARTITION BY id ORDER BY c DESC, j DESC) AS c FROM oof),
+g1 AS (SELECT fold, CAST(k AS INTEGER) AS k, {L} - k AS cut FROM (SELECT DISTINCT fold FROM oof) CROSS JOIN range({L + 1}) r(k))"""
+    parts = []
+    for i, m in enumerate(measures):
+        out += ",\n" + _grid_sql(f"a{i}", "rk", "g1", m) + f""",
+m{i} AS (SELECT k, avg(value) AS value, round(avg(round(abs({_CUT_MEASURES[m][2]} - value), 12)), 12) AS d FROM a{i} GROUP BY k)"""
+        parts.append(f"SELECT '{m}' AS measure, k AS t, round(value, 6) AS value, row_number() OVER (ORDER BY d, k) = 1 AS chosen FROM m{i}")
+    return out + "\n" + " UNION ALL ".join(parts)
+
+
+def _th_label_sql(measures, sweeps: int) -> str:
+    """Coordinate descent unrolled: one CTE for every sweep and label; a label's counts at a cut come from all its rows."""
+    L = VIEW_L["v_order"]
+    counts = "CAST(count(*) FILTER (WHERE t = 1 AND x.c >= q.cut) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE t = 0 AND x.c >= q.cut) AS DOUBLE) AS b, " \
+             "CAST(count(*) FILTER (WHERE t = 1 AND x.c < q.cut) AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE t = 0 AND x.c < q.cut) AS DOUBLE) AS d"
+    out = _oof("v_order", 3, 6, 100000) + f""",
+cuts AS (SELECT DISTINCT fold, j, c AS cut FROM oof),
+cand AS MATERIALIZED (SELECT q.fold, q.j, q.cut, {counts} FROM cuts q JOIN oof x ON x.fold = q.fold AND x.j = q.j GROUP BY q.fold, q.j, q.cut),
+low AS (SELECT fold, j, cut, lag(cut) OVER (PARTITION BY fold, j ORDER BY cut) AS lower FROM cuts),
+init AS MATERIALIZED (SELECT q.fold, q.j, q.cut, {counts} FROM (SELECT DISTINCT fold, j, 50000 AS cut FROM oof) q JOIN oof x ON x.fold = q.fold AND x.j = q.j GROUP BY q.fold, q.j, q.cut)"""
+    parts = []
+    for i, m in enumerate(measures):
+        expr, level, ideal = _CUT_MEASURES[m]
+        pick = f"min({{'v': round(abs({ideal} - ({expr})), 12), 'cut': cut, 'a': a0, 'b': b0, 'c': c0, 'd': d0}})"
+        if level == "label":
+            out += f""",
+r{i} AS (SELECT fold, j, {pick} AS b FROM (SELECT *, a AS a0, b AS b0, c AS c0, d AS d0 FROM cand) GROUP BY fold, j),
+f{i} AS (SELECT fold, j, b.cut AS cut FROM r{i})"""
+        else:
+            at = {j: f"(SELECT * FROM init WHERE j = {j})" for j in range(L)}
+            for s in range(sweeps):
+                for j in range(L):
+                    others = " UNION ALL ".join(f"SELECT fold, a, b, c, d FROM {at[o]}" for o in range(L) if o != j)
+                    name = f"s{i}_{s}_{j}"
+                    out += f""",
+{name} AS MATERIALIZED (SELECT fold, {j} AS j, z.cut AS cut, z.a AS a, z.b AS b, z.c AS c, z.d AS d FROM (SELECT fold, {pick} AS z FROM (
+  SELECT q.fold, q.cut, q.a AS a0, q.b AS b0, q.c AS c0, q.d AS d0, q.a + o.a AS a, q.b + o.b AS b, q.c + o.c AS c, q.d + o.d AS d
+  FROM cand q JOIN (SELECT fold, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d FROM ({others}) GROUP BY fold) o ON o.fold = q.fold
+  WHERE q.j = {j}) GROUP BY fold))"""
+                    at[j] = name
+            out += f""",
+f{i} AS ({" UNION ALL ".join(f"SELECT fold, j, cut FROM {at[j]}" for j in range(L))})"""
+        parts.append(f"""SELECT '{m}' AS measure, fold, CAST(j AS INTEGER) AS j, cut, round((cut + coalesce(lower, cut)) / 200000.0, 6) AS threshold,
+  round(avg((cut + coalesce(lower, cut)) / 200000.0) OVER (PARTITION BY j), 6) AS final FROM f{i} JOIN low USING (fold, j, cut)""")
+    return out + "\n" + " UNION ALL ".join(parts)
+
+
+sql("th_one_measures", _th_one_sql(("hamming_loss", "micro_fmeasure", "macro_fmeasure", "ex_fmeasure")))
+sql("th_rank_measures", _th_rank_sql(("hamming_loss", "micro_fmeasure", "macro_fmeasure", "ex_fmeasure")))
+sql("th_label_measures", _th_label_sql(("hamming_loss", "micro_fmeasure", "macro_fmeasure"), 3))

@@ -1155,6 +1155,58 @@ def q_ln_eps(spark, d):
 from polytag.operators import validate as VA  # noqa: E402
 
 
+def _cut_scores(spark, d):
+    """Out-of-fold scores of one model a label on the orders, three folds."""
+    from polytag.operators import validate as VA
+    from polytag.operators.nb import materialize
+
+    m = V.v_order(spark, d)
+    pred, _ = materialize(VA.out_of_fold(m, "br", folds=3, seed=6).select("id", "fold", "y", "conf"))
+    return m, pred
+
+
+def _per_measure(names, one):
+    out = None
+    for name in names:
+        x = one(name).select(F.lit(name).alias("measure"), "*")
+        out = x if out is None else out.unionByName(x)
+    return r6(out)
+
+
+@query("th_one_measures")
+def q_th_one_measures(spark, d):
+    from polytag.operators import cuts as CU
+
+    _, pred = _cut_scores(spark, d)
+
+    def one(name):
+        res = CU.one_threshold(pred, name)
+        return res.join(F.broadcast(CU.final_threshold(res).select(F.col("threshold").alias("final"))))  # one row
+
+    return _per_measure(("hamming_loss", "micro_fmeasure", "macro_fmeasure", "ex_fmeasure"), one)
+
+
+@query("th_rank_measures")
+def q_th_rank_measures(spark, d):
+    from polytag.operators import cuts as CU
+
+    m, pred = _cut_scores(spark, d)
+    return _per_measure(("hamming_loss", "micro_fmeasure", "macro_fmeasure", "ex_fmeasure"), lambda name: CU.rank_cut(pred, m.L, name))
+
+
+@query("th_label_measures")
+def q_th_label_measures(spark, d):
+    from polytag.operators import cuts as CU
+
+    m, pred = _cut_scores(spark, d)
+
+    def one(name):
+        cuts = CU.label_thresholds(pred, m.L, name, sweeps=3, bins=100_000)
+        return cuts.join(F.broadcast(CU.mean_thresholds(cuts).withColumnRenamed("threshold", "final")), "j")
+
+    return _per_measure(("hamming_loss", "micro_fmeasure", "macro_fmeasure"), one)
+
+
 @query("ev_cross_validate")
 def q_ev_cross_validate(spark, d):
     """Five-fold cross-validation of binary relevance on the order view: mean and sd of every measure."""
