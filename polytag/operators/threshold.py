@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -98,23 +98,24 @@ def apply_top_n(df: DataFrame, n_col: str = "n") -> DataFrame:
     return df.withColumn("bip", F.transform("rank", lambda r: (r <= F.col(n_col)).cast("int")))
 
 
-def predicted_threshold_target(df: DataFrame) -> DataFrame:
-    """(id, threshold, errors): the per-row target of the threshold-prediction meta learner: over
-    midpoints of consecutive sorted scores (ascending; the first is the lowest score itself), the
-    first with the fewest errors (positives <= t, negatives >= t); 0 when none beats L errors."""
-    srt = F.array_sort("conf")
+def best_row_cut(y: str, conf: str) -> Column:
+    """STRUCT<threshold, errors> of a row with complete labels: over midpoints of consecutive sorted scores (ascending; the first
+    is the lowest score itself), the first with the fewest errors (positives <= t, negatives >= t); 0 when none beats L errors."""
+    srt = F.array_sort(conf)
     mids = F.transform(srt, lambda x, k: (x + F.get(srt, F.greatest(k - 1, F.lit(0)))) / 2)
 
     def errs(t):
-        return F.aggregate(F.zip_with("y", "conf", lambda yy, c: F.when(((yy == 1) & (c <= t)) | ((yy == 0) & (c >= t)), 1).otherwise(0)),
+        return F.aggregate(F.zip_with(y, conf, lambda yy, c: F.when(((yy == 1) & (c <= t)) | ((yy == 0) & (c >= t)), 1).otherwise(0)),
                            F.lit(0), lambda a, v: a + v)
 
-    cand = F.transform(mids, lambda t, k: F.struct(errs(t).alias("e"), k.alias("k"), t.alias("t")))
-    best = F.array_min(cand)
-    L = F.size("y")
-    x = df.filter(~F.exists("y", lambda v: v.isNull())).select("id", best.alias("b"), L.alias("L"))
-    return x.select("id", F.when(F.col("b.e") < F.col("L"), F.col("b.t")).otherwise(0.0).alias("threshold"),
-                    F.least(F.col("b.e"), F.col("L")).alias("errors"))
+    best = F.array_min(F.transform(mids, lambda t, k: F.struct(errs(t).alias("e"), k.alias("k"), t.alias("t"))))
+    return F.struct(F.when(best["e"] < F.size(y), best["t"]).otherwise(0.0).alias("threshold"), F.least(best["e"], F.size(y)).alias("errors"))
+
+
+def predicted_threshold_target(df: DataFrame) -> DataFrame:
+    """(id, threshold, errors): the per-row target of the threshold-prediction meta learner (``best_row_cut``)."""
+    x = df.filter(~F.exists("y", lambda v: v.isNull())).select("id", best_row_cut("y", "conf").alias("b"))
+    return x.select("id", "b.threshold", "b.errors")
 
 
 def linear_threshold_function(df: DataFrame, L: int) -> tuple[np.ndarray, DataFrame]:

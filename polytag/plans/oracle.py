@@ -1208,6 +1208,74 @@ rk AS (SELECT id, j, row_number() OVER (PARTITION BY id ORDER BY s DESC, j DESC)
 SELECT id, j, CAST(r <= n AS INTEGER) AS bip FROM rk JOIN nn USING (id)""")
 
 
+# out-of-fold scores of the training rows, and (fold 3, to which no row belongs) scores of every row by the model on all training rows
+_META = _ORDER_TRAIN + f""",
+mf_own AS (SELECT id, y, {size_sql('y')} AS n, CAST({h_sql('id', 6)} % 3 AS INTEGER) AS own FROM tr),
+mf_rows AS (SELECT CAST(k.fold AS INTEGER) AS fold, CAST(g.j AS INTEGER) AS j, id, y[g.j + 1] AS t
+  FROM mf_own CROSS JOIN range(6) g(j) CROSS JOIN range(4) k(fold) WHERE k.fold <> own AND y[g.j + 1] IS NOT NULL),
+mf_rfl AS (SELECT r.fold, r.j, r.id, r.t, f, v FROM mf_rows r JOIN fl USING (id)),
+mf_cls AS (SELECT CAST(k.fold AS INTEGER) AS fold, CAST(g.j AS INTEGER) AS j, c.t FROM range(4) k(fold) CROSS JOIN range(6) g(j) CROSS JOIN (VALUES (0), (1)) c(t))""" + nb_sql(
+    ["fold", "j"], "mf_rows", "mf_rfl", "mf_cls", "fl_all", "allrows", "mf") + """,
+mf_all AS MATERIALIZED (
+  SELECT id, fold, j, round(1.0 / (1.0 + exp(max(CASE WHEN t = 0 THEN s END) - max(CASE WHEN t = 1 THEN s END))), 9) AS s FROM mf_score GROUP BY id, fold, j),
+mf_seen0 AS (SELECT a.id, a.j, a.s, o.n, o.y[a.j + 1] AS t FROM mf_all a JOIN mf_own o ON o.id = a.id AND o.own = a.fold
+  WHERE len(list_filter(o.y, lambda x: x IS NULL)) = 0),
+mf_new AS (SELECT id, j, s FROM mf_all WHERE fold = 3),
+mf_rank AS MATERIALIZED (SELECT id, j, s, row_number() OVER (PARTITION BY id ORDER BY s DESC, j DESC) AS r FROM mf_new),
+scores_seen AS MATERIALIZED (SELECT id, j AS i, s, n, t FROM mf_seen0),
+scores_new AS MATERIALIZED (SELECT id, j AS i, s FROM mf_new),
+ranks_seen AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS i, s, n, t FROM mf_seen0),
+ranks_new AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS i, s FROM mf_new),
+ids_seen AS MATERIALIZED (SELECT DISTINCT id, n FROM mf_seen0)"""
+
+
+def _meta_class_sql(inputs: str) -> str:
+    p = f"mk_{inputs}"
+    if inputs == "content":
+        seen, new = "fl", "fl_all"
+        head = ""
+    else:
+        seen, new = f"{p}_seen", f"{p}_new"
+        cat = "'s' || i AS f, CAST(CAST(floor(round(s * 20, 6)) AS BIGINT) AS VARCHAR) AS v"
+        head = f""",
+{seen} AS (SELECT id, {cat} FROM {inputs}_seen),
+{new} AS (SELECT id, {cat} FROM {inputs}_new)"""
+    return head + f""",
+{p}_rows AS (SELECT 0 AS _m, id, n AS t FROM ids_seen),
+{p}_rfl AS (SELECT r._m, r.id, r.t, x.f, x.v FROM {p}_rows r JOIN {seen} x USING (id)),
+{p}_cls AS (SELECT DISTINCT _m, t FROM {p}_rows)""" + nb_sql(["_m"], f"{p}_rows", f"{p}_rfl", f"{p}_cls", new, "allrows", p) + f""",
+{p}_n AS (SELECT id, min({{'s': -round(s, 9), 't': t}}).t AS n FROM {p}_score GROUP BY id)"""
+
+
+def _meta_number_sql(p: str, inputs: str, target: str) -> str:
+    """target(id, v) regressed on the scores or ranks: {p}_v(id, v)."""
+    return _ols_sql(p, f"SELECT 0 AS k, id, i, s AS v, 1.0 AS w FROM {inputs}_seen UNION ALL SELECT 0, id, 6, v, 1.0 FROM {target}", 6) + f""",
+{p}_v AS (SELECT x.id, any_value(b.b) + sum(c.c * x.s) AS v FROM {inputs}_new x JOIN {p}_c c ON c.i = x.i JOIN {p}_b b ON b.k = c.k GROUP BY x.id)"""
+
+
+def _meta_sizes_sql() -> str:
+    out = _META + "".join(_meta_class_sql(x) for x in ("content", "scores", "ranks")) + """,
+sizes AS (SELECT id, CAST(n AS DOUBLE) AS v FROM ids_seen)""" + "".join(_meta_number_sql(f"mn_{x}", x, "sizes") for x in ("scores", "ranks"))
+    found = [f"SELECT '{x}' AS inputs, 'class' AS head, id, CAST(n AS INTEGER) AS n FROM mk_{x}_n" for x in ("content", "scores", "ranks")]
+    found += [f"SELECT '{x}', 'number', id, CAST(floor(round(v, 9) + 0.5) AS INTEGER) FROM mn_{x}_v" for x in ("scores", "ranks")]
+    return out + ",\nsaid AS (" + " UNION ALL ".join(found) + """)
+SELECT inputs, head, id, n, string_agg(CASE WHEN r <= n THEN '1' ELSE '0' END, '' ORDER BY j) AS bits
+FROM said JOIN mf_rank USING (id) GROUP BY inputs, head, id, n"""
+
+
+def _predicted_cut_sql() -> str:
+    out = _META + """,
+cut_mid AS (SELECT id, i, (s + coalesce(lag(s) OVER (PARTITION BY id ORDER BY i), s)) / 2 AS m FROM ranks_seen),
+cut_err AS (SELECT a.id, a.i, a.m, sum(CASE WHEN (b.t = 1 AND b.s <= a.m) OR (b.t = 0 AND b.s >= a.m) THEN 1 ELSE 0 END) AS e
+  FROM cut_mid a JOIN scores_seen b ON b.id = a.id GROUP BY a.id, a.i, a.m),
+cut_best AS (SELECT id, min({'e': e, 'i': i, 'm': m}) AS b FROM cut_err GROUP BY id),
+cuts AS MATERIALIZED (SELECT id, CASE WHEN b.e < 6 THEN b.m ELSE 0.0 END AS v FROM cut_best)"""
+    out += "".join(_meta_number_sql(f"mc_{x}", x, "cuts") for x in ("scores", "ranks"))
+    parts = [f"""SELECT '{x}' AS inputs, id, round(round(v, 9), 6) AS threshold, string_agg(CASE WHEN s >= round(v, 9) THEN '1' ELSE '0' END, '' ORDER BY j) AS bits
+FROM mc_{x}_v JOIN mf_new USING (id) GROUP BY id, v""" for x in ("scores", "ranks")]
+    return out + "\n" + " UNION ALL ".join(parts)
+
+
 # ---------------------------------------------------------------- 2.6 feature ranking and selection
 
 def _ig_sql(rows: str, keys: str) -> str:
@@ -1638,6 +1706,11 @@ SELECT CAST(CASE WHEN f.score >= r.score THEN f.i ELSE r.i END AS INTEGER) AS la
 FROM ts f JOIN ts r ON f.i = r.j AND f.j = r.i WHERE f.i < f.j""")
 
 
+sql("th_meta_sizes", _meta_sizes_sql())
+
+sql("th_predicted_cut", _predicted_cut_sql())
+
+
 # ---------------------------------------------------------------- 2.10 cross-validation of learners
 
 _CV_FEATURES = {"v_order": ("f_prio", "f_status", "f_lines", "f_qty", "f_price"), "v_userday": ("f_n", "f_hour", "f_val")}

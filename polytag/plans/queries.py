@@ -1207,6 +1207,44 @@ def q_th_label_measures(spark, d):
     return _per_measure(("hamming_loss", "micro_fmeasure", "macro_fmeasure"), one)
 
 
+def _meta_frame(spark, d):
+    from polytag.operators import meta as ME
+
+    m, train = order_split(spark, d)
+    return ME, m, ME.meta_frame(m, train, m.df, folds=3, seed=6)
+
+
+def _meta_sizes(spark, d, kinds):
+    ME, m, mf = _meta_frame(spark, d)
+    out = None
+    for inputs, head in kinds:
+        x = ME.predict_sizes(mf, m.df, inputs, head).select(F.lit(inputs).alias("inputs"), F.lit(head).alias("head"), "id", "n", LS.bits("bip").alias("bits"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("th_meta_sizes")
+def q_th_meta_sizes(spark, d):
+    """Label-set sizes from cross-fitted meta features: all three inputs, by class and by number."""
+    return _meta_sizes(spark, d, [("content", "class"), ("scores", "class"), ("ranks", "class"), ("scores", "number"), ("ranks", "number")])
+
+
+@query("th_meta_content_number")
+def q_th_meta_content_number(spark, d):
+    return _meta_sizes(spark, d, [("content", "number")])
+
+
+@query("th_predicted_cut")
+def q_th_predicted_cut(spark, d):
+    """Each row's threshold predicted from its scores, and the labels that reach it."""
+    ME, m, mf = _meta_frame(spark, d)
+    out = None
+    for inputs in ("scores", "ranks"):
+        x = ME.predict_thresholds(mf, m.df, inputs).select(F.lit(inputs).alias("inputs"), "id", "threshold", LS.bits("bip").alias("bits"))
+        out = x if out is None else out.unionByName(x)
+    return r6(out)
+
+
 @query("ev_cross_validate")
 def q_ev_cross_validate(spark, d):
     """Five-fold cross-validation of binary relevance on the order view: mean and sd of every measure."""
