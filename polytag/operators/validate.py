@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from polytag.frame import MLFrame
 from polytag.functions import labelsets as LS
+from polytag.operators import curves as CU
 from polytag.operators import evaluate as EV
 from polytag.operators import learners as LN
 from polytag.operators import nb as NB
@@ -102,6 +103,37 @@ def cross_validate(mlf: MLFrame, learner: str = "br", folds: int = 5, seed: int
     return m.groupBy("measure").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
 
 
+#: scores are compared to this many parts of the unit in curves over folds
+CURVE_BINS = 1_000_000
+
+
+def _scored_folds(mlf: MLFrame, learner: str, folds: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold predictions and their score counts per fold and label, both written once."""
+    pred, _ = NB.materialize(out_of_fold(mlf, learner, folds, seed))
+    return pred, NB.materialize(CU.score_counts(pred, ["fold"], CURVE_BINS))[0]
+
+
+def _over_folds(m: DataFrame, *keys: str) -> DataFrame:
+    return m.groupBy(*keys, "measure").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+
+
+def cross_validate_all(mlf: MLFrame, learner: str = "br", folds: int = 5, seed: int = 1, levels: int = 10) -> DataFrame:
+    """(measure, mean, sd) over the folds: row and label measures of the sets, and the curve measures of the scores."""
+    pred, counts = _scored_folds(mlf, learner, folds, seed)
+    return _over_folds(fold_measures(pred).unionByName(CU.curve_measures(counts, ["fold"], levels)))
+
+
+def cross_validate_curves(mlf: MLFrame, learner: str = "br", folds: int = 5, seed: int = 1, levels: int = 10) -> DataFrame:
+    """(measure, mean, sd) of the curve measures alone."""
+    return _over_folds(CU.curve_measures(_scored_folds(mlf, learner, folds, seed)[1], ["fold"], levels))
+
+
+def cross_validate_labels(mlf: MLFrame, learner: str = "br", folds: int = 5, seed: int = 1, levels: int = 10) -> DataFrame:
+    """(j, measure, mean, sd) of every label's own measures; a fold in which a measure is undefined is left out of its mean."""
+    pred, counts = _scored_folds(mlf, learner, folds, seed)
+    return _over_folds(CU.label_measures(pred, counts, ["fold"], levels), "j")
+
+
 def compare(data: dict[str, MLFrame], learners: tuple[str, ...] = LEARNERS, fold_counts: tuple[int, ...] = (5,), seed: int = 1) -> DataFrame:
     """(data, learner, folds, measure, mean, sd): the comparison table of learners over data sets and fold counts."""
     out = None

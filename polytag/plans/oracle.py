@@ -1885,3 +1885,46 @@ f{i} AS ({" UNION ALL ".join(f"SELECT fold, j, cut FROM {at[j]}" for j in range(
 sql("th_one_measures", _th_one_sql(("hamming_loss", "micro_fmeasure", "macro_fmeasure", "ex_fmeasure")))
 sql("th_rank_measures", _th_rank_sql(("hamming_loss", "micro_fmeasure", "macro_fmeasure", "ex_fmeasure")))
 sql("th_label_measures", _th_label_sql(("hamming_loss", "micro_fmeasure", "macro_fmeasure"), 3))
+
+
+# ---------------------------------------------------------------- 2.10 curves over folds, 2.12 running curves
+
+_CV_CURVES = _cv_scores("v_order", "br", 5, 6) + """,
+cu_cell AS MATERIALIZED (SELECT lab.own AS fold, lab.j, lab.t, out.b, CAST(round(out.s * 1000000) AS BIGINT) AS c
+  FROM lab JOIN out ON out.id = lab.id AND out.fold = lab.own AND out.j = lab.j),
+cu_cnt AS MATERIALIZED (SELECT fold, j, c, CAST(sum(t) AS DOUBLE) AS pos, CAST(sum(1 - t) AS DOUBLE) AS neg FROM cu_cell GROUP BY fold, j, c
+  UNION ALL SELECT fold, -1, c, CAST(sum(t) AS DOUBLE), CAST(sum(1 - t) AS DOUBLE) FROM cu_cell GROUP BY fold, c),
+cu_cum AS MATERIALIZED (
+  SELECT *, sum(pos) OVER w AS hits, sum(neg) OVER w AS miss, sum(pos) OVER (PARTITION BY fold, j) AS P, sum(neg) OVER (PARTITION BY fold, j) AS N
+  FROM cu_cnt WINDOW w AS (PARTITION BY fold, j ORDER BY c DESC)),
+cu_lvl AS (SELECT fold, j, i, max(hits / (hits + miss)) AS best FROM cu_cum CROSS JOIN range(10) r(i) WHERE hits * 9 >= i * P AND P > 0 GROUP BY fold, j, i),
+cu_iap AS (SELECT fold, j, sum(best) / 10 AS iap FROM cu_lvl GROUP BY fold, j),
+cu_lab AS MATERIALIZED (SELECT a.*, iap FROM (
+  SELECT fold, j, CASE WHEN any_value(P) > 0 THEN sum(pos * hits / (hits + miss)) / any_value(P) END AS ap,
+    CASE WHEN any_value(P) > 0 AND any_value(N) > 0 THEN sum(pos * (N - miss + neg / 2)) / (any_value(P) * any_value(N)) END AS auc
+  FROM cu_cum GROUP BY fold, j) a LEFT JOIN cu_iap USING (fold, j))"""
+
+
+def _geo_sql(c: str) -> str:
+    return f"CASE WHEN count(*) > count({c}) THEN CAST('NaN' AS DOUBLE) WHEN min({c}) = 0 THEN 0.0 ELSE exp(avg(CASE WHEN {c} > 0 THEN ln({c}) END)) END"
+
+
+sql("ev_cross_validate_curves", _CV_CURVES + f""",
+cu_m AS (SELECT fold, avg(ap) AS map, {_geo_sql('ap')} AS gmap, avg(iap) AS miap, {_geo_sql('iap')} AS gmiap, avg(auc) AS macro_auc FROM cu_lab WHERE j >= 0 GROUP BY fold),
+cu_u AS (SELECT cu_m.*, cu_lab.auc AS micro_auc FROM cu_m JOIN cu_lab USING (fold) WHERE j = -1),
+cu_v AS (UNPIVOT cu_u ON map, gmap, miap, gmiap, macro_auc, micro_auc INTO NAME measure VALUE value)
+SELECT measure, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM cu_v GROUP BY measure""")
+
+sql("ev_cross_validate_labels", _CV_CURVES + """,
+cu_n AS (SELECT fold, j, CAST(count(*) FILTER (WHERE t = 1 AND b = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE t = 0 AND b = 1) AS DOUBLE) AS fp,
+  CAST(count(*) FILTER (WHERE t = 1 AND b = 0) AS DOUBLE) AS fn, CAST(count(*) FILTER (WHERE t = 0 AND b = 0) AS DOUBLE) AS tn FROM cu_cell GROUP BY fold, j),
+cu_s AS (SELECT fold, j,
+  CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision,
+  CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall,
+  CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE (2 * tp) / (2 * tp + fn + fp) END AS fmeasure,
+  CASE WHEN tn + fp + fn = 0 THEN 1.0 WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS specificity FROM cu_n),
+cu_v AS (SELECT * FROM (UNPIVOT cu_s ON precision, recall, fmeasure, specificity INTO NAME measure VALUE value)
+  UNION ALL SELECT * FROM (UNPIVOT (SELECT fold, j, ap, iap, auc FROM cu_lab WHERE j >= 0) ON ap, iap, auc INTO NAME measure VALUE value))
+SELECT CAST(j AS INTEGER) AS j, measure, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM cu_v GROUP BY j, measure""")
+
+sql("st_running_auc", _EV_UD + "\nSELECT CAST(j AS INTEGER) AS j, round(auc, 6) AS auc FROM lauc")

@@ -1251,6 +1251,18 @@ def q_ev_cross_validate(spark, d):
     return r6(VA.cross_validate(V.v_order(spark, d), "br", folds=5, seed=6))
 
 
+@query("ev_cross_validate_curves")
+def q_ev_cross_validate_curves(spark, d):
+    """Curve measures of binary relevance over five folds: mean and sd."""
+    return r6(VA.cross_validate_curves(V.v_order(spark, d), "br", folds=5, seed=6))
+
+
+@query("ev_cross_validate_labels")
+def q_ev_cross_validate_labels(spark, d):
+    """Every label's own set and curve measures over five folds: mean and sd."""
+    return r6(VA.cross_validate_labels(V.v_order(spark, d), "br", folds=5, seed=6))
+
+
 @query("ev_compare")
 def q_ev_compare(spark, d):
     """Binary relevance, label powerset and label priors on two data sets, five folds each."""
@@ -1352,10 +1364,27 @@ def q_st_update_counts(spark, d):
     rows = m.df.select("id", "y")
     STM.stage_files(rows, base + "/in", parts=3)
 
-    def counts(b):
-        return b.select(F.posexplode("y").alias("j", "t")).groupBy(F.col("j").cast("int").alias("j"), "t").agg(F.count(F.lit(1)).alias("n"))
+    def cells(x):
+        return x.select(F.posexplode("y").alias("j", "t")).select(F.col("j").cast("int").alias("j"), "t", F.lit(1).alias("n"))
+
+    return STM.count_stream(spark, base + "/in", rows.schema, cells, base + "/out", ["j", "t"], compact_every=2)
+
+
+@query("st_running_auc")
+def q_st_running_auc(spark, d):
+    """ROC area per label from score counts that a stream keeps current over three micro-batches."""
+    from polytag.operators import curves as CV
+
+    base = IO.scratch(spark, "st-auc")
+    rows = scored(spark, d).select("id", "y", "conf")
+    STM.stage_files(rows, base + "/in", parts=3)
+
+    def cells(x):
+        t = F.col("t").cast("double")
+        return CV.score_cells(x).select("j", "c", t.alias("pos"), (1.0 - t).alias("neg"))
 
-    return STM.count_stream(spark, base + "/in", rows.schema, counts, base + "/out", ["j", "t"])
+    counts = STM.count_stream(spark, base + "/in", rows.schema, cells, base + "/out", ["j", "c"], ("pos", "neg"), compact_every=2)
+    return r6(CV.label_curves(counts).select("j", "auc"))
 
 
 @query("st_windowed_measures")

@@ -2,8 +2,8 @@
 
 Sources are Parquet directories read with ``readStream``; sinks are written by
 ``foreachBatch`` into per-batch directories named by the batch id (an
-overwrite per batch id makes a replayed batch idempotent), or by the file sink
-in append mode for watermarked window aggregates.  Every query keeps its
+overwrite per batch id makes a replayed batch idempotent).  Sums and windows
+are the state of streaming aggregates in update mode.  Every query keeps its
 checkpoint under the shared checkpoint folder, so a restart resumes exactly
 where it stopped.  Triggers are ``availableNow``: all files present are
 processed, in as many micro-batches as ``maxFilesPerTrigger`` allows.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from polytag.session import scratch_path
 
@@ -30,8 +31,9 @@ def stage_files(df: DataFrame, path: str, parts: int = 3, key: str = "id", part_
     return path
 
 
-def _run(writer, name: str, spark: SparkSession) -> None:
-    q = writer.option("checkpointLocation", scratch_path(spark, f"ckpt-{name}")).trigger(availableNow=True).start()
+def _run(writer, name: str, spark: SparkSession, checkpoint: str | None = None) -> None:
+    where = checkpoint or scratch_path(spark, f"ckpt-{name}")
+    q = writer.option("checkpointLocation", where).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -47,16 +49,43 @@ def score_stream(spark: SparkSession, src: str, schema, score_fn, out: str, file
     return spark.read.parquet(out)
 
 
-def count_stream(spark: SparkSession, src: str, schema, count_fn, out: str, keys: list[str], files_per_batch: int = 1) -> DataFrame:
-    """Keep counts current: each micro-batch's partial counts (``count_fn(batch)`` -> keys + n) land
-    in the batch's own directory; the model is the sum over batches (idempotent under replay)."""
+def count_stream(spark: SparkSession, src: str, schema, cells_fn, out: str, keys: list[str], values: tuple[str, ...] = ("n",),
+                 files_per_batch: int = 1, checkpoint: str | None = None, compact_every: int = 50) -> DataFrame:
+    """Keep sums current: ``cells_fn(stream)`` is a projection to ``keys`` and the numbers ``values``, whose sums per key are the state of a
+    streaming aggregate (one state row per distinct key).  A micro-batch writes the new totals of the keys it changed; every
+    ``compact_every`` batches the totals of all keys become a snapshot, and later reads (``current_counts``) take the
+    newest snapshot and the batches after it, nothing older.
+
+    With the same ``checkpoint`` (a folder that outlives the run) and ``out``, a later call goes on after the last finished batch.  A batch
+    that is replayed after a failure starts from the state before it and overwrites its own folder, so no row counts twice.
+    Returns the current totals (keys..., values...); a null key is a key; without any row the table is empty."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(src)
+    totals = cells_fn(stream).groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values])
+    empty = spark.createDataFrame([], totals.schema)
+    empty.write.mode("overwrite").parquet(f"{out}/changes/batch=-1")
+    empty.write.mode("overwrite").parquet(f"{out}/snapshots/batch=-1")
 
     def sink(bdf: DataFrame, bid: int) -> None:
-        count_fn(bdf).write.mode("overwrite").parquet(f"{out}/batch={bid}")
-
-    _run(stream.writeStream.foreachBatch(sink), "counts", spark)
-    return spark.read.parquet(out).groupBy(*keys).agg(F.sum("n").alias("n"))
+        bdf.write.mode("overwrite").parquet(f"{out}/changes/batch={bid}")
+        if (bid + 1) % compact_every == 0:
+            current_counts(spark, out, totals.schema, keys, values, bid).write.mode("overwrite").parquet(f"{out}/snapshots/batch={bid}")
+
+    _run(totals.writeStream.outputMode("update").foreachBatch(sink), "counts", spark, checkpoint)
+    return current_counts(spark, out, totals.schema, keys, values)
+
+
+def current_counts(spark: SparkSession, out: str, schema, keys: list[str], values: tuple[str, ...] = ("n",), upto: int | None = None) -> DataFrame:
+    """The totals that ``count_stream`` keeps under ``out`` (as of batch ``upto``): each key's latest ones.  Only the newest snapshot older than
+    ``upto`` and the changes after it are read; the rest is pruned by folder name."""
+    def table(name: str) -> DataFrame:
+        x = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{out}/{name}")
+        return x if upto is None else x.filter(F.col("batch") < upto if name == "snapshots" else F.col("batch") <= upto)
+
+    newest = table("snapshots").agg(F.max("batch").alias("b")).first()["b"]
+    newest = -1 if newest is None else newest
+    x = table("snapshots").filter(F.col("batch") == newest).unionByName(table("changes").filter(F.col("batch") > newest))
+    last = x.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return last.select(*keys, *[F.col("_v")[v].alias(v) for v in values])
 
 
 def windowed_measures(spark: SparkSession, src: str, schema, out: str, window: str = "7 days", watermark: str = "1 day",
