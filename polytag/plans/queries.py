@@ -1245,6 +1245,15 @@ def q_th_predicted_cut(spark, d):
     return r6(out)
 
 
+@query("ln_logreg")
+def q_ln_logreg(spark, d):
+    """One logistic model per label of the orders, all fitted by the same passes."""
+    from polytag.operators.logreg import LogisticBase
+
+    m, train = order_split(spark, d)
+    return r6(LN.predict_br(LN.fit_br(m, train, base=LogisticBase()), m.df))
+
+
 @query("ev_cross_validate")
 def q_ev_cross_validate(spark, d):
     """Five-fold cross-validation of binary relevance on the order view: mean and sd of every measure."""
