@@ -1928,3 +1928,44 @@ cu_v AS (SELECT * FROM (UNPIVOT cu_s ON precision, recall, fmeasure, specificity
 SELECT CAST(j AS INTEGER) AS j, measure, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM cu_v GROUP BY j, measure""")
 
 sql("st_running_auc", _EV_UD + "\nSELECT CAST(j AS INTEGER) AS j, round(auc, 6) AS auc FROM lauc")
+
+
+# ---------------------------------------------------------------- 2.10 sweeps of the neighbour learners
+
+def _sweep_sql() -> str:
+    hit = lambda t, b: f"CAST(count(*) FILTER (WHERE t = {t} AND b = {b}) AS DOUBLE)"
+    f1 = "CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE 2 * tp / (2 * tp + fn + fp) END"
+    out = _vec_ctes("true").replace("ne AS (", "ne AS MATERIALIZED (") + f""",
+fd AS MATERIALIZED (SELECT id, y, CAST({h_sql('id', 6)} % 3 AS INTEGER) AS own FROM v_vec),
+dist AS MATERIALIZED (SELECT a.id AS qid, b.id AS rid, sum((a.z - b.z) * (a.z - b.z)) AS d2 FROM ne a JOIN ne b ON a.i = b.i AND a.id <> b.id GROUP BY a.id, b.id),
+nb AS MATERIALIZED (SELECT * FROM (
+  SELECT CAST(f.fold AS INTEGER) AS fold, qid, rid, row_number() OVER (PARTITION BY f.fold, qid ORDER BY d2, rid) AS rank
+  FROM dist JOIN fd ON fd.id = rid CROSS JOIN range(3) f(fold) WHERE fd.own <> f.fold) WHERE rank <= 12),
+lab AS MATERIALIZED (SELECT id, own, CAST(g.j AS INTEGER) AS j, y[g.j + 1] AS t FROM fd CROSS JOIN range(4) g(j)),
+cnt AS MATERIALIZED (SELECT nb.fold, CAST(k.k AS INTEGER) AS k, nb.qid AS id, l.j, sum(l.t) AS d, count(*) AS have
+  FROM nb JOIN lab l ON l.id = nb.rid CROSS JOIN range(8, 13) k(k) WHERE nb.rank <= k.k GROUP BY nb.fold, k.k, nb.qid, l.j),
+cell AS MATERIALIZED (SELECT cnt.*, lab.own, lab.t FROM cnt JOIN lab USING (id, j)),
+h AS (SELECT fold, k, j, d, sum(t) AS c1, sum(1 - t) AS c0 FROM cell WHERE fold <> own GROUP BY fold, k, j, d),
+hs AS (SELECT fold, k, j, sum(c1) AS a1, sum(c0) AS a0 FROM h GROUP BY fold, k, j),
+pri AS (SELECT CAST(f.fold AS INTEGER) AS fold, j, (1.0 + sum(t)) / (2.0 + count(*)) AS p, CAST(count(*) AS DOUBLE) AS n FROM lab CROSS JOIN range(3) f(fold) WHERE own <> f.fold GROUP BY f.fold, j),
+pp AS (SELECT c.*, n, p * (1.0 + coalesce(c1, 0)) / (k + 1.0 + a1) AS pin, (1 - p) * (1.0 + coalesce(c0, 0)) / (k + 1.0 + a0) AS pout
+  FROM cell c JOIN hs USING (fold, k, j) JOIN pri USING (fold, j) LEFT JOIN h USING (fold, k, j, d) WHERE c.fold = c.own),
+pred AS MATERIALIZED (SELECT 'mlknn' AS learner, fold, k, id, j, t, pin / (pin + pout) AS s, CAST(pin >= pout AS INTEGER) AS b FROM pp
+  UNION ALL SELECT 'brknn', fold, k, id, j, t, (1.0 / n + d) / (4.0 / n + have), CAST((1.0 / n + d) / (4.0 / n + have) >= 0.5 AS INTEGER) FROM pp),
+cj AS (SELECT learner, k, fold, j, {hit(1, 1)} AS tp, {hit(0, 1)} AS fp, {hit(1, 0)} AS fn, {hit(0, 0)} AS tn FROM pred GROUP BY learner, k, fold, j),
+cp AS (SELECT learner, k, fold, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn FROM cj GROUP BY learner, k, fold),
+sc AS (SELECT learner, k, fold, j, CAST(round(s * 1000000) AS BIGINT) AS c, t FROM pred UNION ALL SELECT learner, k, fold, -1, CAST(round(s * 1000000) AS BIGINT), t FROM pred),
+ct AS (SELECT learner, k, fold, j, c, CAST(sum(t) AS DOUBLE) AS pos, CAST(sum(1 - t) AS DOUBLE) AS neg FROM sc GROUP BY learner, k, fold, j, c),
+cm AS (SELECT *, sum(neg) OVER (PARTITION BY learner, k, fold, j ORDER BY c) AS below FROM ct),
+au AS (SELECT learner, k, fold, j, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below - neg / 2)) / (sum(pos) * sum(neg)) END AS auc FROM cm GROUP BY learner, k, fold, j),
+v AS (SELECT learner, k, fold, 'hamming_loss' AS measure, (fp + fn) / (tp + fp + fn + tn) AS value FROM cp
+  UNION ALL SELECT learner, k, fold, 'micro_fmeasure', {f1} FROM cp
+  UNION ALL SELECT learner, k, fold, 'macro_fmeasure', avg({f1}) FROM cj GROUP BY learner, k, fold
+  UNION ALL SELECT learner, k, fold, 'subset_accuracy', avg(ok) FROM (SELECT learner, k, fold, id, CAST(bool_and(t = b) AS INTEGER) AS ok FROM pred GROUP BY learner, k, fold, id) GROUP BY learner, k, fold
+  UNION ALL SELECT learner, k, fold, 'macro_auc', avg(auc) FROM au WHERE j >= 0 GROUP BY learner, k, fold
+  UNION ALL SELECT learner, k, fold, 'micro_auc', auc FROM au WHERE j = -1)
+SELECT learner, k, measure, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM v GROUP BY learner, k, measure"""
+    return out
+
+
+sql("ev_sweep_neighbours", _sweep_sql())

@@ -1272,6 +1272,16 @@ def q_ev_cross_validate_labels(spark, d):
     return r6(VA.cross_validate_labels(V.v_order(spark, d), "br", folds=5, seed=6))
 
 
+@query("ev_sweep_neighbours")
+def q_ev_sweep_neighbours(spark, d):
+    """Both neighbour learners for k = 8, ..., 12 over three folds from shared searches: mean and sd of the set and area measures."""
+    from polytag.operators import sweep as SW
+
+    m = V.v_vec(spark, d)
+    out = SW.sweep_measures(SW.neighbour_sweep(m, "embedding", (8, 9, 10, 11, 12), folds=3, seed=6))
+    return r6(out.filter(F.col("measure").isin("hamming_loss", "subset_accuracy", "micro_fmeasure", "macro_fmeasure", "macro_auc", "micro_auc")))
+
+
 @query("ev_compare")
 def q_ev_compare(spark, d):
     """Binary relevance, label powerset and label priors on two data sets, five folds each."""
