@@ -19,7 +19,7 @@ gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -80,6 +80,31 @@ def as_measure(measure: str | Measure) -> Measure:
     return measure if isinstance(measure, Measure) else MEASURES[measure]
 
 
+def measured(pred: DataFrame, measures: Sequence[str | Measure], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., measure, value) of any measures of the predicted sets (``bip``) of complete rows: one scan of the rows serves all measures
+    taken per row, one all others.  Without rows, no keys and no values."""
+    found = [as_measure(m) for m in measures]
+    x = EV.complete_rows(pred)
+
+    def rows(df: DataFrame, of: list[Measure], at: Callable[[Measure], Column]) -> DataFrame:
+        g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[at(m).cast("double").alias(f"m{i}") for i, m in enumerate(of)]).filter("_n > 0")
+        return g.select(*keys, F.explode(F.array(*[F.struct(F.lit(m.name).alias("measure"), F.col(f"m{i}").alias("value")) for i, m in enumerate(of)])).alias("m")).select(*keys, "m.*")
+
+    parts = []
+    if per := [m for m in found if m.level == "row"]:
+        counts = _row_counts("y", lambda b, j: b == 1, "bip")
+        parts.append(rows(x.select(*keys, *[c.alias(n) for c, n in zip(counts, COUNTS, strict=True)]), per, lambda m: F.avg(m.of(*COUNTS))))
+    if per := [m for m in found if m.level != "row"]:
+        cells = x.select(*keys, F.posexplode(F.arrays_zip("y", "bip")).alias("j", "z"))
+        hit = lambda t, b: F.sum(((F.col("z.y") == t) & (F.col("z.bip") == b)).cast("double"))
+        n = cells.groupBy(*keys, "j").agg(*[hit(t, b).alias(c) for (t, b), c in zip(((1, 1), (0, 1), (1, 0), (0, 0)), COUNTS, strict=True)])
+        parts.append(rows(n, per, lambda m: F.avg(m.of(*COUNTS)) if m.level == "label" else m.of(*[F.sum(c) for c in COUNTS])))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # ------------------------------------------------------------------ count tables
 
 

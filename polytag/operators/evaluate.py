@@ -294,11 +294,17 @@ def regression_measures(df: DataFrame, target: str = "target", pred: str = "pred
     )
 
 
-def evaluate(df: DataFrame, levels: int = 10) -> DataFrame:
-    """Long table (measure, value) of every measure the prediction columns allow.  The prediction
+def evaluate(df: DataFrame, levels: int = 10, measures=()) -> DataFrame:
+    """Long table (measure, value) of every measure the prediction columns allow, and of the user's own ``measures``
+    (``cuts.Measure``: an expression over four counts and the level these are taken at).  The prediction
     columns are checkpointed once (the measures read them about six times; re-deriving them would
     re-run the whole scoring pipeline each time)."""
     from polytag.operators.nb import materialize
 
     df, _ = materialize(df.select(*[c for c in ("id", "y", "conf", "bip", "rank") if c in df.columns]))
-    return melt(example_measures(df)).unionByName(micro_macro(label_confusion(df))).unionByName(curve_measures(df, levels))
+    out = melt(example_measures(df)).unionByName(micro_macro(label_confusion(df))).unionByName(curve_measures(df, levels))
+    if measures:
+        from polytag.operators.cuts import measured
+
+        out = out.unionByName(measured(df, measures))
+    return out

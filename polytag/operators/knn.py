@@ -18,6 +18,7 @@ from the reference set; a constant dimension contributes 0).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ from polytag.operators.cells import cell_knn
 
 BLOCK_ROWS = 4096
 BLOCKED_ROWS = 16 * BLOCK_ROWS
+#: distances (n x m) of n query rows (n x d) to m reference rows (m x d)
+Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 CHUNK_CELLS = 4_000_000  # query-chunk x ref-block x dims cells per numpy step
 
 
@@ -51,13 +54,16 @@ def _normalise(m: np.ndarray, mins: np.ndarray, rngs: np.ndarray) -> np.ndarray:
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", id_col: str = "id", exclude_self: bool = True,
-        block_rows: int = BLOCK_ROWS, ranges=None, method: str | None = None, probes: int | None = None) -> DataFrame:
+        block_rows: int = BLOCK_ROWS, ranges=None, method: str | None = None, probes: int | None = None, distance: Distance | None = None) -> DataFrame:
     """(qid, rank, rid, dist): the k nearest reference rows of every query row; ``method`` "blocks" or "cells" (default by size).
 
-    ``probes`` gives the approximate form: that many cells per query."""
+    ``probes`` gives the approximate form: that many cells per query.  ``distance`` replaces the Euclidean distance on the
+    normalised vectors by any other; cells need the triangle bounds of the former, so such a search compares all blocks."""
+    if distance is not None and (method == "cells" or probes):
+        raise ValueError("cells search by Euclidean distance only")
     mins, rngs = ranges if ranges is not None else vector_ranges(ref, vec)
     nr = ref.count()
-    if method == "cells" or probes or (method is None and nr > BLOCKED_ROWS):
+    if method == "cells" or probes or (method is None and distance is None and nr > BLOCKED_ROWS):
         return cell_knn(query, ref, k, vec, id_col, exclude_self, (mins, rngs), block_rows, CHUNK_CELLS, probes=probes)
     nq = query.count()
     Q, B = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
@@ -81,8 +87,11 @@ def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", id_col: str
         step = max(1, CHUNK_CELLS // max(1, len(rids) * A.shape[1]))
         oq, orr, od = [], [], []
         for s in range(0, len(qids), step):
-            diff = A[s:s + step, None, :] - R[None, :, :]
-            d2 = np.einsum("qrd,qrd->qr", diff, diff)
+            if distance is None:
+                diff = A[s:s + step, None, :] - R[None, :, :]
+                d2 = np.einsum("qrd,qrd->qr", diff, diff)
+            else:
+                d2 = np.asarray(distance(A[s:s + step], R), dtype=np.float64)
             if exclude_self:
                 d2 = np.where(qids[s:s + step, None] == rids[None, :], np.inf, d2)
             for i in range(d2.shape[0]):
@@ -90,7 +99,7 @@ def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", id_col: str
                 order = order[np.isfinite(d2[i][order])]
                 oq.append(np.full(len(order), qids[s + i], dtype=np.int64))
                 orr.append(rids[order])
-                od.append(np.sqrt(d2[i][order]))
+                od.append(np.sqrt(d2[i][order]) if distance is None else d2[i][order])
         return pd.DataFrame({"qid": np.concatenate(oq), "rid": np.concatenate(orr), "dist": np.concatenate(od)})
 
     cand = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(block, "qid long, rid long, dist double")
@@ -107,13 +116,13 @@ def neighbour_label_counts(nb: DataFrame, labels: DataFrame, L: int, y: str = "y
 # ------------------------------------------------------------------ ML-kNN
 
 
-def fit_mlknn(train: DataFrame, L: int, k: int = 10, s: float = 1.0, vec: str = "vec", ranges=None) -> dict:
+def fit_mlknn(train: DataFrame, L: int, k: int = 10, s: float = 1.0, vec: str = "vec", ranges=None, distance: Distance | None = None) -> dict:
     """Priors and neighbour-count likelihoods per label (label-sized tables), self excluded."""
     ranges = ranges or vector_ranges(train, vec)
     n = train.count()
     c = [int(x) for x in train.agg(F.array(*[F.sum(F.coalesce(F.col("y")[j], F.lit(0))) for j in range(L)]).alias("c")).first()["c"]]
     prior = [(s + c[j]) / (s * 2 + n) for j in range(L)]
-    nb = knn(train, train, k, vec, exclude_self=True, ranges=ranges)
+    nb = knn(train, train, k, vec, exclude_self=True, ranges=ranges, distance=distance)
     cnt = neighbour_label_counts(nb, train, L)
     x = cnt.join(train.select(F.col("id").alias("qid"), "y"), "qid").select(F.posexplode(F.arrays_zip("cnt", "y")).alias("j", "z"))
     h = x.groupBy("j", F.col("z.cnt").alias("d"), F.col("z.y").alias("t")).count().collect()
@@ -123,14 +132,14 @@ def fit_mlknn(train: DataFrame, L: int, k: int = 10, s: float = 1.0, vec: str =
         (C1 if r["t"] == 1 else C0)[r["j"]][r["d"]] += r["count"]
     P1 = [[(s + C1[j][d]) / (s * (k + 1) + sum(C1[j])) for d in range(k + 1)] for j in range(L)]
     P0 = [[(s + C0[j][d]) / (s * (k + 1) + sum(C0[j])) for d in range(k + 1)] for j in range(L)]
-    return {"prior": prior, "P1": P1, "P0": P0, "k": k, "L": L, "ranges": ranges}
+    return {"prior": prior, "P1": P1, "P0": P0, "k": k, "L": L, "ranges": ranges, "distance": distance}
 
 
 def predict_mlknn(model: dict, train: DataFrame, df: DataFrame, vec: str = "vec") -> DataFrame:
     """(id, j, conf, bip): conf = in / (in + out); positive iff in >= out (the reference breaks an
     exact tie at random)."""
     L, k = model["L"], model["k"]
-    nb = knn(df, train, k, vec, exclude_self=False, ranges=model["ranges"])
+    nb = knn(df, train, k, vec, exclude_self=False, ranges=model["ranges"], distance=model["distance"])
     cnt = neighbour_label_counts(nb, train, L)
     pr = F.array(*[F.lit(p) for p in model["prior"]])
     p1 = F.array(*[F.array(*[F.lit(v) for v in row]) for row in model["P1"]])
@@ -146,12 +155,12 @@ def predict_mlknn(model: dict, train: DataFrame, df: DataFrame, vec: str = "vec"
 
 
 def predict_brknn(train: DataFrame, df: DataFrame, L: int, k: int = 10, ext: str = "none", vec: str = "vec",
-                  seed: int = 3, ranges=None) -> DataFrame:
+                  seed: int = 3, ranges=None, distance: Distance | None = None) -> DataFrame:
     """(id, conf ARRAY, bip ARRAY): conf_j = (1/n + votes_j) / (L/n + k); 'none' thresholds at 0.5,
     'a' adds the top label when none passes, 'b' keeps the round(mean labels of the neighbours) top
     labels (ties at the cut broken by a seeded hash)."""
     n = train.count()
-    nb = knn(df, train, k, vec, exclude_self=False, ranges=ranges)
+    nb = knn(df, train, k, vec, exclude_self=False, ranges=ranges, distance=distance)
     cnt = neighbour_label_counts(nb, train, L)
     kk = nb.groupBy("qid").agg(F.count(F.lit(1)).alias("kk"))
     x = cnt.join(kk, "qid")
@@ -172,12 +181,12 @@ def predict_brknn(train: DataFrame, df: DataFrame, L: int, k: int = 10, ext: str
     return x.select("id", "conf", b.alias("bip"))
 
 
-def select_k(train: DataFrame, L: int, kmax: int = 10, vec: str = "vec", ranges=None) -> DataFrame:
+def select_k(train: DataFrame, L: int, kmax: int = 10, vec: str = "vec", ranges=None, distance: Distance | None = None) -> DataFrame:
     """(k, hamming_loss, best): leave-one-out Hamming loss of BR-kNN for k = 1..kmax from one
     neighbour search (running label counts over the neighbour rank); the lowest loss wins, the
     smaller k on ties."""
     n = train.count()
-    nb = knn(train, train, kmax, vec, exclude_self=True, ranges=ranges)
+    nb = knn(train, train, kmax, vec, exclude_self=True, ranges=ranges, distance=distance)
     x = nb.join(train.select(F.col("id").alias("rid"), F.col("y").alias("ny")), "rid")
     w = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     x = x.select("qid", "rank", *[F.sum(F.coalesce(F.get("ny", F.lit(j)), F.lit(0))).over(w).alias(f"c{j}") for j in range(L)])

@@ -7,7 +7,7 @@ predictions are then counts keyed by (fold, k).  Distances are scaled by the ran
 Learners: ``mlknn`` (label priors and neighbour-count likelihoods with ``s`` added) and ``brknn`` (vote shares, cut at 1/2).
 
 Defined cases: a row without a vector or with a missing label takes no part; with fewer rows than k a row has fewer neighbours, and
-votes among those it has; an empty table gives an empty one.
+votes among those it has; without training rows scores are 1/2 (``mlknn``) or 1 over the labels (``brknn``); an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -45,13 +45,17 @@ def fold_neighbours(rows: DataFrame, vec: str, kmax: int, folds: int) -> DataFra
     return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kmax).select("fold", "qid", "rank", "rid")
 
 
-def _votes(nb: DataFrame, rows: DataFrame, L: int, ks: Sequence[int]) -> DataFrame:
+def _votes(nb: DataFrame, rows: DataFrame, L: int, ks: Sequence[int], folds: int) -> DataFrame:
     """(fold, k, id, own, y, cnt, have): per row and k the neighbours with each label, and how many neighbours there are."""
     prefixes = F.explode(F.filter(F.array(*[F.lit(int(k)) for k in ks]), lambda k: k >= F.col("rank"))).alias("k")
     x = nb.join(rows.select(F.col("id").alias("rid"), F.col("y").alias("ny")), "rid").select("fold", "qid", "ny", prefixes)
     cnt = F.array(*[F.sum(F.get("ny", F.lit(j))) for j in range(L)])
     g = x.groupBy("fold", "k", "qid").agg(cnt.alias("cnt"), F.count(F.lit(1)).alias("have"))
-    return g.join(rows.select(F.col("id").alias("qid"), F.col("fold").alias("own"), "y"), "qid").withColumnRenamed("qid", "id")
+    every = rows.select(F.col("id").alias("qid"), F.col("fold").alias("own"), "y").select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")).select("*", F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k"))
+    none = F.array(*[F.lit(0).cast("long")] * L)
+    x = every.join(g, ["fold", "k", "qid"], "left")  # a row may have no neighbour outside a fold
+    return x.select("fold", "k", F.col("qid").alias("id"), "own", "y", F.coalesce("cnt", none).alias("cnt"), F.coalesce("have", F.lit(0)).alias("have"))
 
 
 def _arrays(x: DataFrame, learner: str) -> DataFrame:
@@ -71,12 +75,13 @@ def _mlknn(votes: DataFrame, rows: DataFrame, L: int, folds: int, s: float) -> D
     prior = seen.select("n", "c", other).select("n", "f", F.posexplode("c").alias("j", "c"))
     prior = prior.groupBy(F.col("f").alias("fold"), "j").agg(((F.lit(s) + F.sum("c")) / (F.lit(2 * s) + F.sum("n"))).alias("prior"))
     x = cells.filter("fold = own").join(NB.maybe_broadcast(h, n), ["fold", "k", "j", "d"], "left")
-    x = x.join(NB.maybe_broadcast(every, n), ["fold", "k", "j"]).join(NB.maybe_broadcast(prior, n), ["fold", "j"])
+    x = x.join(NB.maybe_broadcast(every, n), ["fold", "k", "j"], "left").join(NB.maybe_broadcast(prior, n), ["fold", "j"], "left")
 
     def share(c: str, total: str) -> Column:
-        return (F.lit(s) + F.coalesce(c, F.lit(0.0))) / (F.lit(s) * (F.col("k") + 1) + F.col(total))
+        return (F.lit(s) + F.coalesce(c, F.lit(0.0))) / (F.lit(s) * (F.col("k") + 1) + F.coalesce(total, F.lit(0.0)))
 
-    pin, pout = F.col("prior") * share("c1", "all1"), (1 - F.col("prior")) * share("c0", "all0")
+    prior = F.coalesce("prior", F.lit(0.5))
+    pin, pout = prior * share("c1", "all1"), (1 - prior) * share("c0", "all0")
     return _arrays(x.select("id", "fold", "k", "j", "y", (pin / (pin + pout)).alias("conf"), (pin >= pout).cast("int").alias("b")), "mlknn")
 
 
@@ -84,7 +89,8 @@ def _brknn(votes: DataFrame, rows: DataFrame, L: int) -> DataFrame:
     n = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
     train = n.select("fold", (F.lit(rows.count()) - F.col("n")).cast("double").alias("n"))  # one row per fold
     x = votes.filter("fold = own").join(F.broadcast(train), "fold")
-    conf = F.transform("cnt", lambda c: (1.0 / F.col("n") + c) / (F.lit(float(L)) / F.col("n") + F.col("have")))
+    conf = F.transform("cnt", lambda c: F.when(F.col("n") == 0, 1.0 / L).otherwise(
+        (F.try_divide(F.lit(1.0), "n") + c) / (F.try_divide(F.lit(float(L)), "n") + F.col("have"))))
     return x.select("id", "fold", F.lit("brknn").alias("learner"), "k", "y", conf.alias("conf")).withColumn("bip", LS.bipartition("conf", 0.5))
 
 
@@ -98,7 +104,7 @@ def neighbour_sweep(mlf: MLFrame, vec: str, ks: Sequence[int] = (8, 9, 10, 11, 1
     rows, n = NB.materialize(x.select(F.col(mlf.id_col).alias("id"), fold.alias("fold"), F.col(mlf.y_col).alias("y"), vec))
     if not n:
         return rows.sparkSession.createDataFrame([], PREDICTION)
-    votes, _ = NB.materialize(_votes(fold_neighbours(rows, vec, max(ks), folds), rows, mlf.L, ks))
+    votes, _ = NB.materialize(_votes(fold_neighbours(rows, vec, max(ks), folds), rows, mlf.L, ks, folds))
     slim = rows.drop(vec)
     made = {"mlknn": lambda: _mlknn(votes, slim, mlf.L, folds, s), "brknn": lambda: _brknn(votes, slim, mlf.L)}
     out = None
