@@ -5,9 +5,10 @@ searches the nearest cells that together hold enough rows; its k-th distance the
 within the radius, by two triangle bounds: d(q, pivot) - cell radius, and half the difference of the distances to the cell's and the nearest
 pivot.  A final ranking keeps the k best of both rounds, so the result is that of a full search, ties included (by reference id).
 
-A task compares at most ``block_rows`` queries with ``block_rows`` reference rows of one cell: cells and their queries are cut into blocks by hash, however
-many rows one cell holds.  What is shuffled is the reference once per block of queries of its cell, and each query once per visited cell: a small
-multiple of the rows where the data cluster, up to (rows x cells) where they do not.  The written tables are reliable checkpoints;
+Cells that lie together are packed into blocks of about ``block_rows`` rows at most (a larger cell is cut by hash), and the queries that ask a block into
+blocks as well.  A query goes once to every block of which it may need a cell, with its radius, and the task finds the cells from that: what is shuffled is
+every row at most once per block of the other side (about 8, or rows / ``block_rows`` if that is more), never once per cell.  Within a task only cells that some
+query of a tile needs are compared.  Where the data do not cluster all pairs are.  The written tables are reliable checkpoints;
 pivots and cell counts (``cells`` rows) are all that reaches the driver.  ``probes`` gives the approximate form: each query searches
 that many cells (and as many as hold k rows) and no more.
 """
@@ -18,129 +19,162 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polytag.functions import labelsets as LS
 from polytag.operators import nb as NB
+from polytag.operators.nearest import TILE, matrix, nearest
+from polytag.operators.nearest import scaled as _scaled
 
 MOST_CELLS = 1024
+#: a search over more than BLOCKS * TILE rows is cut into that many blocks at least, for as many tasks
+BLOCKS = 8
 
 
-def _scaled(m: np.ndarray, mins: np.ndarray, rngs: np.ndarray) -> np.ndarray:
-    out = (m - mins) / np.where(rngs == 0, 1.0, rngs)
-    out[:, rngs == 0] = 0.0
-    return out
+def block_size(rows: int, block_rows: int) -> int:
+    return min(block_rows, max(TILE, math.ceil(rows / BLOCKS)))
+
+
+def blocks(rows: int, block_rows: int) -> int:
+    return max(1, math.ceil(rows / block_size(rows, block_rows)))
+
+
+def slim(rows: DataFrame, id_col: str, vec: str, name: str) -> DataFrame:
+    """(``name``, v) of the rows that have a vector; floats stay floats, as they take half the room."""
+    v = F.col(vec) if dict(rows.dtypes)[vec] == "array<float>" else F.col(vec).cast("array<double>")
+    return rows.filter(F.col(vec).isNotNull()).select(F.col(id_col).cast("long").alias(name), v.alias("v"))
 
 
 def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    out = np.empty((len(x), len(pivots)))
-    for j, p in enumerate(pivots):
-        diff = x - p
-        out[:, j] = np.sqrt(np.einsum("qd,qd->q", diff, diff))
-    return out
-
-
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.vstack(column.to_numpy()).astype(np.float64)
-
-
-def _search(queries: DataFrame, members: DataFrame, sizes: dict[int, int], n_cells: int, k: int, block_rows: int, chunk: int, exclude_self: bool) -> DataFrame:
-    """(qid, rid, dist): per (query, cell block) the k best; ``queries`` (qid, v, cell)."""
-    asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per cell
-    blocks = lambda n: max(1, math.ceil(n / block_rows))
-    ref_blocks = F.array(*(F.lit(blocks(sizes.get(c, 0))) for c in range(n_cells)))
-    query_blocks = F.array(*(F.lit(blocks(asked.get(c, 0))) for c in range(n_cells)))
-    every = lambda counts: F.explode(F.sequence(F.lit(0), F.get(counts, F.col("cell")) - 1))
-    q = queries.withColumn("qb", F.pmod(LS.stable_hash("qid", 101), F.get(query_blocks, F.col("cell"))).cast("int")).withColumn("rb", every(ref_blocks))
-    r = members.select("rid", "v", "cell", F.pmod(LS.stable_hash("rid", 202), F.get(ref_blocks, F.col("cell"))).cast("int").alias("rb")).withColumn("qb", every(query_blocks))
-
-    def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(qp) and len(rp):
-            a, b = _stack(qp["v"]), _stack(rp["v"])
-            qids, rids = qp["qid"].to_numpy(np.int64), rp["rid"].to_numpy(np.int64)
-            step = max(1, chunk // (len(rids) * a.shape[1]))
-            for s in range(0, len(qids), step):
-                diff = a[s : s + step, None, :] - b[None, :, :]
-                d2 = np.einsum("qrd,qrd->qr", diff, diff)
-                if exclude_self:
-                    d2[qids[s : s + step, None] == rids[None, :]] = np.inf
-                for i, row in enumerate(d2):
-                    best = np.lexsort((rids, row))[:k]
-                    best = best[np.isfinite(row[best])]
-                    found.append((np.full(len(best), qids[s + i]), rids[best], np.sqrt(row[best])))
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (np.int64, np.int64, np.float64)]
-        return pd.DataFrame(dict(zip(("qid", "rid", "dist"), cols, strict=True)))
-
-    at = ("cell", "qb", "rb")
-    return q.groupBy(*at).cogroup(r.groupBy(*at)).applyInPandas(block, "qid long, rid long, dist double")
+    """Distances, off by at most ``_off``."""
+    d2 = x @ pivots.T
+    d2 *= -2
+    d2 += np.einsum("qd,qd->q", x, x)[:, None]
+    d2 += np.einsum("qd,qd->q", pivots, pivots)
+    return np.sqrt(np.maximum(d2, 0, out=d2), out=d2)
+
+
+def _off(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """A bound of the rounding error per row: a root near zero keeps half the digits of the squared norms."""
+    return 1e-8 * (x.shape[1] + 64) * (np.sqrt(np.einsum("qd,qd->q", x, x)) + math.sqrt(np.einsum("qd,qd->q", pivots, pivots).max()))
+
+
+def pack(pivots: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of every cell: cells by their nearest of a few pivots, filled up to ``most`` rows; a larger cell has its own blocks."""
+    lead = _to_pivots(pivots, pivots[: max(1, math.isqrt(len(pivots)))]).argmin(1)
+    first, many = np.zeros(len(size), np.int64), np.ones(len(size), np.int64)
+    at, held = 0, 0
+    for c in np.argsort(lead, kind="stable"):
+        if held and held + size[c] > most:
+            at, held = at + 1, 0
+        first[c], many[c] = at, max(1, math.ceil(size[c] / most))
+        held += size[c]
+        if many[c] > 1:
+            at, held = at + many[c], 0
+    return first, many
+
+
+def _search(queries: DataFrame, members: DataFrame, per: dict[int, int], most: int, compare) -> DataFrame:
+    """(qid, rid, dist): ``compare`` of every block (``rb``) and the queries that ask it, cut into parts of at most ``most`` or so."""
+    asked = {r["rb"]: r["n"] for r in queries.groupBy("rb").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row per block
+    parts = F.array(*(F.lit(max(1, math.ceil(asked.get(b, 0) / most))) for b in range(max(per) + 1)))
+    part = F.get(parts, F.col("rb"))
+    q = queries.withColumn("qb", F.pmod(LS.stable_hash("qid", 101), part).cast("int"))
+    r = members.withColumn("qb", F.explode(F.sequence(F.lit(0), part - 1)))
+    return q.groupBy("rb", "qb").cogroup(r.groupBy("rb", "qb")).applyInArrow(compare, "qid long, rid long, dist double")
 
 
 def cell_knn(query: DataFrame, ref: DataFrame, k: int, vec: str, id_col: str, exclude_self: bool, ranges: tuple[list[float], list[float]],
              block_rows: int, chunk: int, cells: int | None = None, probes: int | None = None) -> DataFrame:
     """(qid, rank, rid, dist): the k nearest reference rows of every query row; see the module."""
     mins, rngs = (np.asarray(x, np.float64) for x in ranges)
-    n_ref = ref.count()
+    dims = len(mins)
+    members = slim(ref, id_col, vec, "rid")
+    n_ref = members.count()
     wanted = cells or max(1, min(MOST_CELLS, math.isqrt(n_ref)))
-    first = ref.select(F.col(vec).cast("array<double>").alias("v")).orderBy(LS.stable_hash(id_col, 303), id_col).limit(wanted).collect()
-    pivots = _scaled(np.array([r["v"] for r in first], np.float64).reshape(len(first), len(mins)), mins, rngs)
+    first = members.orderBy(LS.stable_hash("rid", 303), "rid").limit(wanted).select("v").collect()
+    pivots = _scaled(np.array([r["v"] for r in first], np.float64).reshape(len(first), dims), mins, rngs)
     n_cells = len(pivots)
+    if not n_cells:
+        return query.sparkSession.createDataFrame([], "qid long, rank int, rid long, dist double")
+    v_type = dict(members.dtypes)["v"]
+
+    def vectors(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        column = t.column("v")
+        return _scaled(matrix(column if isinstance(column, pa.ChunkedArray) else pa.chunked_array([column]), dims), mins, rngs)
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _scaled(_stack(b["v"]), mins, rngs) if len(b) else np.zeros((0, len(mins)))
-            d = _to_pivots(x, pivots)
+            d = _to_pivots(vectors(b), pivots)
             cell = d.argmin(1)
-            yield pd.DataFrame({"rid": b["rid"], "v": pd.Series(list(x), dtype=object), "cell": cell.astype(np.int32), "d": d[np.arange(len(x)), cell]})
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["rid", "v", "cell", "d"])
 
-    if not n_cells:
-        return query.sparkSession.createDataFrame([], "qid long, rank int, rid long, dist double")
-    members = ref.select(F.col(id_col).cast("long").alias("rid"), F.col(vec).cast("array<double>").alias("v"))
-    members, _ = NB.materialize(members.mapInPandas(assign, "rid long, v array<double>, cell int, d double"))
+    members, _ = NB.materialize(members.mapInArrow(assign, f"rid long, v {v_type}, cell int, d double"))
     stats = {r["cell"]: (r["n"], r["d"]) for r in members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect()}
-    sizes = {c: n for c, (n, _) in stats.items()}
-    size = np.array([sizes.get(c, 0) for c in range(n_cells)])
+    size = np.array([stats[c][0] if c in stats else 0 for c in range(n_cells)])
     radius = np.array([stats[c][1] if c in stats else -math.inf for c in range(n_cells)])
+    slack = float(2 * _off(np.array([np.ones(dims)]), pivots)[0])  # reference rows lie in the unit cube
     enough, least = k + int(exclude_self), probes or 1
+    most = block_size(n_ref, block_rows)
+    block, per_cell = pack(pivots, size, most)
+    ints = lambda x: F.get(F.array(*(F.lit(int(n)) for n in x)), F.col("cell"))
+    members = members.select("rid", "v", "cell", (ints(block) + F.pmod(LS.stable_hash("rid", 202), ints(per_cell))).cast("int").alias("rb"))
+    per = {int(b) + i: 1 for b, n in zip(block, per_cell, strict=True) for i in range(n)}
+
+    def named(rows: Iterator[np.ndarray]) -> pa.Array:
+        """The blocks of the cells of every row."""
+        lists = [np.unique(np.concatenate([np.arange(block[c], block[c] + per_cell[c]) for c in cells_])) if len(cells_) else [] for cells_ in rows]
+        return pa.array(lists, pa.list_(pa.int32()))
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = _to_pivots(vectors(b), pivots)
+            order = np.argsort(d, axis=1, kind="stable")
+            many = np.minimum(np.maximum((np.cumsum(size[order], axis=1) < enough).sum(1) + 1, least), n_cells)
+            own = [o[:n].astype(np.int32) for o, n in zip(order, many, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("v"), pa.array(own, pa.list_(pa.int32())), named(own)], names=["qid", "v", "cells", "rbs"])
+
+    def first_round(qp: pa.Table, rp: pa.Table) -> pa.Table:
+        own = np.zeros((len(qp), n_cells), bool)
+        lists = qp.column("cells").to_pylist()
+        own[np.repeat(np.arange(len(lists)), [len(c) for c in lists]), np.array([c for x in lists for c in x], np.int64)] = True
+        return compared(qp, rp, own, None)
+
+    def compared(qp: pa.Table, rp: pa.Table, own: np.ndarray, limit: np.ndarray | None) -> pa.Table:
+        x = vectors(qp)
+        # queries of one cell are compared together
+        order = np.lexsort((qp.column("qid").to_numpy(), _to_pivots(x, pivots).argmin(1)))
+        return nearest(x[order], qp.column("qid").to_numpy()[order], vectors(rp), rp.column("rid").to_numpy(), k, exclude_self, chunk,
+                       None if limit is None else limit[order], rp.column("cell").to_numpy(), own[order], probes is not None)
+
+    def needed(x: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        d = _to_pivots(x, pivots)
+        # bounds are lowered by more than the rounding errors of both sides
+        bound = np.maximum(d - radius, (d - d.min(1, keepdims=True)) / 2)
+        return (bound <= (limit * (1 + 1e-9) + 1e-9 + 2 * _off(x, pivots) + slack)[:, None]) & (size > 0)
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            open_ = needed(vectors(b), b.column("limit").to_numpy(zero_copy_only=False)) if b.num_rows else np.zeros((0, n_cells), bool)
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("v"), b.column("limit"), named(np.flatnonzero(o) for o in open_)], names=["qid", "v", "limit", "rbs"])
 
-    def nearest_cells(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(d, axis=1, kind="stable")
-        held = np.cumsum(size[order], axis=1)
-        return order, np.maximum((held < enough).sum(1) + 1, least)
+    def second_round(qp: pa.Table, rp: pa.Table) -> pa.Table:
+        limit = qp.column("limit").to_numpy()
+        return compared(qp, rp, needed(vectors(qp), limit), limit)
 
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = _scaled(_stack(b["v"]), mins, rngs) if len(b) else np.zeros((0, len(mins)))
-            order, many = nearest_cells(_to_pivots(x, pivots))
-            yield pd.DataFrame({"qid": b["qid"], "v": pd.Series(list(x), dtype=object),
-                                "cells": pd.Series([o[:n].astype(np.int32) for o, n in zip(order, many, strict=True)], dtype=object)})
-
-    asked = query.select(F.col(id_col).cast("long").alias("qid"), F.col(vec).cast("array<double>").alias("v"))
-    asked, _ = NB.materialize(asked.mapInPandas(begin, "qid long, v array<double>, cells array<int>"))
-    one = _search(asked.select("qid", "v", F.explode("cells").alias("cell")), members, sizes, n_cells, k, block_rows, chunk, exclude_self)
+    asked, _ = NB.materialize(slim(query, id_col, vec, "qid").mapInArrow(begin, f"qid long, v {v_type if dict(query.dtypes)[vec] == 'array<float>' else 'array<double>'}, cells array<int>, rbs array<int>"))
+    one = _search(asked.select("qid", "v", "cells", F.explode("rbs").alias("rb")), members, per, most, first_round)
     by_rank = Window.partitionBy("qid").orderBy("dist", "rid")
     one, _ = NB.materialize(one.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k))
     if probes is None:
+        # the first round only gives radii; a query without k rows there has none
         limits = one.filter(F.col("rank") == k).select(F.col("qid").alias("_q"), F.col("dist").alias("limit"))
-
-        def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                x = _stack(b["v"]) if len(b) else np.zeros((0, len(mins)))
-                d = _to_pivots(x, pivots)
-                # a bound is lowered by more than its rounding error
-                bound = np.maximum(d - radius, (d - d.min(1, keepdims=True)) / 2 if len(x) else d)
-                open_ = bound <= (b["limit"].fillna(math.inf).to_numpy(np.float64) * (1 + 1e-9) + 1e-9)[:, None]
-                open_ &= size > 0
-                for i, seen in enumerate(b["cells"]):
-                    open_[i, np.asarray(seen, np.int64)] = False
-                i, c = np.nonzero(open_)
-                yield pd.DataFrame({"qid": b["qid"].to_numpy(np.int64)[i], "v": pd.Series([x[j] for j in i], dtype=object), "cell": c.astype(np.int32)})
-
-        more = asked.join(limits, F.col("qid") == F.col("_q"), "left").select("qid", "v", "cells", "limit")
-        more, _ = NB.materialize(more.mapInPandas(further, "qid long, v array<double>, cell int"))
-        two = _search(more, members, sizes, n_cells, k, block_rows, chunk, exclude_self)
-        one = one.select("qid", "rid", "dist").unionByName(two).withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k)
+        more = asked.join(limits, F.col("qid") == F.col("_q"), "left").select("qid", "v", F.coalesce("limit", F.lit(math.inf)).alias("limit"))
+        more = more.mapInArrow(further, f"qid long, v {dict(asked.dtypes)['v']}, limit double, rbs array<int>")
+        more, _ = NB.materialize(more.select("qid", "v", "limit", F.explode("rbs").alias("rb")))
+        two = _search(more, members, per, most, second_round)
+        one = two.withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= k)
     return one.select("qid", "rank", "rid", "dist")

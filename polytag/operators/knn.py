@@ -1,15 +1,16 @@
 """Exact k-nearest neighbours and the neighbour-based learners.
 
 ``knn`` is a blocked nested loop: query rows are hashed into Q blocks and
-reference rows into B blocks (each block at most ``block_rows`` rows); every
+reference rows into B blocks (each block about ``block_rows`` rows at most); every
 (query block, reference block) pair meets in one ``cogroup`` task where numpy
-computes the distances and keeps only a local top-k per query.  Nothing
+(``nearest``) keeps only a local top-k per query.  Nothing
 quadratic is materialised as rows, no group is unbounded, and nothing is
 broadcast; a window over (query id) then keeps the global top-k out of the
-k x B candidates.  Order is total: (distance, reference id).
+k x B candidates.  Order is total: (distance, reference id).  Rows without a vector
+neither ask nor answer.
 
-Its shuffle grows with the square of the rows, so it serves small references only; beyond ``BLOCKED_ROWS`` reference rows
-``knn`` searches pivot cells (``cells``), with the same result.
+All pairs are compared; each row is shuffled once per block of the other side (8 times, or rows / ``block_rows`` if that is more).  Beyond
+``BLOCKED_ROWS`` reference rows ``knn`` searches pivot cells (``cells``), with the same result.
 
 Distances are Euclidean on range-normalised features ((x - min) / (max - min)
 from the reference set; a constant dimension contributes 0).
@@ -17,20 +18,20 @@ from the reference set; a constant dimension contributes 0).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from polytag.functions import labelsets as LS
-from polytag.operators.cells import cell_knn
+from polytag.operators.cells import blocks, cell_knn, slim
+from polytag.operators.nearest import TILE, matrix, nearest, scaled
 
-BLOCK_ROWS = 4096
-BLOCKED_ROWS = 16 * BLOCK_ROWS
+BLOCK_ROWS = 32768
+BLOCKED_ROWS = 2 * BLOCK_ROWS
 #: distances (n x m) of n query rows (n x d) to m reference rows (m x d)
 Distance = Callable[[np.ndarray, np.ndarray], np.ndarray]
 CHUNK_CELLS = 4_000_000  # query-chunk x ref-block x dims cells per numpy step
@@ -46,13 +47,6 @@ def vector_ranges(ref: DataFrame, vec: str) -> tuple[list[float], list[float]]:
     return mins, rngs
 
 
-def _normalise(m: np.ndarray, mins: np.ndarray, rngs: np.ndarray) -> np.ndarray:
-    safe = np.where(rngs == 0, 1.0, rngs)
-    out = (m - mins) / safe
-    out[:, rngs == 0] = 0.0
-    return out
-
-
 def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", id_col: str = "id", exclude_self: bool = True,
         block_rows: int = BLOCK_ROWS, ranges=None, method: str | None = None, probes: int | None = None, distance: Distance | None = None) -> DataFrame:
     """(qid, rank, rid, dist): the k nearest reference rows of every query row; ``method`` "blocks" or "cells" (default by size).
@@ -66,43 +60,37 @@ def knn(query: DataFrame, ref: DataFrame, k: int, vec: str = "vec", id_col: str
     if method == "cells" or probes or (method is None and distance is None and nr > BLOCKED_ROWS):
         return cell_knn(query, ref, k, vec, id_col, exclude_self, (mins, rngs), block_rows, CHUNK_CELLS, probes=probes)
     nq = query.count()
-    Q, B = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nr / block_rows))
-    q = query.select(F.col(id_col).alias("qid"), F.col(vec).cast("array<double>").alias("v"),
-                     F.pmod(LS.stable_hash(id_col, 101), F.lit(Q)).alias("qb"))
-    q = q.select("qid", "v", "qb", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("rb"))
-    r = ref.select(F.col(id_col).alias("rid"), F.col(vec).cast("array<double>").alias("v"),
-                   F.pmod(LS.stable_hash(id_col, 202), F.lit(B)).alias("rb"))
-    r = r.select("rid", "v", "rb", F.explode(F.sequence(F.lit(0), F.lit(Q - 1))).alias("qb"))
+    Q, B = blocks(nq, block_rows), blocks(nr, block_rows)
+    # block numbers are int on both sides: equal numbers of other types are dealt to other partitions
+    at = lambda name, seed, n: F.pmod(LS.stable_hash(name, seed), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = slim(query, id_col, vec, "qid").withColumn("qb", at("qid", 101, Q)).select("qid", "v", "qb", every(B).alias("rb"))
+    r = slim(ref, id_col, vec, "rid").withColumn("rb", at("rid", 202, B)).select("rid", "v", "rb", every(Q).alias("qb"))
     mn, rg = np.asarray(mins, dtype=np.float64), np.asarray(rngs, dtype=np.float64)
 
-    def block(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if len(qp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        A = _normalise(np.vstack(qp["v"].to_numpy()).astype(np.float64), mn, rg)
-        R = _normalise(np.vstack(rp["v"].to_numpy()).astype(np.float64), mn, rg)
-        qids = qp["qid"].to_numpy(dtype=np.int64)
-        rids = rp["rid"].to_numpy(dtype=np.int64)
-        kk = min(k, len(rids))
-        step = max(1, CHUNK_CELLS // max(1, len(rids) * A.shape[1]))
-        oq, orr, od = [], [], []
-        for s in range(0, len(qids), step):
-            if distance is None:
-                diff = A[s:s + step, None, :] - R[None, :, :]
-                d2 = np.einsum("qrd,qrd->qr", diff, diff)
-            else:
-                d2 = np.asarray(distance(A[s:s + step], R), dtype=np.float64)
-            if exclude_self:
-                d2 = np.where(qids[s:s + step, None] == rids[None, :], np.inf, d2)
-            for i in range(d2.shape[0]):
-                order = np.lexsort((rids, d2[i]))[:kk]
-                order = order[np.isfinite(d2[i][order])]
-                oq.append(np.full(len(order), qids[s + i], dtype=np.int64))
-                orr.append(rids[order])
-                od.append(np.sqrt(d2[i][order]) if distance is None else d2[i][order])
-        return pd.DataFrame({"qid": np.concatenate(oq), "rid": np.concatenate(orr), "dist": np.concatenate(od)})
-
-    cand = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(block, "qid long, rid long, dist double")
+    def block(qp: pa.Table, rp: pa.Table) -> pa.Table:
+        A, R = (scaled(matrix(t.column("v"), len(mn)), mn, rg) for t in (qp, rp))
+        qids, rids = (t.column(c).to_numpy() for t, c in ((qp, "qid"), (rp, "rid")))
+        return nearest(A, qids, R, rids, k, exclude_self, CHUNK_CELLS) if distance is None else by_distance(A, qids, R, rids)
+
+    def by_distance(A: np.ndarray, qids: np.ndarray, R: np.ndarray, rids: np.ndarray) -> pa.Table:
+        oq, orr, od = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for t in range(0, len(rids), TILE):
+            near, names = R[t:t + TILE], rids[t:t + TILE]
+            step = max(1, CHUNK_CELLS // max(1, len(names) * A.shape[1]))
+            for s in range(0, len(qids), step):
+                d = np.asarray(distance(A[s:s + step], near), dtype=np.float64)
+                if exclude_self:
+                    d = np.where(qids[s:s + step, None] == names[None, :], np.inf, d)
+                for i in range(d.shape[0]):
+                    order = np.lexsort((names, d[i]))[:k]
+                    order = order[np.isfinite(d[i][order])]
+                    oq.append(np.full(len(order), qids[s + i], dtype=np.int64))
+                    orr.append(names[order])
+                    od.append(d[i][order])
+        return pa.table({"qid": np.concatenate(oq), "rid": np.concatenate(orr), "dist": np.concatenate(od)})
+
+    cand = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(block, "qid long, rid long, dist double")
     w = Window.partitionBy("qid").orderBy("dist", "rid")
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "rank", "rid", "dist")
 
