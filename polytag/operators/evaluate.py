@@ -190,27 +190,18 @@ def label_ap_curves(df: DataFrame, levels: int = 10) -> DataFrame:
     Rows are ordered by confidence desc, ties by id (the row order)."""
     lg = _long(df).withColumn("one", F.lit(1)).withColumn("t", F.col("t").cast("int"))
     s = ordered_scan(lg, ["j"], "c", "id", {"pos": ("sum", "one"), "hits": ("sum", "t")}, score_desc=True)
-    s = s.withColumn("prec", F.col("hits") / F.col("pos"))
-    tot = s.groupBy("j").agg(F.sum("t").alias("R"))
-    # the scanned table feeds the AP sum and a second (reverse) scan: checkpoint it once
-    from polytag.operators.nb import materialize
-
-    s, _ = materialize(s.join(F.broadcast(tot), "j"))
-    ap = s.groupBy("j").agg(F.sum(F.when(F.col("t") == 1, F.col("prec")).otherwise(0.0)).alias("_s"), F.first("R").alias("R"))
-    ap = ap.select("j", F.col("R").alias("n_rel"), F.when(F.col("R") > 0, F.col("_s") / F.col("R")).alias("ap"))
-    # interpolated precision: suffix max of precision, read at the first position reaching recall i/(levels-1)
-    rev = ordered_scan(s.select("j", "id", "c", "pos", "hits", "prec", "R", "t"), ["j"], "c", "id",
-                       {"pmax": ("max", "prec")}, score_desc=False, tie_desc=True)
+    s = s.withColumn("prec", F.col("hits") / F.col("pos")).join(F.broadcast(lg.groupBy("j").agg(F.sum("t").alias("R"))), "j")
+    # interpolated precision at level i: the best precision of the rows at which recall i/(levels-1) is reached or passed,
+    # so the best per (label, highest level reached) is all that is needed
     lv = levels - 1
-    prev_hits = F.col("hits") - F.col("t")
-    # levels i whose first reaching position is this row: prev_hits*lv < i*R <= hits*lv  (i = 0 -> position 1)
-    lo = F.when(F.col("pos") == 1, F.lit(0)).otherwise(F.floor(prev_hits * lv / F.col("R")) + 1)
-    hi = F.floor(F.col("hits") * lv / F.col("R"))
-    reach = rev.filter(F.col("R") > 0).select(
-        "j", "pmax", F.greatest(lo, F.lit(0)).cast("int").alias("lo"), F.least(hi, F.lit(lv)).cast("int").alias("hi")
-    ).filter(F.col("hi") >= F.col("lo"))
-    iap = reach.groupBy("j").agg((F.sum(F.col("pmax") * (F.col("hi") - F.col("lo") + 1)) / F.lit(levels)).alias("iap"))
-    return ap.join(iap, "j", "left")
+    reached = F.when(F.col("R") > 0, F.floor(F.col("hits") * lv / F.col("R"))).otherwise(F.lit(0)).cast("int")
+    per = s.groupBy("j", reached.alias("level")).agg(
+        F.sum(F.when(F.col("t") == 1, F.col("prec")).otherwise(0.0)).alias("_s"), F.max("prec").alias("best"), F.first("R").alias("R"))
+    per = per.groupBy("j").agg(F.sum("_s").alias("_s"), F.first("R").alias("R"), F.collect_list(F.struct("level", "best")).alias("_p"))
+    at = lambda i: F.array_max(F.transform(F.filter("_p", lambda p: p["level"] >= i), lambda p: p["best"]))
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(lv)), F.lit(0.0), lambda acc, i: acc + at(i))
+    return per.select("j", F.col("R").alias("n_rel"), F.when(F.col("R") > 0, F.col("_s") / F.col("R")).alias("ap"),
+                      F.when(F.col("R") > 0, total / F.lit(levels)).alias("iap"))
 
 
 def _auc_from_scores(sc: DataFrame, part: list[str]) -> DataFrame:
