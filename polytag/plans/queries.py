@@ -1370,8 +1370,8 @@ def q_st_score(spark, d):
     model = LN.fit_br(m, train)
     base = IO.scratch(spark, "st-score")
     rows = m.df.select("id", *m.features)
-    STM.stage_files(rows, base + "/in", parts=3)
-    out = STM.score_stream(spark, base + "/in", rows.schema, lambda b: LN.predict_br(model, b), base + "/out")
+    files = STM.stage_files(rows, base + "/in", parts=3)
+    out = STM.score_stream(spark, base + "/in", rows.schema, lambda b: LN.predict_br(model, b), base + "/out", files_per_batch=files)
     return r6(out.select("id", "j", "conf", "bip"))
 
 
@@ -1381,12 +1381,12 @@ def q_st_update_counts(spark, d):
     m = V.v_userday(spark, d)
     base = IO.scratch(spark, "st-counts")
     rows = m.df.select("id", "y")
-    STM.stage_files(rows, base + "/in", parts=3)
+    files = STM.stage_files(rows, base + "/in", parts=3)
 
     def cells(x):
         return x.select(F.posexplode("y").alias("j", "t")).select(F.col("j").cast("int").alias("j"), "t", F.lit(1).alias("n"))
 
-    return STM.count_stream(spark, base + "/in", rows.schema, cells, base + "/out", ["j", "t"], compact_every=2)
+    return STM.count_stream(spark, base + "/in", rows.schema, cells, base + "/out", ["j", "t"], files_per_batch=files, compact_every=2)
 
 
 @query("st_running_auc")
@@ -1396,13 +1396,13 @@ def q_st_running_auc(spark, d):
 
     base = IO.scratch(spark, "st-auc")
     rows = scored(spark, d).select("id", "y", "conf")
-    STM.stage_files(rows, base + "/in", parts=3)
+    files = STM.stage_files(rows, base + "/in", parts=3)
 
     def cells(x):
         t = F.col("t").cast("double")
         return CV.score_cells(x).select("j", "c", t.alias("pos"), (1.0 - t).alias("neg"))
 
-    counts = STM.count_stream(spark, base + "/in", rows.schema, cells, base + "/out", ["j", "c"], ("pos", "neg"), compact_every=2)
+    counts = STM.count_stream(spark, base + "/in", rows.schema, cells, base + "/out", ["j", "c"], ("pos", "neg"), files_per_batch=files, compact_every=2)
     return r6(CV.label_curves(counts).select("j", "auc"))
 
 
@@ -1421,8 +1421,8 @@ def q_st_windowed_measures(spark, d):
     # three files in event-time order, whatever months the events cover: no row is behind the watermark of an earlier file
     span = x.agg(F.min(F.unix_timestamp("ts")).alias("lo"), F.max(F.unix_timestamp("ts")).alias("hi")).first()
     part = F.floor((F.unix_timestamp("ts") - (span["lo"] or 0)) * 3 / ((span["hi"] or 0) - (span["lo"] or 0) + 1)).cast("int")
-    STM.stage_files(x, base + "/in", parts=3, part_col=part)
-    out = STM.windowed_measures(spark, base + "/in", x.schema, base + "/out", watermark="11 days")
+    files = STM.stage_files(x, base + "/in", parts=3, part_col=part)
+    out = STM.windowed_measures(spark, base + "/in", x.schema, base + "/out", watermark="11 days", files_per_batch=files)
     return r6(out.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "hamming_loss", "micro_f1"))
 
 

@@ -11,24 +11,32 @@ processed, in as many micro-batches as ``maxFilesPerTrigger`` allows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from polytag.session import scratch_path
 
+#: rows of a staged file, as far as the session's cores give enough files
+FILE_ROWS = 100_000
+
 
-def stage_files(df: DataFrame, path: str, parts: int = 3, key: str = "id", part_col=None) -> str:
-    """Write ``df`` as ``parts`` Parquet files to feed a stream, one sub-folder per part so a
-    stream with ``maxFilesPerTrigger`` sees them as successive batches (split by a stable hash of
-    ``key``, or by ``part_col`` when given, e.g. a time range)."""
+def stage_files(df: DataFrame, path: str, parts: int = 3, key: str = "id", part_col=None, rows_per_file: int = FILE_ROWS) -> int:
+    """Write ``df`` as Parquet files to feed a stream, one sub-folder per part (split by a stable hash of
+    ``key``, or by ``part_col`` when given, e.g. a time range), and return the files per part: a stream whose
+    ``maxFilesPerTrigger`` is that number takes a part per batch, however many rows there are.  A part of very few rows may have fewer files;
+    the next part then begins in the same batch.  The rows are derived once."""
     from polytag.functions.labelsets import stable_hash
+    from polytag.operators.nb import materialize
 
     pc = F.pmod(stable_hash(key, 17), F.lit(parts)) if part_col is None else part_col
-    x = df.withColumn("_part", pc)
+    x, rows = materialize(df.withColumn("_part", pc))
+    files = max(1, min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / (parts * rows_per_file))))
     for p in range(parts):
-        x.filter(F.col("_part") == p).drop("_part").write.mode("overwrite").parquet(f"{path}/p{p}")
-    return path
+        x.filter(F.col("_part") == p).drop("_part").repartition(files).write.mode("overwrite").parquet(f"{path}/p{p}")
+    return files
 
 
 def _run(writer, name: str, spark: SparkSession, checkpoint: str | None = None) -> None:
