@@ -148,21 +148,24 @@ def hierarchical(mlf: MLFrame) -> MLFrame:
 # ------------------------------------------------------------------ label set pruning
 
 
-def _frequent_subsets(rare: DataFrame, freq: DataFrame) -> DataFrame:
+def _frequent_subsets(rare: DataFrame, freq: DataFrame, n_labels: int) -> DataFrame:
     """(bits, sub_bits, sub_size, sub_count): frequent sets that are proper non-empty subsets of
     each rare set.  Equi-join on the frequent set's first two labels (the rare side emits its
     ordered label pairs; one-label frequent sets join on the label alone), then a containment
     test, so no 2^s subset enumeration and no size guard is needed."""
+    # sets of at most 62 labels travel and are compared as one number, larger ones as arrays
+    as_set = lambda bits, y: F.conv(F.col(bits), 2, 10).cast("bigint") if n_labels <= 62 else F.col(y)
     fr = freq.select(F.col("bits").alias("sub_bits"), F.col("count").alias("sub_count"), LS.positives("y").alias("fp"))
-    fr = fr.filter(F.size("fp") > 0).select("sub_bits", "sub_count", "fp", F.size("fp").alias("sub_size"),
+    fr = fr.filter(F.size("fp") > 0).select("sub_bits", "sub_count", as_set("sub_bits", "fp").alias("sub"), F.size("fp").alias("sub_size"),
                                             F.col("fp")[0].alias("k0"),
                                             F.when(F.size("fp") > 1, F.col("fp")[1]).otherwise(F.lit(-1)).alias("k1"))
-    rr = rare.select("bits", "y", LS.size("y").alias("size"), LS.positives("y").alias("pos"))
-    one = rr.select("bits", "y", "size", F.explode("pos").alias("k0"), F.lit(-1).alias("k1"))
-    two = rr.select("bits", "y", "size", "pos", F.posexplode("pos").alias("i", "k0")).select(
-        "bits", "y", "size", "k0", F.explode(F.slice("pos", F.col("i") + 2, F.size("pos"))).alias("k1"))
+    rr = rare.select("bits", as_set("bits", "y").alias("set"), LS.size("y").alias("size"), LS.positives("y").alias("pos"))
+    one = rr.select("bits", "set", "size", F.explode("pos").alias("k0"), F.lit(-1).alias("k1"))
+    two = rr.select("bits", "set", "size", "pos", F.posexplode("pos").alias("i", "k0")).select(
+        "bits", "set", "size", "k0", F.explode(F.slice("pos", F.col("i") + 2, F.size("pos"))).alias("k1"))
     keyed = one.unionByName(two)
-    j = keyed.join(fr, ["k0", "k1"]).filter((F.col("sub_size") < F.col("size")) & F.forall("fp", lambda q: F.get("y", q) == 1))
+    held = F.col("set").bitwiseAND(F.col("sub")) == F.col("sub") if n_labels <= 62 else F.forall("sub", lambda q: F.get("set", q) == 1)
+    j = keyed.join(fr, ["k0", "k1"]).filter((F.col("sub_size") < F.col("size")) & held)
     return j.select("bits", "sub_bits", "sub_size", "sub_count")
 
 
@@ -175,7 +178,7 @@ def prune_ps(mlf: MLFrame, p: int, strategy: str = "A", b: int = 2) -> DataFrame
     counts = ST.labelset_counts(mlf)
     freq = counts.filter(F.col("count") > p).select("bits", "y", "count")
     rare = counts.filter(F.col("count") <= p).select("bits", "y", "count")
-    subs = _frequent_subsets(rare, freq)
+    subs = _frequent_subsets(rare, freq, mlf.L)
     freq = freq.select("bits", "count")
     if strategy.upper() == "A":
         from pyspark.sql.window import Window
@@ -202,7 +205,7 @@ def prune_ppt(mlf: MLFrame, p: int, strategy: str = "replace") -> DataFrame:
     if strategy == "drop":
         return keep
     rare = counts.filter(F.col("count") <= p).select("bits", "y", "count")
-    subs = _frequent_subsets(rare, freq)
+    subs = _frequent_subsets(rare, freq, mlf.L)
     # per rare set (label-set sized group): ordered candidate list, then a greedy disjoint fold;
     # label sets are 64-bit masks when L <= 62 (one AND per candidate), else 0/1 arrays
     L = mlf.L
