@@ -177,9 +177,12 @@ def fit_cc(mlf: MLFrame, chain: list[int] | None = None, train: DataFrame | None
         return m
     order = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(chain)])
     links = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(lab).alias("lab")) for k, lab in enumerate(chain)])
-    extra = [weight] if weight else []
-    x = train.filter(F.col(weight) > 0) if weight else train
-    x = x.select(NB.feature_pairs(mlf.features).alias("_b"), F.col(mlf.y_col).alias("_y"), *extra, F.explode(links).alias("ln"))
+    # rows that agree in the features and the chain's labels count once, with their total weight
+    own = F.array(*[F.get(mlf.y_col, F.lit(j)) if j in chain else F.lit(None).cast("int") for j in range(mlf.L)])
+    x = train.select(*mlf.features, own.alias("_y"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
+    x = x.groupBy(*mlf.features, "_y").agg(F.sum("_w").alias("_w")).filter("_w > 0")
+    extra = ["_w"]
+    x = x.select(NB.feature_pairs(mlf.features).alias("_b"), "_y", *extra, F.explode(links).alias("ln"))
     prev = F.transform(
         F.filter(order, lambda e: e["i"] < F.col("ln.k")),
         lambda e: F.struct(F.concat(F.lit("__lab"), e["c"].cast("string")).alias("f"), F.get("_y", e["c"]).cast("string").alias("v")),
@@ -188,7 +191,7 @@ def fit_cc(mlf: MLFrame, chain: list[int] | None = None, train: DataFrame | None
                     F.filter(F.concat("_b", prev), lambda p: p["v"].isNotNull()).alias("_fv")).filter(F.col("t").isNotNull())
     spark = train.sparkSession
     classes = _binary_classes(spark, spark.range(len(chain)).select(F.col("id").cast("int").alias("link")))
-    m = NB.fit_nb(rows, ["link"], list(mlf.features), classes, weight=weight, pairs="_fv")
+    m = NB.fit_nb(rows, ["link"], list(mlf.features), classes, weight="_w", pairs="_fv")
     m.chain = chain  # type: ignore[attr-defined]
     return m
 
@@ -202,9 +205,10 @@ def predict_cc(model: NB.NBModel, df: DataFrame, L: int, id_col: str = "id") ->
         from polytag.operators import tree as TREE
 
         return TREE.predict_chain(model, df, L, model.chain, id_col)
-    rows = df.select(id_col, NB.feature_key(model.features).alias("_fk"))
-    df = df.select(NB.feature_key(model.features).alias("_fk"), *model.features).dropDuplicates(["_fk"])
-    row_id, id_col = id_col, "_fk"
+    return on_feature_tuples(model.features, df, id_col, lambda t, k: _predict_cc(model, t, L, k))
+
+
+def _predict_cc(model: NB.NBModel, df: DataFrame, L: int, id_col: str) -> DataFrame:
     chain = model.chain  # type: ignore[attr-defined]
     n = len(chain)
     base_w = model.weights.filter(~F.col("f").startswith("__lab"))
@@ -244,9 +248,7 @@ def predict_cc(model: NB.NBModel, df: DataFrame, L: int, id_col: str = "id") ->
         )
 
     res = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), init, step)
-    out, n_tup = NB.materialize(g.select(id_col, res["conf"].alias("conf"),
-                                         F.transform(res["pred"], lambda v: F.greatest(v, F.lit(0))).alias("bip")))
-    return rows.join(NB.maybe_broadcast(out, n_tup), "_fk").select(row_id, "conf", "bip")
+    return g.select(id_col, res["conf"].alias("conf"), F.transform(res["pred"], lambda v: F.greatest(v, F.lit(0))).alias("bip"))
 
 
 # ------------------------------------------------------------------ pairwise family
@@ -670,15 +672,17 @@ def ecc(mlf: MLFrame, train: DataFrame, m: int = 5, use_conf: bool = True, seed:
     for i in range(m):
         chain = list(range(mlf.L))
         rnd.shuffle(chain)
-        u = stable_hash2(mlf.id_col, F.lit(i), seed) / F.lit(float(MINSTD_M))
-        wgt = sum(F.when(u >= F.lit(t), 1).otherwise(0) for t in poisson1_thresholds()).cast("double")
-        p = predict_cc(fit_cc(mlf, chain, train.withColumn("_bw", wgt), weight="_bw"), mlf.df, mlf.L)
-        outs.append(p.select("id", (F.col("conf") if use_conf else F.col("bip").cast("array<double>")).alias(f"v{i}")))
-    x = outs[0]
-    for o in outs[1:]:
-        x = x.join(o, "id")
-    mean = F.array(*[sum(F.get(f"v{i}", F.lit(j)) for i in range(m)) / F.lit(float(m)) for j in range(mlf.L)])
-    x = x.select("id", mean.alias("conf"))
+        models.append(fit_cc(mlf, chain, bags, weight=f"_bw{i}"))
+
+    def mean_of_chains(tup: DataFrame, key: str) -> DataFrame:
+        x = tup.select(key)
+        for i, model in enumerate(models):
+            p = _predict_cc(model, tup, mlf.L, key)
+            x = x.join(p.select(key, (F.col("conf") if use_conf else F.col("bip").cast("array<double>")).alias(f"v{i}")), key)
+        mean = F.array(*[sum(F.get(f"v{i}", F.lit(j)) for i in range(m)) / F.lit(float(m)) for j in range(mlf.L)])
+        return x.select(key, mean.alias("conf"))
+
+    x = on_feature_tuples(mlf.features, mlf.df, mlf.id_col, mean_of_chains)
     return x.withColumn("bip", LS.bipartition("conf", 0.5))
 
 
@@ -687,7 +691,14 @@ def eps(mlf: MLFrame, train: DataFrame, m: int = 5, pct: float = 66.0, p: int =
     from polytag.functions.labelsets import MINSTD_M, stable_hash2
     from polytag.operators import transform as TR
 
-    outs = []
+
+    def weight(i):
+        u = stable_hash2(mlf.id_col, F.lit(i), seed) / F.lit(float(MINSTD_M))
+        return sum(F.when(u >= F.lit(t), 1).otherwise(0) for t in poisson1_thresholds()).cast("double")
+
+    # one pass over the rows gives the weights of all bags
+    bags, _ = NB.materialize(train.groupBy(*mlf.features, mlf.y_col).agg(*[F.sum(weight(i)).alias(f"_bw{i}") for i in range(m)]))
+    models = []
     for i in range(m):
         u = stable_hash2(mlf.id_col, F.lit(i), seed) / F.lit(float(MINSTD_M))
         sub = train.filter(u * 100 < F.lit(pct))
