@@ -338,8 +338,12 @@ def fit_pairwise_stacked(mlf: MLFrame, br: NB.NBModel, train: DataFrame, pruned:
     them (chain architecture) or only the pair's two (pruned chain)."""
     from polytag.operators import transform as TR
 
-    c = to_arrays(predict_br(br, train), ("conf",))
-    pw = TR.pairwise(mlf.with_df(train)).select("id", "a", "b", F.col("class").alias("t"), *mlf.features).join(c, "id")
+    # the first stage sees the features alone, so rows that agree in features and labels count once
+    c = compact_rows(train, mlf.features, mlf.y_col).withColumn("_fk", NB.feature_key(mlf.features))
+    first = to_arrays(predict_br(br, c.dropDuplicates(["_fk"]), "_fk"), ("conf",), "_fk")
+    sets = mlf.with_df(c.select(F.struct("_fk", "_w").alias(mlf.id_col), *mlf.features, mlf.y_col))
+    pw = TR.pairwise(sets).select(F.col(f"{mlf.id_col}._fk").alias("_fk"), F.col(f"{mlf.id_col}._w").alias("_w"), "a", "b",
+                                  F.col("class").alias("t"), *mlf.features).join(first, "_fk")
     base = NB.feature_pairs(mlf.features)
     if pruned:
         extra = F.array(
@@ -347,15 +351,19 @@ def fit_pairwise_stacked(mlf: MLFrame, br: NB.NBModel, train: DataFrame, pruned:
             F.struct(F.lit("cb").alias("f"), F.least(F.floor(F.get("conf", F.col("b")) * 10), F.lit(9)).cast("int").cast("string").alias("v")))
     else:
         extra = conf_bins("conf", mlf.L)
-    rows = pw.select("a", "b", "t", F.concat(base, extra).alias("_fv"))
+    rows = pw.select("a", "b", "t", "_w", F.concat(base, extra).alias("_fv"))
     classes = rows.select("a", "b").distinct().select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("t"))
-    m = NB.fit_nb(rows, ["a", "b"], list(mlf.features), classes, pairs="_fv")
+    m = NB.fit_nb(rows, ["a", "b"], list(mlf.features), classes, weight="_w", pairs="_fv")
     m.pruned = pruned  # type: ignore[attr-defined]
     return m
 
 
 def predict_two_stage_chain(br: NB.NBModel, pw: NB.NBModel, df: DataFrame, L: int, t: float = 0.2, id_col: str = "id") -> DataFrame:
-    """As two-stage voting, with pair models scored on features + binned BR confidences."""
+    """As two-stage voting, with pair models scored on features + binned BR confidences; once per distinct feature tuple."""
+    return on_feature_tuples(br.features, df, id_col, lambda x, k: _predict_two_stage_chain(br, pw, x, L, t, k))
+
+
+def _predict_two_stage_chain(br: NB.NBModel, pw: NB.NBModel, df: DataFrame, L: int, t: float, id_col: str) -> DataFrame:
     c = to_arrays(predict_br(br, df, id_col), ("conf",), id_col)
     x = df.join(c, id_col)
     feats = pw.features
