@@ -38,6 +38,20 @@ def compact_rows(train: DataFrame, features, y_col: str) -> DataFrame:
     return train.groupBy(*features, y_col).agg(F.count(F.lit(1)).cast("double").alias("_w"))
 
 
+def label_counts(train: DataFrame, features, y_col: str, L: int, use=None) -> DataFrame:
+    """(features..., j, t, _w): rows per feature tuple with t = 0 or 1 at label j, missing labels skipped.  Every row adds to
+    2 L sums of its tuple; no row is exploded and label sets need not repeat.  ``use`` (label -> Column) keeps the
+    rows that count for a label."""
+    def rows(j, t):
+        hit = F.get(y_col, F.lit(j)) == t
+        return F.coalesce(F.sum((hit if use is None else hit & use(j)).cast("long")), F.lit(0)).cast("double")
+
+    g = train.groupBy(*features).agg(*[rows(j, t).alias(f"_n{t}_{j}") for j in range(L) for t in (0, 1)])
+    cells = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(t).alias("t"), F.col(f"_n{t}_{j}").alias("w")) for j in range(L) for t in (0, 1)])
+    return g.select(*features, F.explode(cells).alias("_c")).select(
+        *features, F.col("_c.j").alias("j"), F.col("_c.t").alias("t"), F.col("_c.w").alias("_w")).filter("_w > 0")
+
+
 def on_feature_tuples(features, df: DataFrame, id_col: str, fn) -> DataFrame:
     """Run a prediction whose output depends only on the feature values once per distinct feature
     tuple (``fn(tuples, key_col)``), checkpoint it and join the rows back (broadcast only under the
@@ -565,19 +579,21 @@ def tree_parents(tree: DataFrame) -> dict[int, int | None]:
 def fit_hmc(mlf: MLFrame, train: DataFrame, parents: dict[int, int | None]) -> NB.NBModel:
     """One binary model per tree node, trained on the rows where its parent is set (all rows for
     top nodes); every node from one count keyed by ``j``.  ``mlf.y`` must hold every node."""
-    par = F.array(*[F.lit(-1 if parents.get(j) is None else parents[j]) for j in range(mlf.L)])
-    x = train.select(*mlf.features, mlf.y_col, F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
-    p = F.get(par, F.col("j"))
-    x = x.filter((p < 0) | (F.get(F.col(mlf.y_col), p) == 1)).withColumn("j", F.col("j").cast("int"))
+    under = lambda j: F.lit(True) if parents.get(j) is None else F.get(mlf.y_col, F.lit(parents[j])) == 1
+    x = label_counts(train, mlf.features, mlf.y_col, mlf.L, under)
     spark = train.sparkSession
     classes = _binary_classes(spark, spark.range(mlf.L).select(F.col("id").cast("int").alias("j")))
-    return NB.fit_nb(x.drop(mlf.y_col), ["j"], list(mlf.features), classes)
+    return NB.fit_nb(x, ["j"], list(mlf.features), classes, weight="_w")
 
 
 def predict_hmc(model: NB.NBModel, df: DataFrame, L: int, parents: dict[int, int | None], id_col: str = "id") -> DataFrame:
     """Top-down: a node is positive iff its own model says so and its parent is positive; under a
     negative node every descendant is negative and takes that node's confidence.  (The reference
-    leaves a rejected node's own confidence at 0; here it keeps its model's confidence.)"""
+    leaves a rejected node's own confidence at 0; here it keeps its model's confidence.)  Once per distinct feature tuple."""
+    return on_feature_tuples(model.features, df, id_col, lambda t, k: _predict_hmc(model, t, L, parents, k))
+
+
+def _predict_hmc(model: NB.NBModel, df: DataFrame, L: int, parents: dict[int, int | None], id_col: str) -> DataFrame:
     depth = {}
 
     def dep(j):
