@@ -740,53 +740,65 @@ def eps(mlf: MLFrame, train: DataFrame, m: int = 5, pct: float = 66.0, p: int =
 # ------------------------------------------------------------------ stacking, IBLR, clustering-based, CSS
 
 
-def _fold_keyed_br(mlf: MLFrame, train: DataFrame, folds: int, seed: int) -> tuple[NB.NBModel, DataFrame]:
+def _fold_keyed_br(mlf: MLFrame, train: DataFrame, folds: int, seed: int) -> tuple[NB.NBModel, DataFrame, DataFrame]:
     """BR models for every fold at once: a row counts for every fold but its own (model key
-    (fold, j)); returns the model and the training rows with their fold."""
+    (fold, j)); returns the model, the training rows with their fold, and these compacted: (features..., y, _fold, _w)."""
     from polytag.functions.labelsets import stable_hash
 
     tr = train.withColumn("_fold", F.pmod(stable_hash(mlf.id_col, seed), F.lit(folds)).cast("int"))
-    x = tr.select(*mlf.features, "_fold", F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
-    x = x.select(*mlf.features, F.col("j").cast("int").alias("j"), "t",
+    c, _ = NB.materialize(compact_rows(tr, [*mlf.features, "_fold"], mlf.y_col))
+    x = c.select(*mlf.features, "_fold", "_w", F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
+    x = x.select(*mlf.features, "_w", F.col("j").cast("int").alias("j"), "t",
                  F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("_fold"))).alias("fold"))
     spark = train.sparkSession
     keys = spark.range(folds).select(F.col("id").cast("int").alias("fold")).select("fold", F.explode(F.sequence(F.lit(0), F.lit(mlf.L - 1))).alias("j"))
     classes = _binary_classes(spark, keys)
-    return NB.fit_nb(x, ["fold", "j"], list(mlf.features), classes), tr
+    return NB.fit_nb(x, ["fold", "j"], list(mlf.features), classes, weight="_w"), tr, c
+
+
+def _fold_confs(model: NB.NBModel, c: DataFrame) -> DataFrame:
+    """(_fk, _fold, conf ARRAY): every feature tuple scored by the BR models of every fold."""
+    tup = c.select(NB.feature_key(model.features).alias("_fk"), *model.features).dropDuplicates(["_fk"])
+    p = NB.nb_binary_scores(model, tup, "_fk").select(F.struct("_fk", "fold").alias("_at"), "j", F.col("p1").alias("conf"))
+    return to_arrays(p, ("conf",), "_at").select("_at._fk", F.col("_at.fold").alias("_fold"), "conf")
 
 
 def out_of_fold_br(mlf: MLFrame, train: DataFrame, folds: int = 3, seed: int = 1) -> DataFrame:
     """(id, conf ARRAY): every training row scored by the BR model that did not see it; all fold
     models come from one count (the fold is part of the model key)."""
-    model, tr = _fold_keyed_br(mlf, train, folds, seed)
-    p = NB.nb_binary_scores(model, tr, mlf.id_col).join(tr.select(mlf.id_col, "_fold"), mlf.id_col)
-    p = p.filter(F.col("fold") == F.col("_fold")).select(mlf.id_col, "j", F.col("p1").alias("conf"))
-    return to_arrays(p, ("conf",), mlf.id_col)
+    model, tr, c = _fold_keyed_br(mlf, train, folds, seed)
+    conf, n = NB.materialize(_fold_confs(model, c))
+    rows = tr.select(mlf.id_col, "_fold", NB.feature_key(mlf.features).alias("_fk"))
+    return rows.join(NB.maybe_broadcast(conf, n), ["_fk", "_fold"]).select(mlf.id_col, "conf")
 
 
 def stacking(mlf: MLFrame, train: DataFrame, folds: int = 3, seed: int = 1, include_features: bool = True) -> DataFrame:
     """Two-level stacking: level 1 BR with out-of-fold confidences; level 2 one model per label on the
     binned level-1 confidences of all labels (+ the features).  Test rows get level-1 confidences
-    from the BR fitted on all training rows."""
-    oof = out_of_fold_br(mlf, train, folds, seed)
-    tr2 = train.join(oof, mlf.id_col)
+    from the BR fitted on all training rows.  Both levels see a row's features, labels and fold alone, so equal rows count once."""
+    model, _, c = _fold_keyed_br(mlf, train, folds, seed)
+    tr2 = c.withColumn("_fk", NB.feature_key(mlf.features)).join(_fold_confs(model, c), ["_fk", "_fold"])
     feats = list(mlf.features) if include_features else []
     fv_type = "array<struct<f:string,v:string>>"
     base = (NB.feature_pairs(feats) if feats else F.array()).cast(fv_type)
     bins = conf_bins("conf", mlf.L).cast(fv_type)
-    rows = tr2.select(F.concat(base, bins).alias("_fv"), F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
+    rows = tr2.select("_w", F.concat(base, bins).alias("_fv"), F.posexplode(mlf.y_col).alias("j", "t")).filter(F.col("t").isNotNull())
     spark = train.sparkSession
     classes = _binary_classes(spark, spark.range(mlf.L).select(F.col("id").cast("int").alias("j")))
-    lvl2 = NB.fit_nb(rows.withColumn("j", F.col("j").cast("int")), ["j"], feats, classes, pairs="_fv")
-    full = to_arrays(predict_br(fit_br(mlf, train), mlf.df), ("conf",))
-    x = mlf.df.join(full, mlf.id_col)
-    fl = x.select(mlf.id_col, F.explode(F.concat(base, bins)).alias("p")).select(mlf.id_col, "p.f", "p.v")
-    m = fl.join(NB.maybe_broadcast(lvl2.weights, lvl2.n_weights), ["f", "v"]).select(mlf.id_col, "j", "t", F.col("w").alias("x"))
-    cst = mlf.df.select(mlf.id_col, F.explode(lvl2.const_array()).alias("c")).select(mlf.id_col, "c.j", "c.t", F.col("c.kc").alias("x"))
-    s = m.unionByName(cst).groupBy(mlf.id_col, "j").agg(F.sum(F.when(F.col("t") == 1, F.col("x"))).alias("s1"),
-                                                         F.sum(F.when(F.col("t") == 0, F.col("x"))).alias("s0"))
-    s = s.select(mlf.id_col, "j", (1 / (1 + F.exp(F.col("s0") - F.col("s1")))).alias("conf"), (F.col("s1") >= F.col("s0")).cast("int").alias("bip"))
-    return to_arrays(s, ("conf", "bip"), mlf.id_col)
+    lvl2 = NB.fit_nb(rows.withColumn("j", F.col("j").cast("int")), ["j"], feats, classes, weight="_w", pairs="_fv")
+    br = fit_br(mlf, train)
+
+    def scored(tup: DataFrame, key: str) -> DataFrame:
+        x = tup.join(to_arrays(predict_br(br, tup, key), ("conf",), key), key)
+        fl = x.select(key, F.explode(F.concat(base, bins)).alias("p")).select(key, "p.f", "p.v")
+        m = fl.join(NB.maybe_broadcast(lvl2.weights, lvl2.n_weights), ["f", "v"]).select(key, "j", "t", F.col("w").alias("x"))
+        cst = tup.select(key, F.explode(lvl2.const_array()).alias("c")).select(key, "c.j", "c.t", F.col("c.kc").alias("x"))
+        s = m.unionByName(cst).groupBy(key, "j").agg(F.sum(F.when(F.col("t") == 1, F.col("x"))).alias("s1"),
+                                                     F.sum(F.when(F.col("t") == 0, F.col("x"))).alias("s0"))
+        s = s.select(key, "j", (1 / (1 + F.exp(F.col("s0") - F.col("s1")))).alias("conf"), (F.col("s1") >= F.col("s0")).cast("int").alias("bip"))
+        return to_arrays(s, ("conf", "bip"), key)
+
+    return on_feature_tuples(mlf.features, mlf.df, mlf.id_col, scored)
 
 
 def iblr(mlf: MLFrame, train: DataFrame, k: int = 10, vec: str = "embedding", add_features: bool = False) -> DataFrame:
