@@ -44,14 +44,15 @@ def fold_accuracies(mlf: MLFrame, k: int = 10, seed: int = 1) -> tuple[DataFrame
     spark = mlf.df.sparkSession
     idc = mlf.id_col
     L = mlf.L
-    x, _ = NB.materialize(mlf.df.join(SP.cv_folds(mlf, k, seed), idc).select(
-        idc, "fold", mlf.y_col, NB.feature_pairs(mlf.features).alias("fv")))
+    # rows that agree in fold, features and labels are one row of weight n
+    x = mlf.df.join(SP.cv_folds(mlf, k, seed), idc).groupBy("fold", mlf.y_col, *mlf.features).agg(F.count(F.lit(1)).alias("n"))
+    x, _ = NB.materialize(x.select(F.monotonically_increasing_id().alias(idc), "fold", mlf.y_col, "n", NB.feature_pairs(mlf.features).alias("fv")))
     folds = spark.range(k).select(F.col("id").cast("int").alias("fold"))
 
-    lab = x.select(idc, "fold", "fv", F.posexplode(mlf.y_col).alias("i", "t")).filter(F.col("t").isNotNull())
-    cf = lab.select("fold", "i", "t", F.explode("fv").alias("p")).groupBy("fold", "i", F.col("p.f").alias("f"),
-                                                                         F.col("p.v").alias("v"), "t").count()
-    cf, _ = NB.materialize(cf.withColumnRenamed("count", "c"))
+    lab = x.select(idc, "fold", "fv", "n", F.posexplode(mlf.y_col).alias("i", "t")).filter(F.col("t").isNotNull())
+    cf = lab.select("fold", "i", "t", "n", F.explode("fv").alias("p")).groupBy("fold", "i", F.col("p.f").alias("f"),
+                                                                              F.col("p.v").alias("v"), "t").agg(F.sum("n").alias("c"))
+    cf, _ = NB.materialize(cf)
     vf = cf.groupBy("f").agg(F.countDistinct("v").alias("nv"))
     nvs = vf.collect()  # one row per feature
     w_oof = _oof(cf, ["i", "f", "v", "t"], folds)
@@ -59,7 +60,7 @@ def fold_accuracies(mlf: MLFrame, k: int = 10, seed: int = 1) -> tuple[DataFrame
 
     classes = folds.crossJoin(spark.range(L).select(F.col("id").cast("int").alias("i"))).crossJoin(
         spark.createDataFrame([(0,), (1,)], "t int"))
-    nf = lab.groupBy("fold", "i", "t").agg(F.count(F.lit(1)).alias("c"))
+    nf = lab.groupBy("fold", "i", "t").agg(F.sum("n").alias("c"))
     nt = _oof(nf, ["i", "t"], folds)
     nt = classes.join(nt, ["fold", "i", "t"], "left").select("fold", "i", "t", F.coalesce("c", F.lit(0)).cast("double").alias("n"))
     lg = sum((F.log(F.col("n") + F.lit(float(r["nv"]))) for r in nvs), F.lit(0.0))
@@ -79,12 +80,13 @@ def fold_accuracies(mlf: MLFrame, k: int = 10, seed: int = 1) -> tuple[DataFrame
         F.first(mlf.y_col).alias("y"),
         (F.sum(F.when(F.col("t") == 1, F.col("x"))) - F.sum(F.when(F.col("t") == 0, F.col("x")))).alias("delta"))
     s = s.withColumn("yi", F.get("y", F.col("i"))).filter(F.col("yi").isNotNull())
+    s, _ = NB.materialize(s.join(x.select(idc, "n"), idc))
 
     acc1 = s.groupBy("fold", "i").agg(
-        (F.lit(100.0) * F.sum(((F.col("delta") > 0).cast("int") == F.col("yi")).cast("int")) / F.count(F.lit(1))).alias("acc"))
+        (F.lit(100.0) * F.sum(((F.col("delta") > 0).cast("int") == F.col("yi")).cast("int") * F.col("n")) / F.sum("n")).alias("acc"))
 
     # dependent: add ln P(y_j | t=1) - ln P(y_j | t=0) from out-of-fold label-pair counts
-    sets = x.groupBy("fold", mlf.y_col).count()
+    sets = x.groupBy("fold", mlf.y_col).agg(F.sum("n").alias("count"))
     pa = sets.select("fold", "count", mlf.y_col, F.posexplode(mlf.y_col).alias("i", "t")).filter(F.col("t").isNotNull())
     pa = pa.select("fold", "count", "i", "t", F.posexplode(mlf.y_col).alias("j", "v")).filter(
         F.col("v").isNotNull() & (F.col("i") != F.col("j")))
@@ -97,11 +99,11 @@ def fold_accuracies(mlf: MLFrame, k: int = 10, seed: int = 1) -> tuple[DataFrame
     g = po.groupBy("fold", "i", "j", "v").agg(
         (F.sum(F.when(F.col("t") == 1, F.col("lp"))) - F.sum(F.when(F.col("t") == 0, F.col("lp")))).alias("g"))
     g, n_g = NB.materialize(g)
-    d = s.select("fold", "i", "yi", "delta", F.posexplode("y").alias("j", "v")).filter(F.col("j") != F.col("i"))
+    d = s.select("fold", "i", "yi", "delta", F.col("n").alias("m"), F.posexplode("y").alias("j", "v")).filter(F.col("j") != F.col("i"))
     d = d.join(NB.maybe_broadcast(g, n_g), ["fold", "i", "j", "v"], "left")
     pred = ((F.col("delta") + F.coalesce(F.col("g"), F.lit(0.0))) > 0).cast("int")
     acc2 = d.groupBy("fold", "i", "j").agg(
-        (F.lit(100.0) * F.sum((pred == F.col("yi")).cast("int")) / F.count(F.lit(1))).alias("acc"))
+        (F.lit(100.0) * F.sum((pred == F.col("yi")).cast("int") * F.col("m")) / F.sum("m")).alias("acc"))
     return acc1, acc2
 
 

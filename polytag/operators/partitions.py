@@ -132,14 +132,14 @@ def ensemble_of_partitions(mlf: MLFrame, train: DataFrame, df: DataFrame, m: int
 
 def _group_correct(mlf: MLFrame, rows: DataFrame, group: list[int], folds: int) -> DataFrame:
     """(id, ok): out-of-fold label-powerset model of one label group; ok = its predicted label set
-    of the group equals the true one.  Fold-keyed models (a row counts for every fold but its own);
+    of the group equals the true one.  Fold-keyed models (a row counts ``_w`` times for every fold but its own);
     a row is scored only by its own fold's model (the fold is a join key)."""
     idc = mlf.id_col
     t = LS.bits(F.array(*[F.get(F.col(mlf.y_col), F.lit(j)) for j in group]))
-    tr = rows.select(idc, "_fold", t.alias("t"), *mlf.features)
-    fit_rows = tr.select("t", *mlf.features, F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)),
+    tr = rows.select(idc, "_fold", "_w", t.alias("t"), *mlf.features)
+    fit_rows = tr.select("t", "_w", *mlf.features, F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)),
                                                                 lambda f: f != F.col("_fold"))).alias("fold"))
-    model = NB.fit_nb(fit_rows, ["fold"], list(mlf.features))
+    model = NB.fit_nb(fit_rows, ["fold"], list(mlf.features), weight="_w")
     fl = tr.select(idc, F.col("_fold").alias("fold"), F.explode(NB.feature_pairs(mlf.features)).alias("p")).select(
         idc, "fold", "p.f", "p.v")
     s = fl.join(NB.maybe_broadcast(model.weights, model.n_weights), ["fold", "f", "v"]).select(idc, "fold", "t", F.col("w").alias("x"))
@@ -156,18 +156,22 @@ def greedy_label_clustering(mlf: MLFrame, train: DataFrame, folds: int = 10, see
     cross-validated subset accuracy does not drop; stop below the critical score, after more than
     ``patience`` rejections in a row, or at one group; a partition already evaluated is skipped.
 
+    A row enters by its features, labels and fold alone, so rows that agree in them are one row of weight ``_w``.
     Incremental: per-row correctness of every current group is kept (id, group, ok); a candidate
-    only fits the merged group, so one step costs one fold-keyed count of the training rows.
+    only fits the merged group, so one step costs one fold-keyed count of the compacted rows.
     Returns the final groups and the trace (step, pair, accuracy, accepted)."""
     idc = mlf.id_col
     spark = train.sparkSession
-    rows, _ = NB.materialize(train.filter(~F.exists(mlf.y_col, lambda v: v.isNull())).join(
-        SP.cv_folds(mlf.with_df(train), folds, seed).withColumnRenamed("fold", "_fold"), idc))
-    fold_n = {r["_fold"]: r["count"] for r in rows.groupBy("_fold").count().collect()}
+    train, _ = NB.materialize(train.select(idc, *mlf.features, mlf.y_col))
+    rows = train.filter(~F.exists(mlf.y_col, lambda v: v.isNull())).join(
+        SP.cv_folds(mlf.with_df(train), folds, seed).withColumnRenamed("fold", "_fold"), idc)
+    rows = LN.compact_rows(rows, [*mlf.features, "_fold"], mlf.y_col)
+    rows, _ = NB.materialize(rows.withColumn(idc, F.monotonically_increasing_id()))
+    fold_n = {r["_fold"]: int(r["n"]) for r in rows.groupBy("_fold").agg(F.sum("_w").alias("n")).collect()}
 
     def accuracy(okt: DataFrame) -> float:
-        per = okt.groupBy(idc).agg(F.min(F.col("ok").cast("int")).alias("ok")).join(rows.select(idc, "_fold"), idc)
-        acc = {r["_fold"]: r["s"] for r in per.groupBy("_fold").agg(F.sum("ok").alias("s")).collect()}
+        per = okt.groupBy(idc).agg(F.min(F.col("ok").cast("int")).alias("ok")).join(rows.select(idc, "_fold", "_w"), idc)
+        acc = {r["_fold"]: int(r["s"]) for r in per.groupBy("_fold").agg(F.sum(F.col("ok") * F.col("_w")).alias("s")).collect()}
         return sum(acc.get(f, 0) / n for f, n in fold_n.items()) / len(fold_n)
 
     groups = [[j] for j in range(mlf.L)]
