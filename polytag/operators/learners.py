@@ -487,9 +487,10 @@ def fit_subsets(mlf: MLFrame, groups: list[list[int]], train: DataFrame) -> NB.N
     """One label-powerset model per label group (a single-label group is a binary model); all
     groups from one count keyed by ``g``."""
     gl = F.array(*[F.struct(F.lit(i).alias("g"), F.array(*[F.lit(j) for j in grp]).alias("labs")) for i, grp in enumerate(groups)])
-    x = train.filter(~F.exists(mlf.y_col, lambda v: v.isNull())).select(*mlf.features, mlf.y_col, F.explode(gl).alias("gr"))
-    rows = x.select(F.col("gr.g").alias("g"), LS.bits(F.transform("gr.labs", lambda j: F.get(mlf.y_col, j))).alias("t"), *mlf.features)
-    m = NB.fit_nb(rows, ["g"], list(mlf.features))
+    x = compact_rows(train.filter(~F.exists(mlf.y_col, lambda v: v.isNull())), mlf.features, mlf.y_col)
+    x = x.select(*mlf.features, mlf.y_col, "_w", F.explode(gl).alias("gr"))
+    rows = x.select(F.col("gr.g").alias("g"), LS.bits(F.transform("gr.labs", lambda j: F.get(mlf.y_col, j))).alias("t"), "_w", *mlf.features)
+    m = NB.fit_nb(rows, ["g"], list(mlf.features), weight="_w")
     m.groups = groups  # type: ignore[attr-defined]
     return m
 
@@ -504,16 +505,24 @@ def predict_subsets(model: NB.NBModel, df: DataFrame, L: int, threshold: float =
     s = NB.nb_scores(model, tup, "_fk")
     mx = s.groupBy("_fk", "g").agg(F.max("s").alias("mx"), F.collect_list(F.struct("t", F.col("s").alias("e"))).alias("cs"))
     tops = ranked_classes(model, F.filter("cs", lambda e: e["e"] == F.col("mx")), F.col("g"))
-    mx, n_tup = NB.materialize(mx.select("_fk", "g", tops.alias("tops")))
-    mx = df.select(id_col, fk.alias("_fk")).join(NB.maybe_broadcast(mx, n_tup), "_fk")
-    best = tied_best(F.col("tops"), F.col(id_col), seed)
+    # a group with one best set votes alike for all rows of a tuple; a row only breaks the ties of the others
     labs = F.array(*[F.array(*[F.lit(j) for j in grp]) for grp in groups])
-    x = mx.select(id_col, "g", best["t"].alias("bt"))
-    x = x.select(id_col, F.posexplode(F.arrays_zip(F.get(labs, F.col("g")).alias("lab"), LS.from_bits("bt").alias("b"))).alias("k", "z"))
-    x = x.select(id_col, F.col("z.lab").alias("j"), F.col("z.b").cast("double").alias("b"))
-    x = x.unionByName(df.select(id_col, F.lit(-1).alias("j"), F.lit(0.0).alias("b")))
-    g = x.groupBy(id_col).agg(
-        F.array(*[F.sum(F.when(F.col("j") == j, F.col("b")).otherwise(0.0)) for j in range(L)]).alias("votes"))
+    mx = mx.select("_fk", F.get(labs, F.col("g")).alias("lab"), tops.alias("tops"))
+
+    def vote(j, lab, bits):
+        at = F.array_position(lab, j).cast("int")
+        return F.when(at > 0, bits.substr(at, F.lit(1)).cast("double")).otherwise(0.0)
+
+    alone = F.size("tops") == 1
+    per = mx.groupBy("_fk").agg(
+        F.array(*[F.sum(F.when(alone, vote(F.lit(j), F.col("lab"), F.get("tops", F.lit(0))["t"])).otherwise(0.0)) for j in range(L)]).alias("votes"),
+        F.collect_list(F.when(~alone, F.struct("lab", "tops"))).alias("tied"))
+    per, n_tup = NB.materialize(tup.select("_fk").join(per, "_fk", "left").select(
+        "_fk", F.coalesce("votes", F.array_repeat(F.lit(0.0), L)).alias("votes"), "tied"))
+    g = df.select(id_col, fk.alias("_fk")).join(NB.maybe_broadcast(per, n_tup), "_fk")
+    drawn = F.transform(F.coalesce("tied", F.array()), lambda e: F.struct(e["lab"].alias("lab"), tied_best(e["tops"], F.col(id_col), seed)["t"].alias("t")))
+    g = g.select(id_col, "votes", drawn.alias("drawn")).select(id_col, F.transform("votes", lambda v, j: F.aggregate(
+        "drawn", v, lambda a, e: a + vote(j, e["lab"], e["t"]))).alias("votes"))
     cover = [sum(1 for grp in groups if j in grp) for j in range(L)]
     conf = F.transform("votes", lambda v, j: F.when(F.get(F.array(*[F.lit(c) for c in cover]), j) > 0,
                                                     v / F.get(F.array(*[F.lit(float(c)) for c in cover]), j)).otherwise(0.0))
@@ -692,7 +701,14 @@ def ecc(mlf: MLFrame, train: DataFrame, m: int = 5, use_conf: bool = True, seed:
     from polytag.operators.split import poisson1_thresholds
 
     rnd = random.Random(seed)
-    outs = []
+
+    def weight(i):
+        u = stable_hash2(mlf.id_col, F.lit(i), seed) / F.lit(float(MINSTD_M))
+        return sum(F.when(u >= F.lit(t), 1).otherwise(0) for t in poisson1_thresholds()).cast("double")
+
+    # one pass over the rows gives the weights of all bags
+    bags, _ = NB.materialize(train.groupBy(*mlf.features, mlf.y_col).agg(*[F.sum(weight(i)).alias(f"_bw{i}") for i in range(m)]))
+    models = []
     for i in range(m):
         chain = list(range(mlf.L))
         rnd.shuffle(chain)
@@ -715,14 +731,7 @@ def eps(mlf: MLFrame, train: DataFrame, m: int = 5, pct: float = 66.0, p: int =
     from polytag.functions.labelsets import MINSTD_M, stable_hash2
     from polytag.operators import transform as TR
 
-
-    def weight(i):
-        u = stable_hash2(mlf.id_col, F.lit(i), seed) / F.lit(float(MINSTD_M))
-        return sum(F.when(u >= F.lit(t), 1).otherwise(0) for t in poisson1_thresholds()).cast("double")
-
-    # one pass over the rows gives the weights of all bags
-    bags, _ = NB.materialize(train.groupBy(*mlf.features, mlf.y_col).agg(*[F.sum(weight(i)).alias(f"_bw{i}") for i in range(m)]))
-    models = []
+    outs = []
     for i in range(m):
         u = stable_hash2(mlf.id_col, F.lit(i), seed) / F.lit(float(MINSTD_M))
         sub = train.filter(u * 100 < F.lit(pct))

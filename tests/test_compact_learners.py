@@ -14,9 +14,9 @@ ROWS, FOLDS = 240, 3
 def frame(spark):
     # 4 feature tuples, 12 (features, labels) pairs
     n = F.col("id")
-    df = spark.range(ROWS).select("id", (n % 2).cast("string").alias("f"), (n % 4).cast("string").alias("g"),
+    df = spark.range(ROWS).select("id", (n % 2).cast("string").alias("f"), (n % 4).cast("string").alias("h"),
                                   F.array((n % 3 == 0).cast("int"), (n % 2).cast("int"), ((n % 6) < 2).cast("int")).alias("y"))
-    return MLFrame(df, ("a", "b", "c"), ("f", "g"))
+    return MLFrame(df, ("a", "b", "c"), ("f", "h"))
 
 
 def two_stage(m, pruned):
@@ -35,6 +35,7 @@ CASES = {
     "hmc": hmc,
     "ecc": lambda m: LN.ecc(m, m.df, m=2),
     "stacking": lambda m: LN.stacking(m, m.df, folds=FOLDS),
+    "subsets": lambda m: LN.predict_subsets(LN.fit_subsets(m, [[0, 1], [2], [0, 2]], m.df), m.df, m.L),
     "chains": lambda m: LN.predict_chains(m, m.df, [[2, 0], [1]], m.df),
 }
 
@@ -67,3 +68,23 @@ def test_hmc_counts_rows_under_a_set_parent_alone(spark):
     df = spark.createDataFrame([(1, "x", [1, 0, 1]), (2, "x", [1, 1, 0]), (3, "z", [0, None, 1])], "id long, f string, y array<int>")
     got = LN.label_counts(df, ["f"], "y", 3, lambda j: F.lit(True) if j == 2 else F.get("y", F.lit(2)) == 1).collect()
     assert {(r["f"], r["j"], r["t"], r["_w"]) for r in got} == {("x", 0, 1, 1.0), ("x", 1, 0, 1.0), ("x", 2, 1, 1.0), ("x", 2, 0, 1.0), ("z", 0, 0, 1.0), ("z", 2, 1, 1.0)}
+
+
+def test_tied_groups_are_drawn_per_row_and_others_vote_alike(spark):
+    # label 0 is 0 and 1 equally often under f = x (a tie), label 1 always 1
+    df = spark.range(64).select("id", F.lit("x").alias("f"), F.array((F.col("id") % 2).cast("int"), F.lit(1)).alias("y"))
+    m = MLFrame(df, ("a", "b"), ("f",))
+    out = LN.predict_subsets(LN.fit_subsets(m, [[0], [1]], df), df, 2).collect()
+    assert len(out) == 64 and {r["conf"][1] for r in out} == {1.0}
+    assert {r["conf"][0] for r in out} == {0.0, 1.0}
+
+
+def test_greedy_clustering_fits_compacted_rows(frame, monkeypatch):
+    from polytag.operators import partitions as PT
+
+    seen = []
+    fit = NB.fit_nb
+    monkeypatch.setattr(NB, "fit_nb", lambda rows, *a, **kw: (seen.append(rows.count()), fit(rows, *a, **kw))[1])
+    groups, _ = PT.greedy_label_clustering(frame, frame.df, folds=FOLDS, seed=1)
+    assert sorted(j for g in groups for j in g) == [0, 1, 2]
+    assert seen and max(seen) <= 12 * FOLDS * (FOLDS - 1)
