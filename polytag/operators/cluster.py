@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,24 @@ def cosine_pm1(N: int, G: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------ k-modes with cosine similarity
 
 
+def _signed_sums(centres: list[list[tuple[int, int]]], L: int):
+    """Batches of (y, count) -> (c, j, s): the dot products of every centre with every label's +-1 column, as exact integers."""
+    signs = np.zeros((L, len(centres)), np.int64)
+    for c, members in enumerate(centres):
+        for m, sign in members:
+            signs[m, c] += sign
+    at = np.indices((len(centres), L), np.int32)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(centres), L), np.int64)
+        for b in batches:
+            u = 2 * b.column(0).flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, L) - 1
+            total += (np.where(u @ signs >= 0, 1, -1) * b.column(1).to_numpy()[:, None]).T @ u
+        yield pa.RecordBatch.from_arrays([pa.array(x.ravel()) for x in (*at, total)], names=["c", "j", "s"])
+
+    return sums
+
+
 def kmodes_cosine(mlf: MLFrame, k: int = 3, iters: int = 100, max_change: int = 0, seed: int = 1,
                   init: list[list[tuple[int, int]]] | None = None) -> DataFrame:
     """(j, cluster, pos): cosine k-modes over the +-1 label columns.
@@ -66,13 +86,10 @@ def kmodes_cosine(mlf: MLFrame, k: int = 3, iters: int = 100, max_change: int =
     assign = [-1] * L
     dist = np.zeros(L)
     for _ in range(iters):
-        cen_cols = []
-        for c in centres:
-            s = sum(F.lit(sg) * (2 * F.coalesce(F.col("y")[m], F.lit(0)) - 1) for m, sg in c)
-            cen_cols.append(F.when(s >= 0, 1).otherwise(-1))
-        u = [2 * F.coalesce(F.col("y")[j], F.lit(0)) - 1 for j in range(L)]
-        row = counts.agg(*[F.sum(F.col("count") * u[j] * cen_cols[c]).alias(f"c{c}_{j}") for c in range(len(centres)) for j in range(L)]).first()
-        C = np.array([[row[f"c{c}_{j}"] / N for j in range(L)] for c in range(len(centres))])
+        cells = counts.mapInArrow(_signed_sums(centres, L), "c int, j int, s long").groupBy("c", "j").agg(F.sum("s").alias("s")).collect()
+        C = np.zeros((len(centres), L))
+        for r in cells:
+            C[r["c"], r["j"]] = r["s"] / N
         C = np.where(C == 0, np.finfo(float).tiny, C)
         D = -np.log(np.abs(C))
         new = [int(np.argmin(D[:, j])) for j in range(L)]

@@ -669,14 +669,18 @@ def homer(mlf: MLFrame, train: DataFrame, k: int = 3, method: str = "balanced",
 def predict_chains(mlf: MLFrame, train: DataFrame, chains: list[list[int]], df: DataFrame) -> DataFrame:
     """One local chain per label group (each label in exactly one chain); outputs scattered back by
     label index and summed across chains."""
-    parts = [predict_cc(fit_cc(mlf, ch, train), df, mlf.L) for ch in chains if ch]
-    out = parts[0].select("id", F.col("conf").alias("c0"), F.col("bip").alias("b0"))
-    for i, p in enumerate(parts[1:], start=1):
-        out = out.join(p.select("id", F.col("conf").alias(f"c{i}"), F.col("bip").alias(f"b{i}")), "id")
-    owner = {lab: i for i, ch in enumerate([c for c in chains if c]) for lab in ch}
+    models = [fit_cc(mlf, ch, train) for ch in chains if ch]
+    return on_feature_tuples(mlf.features, df, mlf.id_col, lambda t, k: _scattered(mlf, models, t, k))
+
+
+def _scattered(mlf: MLFrame, models: list, df: DataFrame, id_col: str) -> DataFrame:
+    out = df.select(id_col)
+    for i, m in enumerate(models):
+        out = out.join(_predict_cc(m, df, mlf.L, id_col).select(id_col, F.col("conf").alias(f"c{i}"), F.col("bip").alias(f"b{i}")), id_col)
+    owner = {lab: i for i, m in enumerate(models) for lab in m.chain}
     conf = F.array(*[F.get(f"c{owner[j]}", F.lit(j)) if j in owner else F.lit(0.0) for j in range(mlf.L)])
     bip = F.array(*[F.get(f"b{owner[j]}", F.lit(j)) if j in owner else F.lit(0) for j in range(mlf.L)])
-    return out.select("id", conf.alias("conf"), bip.alias("bip"))
+    return out.select(id_col, conf.alias("conf"), bip.alias("bip"))
 
 
 def clustered_chains(mlf: MLFrame, train: DataFrame, k: int = 3, iters: int = 100, seed: int = 1, init: list | None = None) -> DataFrame:

@@ -88,3 +88,21 @@ def test_greedy_clustering_fits_compacted_rows(frame, monkeypatch):
     groups, _ = PT.greedy_label_clustering(frame, frame.df, folds=FOLDS, seed=1)
     assert sorted(j for g in groups for j in g) == [0, 1, 2]
     assert seen and max(seen) <= 12 * FOLDS * (FOLDS - 1)
+
+
+def test_signed_sums_are_those_of_the_rows(spark):
+    import itertools
+
+    import pyarrow as pa
+
+    from polytag.operators import cluster as CL
+
+    sets = [(list(y), n + 1) for n, y in enumerate(itertools.product((0, 1, None), repeat=3))]
+    batch = pa.RecordBatch.from_arrays([pa.array([y for y, _ in sets], pa.list_(pa.int32())), pa.array([n for _, n in sets])], names=["y", "count"])
+    centres = [[(0, 1), (2, -1)], [(1, 1)]]
+    out = next(CL._signed_sums(centres, 3)(iter([batch]))).to_pylist()
+    sign = lambda y, j: 2 * (y[j] or 0) - 1
+    for r in out:
+        want = sum(n * sign(y, r["j"]) * (1 if sum(s * sign(y, m) for m, s in centres[r["c"]]) >= 0 else -1) for y, n in sets)
+        assert r["s"] == want
+    assert len(out) == 6
