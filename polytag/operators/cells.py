@@ -62,6 +62,36 @@ def _off(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return 1e-8 * (x.shape[1] + 64) * (np.sqrt(np.einsum("qd,qd->q", x, x)) + math.sqrt(np.einsum("qd,qd->q", pivots, pivots).max()))
 
 
+def _parts(x: np.ndarray, pivots: np.ndarray, chunk: int) -> Iterator[slice]:
+    """Rows whose distances to all pivots are at most ``chunk`` numbers or so."""
+    step = max(1, chunk // max(1, len(pivots)))
+    return (slice(s, s + step) for s in range(0, len(x), step))
+
+
+def _nearest_pivots(x: np.ndarray, pivots: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest pivot, its distance) of every row."""
+    cell, near = np.empty(len(x), np.int64), np.empty(len(x))
+    for p in _parts(x, pivots, chunk):
+        d = _to_pivots(x[p], pivots)
+        cell[p] = d.argmin(1)
+        near[p] = d.min(1)
+    return cell, near
+
+
+def _needed(x: np.ndarray, limit: np.ndarray, pivots: np.ndarray, radius: np.ndarray, slack: float, chunk: int) -> np.ndarray:
+    """rows x cells: the cells that may hold a row within the row's limit."""
+    out = np.empty((len(x), len(pivots)), bool)
+    # bounds are lowered by more than the rounding errors of both sides
+    most = limit * (1 + 1e-9) + 1e-9 + 2 * _off(x, pivots) + slack
+    for p in _parts(x, pivots, chunk):
+        d = _to_pivots(x[p], pivots)
+        bound = d - d.min(1, keepdims=True)
+        bound /= 2
+        d -= radius
+        np.less_equal(np.maximum(bound, d, out=d), most[p, None], out=out[p])
+    return out
+
+
 def pack(pivots: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(first block, number of blocks) of every cell: cells by their nearest of a few pivots, filled up to ``most`` rows; a larger cell has its own blocks."""
     lead = _to_pivots(pivots, pivots[: max(1, math.isqrt(len(pivots)))]).argmin(1)
@@ -108,9 +138,8 @@ def cell_knn(query: DataFrame, ref: DataFrame, k: int, vec: str, id_col: str, ex
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = _to_pivots(vectors(b), pivots)
-            cell = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["rid", "v", "cell", "d"])
+            cell, d = _nearest_pivots(vectors(b), pivots, chunk)
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(d)], names=["rid", "v", "cell", "d"])
 
     members, _ = NB.materialize(members.mapInArrow(assign, f"rid long, v {v_type}, cell int, d double"))
     stats = {r["cell"]: (r["n"], r["d"]) for r in members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect()}
@@ -131,10 +160,11 @@ def cell_knn(query: DataFrame, ref: DataFrame, k: int, vec: str, id_col: str, ex
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = _to_pivots(vectors(b), pivots)
-            order = np.argsort(d, axis=1, kind="stable")
-            many = np.minimum(np.maximum((np.cumsum(size[order], axis=1) < enough).sum(1) + 1, least), n_cells)
-            own = [o[:n].astype(np.int32) for o, n in zip(order, many, strict=True)]
+            x, own = vectors(b), []
+            for p in _parts(x, pivots, chunk):
+                order = np.argsort(_to_pivots(x[p], pivots), axis=1, kind="stable")
+                many = np.minimum(np.maximum((np.cumsum(size[order], axis=1) < enough).sum(1) + 1, least), n_cells)
+                own += [o[:n].astype(np.int32) for o, n in zip(order, many, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("v"), pa.array(own, pa.list_(pa.int32())), named(own)], names=["qid", "v", "cells", "rbs"])
 
     def first_round(qp: pa.Table, rp: pa.Table) -> pa.Table:
@@ -146,15 +176,12 @@ def cell_knn(query: DataFrame, ref: DataFrame, k: int, vec: str, id_col: str, ex
     def compared(qp: pa.Table, rp: pa.Table, own: np.ndarray, limit: np.ndarray | None) -> pa.Table:
         x = vectors(qp)
         # queries of one cell are compared together
-        order = np.lexsort((qp.column("qid").to_numpy(), _to_pivots(x, pivots).argmin(1)))
+        order = np.lexsort((qp.column("qid").to_numpy(), _nearest_pivots(x, pivots, chunk)[0]))
         return nearest(x[order], qp.column("qid").to_numpy()[order], vectors(rp), rp.column("rid").to_numpy(), k, exclude_self, chunk,
                        None if limit is None else limit[order], rp.column("cell").to_numpy(), own[order], probes is not None)
 
     def needed(x: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        d = _to_pivots(x, pivots)
-        # bounds are lowered by more than the rounding errors of both sides
-        bound = np.maximum(d - radius, (d - d.min(1, keepdims=True)) / 2)
-        return (bound <= (limit * (1 + 1e-9) + 1e-9 + 2 * _off(x, pivots) + slack)[:, None]) & (size > 0)
+        return _needed(x, limit, pivots, radius, slack, chunk) & (size > 0)
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

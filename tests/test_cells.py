@@ -75,3 +75,26 @@ def test_clustered_queries_visit_few_cells_and_probes_find_most(spark, monkeypat
     near = answer(KN.knn(df, df, 5, "vec", probes=3))
     recall = sum(len(set(near[i]) & set(v)) for i, v in want.items()) / sum(map(len, want.values()))
     assert recall >= 0.9
+
+
+def test_cells_needed_by_many_queries_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x, pivots = rng.random((20_000, 8)), rng.random((512, 8))
+    limit, radius = rng.random(20_000) / 4, rng.random(512) / 4
+    limit[:3] = np.inf
+    radius[7] = -np.inf
+    tracemalloc.start()
+    got = CE._needed(x, limit, pivots, radius, 0.0, 500_000)
+    cell, near = CE._nearest_pivots(x, pivots, 500_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all distances at once are 82 MB, and the bounds as much again; the answer is 10 MB
+    assert peak < 40e6
+    d = np.sqrt(((x[:2000, None] - pivots) ** 2).sum(2))
+    bound = np.maximum(d - radius, (d - d.min(1, keepdims=True)) / 2)
+    with np.errstate(invalid="ignore"):
+        clear = np.abs(bound - limit[:2000, None]) > 1e-5
+    assert (got[:2000] == (bound <= limit[:2000, None]))[clear].all()
+    assert (cell[:2000] == d.argmin(1)).all() and np.allclose(near[:2000], d.min(1), atol=1e-7)
