@@ -2,6 +2,8 @@
 
 import random
 import tracemalloc
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +76,63 @@ def test_start_weights_are_learned_from_documents_seen_as_new(spark, monkeypatch
     assert len(set(gates)) > 1 and (np.diff(model.rates) > -0.1).all()
 
 
+def _plain_contexts(text):
+    """(three bytes before, word so far, symbol) of every symbol, as counts have them."""
+    raw = bytes(langmodel.LOWER[b] for b in (text or "").encode())
+    for at in range(len(raw) + 1):
+        since = 0
+        while since < at and not langmodel.IS_SEP[raw[at - since - 1]]:
+            since += 1
+        word = int.from_bytes(raw[at - min(since, 6):at], "big") | min(since, 7) << 48 if since else (raw[at - 1] | 8 << 48 if at else 9 << 48)
+        yield int.from_bytes(raw[max(0, at - 3):at], "big") | min(at, 3) << 24, word, raw[at] if at < len(raw) else langmodel.END
+
+
+def test_start_weights_are_learned_from_every_training_document(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, rng.randrange(0, 30))) for i in range(120)] + [(900, None), (901, ""), (902, "Ünseen WORDS w1x1\n\tab a"), (903, " a"), (None, "never taught")]
+    rows += rows[:5]
+    taught = [t or "" for i, t in rows if i is not None and crc(i) % 7 != 2]
+    seen = {}
+    learned = langmodel._learned
+
+    def spy(lesson, scratch, codes, predictors):
+        write = scratch.write
+
+        def kept(df, name):
+            table = write(df, name)
+            seen[name] = {r.fact: r.n for r in table.collect()}
+            return table
+
+        monkeypatch.setattr(scratch, "write", kept)
+        seen.update(texts=[r.text for r in lesson.collect()], codes=codes.value, predictors=predictors)
+        return learned(lesson, scratch, codes, predictors)
+
+    monkeypatch.setattr(langmodel, "_learned", spy)
+    langmodel.train(frame(spark, rows).repartition(3), langmodel.Scratch(spark, "mixing_test"), bits=12)
+    assert sorted(t or "" for t in seen["texts"]) == sorted(taught)
+    # every decision of these texts, each of them met by predictors that have not counted its text's part
+    (batch,) = langmodel._decisions(iter([pa.RecordBatch.from_arrays([pa.array(taught)], names=["text"])]), seen["codes"], seen["predictors"])
+    assert seen["facts"] == dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    codes, symbols = seen["codes"], [(zlib.crc32(t.encode()) % 2, c) for t in taught for c in _plain_contexts(t)]
+    assert sum(seen["facts"].values()) == sum(int(codes.lengths[(c[0] & 255 if c[0] >> 24 else langmodel.END) * langmodel.SYMBOLS + c[2]]) for _, c in symbols)
+    counts = Counter((part, kind, c[kind - langmodel.ORDER3], c[2]) for part, c in symbols for kind in (langmodel.ORDER3, langmodel.PREFIX))
+    asked = {(part, kind, context) for part, kind, context, _ in counts}
+    assert {part for part, _, _ in asked} == {0, 1}
+    known = 0
+    for part, kind, context in asked:
+        start = context >> (24 if kind == langmodel.ORDER3 else 48) == (0 if kind == langmodel.ORDER3 else 9)
+        first = langmodel.END if start else context & 255
+        root = codes.nodes[codes.starts[first * langmodel.SYMBOLS]]
+        n = [0, 0]
+        for symbol in range(langmodel.SYMBOLS):
+            n[codes.bits[codes.starts[first * langmodel.SYMBOLS + symbol]]] += counts[1 - part, kind, context, symbol]
+        pair = langmodel.pair_hash(langmodel.context_hash(np.array([context | part << 55]), kind), np.array([root]))
+        want = langmodel._log_odds(np.array(n[:1]), np.array(n[1:]))[0] if sum(n) > 1 else 0
+        assert seen["predictors"].tables[kind].look(pair)[0] == want
+        known += sum(n) > 1
+    assert known > 100
+
+
 def _untrained(data, offsets):
     """A model of the given texts' order-1 counts, without hashed contexts, and an array of texts as ``_lanes`` reads them."""
     symbol, before, _, _ = langmodel.contexts(langmodel.coded(data, offsets)[0])
