@@ -177,6 +177,28 @@ def test_wide_arrays_are_held_for_a_block(monkeypatch):
     assert (hashes == plain).all() and (first == at).all()
 
 
+def test_lanes_equal_plain_mixing_whatever_is_gathered_at_once(monkeypatch):
+    rng = random.Random(5)
+    texts = ["", "a", "Ab  c", *(prose(rng, rng.randrange(1, 60)) for _ in range(30)), prose(rng, 400)]
+    (_, _, data, offsets), = langmodel.chunks(pa.array(texts))
+    model = _untrained(data, offsets)
+    model.weights = np.round(np.random.default_rng(1).normal(0.5, 0.2, (3, langmodel.GATES)), 3)
+    whole = langmodel._lanes(model, data, offsets)
+    for row, text in enumerate(texts):
+        key, _ = langmodel.coded(*next(iter(langmodel.chunks(pa.array([text]))))[2:])
+        size, facts = model.predictors.facts(model.codes, key)
+        ends, total = np.append(0, np.cumsum(size)), 0.0
+        for lo in range(0, len(key), langmodel.SEGMENT):
+            part = facts[ends[lo] : ends[min(len(key), lo + langmodel.SEGMENT)]]
+            odds = np.stack([(part >> 8 * k & 255).astype(np.uint8).view(np.int8) for k in range(3)]).astype(np.float32) / np.float32(langmodel.STEP)
+            p = langmodel.mix(odds, (part >> 24 & 1).astype(np.float32), part >> 25, np.arange(len(part) + 1), model.weights, model.rates)
+            total += np.log10(p.astype(float)).sum()
+        assert abs(whole[row] - total) < 1e-4 * max(1, -total)
+    for steps in (1, 3, 64):
+        monkeypatch.setattr(langmodel, "STEPS", steps)
+        assert (langmodel._lanes(model, data, offsets) == whole).all()
+
+
 def test_counts_are_dealt_by_key_before_they_are_aggregated(spark):
     texts = ["one two two", "one two", None, ""]
     counts = langmodel._counts(frame(spark, list(enumerate(texts))).repartition(3))
