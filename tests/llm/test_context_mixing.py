@@ -199,6 +199,21 @@ def test_lanes_equal_plain_mixing_whatever_is_gathered_at_once(monkeypatch):
         assert (langmodel._lanes(model, data, offsets) == whole).all()
 
 
+def test_counts_are_summed_column_by_column():
+    rng = np.random.default_rng(2)
+    parts = [(np.unique(rng.integers(0, 1 << 20, 100_000)),) for _ in range(4)]
+    parts = [(key, key % 5 + 1, key % 2) for key, in parts]
+    want = Counter()
+    for key, n, odd in parts:
+        want.update({int(k): complex(a, b) for k, a, b in zip(key, n, odd, strict=True)})
+    size = sum(c.nbytes for part in parts for c in part)
+    most, (key, n, odd) = _peak(lambda: langmodel._reduced(parts))
+    assert parts == [] and (np.diff(key) > 0).all()
+    assert {int(k): complex(a, b) for k, a, b in zip(key, n, odd, strict=True)} == want
+    # 2.2; with all columns put together at once 2.8
+    assert most < 2.5 * size
+
+
 def test_counts_are_dealt_by_key_before_they_are_aggregated(spark):
     texts = ["one two two", "one two", None, ""]
     counts = langmodel._counts(frame(spark, list(enumerate(texts))).repartition(3))
